@@ -2,7 +2,8 @@
 
 ``@q(name, spec, body, ctes)`` registers a function of a :class:`Market`.
 ``spec`` lists the output columns; ``x:6`` rounds a double to 6 decimals on
-both engines. ``body`` is the DuckDB check text over the named CTEs; without
+both engines (after a shift far below the last kept digit, so that exact
+half-way values, common with cent prices, round alike in both). ``body`` is the DuckDB check text over the named CTEs; without
 it the query is checked by the tests only.
 """
 
@@ -28,12 +29,16 @@ def parse_spec(spec: str) -> list[tuple[str, int | None]]:
     return out
 
 
+def nudge(digits: int) -> float:
+    return 1.3 * 10.0 ** -(digits + 3)
+
+
 def finish(df: DataFrame, spec: str) -> DataFrame:
     cols = []
     for name, digits in parse_spec(spec):
         c = F.col(name)
         if digits is not None:
-            r = F.round(c.cast("double"), digits)
+            r = F.round(c.cast("double") + F.lit(nudge(digits)), digits)
             c = F.when(r == 0, F.lit(0.0)).otherwise(r)
         cols.append(c.alias(name))
     return df.select(*cols)
@@ -60,7 +65,8 @@ def oracle(spec: str, body: str, ctes: str = "bars", extra: str = "") -> str:
         if digits is None:
             cols.append(name)
         else:
-            cols.append(f"CASE WHEN ROUND({name}, {digits}) = 0 THEN CAST(0 AS DOUBLE) ELSE ROUND({name}, {digits}) END AS {name}")
+            r = f"ROUND(CAST({name} AS DOUBLE) + CAST({nudge(digits)!r} AS DOUBLE), {digits})"
+            cols.append(f"CASE WHEN {r} = 0 THEN CAST(0 AS DOUBLE) ELSE {r} END AS {name}")
     recursive = "UNION ALL SELECT" in extra and "/*rec*/" in extra
     head = with_clause(ctes, recursive) if ctes else "WITH nothing AS (SELECT 1)"
     if extra:

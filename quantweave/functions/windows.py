@@ -10,9 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-BY_CODE = Window.partitionBy("code").orderBy("date")
-WHOLE_CODE = Window.partitionBy("code")
-BY_DATE = Window.partitionBy("date")
+
+def by_code():
+    return Window.partitionBy("code").orderBy("date")
+
+
+def whole_code():
+    return Window.partitionBy("code")
+
+
+def by_date():
+    return Window.partitionBy("date")
 
 
 def col(x: str | Column) -> Column:
@@ -20,15 +28,15 @@ def col(x: str | Column) -> Column:
 
 
 def trailing(n: int):
-    return BY_CODE.rowsBetween(-(n - 1), 0)
+    return by_code().rowsBetween(-(n - 1), 0)
 
 
 def lag(x, k: int = 1) -> Column:
-    return F.lag(col(x), k).over(BY_CODE)
+    return F.lag(col(x), k).over(by_code())
 
 
 def lead(x, k: int = 1) -> Column:
-    return F.lead(col(x), k).over(BY_CODE)
+    return F.lead(col(x), k).over(by_code())
 
 
 def guarded(agg, x, n: int) -> Column:
@@ -66,15 +74,15 @@ def rvar(x, n: int) -> Column:
 
 
 def running(agg, x) -> Column:
-    return agg(col(x)).over(BY_CODE.rowsBetween(Window.unboundedPreceding, 0))
+    return agg(col(x)).over(by_code().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def ffill(x) -> Column:
-    return F.last(col(x), ignorenulls=True).over(BY_CODE.rowsBetween(Window.unboundedPreceding, 0))
+    return F.last(col(x), ignorenulls=True).over(by_code().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def bfill(x) -> Column:
-    return F.first(col(x), ignorenulls=True).over(BY_CODE.rowsBetween(0, Window.unboundedFollowing))
+    return F.first(col(x), ignorenulls=True).over(by_code().rowsBetween(0, Window.unboundedFollowing))
 
 
 def div(a, b) -> Column:

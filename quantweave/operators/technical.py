@@ -10,19 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantweave.functions.windows import (BY_CODE, div, ffill, guarded, lag, rmax, rmin, rstd, rstd_pop, rsum, running,
+from quantweave.functions.windows import (by_code, div, ffill, lag, rmax, rmin, rstd, rstd_pop, rsum, running,
                                           rvar, sma, trailing)
-
-# Indicator periods in use.
-PERIODS = {
-    "rsi": 42, "roc": 60, "mtm": 40, "cmo": 42, "stochrsi": 28, "rvi": 14,
-    "macd_fast": 25, "macd_slow": 90, "macd_signal": 20, "adx": 35, "dmi": 35, "aroon": 50, "trix": 30,
-    "ma_ratio": 120, "ma_slope": 30, "atr": 30, "natr": 28, "bb": 100, "bb_std": 1.5, "cci": 35, "ulcer": 35,
-    "price_var": 30, "vol_ma": 5, "vol_std": 10, "amt_ma": 5, "amt_std": 10, "mfi": 35, "vr": 52, "vroc": 36,
-    "vrsi": 21, "vmacd_fast": 25, "vmacd_slow": 60, "vmacd_signal": 20, "adosc_fast": 3, "adosc_slow": 7,
-    "kdj": 28, "willr": 35, "bias": 36, "psy": 30, "ar_br": 52, "cr": 52,
-}
-
+from quantweave.functions.periods import PERIODS
 
 def zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
@@ -31,7 +21,7 @@ def zero(c: Column) -> Column:
 def base(df: DataFrame) -> DataFrame:
     """Per-row helpers (``_``-prefixed) that most indicators share."""
     one = df.withColumns({
-        "_i": F.row_number().over(BY_CODE), "_pc": lag("close"), "_pv": lag("volume"),
+        "_i": F.row_number().over(by_code()), "_pc": lag("close"), "_pv": lag("volume"),
         "_tp": (F.col("high") + F.col("low") + F.col("close")) / 3})
     return one.withColumns({
         "_d": F.col("close") - F.col("_pc"), "_ret": div("close", "_pc") - 1, "_vret": div("volume", "_pv") - 1,
