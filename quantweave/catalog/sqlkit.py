@@ -41,7 +41,7 @@ def cte(name: str, text: str, depends: str = "") -> None:
 
 
 cte("fills", f"""SELECT {code_sql('l_suppkey')} AS code, CAST(l_shipdate AS DATE) AS day, l_orderkey, l_linenumber,
-  l_partkey, l_extendedprice, l_quantity, l_discount, CAST(20 AS DOUBLE) + FLOOR(l_extendedprice / 400) / CAST(100 AS DOUBLE) AS px FROM lineitem""")
+  l_partkey, l_extendedprice, l_quantity, l_discount, CAST(20 AS DOUBLE) + FLOOR(l_extendedprice / 320) / CAST(128 AS DOUBLE) AS px FROM lineitem""")
 cte("bars", f"""SELECT code, date, MAX(CASE WHEN ra = 1 THEN px END) AS open, MAX(px) AS high, MIN(px) AS low,
   MAX(CASE WHEN rd = 1 THEN px END) AS close, SUM(l_quantity) AS volume, ROUND(SUM(l_extendedprice), 2) AS amount,
   CASE WHEN {NUM} % 6 = 5 THEN 1 ELSE 0 END AS is_st

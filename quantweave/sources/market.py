@@ -1,7 +1,8 @@
 """Market tables derived from the TPC-H-like input tables.
 
 Bars are weekly roll-ups of ``lineitem`` per supplier; the traded price is 20
-plus a cent per 400 of extended price (about 20.00 to 22.60). Open and close are
+plus one tick of 1/128 per 320 of extended price (about 20.0 to 22.6); with such
+ticks sums of prices are exact, whatever the order of addition. Open and close are
 ``min_by`` / ``max_by`` aggregates, so a supplier that holds a third of all
 line items is folded map-side and never lands whole in one task.
 """
@@ -43,7 +44,7 @@ class Market:
             instrument_code("l_suppkey").alias("code"),
             F.to_date("l_shipdate").alias("day"),
             "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount",
-            (F.lit(20.0) + F.floor(F.col("l_extendedprice") / 400) / 100.0).alias("px"))
+            (F.lit(20.0) + F.floor(F.col("l_extendedprice") / 320) / 128.0).alias("px"))
 
     def bars(self) -> DataFrame:
         seq = F.struct("day", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "px")
