@@ -18,7 +18,7 @@ from quantweave.catalog.sqlkit import CTES, DEPENDS
 from quantweave.sources.market import Market
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+CHECKS: dict[str, tuple[str, str, str, str]] = {}
 
 
 def parse_spec(spec: str) -> list[tuple[str, int | None]]:
@@ -82,6 +82,10 @@ def q(name: str, spec: str, body: str | None = None, ctes: str = "bars", extra:
             return finish(fn(Market(spark, root)), spec)
         QUERIES[name] = run
         if body is not None:
-            ORACLES[name] = oracle(spec, body, ctes, extra)
+            CHECKS[name] = (spec, body, ctes, extra)
         return fn
     return register
+
+
+def oracles() -> dict[str, str]:
+    return {name: oracle(*args) for name, args in CHECKS.items()}

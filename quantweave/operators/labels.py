@@ -110,11 +110,11 @@ def cross_rank(df: DataFrame, features: Sequence[str], plus_one: bool = True, nu
 
 
 def relevance(df: DataFrame, score: str, bins: int = 150, keys: Sequence[str] = ("date",)) -> DataFrame:
-    """Graded relevance: number of evenly spaced thresholds 1/bins .. 1-1/bins strictly below the percentile rank."""
+    """Graded relevance: how many of the thresholds i/bins (i = 1 .. bins-1) lie strictly
+    below the percentile rank. Integer arithmetic, so equality is exact."""
     df = ranks.avg_rank(df, keys, score, "_r", "_n")
-    pct = F.col("_r") / F.col("_n")
-    step = (1 - 2 / bins) / (bins - 2)
-    below = F.ceil((pct - 1 / bins) / step - 1e-9)
+    twice = (F.col("_r") * 2).cast("long") * bins
+    below = F.floor((twice + 2 * F.col("_n") - 1) / (2 * F.col("_n"))) - 1
     return df.withColumn("relevance", F.greatest(F.lit(0), F.least(F.lit(bins - 1), below)).cast("int")).drop("_r", "_n")
 
 
