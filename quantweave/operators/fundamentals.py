@@ -47,13 +47,14 @@ def as_of_join(left: DataFrame, right: DataFrame, left_time: str, right_time: st
     join. Right rows sort before left rows on equal times.
     """
     payload = F.struct(*[F.col(c) for c in cols])
+    kept = [c for c in left.columns if c != "code"]
     r = right.select("code", F.col(right_time).alias("_t"), F.lit(0).alias("_side"),
                      *[F.col(c).alias(f"_tie{i}") for i, c in enumerate(tie)], payload.alias("_r"))
-    l = left.select("code", F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"))
+    l = left.select("code", F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*kept).alias("_l"))
     w = (Window.partitionBy("code").orderBy("_t", "_side", *[f"_tie{i}" for i in range(len(tie))])
          .rowsBetween(Window.unboundedPreceding, 0))
     both = r.unionByName(l, allowMissingColumns=True).withColumn("_m", F.last("_r", ignorenulls=True).over(w))
-    return both.where(F.col("_side") == 1).select("_l.*", *[F.col(f"_m.{c}").alias(c) for c in cols])
+    return both.where(F.col("_side") == 1).select("code", "_l.*", *[F.col(f"_m.{c}").alias(c) for c in cols])
 
 
 def pit_series(bars: DataFrame, reports: DataFrame, cols: Sequence[str] = RAW) -> DataFrame:
@@ -159,4 +160,4 @@ def history_lists(reports: DataFrame, n: int = 12) -> DataFrame:
 def valuation_now(bars: DataFrame, reports: DataFrame) -> DataFrame:
     cur = statement_history(reports, 1).select("code", "epsTTM")
     return latest_close(bars).join(cur, "code", "left").withColumn(
-        "pe", F.when(F.col("epsTTM") > 0, F.round(F.col("close") / F.col("epsTTM"), 6)))
+        "pe", F.when(F.col("epsTTM") > 0, F.col("close") / F.col("epsTTM")))

@@ -25,12 +25,13 @@ cloudpickle.register_pickle_by_value(kernels)
 INPUT = ["code", "date", "open", "high", "low", "close", "volume"]
 
 
-def recursive(df: DataFrame, which: Sequence[str] = ALL, params: dict | None = None) -> DataFrame:
-    """``code, date`` plus the columns of the requested indicators."""
+def recursive(df: DataFrame, which: Sequence[str] = ALL, params: dict | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """``code, date`` plus the columns of the requested indicators; ``keep`` columns pass
+    through, which saves joining the result back to the bars."""
     p = {**PERIODS, **(params or {})}
-    which = list(which)
-    source = df.select(*INPUT)
-    schema = T.StructType([source.schema["code"], source.schema["date"]] + [
+    which, keep = list(which), list(keep)
+    source = df.select(*INPUT, *[c for c in keep if c not in INPUT])
+    schema = T.StructType([source.schema[c] for c in ["code", "date", *keep]] + [
         T.StructField(c, T.DoubleType()) for c in output_columns(which)])
 
     build = indicator_table
@@ -38,7 +39,7 @@ def recursive(df: DataFrame, which: Sequence[str] = ALL, params: dict | None = N
     def kernel(pdf):
         pdf = pdf.sort_values("date")
         g = {c: pdf[c].to_numpy(dtype=float) for c in INPUT[2:]}
-        out = {"code": pdf["code"].to_numpy(), "date": pdf["date"].to_numpy()}
+        out = {"code": pdf["code"].to_numpy(), "date": pdf["date"].to_numpy(), **{c: pdf[c].to_numpy() for c in keep}}
         table = build(p)
         for w in which:
             names, f = table[w]
