@@ -58,7 +58,7 @@ def pr(col, n, need):
 
 q("x07_rolling_rank", CD + "rank_close:8", f"SELECT code, date, pr AS rank_close FROM ({pr('close', 252, 126)}) AS s", "b")(
     lambda m: x.rolling_rank(m.bars().select("code", "date", "close"), ["close"]))
-q("x08_quantile_bucket", CD + "quantile_volume", f"SELECT code, date, CAST(COALESCE(LEAST(FLOOR(pr * 5 + 1e-12), 4), 0) AS INT) AS quantile_volume FROM ({pr('volume', 252, 63)}) AS s", "b")(
+q("x08_quantile_bucket", CD + "quantile_volume", f"SELECT code, date, CAST(CASE WHEN pr IS NULL THEN 0 ELSE LEAST(FLOOR(pr * 5 + 1e-12), 4) END AS INT) AS quantile_volume FROM ({pr('volume', 252, 63)}) AS s", "b")(
     lambda m: x.quantile_bucket(m.bars().select("code", "date", "volume"), ["volume"]))
 q("x09_interaction", CD + "roc_x_roeAvg:5 bias_x_YOYPNI:4 bias_x_roeAvg:5", """SELECT code, date, COALESCE(roc * roeAvg, 0) AS roc_x_roeAvg, COALESCE(bias * YOYPNI, 0) AS bias_x_YOYPNI,
   COALESCE(bias * roeAvg, 0) AS bias_x_roeAvg FROM featf""", "featf")(lambda m: x.interactions(featf(m), ["roc", "bias"], ["roeAvg", "YOYPNI"]))
