@@ -70,14 +70,21 @@ def avg_rank(df: DataFrame, keys: Sequence[str], value: str, rank_col: str = "ra
     return df.join(pos, [*keys, value], "left")
 
 
-def quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, out: str) -> DataFrame:
-    """Exact linear-interpolation quantile per group from the split positions."""
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], buckets: int = BUCKETS) -> DataFrame:
+    """Exact linear-interpolation quantiles per group, read off the split positions
+    (two values per group and quantile); ``keys`` may be empty for the whole table."""
     keys = list(keys)
-    pos = split_positions(df, keys, value)
-    at = (F.col("n") - 1) * F.lit(q)
-    lo, hi = F.floor(at), F.ceil(at)
+    src = df if keys else df.withColumn("_all", F.lit(0))
+    group = keys or ["_all"]
+    pos = split_positions(src, group, value, buckets)
 
     def pick(k):
         return F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("cnt")), F.col(value)))
-    agg = pos.groupBy(*keys).agg(pick(lo).alias("_lo"), pick(hi).alias("_hi"), F.max(at - lo).alias("_f"))
-    return agg.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias(out))
+    aggs = []
+    for name, share in wanted.items():
+        at = (F.col("n") - 1) * F.lit(share)
+        aggs += [pick(F.floor(at)).alias(f"_lo_{name}"), pick(F.ceil(at)).alias(f"_hi_{name}"),
+                 F.max(at - F.floor(at)).alias(f"_f_{name}")]
+    agg = pos.groupBy(*group).agg(*aggs)
+    return agg.select(*keys, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n)
+                               for n in wanted])

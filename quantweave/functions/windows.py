@@ -7,7 +7,7 @@ of that instrument was.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -92,3 +92,10 @@ def div(a, b) -> Column:
 def flag(cond: Column) -> Column:
     """Signal as 0.0 / 1.0; an unknown comparison is no signal."""
     return F.coalesce(cond, F.lit(False)).cast("double")
+
+
+def where_computed(df: DataFrame, cond: Column) -> DataFrame:
+    """Filter on a costly computed column. The row id keeps the projection below
+    non-deterministic, so the optimizer does not copy the column's expression into
+    a second, pushed-down evaluation."""
+    return df.withColumn("_row", F.monotonically_increasing_id()).where(cond & (F.col("_row") >= 0)).drop("_row")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quantweave.functions import ranks
 from quantweave.functions.windows import bfill, div, ffill, lag, rstd
 from quantweave.operators.fundamentals import finite
 from quantweave.operators.technical import zero
@@ -126,13 +127,16 @@ def fill(df: DataFrame, cols: Sequence[str], method: str) -> DataFrame:
     if method == "mean":
         stats = df.agg(*[F.avg(c).alias(f"_s_{c}") for c in cols])
     else:
-        stats = df.agg(*[exact_quantile(c, 0.5).alias(f"_s_{c}") for c in cols])
-    out = df.join(F.broadcast(stats))
+        stats = medians(df, cols, "_s_")
+    out = df.join(F.broadcast(stats))  # one row
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_s_{c}"), F.lit(0.0)) for c in cols}).drop(*[f"_s_{c}" for c in cols])
 
 
-def exact_quantile(c: str, q: float) -> Column:
-    return F.percentile(c, q)
+def medians(df: DataFrame, cols: Sequence[str], prefix: str) -> DataFrame:
+    """One row with the exact median of each column; all columns go through one long-form pass."""
+    long = df.select(*cols).unpivot([], list(cols), "_feature", "_value")
+    per = ranks.quantiles(long, ["_feature"], "_value", {"m": 0.5}, 512)
+    return per.agg(*[F.max(F.when(F.col("_feature") == c, F.col("m"))).alias(prefix + c) for c in cols])
 
 
 def fill_infinite(df: DataFrame, cols: Sequence[str], value: float = 0.0) -> DataFrame:

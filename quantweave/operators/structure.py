@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantweave.functions.windows import by_code, trailing
+from quantweave.functions.windows import by_code, trailing, where_computed
 from quantweave.operators.scans import last_n
 
 # Trend-line settings.
@@ -150,7 +150,7 @@ LINE_FIELDS = ["slope", "intercept", "base_date", "touches", "start_date", "star
 
 def line_rows(bars: DataFrame, kind: str, horizon: str) -> DataFrame:
     df = best_line(tails(bars).where(F.col("n_rows") >= MIN_ROWS), kind, horizon)
-    return df.where(F.col("line").isNotNull()).select("code", *[F.col(f"line.{f}") for f in LINE_FIELDS])
+    return where_computed(df.select("code", "line"), F.col("line").isNotNull()).select("code", *[F.col(f"line.{f}") for f in LINE_FIELDS])
 
 
 def line_at(line: Column, date: Column) -> Column:
@@ -203,7 +203,7 @@ def support_distance(bars: DataFrame) -> DataFrame:
     df = broken_support(tails(bars).where(F.col("n_rows") >= MIN_ROWS))
     value = line_at(F.col("support"), F.col("as_of"))
     close = F.element_at("win", -1)["close"]
-    return df.where(F.col("support").isNotNull()).select(
+    return where_computed(df, F.col("support").isNotNull()).select(
         "code", "as_of", value.alias("support_price"), ((close - value) / value * 100).alias("distance_pct"),
         F.col("support.start_date").alias("first_touch"), F.col("support.end_date").alias("last_touch"))
 
