@@ -149,8 +149,8 @@ q("v01_signal_check", "strategy code date side", f"SELECT strategy, code, date,
     lambda m: (lambda ok, bad: ok.withColumn("side", F.lit("valid")).unionByName(bad.withColumn("side", F.lit("quarantine"))))(*s.checked(odd_signals(m))))
 
 # --- position joins ---------------------------------------------------------
-q("c20_exclude_held", "strategy code date", "SELECT strategy, code, date FROM sig2all WHERE code NOT IN (SELECT code FROM pos WHERE status = 'active')", "sig2all pos")(
-    lambda m: s.momentum(m.bars(), best_only=False).join(pos(m).where("status = 'active'").select("code").distinct(), "code", "left_anti"))
+q("c20_exclude_held", "strategy code date", "SELECT strategy, code, date FROM sig2all WHERE code NOT IN (SELECT code FROM pos WHERE status = 'active' AND id LIKE 'breakout%')", "sig2all pos")(
+    lambda m: s.momentum(m.bars(), best_only=False).join(pos(m).where("status = 'active' AND id LIKE 'breakout%'").select("code").distinct(), "code", "left_anti"))
 
 
 def tracked(m):

@@ -36,22 +36,30 @@ def group_size(keys: Sequence[str], value: str) -> Column:
     return F.count(value).over(Window.partitionBy(*keys))
 
 
-def split_positions(df: DataFrame, keys: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
-    """One row per distinct value: ``cnt`` equal rows, ``before`` smaller rows, ``n`` rows in the group."""
-    keys = list(keys)
-    vals = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
+def split_positions(df: DataFrame, keys: Sequence[str], value: str, buckets: int = BUCKETS,
+                    sums: dict[str, Column] | None = None) -> DataFrame:
+    """One row per distinct value: ``cnt`` equal rows, ``before`` smaller rows, ``n`` rows in
+    the group, plus the ``sums`` over the equal rows."""
+    keys, sums = list(keys), sums or {}
+    vals = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        F.count(F.lit(1)).alias("cnt"), *[F.sum(c).alias(k) for k, c in sums.items()])
     cuts = [i / buckets for i in range(1, buckets)]
     splits = vals.groupBy(*keys).agg(
-        F.percentile_approx(value, cuts, 2000).alias("_cuts"), F.sum("cnt").alias("n"))
-    placed = vals.join(splits, keys).withColumn(
-        "_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+        F.array_sort(F.percentile_approx(value, cuts, max(2000, 4 * buckets))).alias("_cuts"), F.sum("cnt").alias("n"))
+    # Two-level look-up: every 16th cut first, then the 16 cuts behind it.
+    splits = splits.withColumn("_coarse", F.filter("_cuts", lambda c, i: i % 16 == 15))
+
+    def below(arr):
+        return F.size(F.filter(arr, lambda c: c < F.col(value)))
+    placed = vals.join(splits, keys).withColumn("_k", below("_coarse") * 16)
+    placed = placed.withColumn("_b", F.col("_k") + below(F.slice("_cuts", F.col("_k") + 1, F.lit(16)))).drop("_cuts", "_coarse", "_k")
     totals = placed.groupBy(*keys, "_b").agg(F.sum("cnt").alias("_t"))
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_b", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_off"))
     inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (placed.withColumn("_run", F.sum("cnt").over(inside))
             .join(offsets, [*keys, "_b"])
-            .select(*keys, value, "cnt", (F.col("_off") + F.col("_run") - F.col("cnt")).alias("before"), "n"))
+            .select(*keys, value, "cnt", *sums, (F.col("_off") + F.col("_run") - F.col("cnt")).alias("before"), "n"))
 
 
 def avg_rank(df: DataFrame, keys: Sequence[str], value: str, rank_col: str = "rank",
