@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 
 def merge_latest(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
-    """Old and new rows merged by key; a new row replaces the old one. ``max_by``
-    folds map-side, so many versions of one key never meet in one task."""
+    """Old and new rows merged by key; a new row replaces the old one, or, with ``order``,
+    the row with the larger version wins whatever its arrival, so replays are harmless.
+    ``max_by`` folds map-side: many versions of one key never meet in one task."""
     keys = list(keys)
     rest = [c for c in old.columns if c not in keys]
-    seq = F.struct(F.lit(0).alias("load"), *([F.col(order)] if order else []))
-    seq_new = F.struct(F.lit(1).alias("load"), *([F.col(order)] if order else []))
+
+    def version(load: int):
+        return F.struct(*([F.col(order).alias("v")] if order else []), F.lit(load).alias("load"))
+    seq, seq_new = version(0), version(1)
     both = (old.withColumn("_seq", seq)
             .unionByName(new.select(*[c for c in new.columns if c in old.columns]).withColumn("_seq", seq_new),
                          allowMissingColumns=True))
@@ -39,7 +42,8 @@ def evolve(old: DataFrame, new: DataFrame, renamed: dict[str, str]) -> DataFrame
     return df
 
 
-def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], partition: str) -> None:
+def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], partition: str,
+                 order: str | None = None) -> None:
     """Merge into a parquet table partitioned by ``partition``, rewriting only the touched partitions."""
     try:
         old = spark.read.parquet(path)
@@ -48,9 +52,9 @@ def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[
             raise
         old = None
     if old is None:
-        merged = merge_latest(new.limit(0), new, keys)
+        merged = merge_latest(new.limit(0), new, keys, order)
     else:
         touched = new.select(partition).distinct()
-        merged = merge_latest(old.join(touched, partition, "left_semi"), new, keys)
+        merged = merge_latest(old.join(touched, partition, "left_semi"), new, keys, order)
     (merged.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition).parquet(path))
