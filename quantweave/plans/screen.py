@@ -32,3 +32,35 @@ def flagship(m, n: int = 5) -> DataFrame:
     df = r.range_position(t.ma_pair(t.ma_ratio(df), "volume", 5, "vol_ma"))
     df = df.select("code", "date", *[F.round(t.zero(F.col(f)), 6).alias(f) for f in FLAGSHIP])
     return top_per_date(equal_weight(labels.cross_rank(df, FLAGSHIP), FLAGSHIP), "score", n)
+
+
+def pit_info(bars: DataFrame, profit: DataFrame, balance: DataFrame) -> DataFrame:
+    """Price, valuation and debt of every bar from the statement published last before it."""
+    from quantweave.operators.fundamentals import as_of_join
+    fin = profit.where(F.col("pub_date").isNotNull()).join(
+        balance.select("code", "stat_date", "liabilityToAsset"), ["code", "stat_date"], "left")
+    df = as_of_join(bars.select("code", "date", "close", "is_st"), fin, "date", "pub_date", ["epsTTM", "totalShare", "liabilityToAsset"], ["stat_date"])
+    return df.select("code", "date", F.col("close").alias("current_price"), "is_st", F.col("liabilityToAsset").alias("debt_ratio"),
+                     F.when(F.col("epsTTM") > 0, F.col("close") / F.col("epsTTM")).alias("pe_ratio"),
+                     (F.col("close") * F.col("totalShare") / 1e8).alias("market_cap"), F.lit(True).alias("has_info"),
+                     F.lit(None).cast("string").alias("code_name"))
+
+
+def model_signals(factors: DataFrame, info: DataFrame, levels: DataFrame, model, features, criteria, n: int = 5,
+                  min_confidence: float = 0.0, stop_mult: float = 1.0, target_mult: float = 4.0) -> DataFrame:
+    """Funnel -> rank per date among the passing -> model score -> top n per date -> ATR exits.
+
+    ``levels`` carries ``atr`` per (code, date). All dates run in one plan.
+    """
+    from quantweave.operators.filters import confident, funnel
+    from quantweave.plans.training import predict
+    passed = funnel(info, criteria, cap_gate=False).where(F.col("reject_reason").isNull()).select("code", "date", "current_price", "pe_ratio", "market_cap")
+    df = factors.select("code", "date", *features).join(passed, ["code", "date"])
+    df = predict(model, labels.cross_rank(df, features, plus_one=False, null_rank=0.5))
+    df = confident(df, min_confidence, ranking=True)
+    df = df.withColumn("score", F.col("prob") * 100 + labels.tie_breaker())
+    top = top_per_date(df, "score", n).join(levels, ["code", "date"], "left")
+    atr = F.when(F.col("atr") > 0, F.col("atr"))
+    return top.select("date", "code", "place", (F.col("prob") * 100).alias("confidence"), "current_price", "pe_ratio", "market_cap",
+                      F.when(F.col("prob") > 0.5, "buy").otherwise("hold").alias("signal"),
+                      (F.col("current_price") - stop_mult * atr).alias("stop_loss"), (F.col("current_price") + target_mult * atr).alias("take_profit"))
