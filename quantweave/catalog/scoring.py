@@ -15,6 +15,10 @@ CD = "code date "
 
 
 def frame(m):
+    return m.bucketed("model_frame", lambda: build_frame(m))
+
+
+def build_frame(m):
     """Three model scores, soft label, forward return and the time split."""
     df = t.willr(t.psy(t.bias(t.base(m.bars())))).select(
         "code", "date", "bias", "psy", "willr", F.round(sc.sigmoid(F.col("bias")), 9).alias("p1"), F.round(F.col("psy") / 100, 9).alias("p2"),

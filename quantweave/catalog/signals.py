@@ -47,20 +47,21 @@ cte("trades", """SELECT *, 100.0::DOUBLE AS shares, entry_price * 100 * 0.005::D
 
 
 def trades(m):
-    return s.profit(s.outcomes(s.all_signals(m.bars()), m.bars(), time_stop=True))
+    return s.profit(m.bucketed("outcomes_time_stop", lambda: s.outcomes(s.all_signals(m.bars()), m.bars(), time_stop=True)))
 
 
 def open_and_closed(m):
-    return s.outcomes(s.all_signals(m.bars()), m.bars())
+    return m.bucketed("outcomes", lambda: s.outcomes(s.all_signals(m.bars()), m.bars()))
 
 
 q("s01_golden_cross", SIG, "SELECT * FROM sig1", "sig1")(lambda m: s.golden_cross(m.bars()))
 q("s02_momentum", SIG, "SELECT * FROM sig2", "sig2")(lambda m: s.momentum(m.bars()))
 q("s03_breakout", SIG, "SELECT * FROM sig3", "sig3")(lambda m: s.breakout(m.bars()))
 OUT = "strategy code date entry_date entry_price stop_loss:5 take_profit:5 exit_date exit_price exit_reason holding_days"
-q("s08_trade_outcome", OUT, "SELECT * FROM outc", "outc")(open_and_closed)
+q("s08_trade_outcome", OUT, "SELECT * FROM outc", "outc")(lambda m: s.outcomes(s.all_signals(m.bars()), m.bars()))
 q("s08_trade_outcome_time_stop", OUT, "SELECT * FROM outct", "outct")(lambda m: s.outcomes(s.all_signals(m.bars()), m.bars(), time_stop=True))
-q("s09_trade_pnl", "strategy code date shares commission:5 pnl:5 pnl_pct:6", "SELECT * FROM trades", "trades")(trades)
+q("s09_trade_pnl", "strategy code date shares commission:5 pnl:5 pnl_pct:6", "SELECT * FROM trades", "trades")(
+    lambda m: s.profit(s.outcomes(s.all_signals(m.bars()), m.bars(), time_stop=True)))
 q("s10_unrealised", "strategy code date unrealised:6", """SELECT o.strategy, o.code, o.date, (b.close - o.entry_price) / ABS(o.entry_price) AS unrealised FROM outc o
   JOIN b ON b.code = o.code AND b.rn = b.n_rows WHERE o.exit_date IS NULL""", "outc b")(
     lambda m: open_and_closed(m).where("exit_date is null").join(

@@ -37,29 +37,42 @@ def group_size(keys: Sequence[str], value: str) -> Column:
 
 
 def split_positions(df: DataFrame, keys: Sequence[str], value: str, buckets: int = BUCKETS,
-                    sums: dict[str, Column] | None = None) -> DataFrame:
+                    sums: dict[str, Column] | None = None, few_groups: bool = False) -> DataFrame:
     """One row per distinct value: ``cnt`` equal rows, ``before`` smaller rows, ``n`` rows in
-    the group, plus the ``sums`` over the equal rows."""
+    the group, plus the ``sums`` over the equal rows and their totals ``before_<sum>`` over
+    the smaller rows and ``total_<sum>`` over the group.
+
+    ``few_groups`` says that the keys are feature, model or grid ids, so that the cut and
+    offset tables (a few kilobytes per group, whatever the row count) can be broadcast and
+    the rows of a group, possibly the whole table, never shuffle by the group key alone.
+    """
+    small = F.broadcast if few_groups else (lambda d: d)
     keys, sums = list(keys), sums or {}
     vals = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("cnt"), *[F.sum(c).alias(k) for k, c in sums.items()])
     cuts = [i / buckets for i in range(1, buckets)]
     splits = vals.groupBy(*keys).agg(
-        F.array_sort(F.percentile_approx(value, cuts, max(2000, 4 * buckets))).alias("_cuts"), F.sum("cnt").alias("n"))
-    # Two-level look-up: every 16th cut first, then the 16 cuts behind it.
-    splits = splits.withColumn("_coarse", F.filter("_cuts", lambda c, i: i % 16 == 15))
-
-    def below(arr):
-        return F.size(F.filter(arr, lambda c: c < F.col(value)))
-    placed = vals.join(splits, keys).withColumn("_k", below("_coarse") * 16)
-    placed = placed.withColumn("_b", F.col("_k") + below(F.slice("_cuts", F.col("_k") + 1, F.lit(16)))).drop("_cuts", "_coarse", "_k")
-    totals = placed.groupBy(*keys, "_b").agg(F.sum("cnt").alias("_t"))
+        F.array_sort(F.percentile_approx(value, cuts, max(2000, 4 * buckets))).alias("_cuts"), F.sum("cnt").alias("n"), *[F.sum(k).alias(f"total_{k}") for k in sums])
+    # Binary search of the bucket, one code-generated step per halving.
+    placed = vals.join(small(splits), keys).withColumn("_b", F.lit(0))
+    step = 1 << (buckets - 1).bit_length() - 1
+    while step:
+        hit = F.get("_cuts", F.col("_b") + (step - 1)) < F.col(value)
+        placed = placed.withColumn("_b", F.col("_b") + F.when(hit, step).otherwise(0))
+        step //= 2
+    placed = placed.drop("_cuts")
+    added = ["cnt", *sums]
+    totals = placed.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in added])
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_b", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_off"))
+    offsets = totals.select(*keys, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_off_{c}") for c in added])
     inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return (placed.withColumn("_run", F.sum("cnt").over(inside))
-            .join(offsets, [*keys, "_b"])
-            .select(*keys, value, "cnt", *sums, (F.col("_off") + F.col("_run") - F.col("cnt")).alias("before"), "n"))
+
+    def before(c):
+        return F.col(f"_off_{c}") + F.col(f"_run_{c}") - F.col(c)
+    return (placed.withColumns({f"_run_{c}": F.sum(c).over(inside) for c in added})
+            .join(small(offsets), [*keys, "_b"])
+            .select(*keys, value, "cnt", before("cnt").alias("before"), "n", *sums,
+                    *[before(c).alias(f"before_{c}") for c in sums], *[f"total_{c}" for c in sums]))
 
 
 def avg_rank(df: DataFrame, keys: Sequence[str], value: str, rank_col: str = "rank",
@@ -78,13 +91,14 @@ def avg_rank(df: DataFrame, keys: Sequence[str], value: str, rank_col: str = "ra
     return df.join(pos, [*keys, value], "left")
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], buckets: int = BUCKETS) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], buckets: int = BUCKETS,
+              few_groups: bool = False) -> DataFrame:
     """Exact linear-interpolation quantiles per group, read off the split positions
     (two values per group and quantile); ``keys`` may be empty for the whole table."""
     keys = list(keys)
     src = df if keys else df.withColumn("_all", F.lit(0))
     group = keys or ["_all"]
-    pos = split_positions(src, group, value, buckets)
+    pos = split_positions(src, group, value, buckets, few_groups=few_groups or not keys)
 
     def pick(k):
         return F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("cnt")), F.col(value)))

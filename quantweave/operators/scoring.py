@@ -70,16 +70,17 @@ def classification(df: DataFrame, prob: str, label: str, keys: Sequence[str] = (
 
 
 def auc(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Rank-sum AUC per group, 0.5 with a single class. Ranks come from the split positions,
-    so a group may be the whole table."""
+    """Area under the ROC curve per group, 0.5 with a single class: each positive counts the
+    negatives below it, ties by half. Works on the split positions, so a group may be the
+    whole table."""
     keys = list(keys)
     group = keys or ["_all"]
     src = df if keys else df.withColumn("_all", F.lit(0))
-    pos = ranks.split_positions(src.select(*group, score, label), group, score, 512, {"_p": (F.col(label) >= 0.5).cast("long")})
-    agg = pos.groupBy(*group).agg(F.sum(F.col("_p") * (F.col("before") + (F.col("cnt") + 1) / F.lit(2.0))).alias("_r"),
-                                  F.sum("_p").alias("_np"), F.sum("cnt").alias("_n"))
-    np_, nn = F.col("_np"), F.col("_n") - F.col("_np")
-    value = F.try_divide(F.col("_r") - np_ * (np_ + 1) / F.lit(2.0), np_ * nn)
+    pos = ranks.split_positions(src.select(*group, score, label), group, score, 512,
+                                {"hits": (F.col(label) >= 0.5).cast("long")}, few_groups=True)
+    below = F.col("before") - F.col("before_hits") + (F.col("cnt") - F.col("hits")) / F.lit(2.0)
+    agg = pos.groupBy(*group).agg(F.sum(F.col("hits") * below).alias("_u"), F.max("total_hits").alias("_p"), F.max("n").alias("_n"))
+    value = F.try_divide(F.col("_u"), F.col("_p") * (F.col("_n") - F.col("_p")))
     return agg.select(*keys, F.coalesce(value, F.lit(0.5)).alias("auc"))
 
 
@@ -147,7 +148,7 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins
     long = df.select(target, *features).unpivot([target], list(features), "feature", "value").where(F.col("value").isNotNull())
 
     def bucket(src, keys, col, out):
-        pos = ranks.split_positions(src, keys, col, 512)
+        pos = ranks.split_positions(src, keys, col, 512, few_groups=True)
         return pos.select(*keys, col, F.floor(F.col("before") * bins / F.col("n")).alias(out))
     long = long.join(bucket(long, ["feature"], "value", "bx"), ["feature", "value"])
     long = long.join(bucket(long, ["feature"], target, "by"), ["feature", target])

@@ -155,7 +155,11 @@ def extremes(trades: DataFrame, keys: Sequence[str] = ("strategy",)) -> DataFram
         F.col("w.code").alias("worst_code"), F.col("w.date").alias("worst_date"), F.col("w.pnl_pct").alias("worst_pct"))
 
 
-def equity_curve(trades: DataFrame, bars: DataFrame, capital: float = 100_000.0, shares: float = 100.0) -> DataFrame:
+STRATEGIES = ("golden_cross", "momentum", "breakout")
+
+
+def equity_curve(trades: DataFrame, bars: DataFrame, capital: float = 100_000.0, shares: float = 100.0,
+                 strategies: Sequence[str] = STRATEGIES) -> DataFrame:
     """Per strategy and session: capital + realised P&L so far + open P&L at the close."""
     done = profit(trades, shares).groupBy("strategy", F.col("exit_date").alias("date")).agg(F.sum("pnl").alias("realised"))
     path = bars.select("code", "date", "close")
@@ -163,8 +167,7 @@ def equity_curve(trades: DataFrame, bars: DataFrame, capital: float = 100_000.0,
     open_pnl = (live.join(path, "code")
                 .where((F.col("date") >= F.col("entry_date")) & (F.col("exit_date").isNull() | (F.col("date") < F.col("exit_date"))))
                 .groupBy("strategy", "date").agg(F.sum(shares * (F.col("close") - F.col("entry_price"))).alias("open_pnl")))
-    names = trades.select("strategy").distinct()
-    grid = names.withColumn("k", F.lit(1)).join(calendar(bars).select("date").withColumn("k", F.lit(1)), "k").drop("k")
+    grid = calendar(bars).select("date", F.explode(F.array(*[F.lit(n) for n in strategies])).alias("strategy"))
     w = Window.partitionBy("strategy").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     df = grid.join(done, ["strategy", "date"], "left").join(open_pnl, ["strategy", "date"], "left")
     return df.withColumn("equity", capital + F.sum(F.coalesce("realised", F.lit(0.0))).over(w) + F.coalesce("open_pnl", F.lit(0.0))

@@ -35,7 +35,7 @@ def code_number(code: str = "code") -> Column:
     return F.substring(F.col(code), 4, 20).cast("long")
 
 
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()
 _TABLES: dict[tuple[str, str, str], str] = {}
 SESSIONS_PER_CODE = 400
 ROWS_PER_BUCKET = 2_000_000
@@ -44,11 +44,13 @@ ROWS_PER_BUCKET = 2_000_000
 class Market:
     """The input tables of one data folder.
 
-    The two roll-ups of ``lineitem`` (weekly bars, quarterly statements) are
-    written once per session as tables bucketed by ``code`` in the shared
-    folder; all later reads start from them. Every per-instrument window or
-    grouped map on a bucketed table runs without a shuffle, and a lost
-    executor costs only the tasks it ran.
+    The roll-ups of ``lineitem`` (weekly bars, quarterly statements) and the
+    derived inputs of later stages (trades, model frame) are written once per
+    session as tables bucketed by ``code`` in the shared folder; all later
+    reads start from them. Every per-instrument window or grouped map on a
+    bucketed table runs without a shuffle, a plan that reads its input several
+    times does not repeat the upstream work, and a lost executor costs only
+    the tasks it ran.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -96,7 +98,7 @@ class Market:
         return first.select("code", "date",
                             (F.lit(1.0) / (F.lit(1.0) + F.lit(0.05) * (2002 - F.col("y")))).alias("fore_adjust_factor"))
 
-    def _quarters(self) -> DataFrame:
+    def quarters(self) -> DataFrame:
         return self.bucketed("quarters", self.derive_quarters)
 
     def derive_quarters(self) -> DataFrame:
@@ -115,26 +117,26 @@ class Market:
         return q.withColumns({"stat_date": stat, "pub_date": F.when(n % 5 == 0, F.lit(None).cast("date")).otherwise(pub)})
 
     def profit_ability(self) -> DataFrame:
-        return self._with_dates(self._quarters()).select(
+        return self._with_dates(self.quarters()).select(
             "code", "stat_date", "pub_date", (F.col("net") / F.col("rev")).alias("roeAvg"),
             F.col("net").alias("netProfit"), (F.col("net") / F.col("sh")).alias("epsTTM"),
             F.col("sh").alias("totalShare"))
 
     def growth_ability(self) -> DataFrame:
         w = Window.partitionBy("code", "qn").orderBy("y")
-        q = self._with_dates(self._quarters()).withColumns({"_py": F.lag("y").over(w), "_prev": F.lag("net").over(w)})
+        q = self._with_dates(self.quarters()).withColumns({"_py": F.lag("y").over(w), "_prev": F.lag("net").over(w)})
         return q.where(F.col("_py") == F.col("y") - 1).select(
             "code", "stat_date", "pub_date",
             (F.lit(100.0) * (F.col("net") - F.col("_prev")) / F.col("_prev")).alias("YOYPNI"))
 
     def balance_ability(self) -> DataFrame:
         """Every ninth (instrument, quarter) has no balance row."""
-        return self._with_dates(self._quarters()).where((code_number() + F.col("y") * 4 + F.col("qn")) % 9 != 0).select(
+        return self._with_dates(self.quarters()).where((code_number() + F.col("y") * 4 + F.col("qn")) % 9 != 0).select(
             "code", "stat_date", "pub_date", (F.col("rev") / F.col("net")).alias("assetToEquity"),
             (F.lit(1.0) - F.col("net") / F.col("rev")).alias("liabilityToAsset"))
 
     def dupont(self) -> DataFrame:
-        return self._with_dates(self._quarters()).select(
+        return self._with_dates(self.quarters()).select(
             "code", "stat_date", "pub_date", (F.col("net") / F.col("rev") * F.col("fills")).alias("dupontROE"))
 
     def stock_basic(self) -> DataFrame:
