@@ -18,6 +18,7 @@ from quantweave.operators.scans import calendar
 # Commission, exit switches and time stop.
 FEE = 0.005
 TIME_STOP_DAYS, TIME_STOP_PNL = 10, 0.02
+BLOCK = 32  # sessions; longer than the time stop, so that later blocks never start inside it
 SIGNAL_COLUMNS = ["strategy", "code", "date", "signal_type", "price", "confidence", "stop_loss", "take_profit"]
 
 
@@ -88,15 +89,26 @@ def entries(signals: DataFrame, bars: DataFrame) -> DataFrame:
 def outcomes(signals: DataFrame, bars: DataFrame, time_stop: bool = False, ids: Sequence[str] = ("strategy", "code", "date")) -> DataFrame:
     """First exit after the entry session: stop, then target, then time stop; fills at the close.
 
-    Signals meet only later bars of their own instrument, and each joined row
-    folds straight into the first hit, so the intermediate is pipelined.
+    A signal does not meet all later bars of its instrument. Bars are summarised in
+    blocks of ``BLOCK`` sessions; the block of the entry and the one after it are
+    searched bar by bar, and beyond them only the first block whose extremes reach
+    an exit level, which then holds the exit.
     """
     ids = list(ids)
     e = entries(signals, bars)
     path = bars.select("code", F.col("date").alias("_d"), "high", "low", "close", F.row_number().over(by_code()).alias("_n"))
-    at = path.select("code", F.col("_d").alias("entry_date"), F.col("_n").alias("_n0"))
+    path = path.withColumn("_blk", F.floor(F.col("_n") / BLOCK).cast("int"))
+    at = path.select("code", F.col("_d").alias("entry_date"), F.col("_n").alias("_n0"), F.col("_blk").alias("_b0"))
     e = e.join(at, ["code", "entry_date"])
-    j = e.join(path, "code").where(F.col("_d") > F.col("entry_date"))
+    blocks = path.groupBy("code", "_blk").agg(F.min("low").alias("_lo"), F.max("high").alias("_hi"), F.min("close").alias("_cl"))
+    reach = (F.col("_lo") <= F.col("stop_loss")) | (F.col("_hi") >= F.col("take_profit"))
+    if time_stop:
+        reach = reach | ((F.col("_cl") - F.col("entry_price")) / F.abs("entry_price") <= TIME_STOP_PNL)
+    far = (e.select(*ids, "entry_price", "stop_loss", "take_profit", "_b0").join(blocks, "code")
+           .where((F.col("_blk") > F.col("_b0") + 1) & reach).groupBy(*ids).agg(F.min("_blk").alias("_far")))
+    near = e.join(far, ids, "left").withColumn(
+        "_blk", F.explode(F.array_compact(F.array(F.col("_b0"), F.col("_b0") + 1, F.col("_far")))))
+    j = near.join(path, ["code", "_blk"]).where(F.col("_n") > F.col("_n0"))
     pnl = (F.col("close") - F.col("entry_price")) / F.abs("entry_price")
     reason = F.when(F.col("low") <= F.col("stop_loss"), "stop_loss").when(F.col("high") >= F.col("take_profit"), "take_profit")
     if time_stop:
@@ -104,7 +116,7 @@ def outcomes(signals: DataFrame, bars: DataFrame, time_stop: bool = False, ids:
     hit = (j.withColumn("_r", reason).where(F.col("_r").isNotNull()).groupBy(*ids)
            .agg(F.min_by(F.struct(F.col("_d").alias("exit_date"), F.col("close").alias("exit_price"), F.col("_r").alias("exit_reason"),
                                   (F.col("_n") - F.col("_n0")).alias("holding_days")), "_d").alias("x")))
-    return e.drop("_n0").join(hit.select(*ids, "x.*"), ids, "left")
+    return e.drop("_n0", "_b0").join(hit.select(*ids, "x.*"), ids, "left")
 
 
 def profit(trades: DataFrame, shares: float = 100.0, fee: float = FEE) -> DataFrame:
@@ -162,11 +174,16 @@ def equity_curve(trades: DataFrame, bars: DataFrame, capital: float = 100_000.0,
                  strategies: Sequence[str] = STRATEGIES) -> DataFrame:
     """Per strategy and session: capital + realised P&L so far + open P&L at the close."""
     done = profit(trades, shares).groupBy("strategy", F.col("exit_date").alias("date")).agg(F.sum("pnl").alias("realised"))
-    path = bars.select("code", "date", "close")
-    live = trades.select("strategy", "code", "entry_date", "entry_price", "exit_date")
-    open_pnl = (live.join(path, "code")
-                .where((F.col("date") >= F.col("entry_date")) & (F.col("exit_date").isNull() | (F.col("date") < F.col("exit_date"))))
-                .groupBy("strategy", "date").agg(F.sum(shares * (F.col("close") - F.col("entry_price"))).alias("open_pnl")))
+    # Open trades enter and leave as +1 / -1 events on their instrument's bars; no trade meets every bar it was held.
+    moves = trades.select("strategy", "code", F.inline(F.array_compact(F.array(
+        F.struct(F.col("entry_date").alias("date"), F.lit(1).alias("k"), F.col("entry_price").alias("cost")),
+        F.when(F.col("exit_date").isNotNull(), F.struct(F.col("exit_date").alias("date"), F.lit(-1).alias("k"), (-F.col("entry_price")).alias("cost")))))))
+    moves = moves.groupBy("strategy", "code", "date").agg(F.sum("k").alias("_k"), F.sum("cost").alias("_cost"))
+    each = bars.select("code", "date", "close", F.explode(F.array(*[F.lit(n) for n in strategies])).alias("strategy"))
+    so_far = Window.partitionBy("code", "strategy").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    held = each.join(moves, ["strategy", "code", "date"], "left").withColumns(
+        {"_open": F.sum(F.coalesce("_k", F.lit(0))).over(so_far), "_paid": F.sum(F.coalesce("_cost", F.lit(0.0))).over(so_far)})
+    open_pnl = held.groupBy("strategy", "date").agg(F.sum(shares * (F.col("_open") * F.col("close") - F.col("_paid"))).alias("open_pnl"))
     grid = calendar(bars).select("date", F.explode(F.array(*[F.lit(n) for n in strategies])).alias("strategy"))
     w = Window.partitionBy("strategy").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     df = grid.join(done, ["strategy", "date"], "left").join(open_pnl, ["strategy", "date"], "left")
