@@ -100,23 +100,29 @@ def outcomes(signals: DataFrame, bars: DataFrame, time_stop: bool = False, ids:
     path = path.withColumn("_blk", F.floor(F.col("_n") / BLOCK).cast("int"))
     at = path.select("code", F.col("_d").alias("entry_date"), F.col("_n").alias("_n0"), F.col("_blk").alias("_b0"))
     e = e.join(at, ["code", "entry_date"])
-    blocks = path.groupBy("code", "_blk").agg(F.min("low").alias("_lo"), F.max("high").alias("_hi"), F.min("close").alias("_cl"))
-    reach = (F.col("_lo") <= F.col("stop_loss")) | (F.col("_hi") >= F.col("take_profit"))
-    if time_stop:
-        reach = reach | ((F.col("_cl") - F.col("entry_price")) / F.abs("entry_price") <= TIME_STOP_PNL)
-    far = (e.select(*ids, "entry_price", "stop_loss", "take_profit", "_b0").join(blocks, "code")
-           .where((F.col("_blk") > F.col("_b0") + 1) & reach).groupBy(*ids).agg(F.min("_blk").alias("_far")))
-    near = e.join(far, ids, "left").withColumn(
-        "_blk", F.explode(F.array_compact(F.array(F.col("_b0"), F.col("_b0") + 1, F.col("_far")))))
-    j = near.join(path, ["code", "_blk"]).where(F.col("_n") > F.col("_n0"))
+    blocks = path.groupBy("code", "_blk").agg(F.min("low").alias("lo"), F.max("high").alias("hi"), F.min("close").alias("cl"))
+    blocks = blocks.groupBy("code").agg(F.collect_list(F.struct("_blk", "lo", "hi", "cl")).alias("_blocks"))
+
+    def reaches(x):
+        hit = (x["lo"] <= F.col("stop_loss")) | (x["hi"] >= F.col("take_profit"))
+        if time_stop:
+            hit = hit | ((x["cl"] - F.col("entry_price")) / F.abs("entry_price") <= TIME_STOP_PNL)
+        return (x["_blk"] > F.col("_b0") + 1) & hit
+    own = e.columns
+    near = e.join(blocks, "code").withColumn("_far", F.array_min(F.transform(F.filter("_blocks", reaches), lambda x: x["_blk"])))
+    near = near.select(*own, F.explode(F.array_compact(F.array(F.col("_b0"), F.col("_b0") + 1, F.col("_far")))).alias("_blk"))
+    p = path.withColumnsRenamed({"code": "_code", "_blk": "_pblk"})
+    j = near.join(p, (F.col("code") == F.col("_code")) & (F.col("_blk") == F.col("_pblk")) & (F.col("_n") > F.col("_n0")), "left")
     pnl = (F.col("close") - F.col("entry_price")) / F.abs("entry_price")
     reason = F.when(F.col("low") <= F.col("stop_loss"), "stop_loss").when(F.col("high") >= F.col("take_profit"), "take_profit")
     if time_stop:
         reason = reason.when((F.col("_n") - F.col("_n0") >= TIME_STOP_DAYS) & (pnl <= TIME_STOP_PNL), "time_stop")
-    hit = (j.withColumn("_r", reason).where(F.col("_r").isNotNull()).groupBy(*ids)
-           .agg(F.min_by(F.struct(F.col("_d").alias("exit_date"), F.col("close").alias("exit_price"), F.col("_r").alias("exit_reason"),
-                                  (F.col("_n") - F.col("_n0")).alias("holding_days")), "_d").alias("x")))
-    return e.drop("_n0", "_b0").join(hit.select(*ids, "x.*"), ids, "left")
+    hit = F.struct(F.col("_d").alias("exit_date"), F.col("close").alias("exit_price"), F.col("_r").alias("exit_reason"),
+                   (F.col("_n") - F.col("_n0")).alias("holding_days"))
+    rest = [c for c in own if c not in ids]
+    return (j.withColumn("_r", reason).groupBy(*ids)
+            .agg(F.first(F.struct(*rest)).alias("_e"), F.min_by(hit, F.when(F.col("_r").isNotNull(), F.col("_d"))).alias("_x"))
+            .select(*ids, "_e.*", "_x.*").drop("_n0", "_b0"))
 
 
 def profit(trades: DataFrame, shares: float = 100.0, fee: float = FEE) -> DataFrame:
