@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantweave.catalog.core import q
+from quantweave.catalog.core import CHECKS, q
 from quantweave.catalog.filters import TYPE
 from quantweave.catalog.joins import reports
 from quantweave.catalog.sqlkit import NUM, W, cte, fr, g, lagx
@@ -86,10 +86,23 @@ q("x12_one_hot", "n_hot n_rows", f"""SELECT CAST(COUNT(CASE WHEN d.place <= 10 T
     lambda m: (lambda df: df.agg(F.sum(sum(F.col(c) for c in df.columns if c.startswith("industry_"))).cast("long").alias("n_hot"),
                                  F.count(F.lit(1)).alias("n_rows")))(x.one_hot(industries(m), "industry")))
 FEATURES13 = ["roc", "bias", "vol_ma", "epsTTM", "totalShare", "roeAvg", "YOYPNI"]
-q("x13_transform_pipeline", "n_rows n_columns")(
-    lambda m: (lambda df: df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"),
-                                 *[F.sum(F.col(c)).alias(f"s{i}") for i, c in enumerate(df.columns[7:])]))(
-        x.transform_all(featf(m), FEATURES13)))
+
+
+def generated_columns():
+    """Names the pipeline draws from FEATURES13, each with its own SQL; the draw depends on names only."""
+    tech = x.matching(FEATURES13, x.TECHNICAL_KEYWORDS, 100)
+    fund = x.matching(FEATURES13, x.FUNDAMENTAL_KEYWORDS, 60)
+    ten, four, six, five = x.pick(fund, 10), x.pick(tech, 4), x.pick(tech, 6), x.pick(fund, 5)
+    out = {f"{a}_div_{b}": f"COALESCE({a} / NULLIF({b}, 0), 0)" for a in ten[:5] for b in ten[5:10] if a != b}
+    out |= {f"{a}_mul_{b}": f"COALESCE({a} * {b}, 0)" for i, a in enumerate(four) for b in four[i + 1:]}
+    out |= {f"{a}_sub_{b}": f"COALESCE({a} - {b}, 0)" for i, a in enumerate(six) for b in six[i + 1:]}
+    out |= {f"{a}_x_{b}": f"COALESCE({a} * {b}, 0)" for a in six for b in five}
+    return out
+
+
+GEN = generated_columns()
+q("x13_transform_pipeline", CD + " ".join(f"{c}:3" for c in GEN), "SELECT code, date, " + ", ".join(f"{e} AS {c}" for c, e in GEN.items()) + " FROM featf", "featf")(
+    lambda m: x.transform_all(featf(m), FEATURES13))
 for method, sql in [("zero", "COALESCE(roc, 0)"), ("mean", "COALESCE(roc, AVG(roc) OVER ())"), ("median", "COALESCE(roc, MEDIAN(roc) OVER ())"),
                     ("forward", f"COALESCE(LAST_VALUE(roc IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING), 0)"),
                     ("backward", f"COALESCE(FIRST_VALUE(roc IGNORE NULLS) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0)")]:
@@ -109,7 +122,9 @@ q("x26_base_factors", CD + "roc:5 bias:5 doji hammer up_ratio:6 market_type epsT
 ab AS MATERIALIZED (SELECT *, {g('STDDEV_SAMP', 'ret', 20)} AS v20, (close - l20) / CASE WHEN h20 = l20 THEN 1e-6 ELSE h20 - l20 END AS pos, (h20 - l20) / l20 AS wid FROM aa),
 ax AS MATERIALIZED (SELECT date, AVG(CASE WHEN close > open * 1.0001::DOUBLE THEN 1 ELSE 0 END) AS up_ratio FROM adj GROUP BY date)""")(
     lambda m: fb.base_factors(m.bars(), m.adjust_factor(), reports(m)))
-q("x27_full_pipeline", "n_rows n_codes n_columns checksum:2")(
-    lambda m: (lambda df: df.select("code", F.lit(len(df.columns)).alias("k"), sum((F.abs(F.col(c)) for c in df.columns[2:40]), F.lit(0.0)).alias("s")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("code").alias("n_codes"), F.max("k").alias("n_columns"), F.sum("s").alias("checksum")))(
-        fb.full_pipeline(m.bars(), m.adjust_factor(), reports(m))))
+_, X26, X26_CTES, X26_EXTRA = CHECKS["x26_base_factors"]
+q("x27_full_pipeline", CD + "roc:5 bias:5 doji hammer up_ratio:6 market_type:1 epsTTM:6 dynamic_pe:8 price_volatility_20:6 absent",
+  f"""SELECT code, date, roc, bias, doji, hammer, up_ratio, market_type, COALESCE(epsTTM, 0) AS epsTTM, COALESCE(dynamic_pe, 0) AS dynamic_pe, price_volatility_20,
+  CAST(0 AS DOUBLE) AS absent FROM ({X26}) AS base""", X26_CTES, X26_EXTRA)(
+    lambda m: fb.full_pipeline(m.bars(), m.adjust_factor(), reports(m), ["roc", "bias", "doji", "hammer", "up_ratio", "market_type", "epsTTM", "dynamic_pe",
+                                                                         "price_volatility_20", "absent"]))

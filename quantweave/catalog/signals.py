@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quantweave.catalog.core import q
 from quantweave.catalog.filters import scored
+from quantweave.catalog.structure import lines
 from quantweave.catalog.sqlkit import NUM, W, cte, fr, g, lagx
 from quantweave.operators import joins, positions as po, signals as s
 from quantweave.session import work_dir
@@ -92,13 +93,33 @@ q("s12_exit_monitor", "id code current_price change_pct:2 holding_days stop_pric
   f"""SELECT id, code, close AS current_price, chg AS change_pct, n AS holding_days, sp AS stop_price, tp AS target_price, close <= sp AS stop_hit, {PRG.format(n='close', a='buy_price', t='sp')} AS stop_progress,
   close >= tp AS target_hit, {PRG.format(n='close', a='buy_price', t='tp')} AS target_progress, n >= 10 AND chg <= 2 AS time_hit, LEAST(100, n * 10.0) AS time_progress FROM mon""", "mon")(
     lambda m: po.exit_monitor(pos(m), m.bars()))
-q("s12_support_monitor", "id code broken_support support_price:3 support_progress:1")(lambda m: po.support_monitor(pos(m), m.bars()))
+SUPPORT = lines(10, "low", "su")
+q("s12_support_monitor", "id code broken_support support_price:3 support_progress:1", """SELECT p.id, p.code, x.broken_support, x.sp AS support_price, COALESCE(CASE WHEN x.sp > 0 THEN CASE
+  WHEN x.broken_support OR (x.close - x.sp) / x.sp <= 0 THEN 100 WHEN (x.close - x.sp) / x.sp > 0.1 THEN 0 ELSE ROUND_EVEN((0.1 - (x.close - x.sp) / x.sp) / 0.1 * 100, 1) END END, 0) AS support_progress
+  FROM pos p JOIN (SELECT t.code, COALESCE(MAX(CASE WHEN t.pos >= t.nt - 3 AND t.close - (l.slope * t.day + l.ic) < -0.05::DOUBLE * ABS(l.slope * t.day + l.ic) THEN 1 ELSE 0 END), 0) = 1 AS broken_support,
+    MAX(CASE WHEN t.pos = t.nt - 1 THEN t.close END) AS close, ROUND_EVEN(MAX(CASE WHEN t.pos = t.nt - 1 THEN l.slope * t.day + l.ic END), 3) AS sp FROM p10 t LEFT JOIN su l ON l.code = t.code GROUP BY t.code) AS x
+  ON x.code = p.code WHERE p.status = 'active'""", "pos p10", SUPPORT)(lambda m: po.support_monitor(pos(m), m.bars()))
 q("s13_open_mark", "id code current_price unrealised_pct:2", """SELECT p.id, p.code, b.close AS current_price, ROUND_EVEN((b.close - p.buy_price) / p.buy_price * 100, 2) AS unrealised_pct
   FROM pos p JOIN b ON b.code = p.code AND b.rn = b.n_rows WHERE p.status = 'active' AND p.buy_price IS NOT NULL""", "pos b")(lambda m: po.mark(pos(m), m.bars()))
 q("s14_manual_close", "id code sell_price profit_pct:2", """SELECT p.id, p.code, b.close AS sell_price, ROUND_EVEN((b.close - p.buy_price) / p.buy_price * 100, 2) AS profit_pct
   FROM pos p JOIN b ON b.code = p.code AND b.rn = b.n_rows WHERE p.status = 'active' AND p.buy_price IS NOT NULL""", "pos b")(lambda m: po.close_now(pos(m), m.bars()))
-q("s15_support_replay", "strategy code date buy_date sell_date sell_price exit_reason holding_days profit_rate:6 max_profit_rate:6")(
-    lambda m: s.support_replay(open_and_closed(m), m.bars()))
+cte("pw", """SELECT code, as_of, date, day, lo_price, lo_price AS hi_price, close, pos, nt, ROW_NUMBER() OVER (PARTITION BY code, part ORDER BY lo_price, pos) = 1 AS seg_low, FALSE AS seg_high FROM (
+  SELECT *, CASE WHEN pos >= 2 THEN 1 ELSE 0 END + CASE WHEN pos >= 5 THEN 1 ELSE 0 END + CASE WHEN pos >= 7 THEN 1 ELSE 0 END AS part FROM (
+    SELECT a.code || '|' || CAST(a.date AS VARCHAR) AS code, a.date AS as_of, z.date, z.low AS lo_price, z.close, z.rn - (a.rn - 9) AS pos, 10 AS nt,
+      CAST(date_diff('day', MIN(z.date) OVER (PARTITION BY a.code, a.date), z.date) AS BIGINT) AS day FROM b a JOIN b z ON z.code = a.code AND z.rn BETWEEN a.rn - 9 AND a.rn WHERE a.rn >= 30) AS x0) AS x1""", "b")
+REPLAY = lines(10, "low", "mv", "pw") + """,
+flags AS MATERIALIZED (SELECT p.code FROM pw p JOIN mv l ON l.code = p.code WHERE p.pos >= 7 AND p.close - (l.slope * p.day + l.ic) < -0.05::DOUBLE * ABS(l.slope * p.day + l.ic) GROUP BY p.code),
+rp AS MATERIALIZED (SELECT e.strategy, e.code, e.date, e.entry_date AS buy_date, e.entry_price, z.date AS d, z.high, z.close, f.code IS NOT NULL AS hit FROM ent e JOIN b z ON z.code = e.code AND z.date > e.entry_date
+  LEFT JOIN flags f ON f.code = z.code || '|' || CAST(z.date AS VARCHAR)),
+rs AS MATERIALIZED (SELECT *, COALESCE(MIN(CASE WHEN hit THEN d END) OVER w, MAX(d) OVER w) AS sell_date, MAX(CASE WHEN hit THEN 1 ELSE 0 END) OVER w AS was FROM rp WINDOW w AS (PARTITION BY strategy, code, date))"""
+REPLAY_SQL = """SELECT strategy, code, date, buy_date, sell_date,
+  MAX(CASE WHEN d = sell_date THEN close END) AS sell_price, CASE WHEN was = 1 THEN 'support_break' ELSE 'end_of_data' END AS exit_reason, COUNT(*) AS holding_days,
+  (MAX(CASE WHEN d = sell_date THEN close END) - entry_price) / entry_price AS profit_rate, GREATEST((MAX(high) - entry_price) / entry_price, 0) AS max_profit_rate
+  FROM rs WHERE d <= sell_date GROUP BY strategy, code, date, buy_date, sell_date, entry_price, was"""
+REPLAY_COLS = "strategy code date buy_date sell_date sell_price exit_reason holding_days profit_rate:6 max_profit_rate:6"
+q("s15_support_replay", REPLAY_COLS, REPLAY_SQL, "ent pw", REPLAY)(lambda m: s.support_replay(open_and_closed(m), m.bars()))
+q("s15_support_replay_1pct", REPLAY_COLS, REPLAY_SQL, "ent pw", REPLAY.replace("0.05::DOUBLE", "0.01::DOUBLE"))(
+    lambda m: s.support_replay(open_and_closed(m), m.bars(), 0.01))
 MET = """COUNT(*) AS total_trades, COUNT(CASE WHEN pnl > 0 THEN 1 END) AS winning_trades, COUNT(CASE WHEN pnl <= 0 THEN 1 END) AS losing_trades, AVG(CASE WHEN pnl > 0 THEN 100.0 ELSE 0 END) AS win_rate,
   SUM(pnl) AS total_return, SUM(pnl) / 1000 AS total_return_pct, AVG(pnl_pct) * 100 AS avg_return_pct, COALESCE(AVG(CASE WHEN pnl > 0 THEN pnl_pct END) * 100, 0) AS avg_win_pct,
   COALESCE(AVG(CASE WHEN pnl <= 0 THEN pnl_pct END) * 100, 0) AS avg_loss_pct, COALESCE(SUM(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / NULLIF(ABS(SUM(CASE WHEN pnl <= 0 THEN pnl ELSE 0 END)), 0), 'inf'::DOUBLE) AS profit_factor,

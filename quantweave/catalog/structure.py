@@ -30,11 +30,12 @@ for n in (50, 10):
   ROW_NUMBER() OVER (PARTITION BY code, {slice_id} ORDER BY high DESC, pos) = 1 AS seg_high FROM ({swing_sql('<', '>', f't{n}')}) AS sw""", f"t{n}")
 
 
-def lines(n, kind, pre):
+def lines(n, kind, pre, src=None):
     """CTE texts for the best line of one horizon and side, by self join and grouping."""
+    src = src or f"p{n}"
     pr, seg, sw = ("lo_price", "seg_low", "swing_low") if kind == "low" else ("hi_price", "seg_high", "swing_high")
     pts = (f"SELECT code, date, day, {pr} AS price FROM (SELECT *, SUM(CASE WHEN {sw} THEN 1 ELSE 0 END) OVER (PARTITION BY code) AS ns FROM p50) AS z "
-           f"WHERE {sw} OR (ns < 2 AND {seg})") if n == 50 else f"SELECT code, date, day, {pr} AS price FROM p10 WHERE {seg}"
+           f"WHERE {sw} OR (ns < 2 AND {seg})") if n == 50 else f"SELECT code, date, day, {pr} AS price FROM {src} WHERE {seg}"
     over = f"l.slope * p.day + l.ic - p.{pr}" if kind == "low" else f"p.{pr} - (l.slope * p.day + l.ic)"
     if n == 50:
         pref = "(1 - (td - d2) * 1.0 / td) * 80 + CASE WHEN d1 >= td / 2.0 THEN 30 ELSE 0 END"
@@ -43,7 +44,7 @@ def lines(n, kind, pre):
     return f"""{pre}k AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER ({W}) AS i FROM ({pts}) AS pts),
 {pre}l AS MATERIALIZED (SELECT a.code, a.i, b.i AS j, a.date AS start_date, b.date AS end_date, a.price AS p1, b.price AS p2, a.day AS d1, b.day AS d2,
   (b.price - a.price) / (b.day - a.day) AS slope, a.price - (b.price - a.price) / (b.day - a.day) * a.day AS ic FROM {pre}k a JOIN {pre}k b ON a.code = b.code AND a.i < b.i),
-{pre}c AS MATERIALIZED (SELECT l.code, l.i, l.j, MAX({over}) AS ov, AVG(p.{pr}) AS mp, MAX(p.day) AS td, MIN(p.date) AS base_date FROM {pre}l l JOIN p{n} p ON p.code = l.code GROUP BY 1, 2, 3),
+{pre}c AS MATERIALIZED (SELECT l.code, l.i, l.j, MAX({over}) AS ov, AVG(p.{pr}) AS mp, MAX(p.day) AS td, MIN(p.date) AS base_date FROM {pre}l l JOIN {src} p ON p.code = l.code GROUP BY 1, 2, 3),
 {pre}t AS MATERIALIZED (SELECT l.code, l.i, l.j, COUNT(CASE WHEN ABS(k.price - (l.slope * k.day + l.ic)) <= 0.02::DOUBLE * ABS(l.slope * k.day + l.ic) THEN 1 END) AS touches
   FROM {pre}l l JOIN {pre}k k ON k.code = l.code GROUP BY 1, 2, 3),
 {pre}s AS MATERIALIZED (SELECT *, ROUND(touches * 100 + (d2 - d1) * 1.0 / td * 50 + {pref} + CASE WHEN pct BETWEEN 0.05 AND 0.5 THEN 20 WHEN pct >= 0.02 AND pct < 0.05 THEN 15
@@ -68,6 +69,8 @@ BROKEN = """SELECT r.code, COALESCE(MAX(CASE WHEN p.pos >= p.nt - 3 AND p.close
   FROM (SELECT DISTINCT code FROM p10) AS r LEFT JOIN su l ON l.code = r.code LEFT JOIN p10 p ON p.code = l.code GROUP BY r.code"""
 q("g08_broken_support", "code broken_support", BROKEN, "p10", lines(10, "low", "su"))(
     lambda m: s.broken_support(s.tails(m.bars()).where("n_rows >= 20")))
+q("g08_broken_support_1pct", "code broken_support", BROKEN.replace("0.05::DOUBLE", "0.01::DOUBLE"), "p10", lines(10, "low", "su"))(
+    lambda m: s.broken_support(s.tails(m.bars()).where("n_rows >= 20"), 0.01))
 q("g09_trend_analysis", "code up_slope:6 down_slope:6 short_up_slope:6 short_down_slope:6 broken_support", f"""SELECT b.code, lu.slope AS up_slope, ld.slope AS down_slope,
   su.slope AS short_up_slope, sd.slope AS short_down_slope, b.broken_support FROM ({BROKEN}) AS b LEFT JOIN lu ON lu.code = b.code LEFT JOIN ld ON ld.code = b.code
   LEFT JOIN su ON su.code = b.code LEFT JOIN sd ON sd.code = b.code""", "p50 p10", ",\n".join(

@@ -223,11 +223,11 @@ def agreement(picks: DataFrame) -> DataFrame:
     return picks.withColumn("n_models", n).where(F.col("n_models") > 1)
 
 
-def support_replay(trades: DataFrame, bars: DataFrame) -> DataFrame:
+def support_replay(trades: DataFrame, bars: DataFrame, threshold: float = 0.05) -> DataFrame:
     """Hold from the buy date until the first broken support (re-analysed on every bar with at
     least 30 rows of history), else to the end of data."""
     from quantweave.operators.structure import broken_support, moving_tails
-    flags = broken_support(moving_tails(bars)).select("code", F.col("as_of").alias("_d"), (F.col("broken_support") & (F.col("n_rows") >= 30)).alias("_b"))
+    flags = broken_support(moving_tails(bars), threshold).select("code", F.col("as_of").alias("_d"), (F.col("broken_support") & (F.col("n_rows") >= 30)).alias("_b"))
     path = bars.select("code", F.col("date").alias("_d"), "high", "close").join(flags, ["code", "_d"])
     t = trades.select("strategy", "code", "date", F.col("entry_date").alias("buy_date"), F.col("entry_price").alias("buy_price"))
     j = t.join(path, "code").where(F.col("_d") > F.col("buy_date"))

@@ -157,19 +157,19 @@ def line_at(line: Column, date: Column) -> Column:
     return line["slope"] * F.datediff(date, line["base_date"]) + line["intercept"]
 
 
-def broken(line: str = "line") -> Column:
+def broken(line: str = "line", threshold: float = BREAK) -> Column:
     """Any of the last three closes more than the threshold below the line."""
     ln = F.col(line)
     last3 = F.slice("win", F.greatest(F.size("win") - 2, F.lit(1)), F.lit(3))
 
     def below(r):
         e = line_at(ln, r["date"])
-        return (F.abs(e) > 1e-10) & ((r["close"] - e) < -BREAK * F.abs(e))
+        return (F.abs(e) > 1e-10) & ((r["close"] - e) < -threshold * F.abs(e))
     return F.coalesce(F.exists(last3, below), F.lit(False))
 
 
-def broken_support(df: DataFrame) -> DataFrame:
-    return best_line(df, "low", "short", "support").withColumn("broken_support", broken("support"))
+def broken_support(df: DataFrame, threshold: float = BREAK) -> DataFrame:
+    return best_line(df, "low", "short", "support").withColumn("broken_support", broken("support", threshold))
 
 
 def trend_analysis(bars: DataFrame) -> DataFrame:
