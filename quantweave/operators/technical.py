@@ -30,13 +30,21 @@ def base(df: DataFrame) -> DataFrame:
             F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_pc")), F.abs(F.col("low") - F.col("_pc"))))})
 
 
-def roc(df: DataFrame, n: int = PERIODS["roc"], x: str = "close", out: str = "roc") -> DataFrame:
+def roc_cols(n: int = PERIODS["roc"], x: str = "close", out: str = "roc") -> dict[str, Column]:
     prev = lag(x, n)
-    return df.withColumn(out, F.when(prev == 0, F.lit(0.0)).otherwise((div(x, prev) - 1) * 100))
+    return {out: F.when(prev == 0, F.lit(0.0)).otherwise((div(x, prev) - 1) * 100)}
+
+
+def roc(df: DataFrame, n: int = PERIODS["roc"], x: str = "close", out: str = "roc") -> DataFrame:
+    return df.withColumns(roc_cols(n, x, out))
+
+
+def mtm_cols(n: int = PERIODS["mtm"]) -> dict[str, Column]:
+    return {"mtm": zero(F.col("close") - lag("close", n))}
 
 
 def mtm(df: DataFrame, n: int = PERIODS["mtm"]) -> DataFrame:
-    return df.withColumn("mtm", zero(F.col("close") - lag("close", n)))
+    return df.withColumns(mtm_cols(n))
 
 
 def rvi(df: DataFrame, n: int = PERIODS["rvi"], min_periods: int | None = None) -> DataFrame:
@@ -68,8 +76,12 @@ def aroon(df: DataFrame, n: int = PERIODS["aroon"]) -> DataFrame:
         "aroon_down": F.when(full, 100.0 * (n - (F.col("_i") + lo)) / n)})
 
 
+def ma_ratio_cols(n: int = PERIODS["ma_ratio"]) -> dict[str, Column]:
+    return {"ma_ratio": F.when(F.col("close") == 0, F.lit(1.0)).otherwise(div(sma("close", n), "close"))}
+
+
 def ma_ratio(df: DataFrame, n: int = PERIODS["ma_ratio"]) -> DataFrame:
-    return df.withColumn("ma_ratio", F.when(F.col("close") == 0, F.lit(1.0)).otherwise(div(sma("close", n), "close")))
+    return df.withColumns(ma_ratio_cols(n))
 
 
 def slope(x: str, n: int) -> Column:
@@ -85,11 +97,15 @@ def price_slope(df: DataFrame, n: int = 20) -> DataFrame:
     return df.withColumn("price_slope", zero(slope("close", n)))
 
 
-def bollinger(df: DataFrame, n: int = PERIODS["bb"], k: float = PERIODS["bb_std"]) -> DataFrame:
+def bollinger_cols(n: int = PERIODS["bb"], k: float = PERIODS["bb_std"]) -> dict[str, Column]:
     mid, sd = sma("close", n), rstd_pop("close", n)
     lower, width = mid - k * sd, 2 * k * sd
-    return df.withColumns({"bb_width": zero(div(width, mid)),
-                           "bb_position": F.coalesce(div(F.col("close") - lower, width), F.lit(0.5))})
+    return {"bb_width": zero(div(width, mid)),
+                           "bb_position": F.coalesce(div(F.col("close") - lower, width), F.lit(0.5))}
+
+
+def bollinger(df: DataFrame, n: int = PERIODS["bb"], k: float = PERIODS["bb_std"]) -> DataFrame:
+    return df.withColumns(bollinger_cols(n, k))
 
 
 def cci(df: DataFrame, n: int = PERIODS["cci"]) -> DataFrame:
@@ -133,41 +149,69 @@ def mfi(df: DataFrame, n: int = PERIODS["mfi"]) -> DataFrame:
     return df.withColumn("mfi", F.when(total < 1, F.lit(0.0)).otherwise(100 * div(rsum("_up", n), total)))
 
 
-def ma_pair(df: DataFrame, x: str, n: int, out: str) -> DataFrame:
+def ma_pair_cols(x: str, n: int, out: str) -> dict[str, Column]:
     """SMA(n) over SMA(5n); 1 where the base is 0, 0 during warm-up."""
     slow = sma(x, 5 * n)
-    return df.withColumn(out, zero(F.when(slow == 0, F.lit(1.0)).otherwise(div(sma(x, n), slow))))
+    return {out: zero(F.when(slow == 0, F.lit(1.0)).otherwise(div(sma(x, n), slow)))}
+
+
+def ma_pair(df: DataFrame, x: str, n: int, out: str) -> DataFrame:
+    return df.withColumns(ma_pair_cols(x, n, out))
+
+
+def std_ratio_cols(x: str, n: int, out: str) -> dict[str, Column]:
+    return {out: zero(div(zero(rstd(x, n)), sma(x, n)))}
 
 
 def std_ratio(df: DataFrame, x: str, n: int, out: str) -> DataFrame:
-    return df.withColumn(out, zero(div(zero(rstd(x, n)), sma(x, n))))
+    return df.withColumns(std_ratio_cols(x, n, out))
 
 
-def willr(df: DataFrame, n: int = PERIODS["willr"]) -> DataFrame:
+def willr_cols(n: int = PERIODS["willr"]) -> dict[str, Column]:
     hi, lo = rmax("high", n), rmin("low", n)
-    return df.withColumn("willr", F.when(hi.isNotNull(), zero(-100 * div(hi - F.col("close"), hi - lo))))
+    return {"willr": F.when(hi.isNotNull(), zero(-100 * div(hi - F.col("close"), hi - lo)))}
 
 
-def bias(df: DataFrame, n: int = PERIODS["bias"]) -> DataFrame:
+def willr(df: DataFrame, n: int = PERIODS["willr"]) -> DataFrame:
+    return df.withColumns(willr_cols(n))
+
+
+def bias_cols(n: int = PERIODS["bias"]) -> dict[str, Column]:
     ma = sma("close", n)
-    return df.withColumn("bias", zero(div(F.col("close") - ma, ma) * 100))
+    return {"bias": zero(div(F.col("close") - ma, ma) * 100)}
 
 
-def vr(df: DataFrame, n: int = PERIODS["vr"]) -> DataFrame:
+def bias(df: DataFrame, n: int = PERIODS["bias"]) -> DataFrame:
+    return df.withColumns(bias_cols(n))
+
+
+def vr_cols(n: int = PERIODS["vr"]) -> dict[str, Column]:
     up = F.when(F.col("_d") > 0, F.col("volume")).otherwise(0.0)
     down = F.when(F.col("_d") < 0, F.col("volume")).otherwise(0.0)
-    return df.withColumn("vr", zero(div(rsum(up, n), rsum(down, n))))
+    return {"vr": zero(div(rsum(up, n), rsum(down, n)))}
 
 
-def psy(df: DataFrame, n: int = PERIODS["psy"]) -> DataFrame:
+def vr(df: DataFrame, n: int = PERIODS["vr"]) -> DataFrame:
+    return df.withColumns(vr_cols(n))
+
+
+def psy_cols(n: int = PERIODS["psy"]) -> dict[str, Column]:
     up = F.when(F.col("_d") > 0, 1.0).otherwise(0.0)
-    return df.withColumn("psy", zero(rsum(up, n) / n * 100))
+    return {"psy": zero(rsum(up, n) / n * 100)}
 
 
-def ar_br(df: DataFrame, n: int = PERIODS["ar_br"]) -> DataFrame:
-    return df.withColumns({
+def psy(df: DataFrame, n: int = PERIODS["psy"]) -> DataFrame:
+    return df.withColumns(psy_cols(n))
+
+
+def ar_br_cols(n: int = PERIODS["ar_br"]) -> dict[str, Column]:
+    return {
         "ar": zero(div(rsum(F.col("high") - F.col("open"), n), rsum(F.col("open") - F.col("low"), n)) * 100),
-        "br": zero(div(rsum(F.col("high") - F.col("_pc"), n), rsum(F.col("_pc") - F.col("low"), n)) * 100)})
+        "br": zero(div(rsum(F.col("high") - F.col("_pc"), n), rsum(F.col("_pc") - F.col("low"), n)) * 100)}
+
+
+def ar_br(df: DataFrame, n: int = PERIODS["ar_br"]) -> DataFrame:
+    return df.withColumns(ar_br_cols(n))
 
 
 def cr(df: DataFrame, n: int = PERIODS["cr"]) -> DataFrame:
@@ -199,10 +243,12 @@ WINDOW_FACTORS = ["roc", "mtm", "rvi", "aroon_up", "aroon_down", "ma_ratio", "ma
 
 
 def window_block(df: DataFrame) -> DataFrame:
-    """All window-only indicators on bars that went through :func:`base`."""
-    df = ar_br(psy(vr(bias(willr(df)))))
-    df = bollinger(aroon(ma_ratio(rvi(mtm(roc(df))))))
-    df = roc(df, PERIODS["vroc"], "volume", "vroc")
-    df = ma_pair(ma_pair(df, "volume", PERIODS["vol_ma"], "vol_ma"), "amount", PERIODS["amt_ma"], "amount_ma")
-    df = std_ratio(std_ratio(df, "volume", PERIODS["vol_std"], "vol_std"), "amount", PERIODS["amt_std"], "amount_std")
-    return cr(mfi(ad(obv(price_var(cci(ulcer(ma_slope(df))))))))
+    """All window-only indicators on bars that went through :func:`base`. The one-level
+    ones go into a single projection, which keeps the plan short."""
+    p = PERIODS
+    df = df.withColumns({
+        **roc_cols(), **mtm_cols(), **ma_ratio_cols(), **bollinger_cols(), **willr_cols(), **bias_cols(), **vr_cols(), **psy_cols(),
+        **ar_br_cols(), **roc_cols(p["vroc"], "volume", "vroc"), **ma_pair_cols("volume", p["vol_ma"], "vol_ma"),
+        **ma_pair_cols("amount", p["amt_ma"], "amount_ma"), **std_ratio_cols("volume", p["vol_std"], "vol_std"),
+        **std_ratio_cols("amount", p["amt_std"], "amount_std")})
+    return cr(mfi(ad(obv(price_var(cci(ulcer(ma_slope(aroon(rvi(df))))))))))

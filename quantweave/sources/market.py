@@ -39,6 +39,7 @@ _LOCK = threading.RLock()
 _TABLES: dict[tuple[str, str, str], str] = {}
 SESSIONS_PER_CODE = 400
 ROWS_PER_BUCKET = 2_000_000
+MAX_BUCKETS = 50_000
 
 
 class Market:
@@ -65,7 +66,7 @@ class Market:
         with _LOCK:
             if key not in _TABLES:
                 codes = self.table("supplier").count()
-                n = max(8, -(-codes * SESSIONS_PER_CODE // ROWS_PER_BUCKET))
+                n = min(max(8, -(-codes * SESSIONS_PER_CODE // ROWS_PER_BUCKET)), MAX_BUCKETS)
                 table = f"quantweave_{name}_{uuid.uuid4().hex[:12]}"
                 (build().repartition(n, "code").write.bucketBy(n, "code")
                  .option("path", work_dir(self.spark, name)).saveAsTable(table))
