@@ -39,18 +39,24 @@ def progress(now: Column, start: Column, goal: Column) -> Column:
 
 
 def exit_monitor(positions: DataFrame, bars: DataFrame, r: ExitRules = ExitRules()) -> DataFrame:
-    """Stop, target and time-stop state of open positions from the bars since the buy date."""
-    path = bars.select("code", "date", "high", "low", "close")
+    """Stop, target and time-stop state of open positions from the bars since the buy date.
+
+    The true range of the buy bar has no previous close, and fewer than ``atr_rows`` bars
+    use the last true range alone; both follow from the instrument's last bar and the
+    number of bars held, so a position meets two bars only.
+    """
+    w, n = Window.partitionBy("code").orderBy("date"), r.atr_rows
+    pc, hl = F.lag("close").over(w), F.col("high") - F.col("low")
+    tr = F.greatest(hl, F.abs(F.col("high") - pc), F.abs(F.col("low") - pc))
+    path = bars.select("code", "date", "close", hl.alias("_hl"), tr.alias("_tr"), F.row_number().over(w).alias("_n"))
+    path = path.withColumns({"_mean": F.avg("_tr").over(w.rowsBetween(-(n - 1), 0)), "_gap": F.lag(F.col("_hl") - F.col("_tr"), n - 1).over(w)})
+    last = path.groupBy("code").agg(F.max_by(F.struct("close", "_n", "_hl", "_tr", "_mean", "_gap"), "date").alias("s")).select("code", "s.*")
+    start = path.select("code", F.col("date").alias("buy_date"), F.col("_n").alias("_n0"))
     j = positions.where((F.col("status") == "active") & F.col("buy_price").isNotNull()).select("id", "code", "buy_date", "buy_price")
-    j = j.join(path, "code").where(F.col("date") >= F.col("buy_date"))
-    w = Window.partitionBy("id", "code").orderBy("date")
-    pc = F.lag("close").over(w)
-    tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(F.col("low") - pc))
-    j = j.withColumns({"_tr": tr, "_n": F.row_number().over(w)})
-    mean = F.avg("_tr").over(w.rowsBetween(-(r.atr_rows - 1), 0))
-    j = j.withColumn("_atr", F.when(F.col("_n") >= r.atr_rows, mean).otherwise(F.col("_tr")))
-    last = j.groupBy("id", "code", "buy_date", "buy_price").agg(
-        F.max_by(F.struct("close", "_n", "_atr"), "date").alias("s")).select("id", "code", "buy_date", "buy_price", "s.*")
+    j = j.join(start, ["code", "buy_date"]).join(last, "code").withColumn("_n", F.col("_n") - F.col("_n0") + 1)
+    held = F.col("_n")
+    last = j.withColumn("_atr", F.when(held > n, F.col("_mean")).when(held == n, F.col("_mean") + F.col("_gap") / n)
+                        .when(held == 1, F.col("_hl")).otherwise(F.col("_tr")))
     now, buy = F.col("close"), F.col("buy_price")
     df = last.withColumns({"stop_price": F.bround(buy - F.col("_atr") * r.stop_mult, 3),
                            "target_price": F.bround(buy + F.col("_atr") * r.target_mult, 3),

@@ -225,19 +225,24 @@ def agreement(picks: DataFrame) -> DataFrame:
 
 def support_replay(trades: DataFrame, bars: DataFrame, threshold: float = 0.05) -> DataFrame:
     """Hold from the buy date until the first broken support (re-analysed on every bar with at
-    least 30 rows of history), else to the end of data."""
+    least 30 rows of history), else to the end of data. The next break after each bar is one
+    window over the instrument, so a trade meets two bars instead of its whole holding time."""
     from quantweave.operators.structure import broken_support, moving_tails
-    flags = broken_support(moving_tails(bars), threshold).select("code", F.col("as_of").alias("_d"), (F.col("broken_support") & (F.col("n_rows") >= 30)).alias("_b"))
-    path = bars.select("code", F.col("date").alias("_d"), "high", "close").join(flags, ["code", "_d"])
+    flags = broken_support(moving_tails(bars), threshold).select(
+        "code", F.col("as_of").alias("_d"), (F.col("broken_support") & (F.col("n_rows") >= 30)).alias("_b"))
+    w = Window.partitionBy("code").orderBy("_d")
+    path = bars.select("code", F.col("date").alias("_d"), "high", "close").join(flags, ["code", "_d"]).withColumn("_n", F.row_number().over(w))
+    spot = F.struct("_d", "_n", "close")
+    later = path.select("code", F.col("_d").alias("buy_date"), F.col("_n").alias("_n0"), F.first(F.when(F.col("_b"), spot), ignorenulls=True).over(
+        w.rowsBetween(1, Window.unboundedFollowing)).alias("_next"), F.last(spot).over(
+        w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_end"))
+    highs = path.groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "high"))), lambda x: x["high"]).alias("_highs"))
     t = trades.select("strategy", "code", "date", F.col("entry_date").alias("buy_date"), F.col("entry_price").alias("buy_price"))
-    j = t.join(path, "code").where(F.col("_d") > F.col("buy_date"))
-    first = j.groupBy("strategy", "code", "date").agg(
-        F.min(F.when(F.col("_b"), F.col("_d"))).alias("_break"), F.max("_d").alias("_end"))
-    j = j.join(first, ["strategy", "code", "date"]).withColumn("sell_date", F.coalesce("_break", "_end")).where(F.col("_d") <= F.col("sell_date"))
-    return j.groupBy("strategy", "code", "date", "buy_date", "buy_price", "sell_date").agg(
-        F.max_by("close", "_d").alias("sell_price"), F.count(F.lit(1)).alias("holding_days"), F.max("high").alias("_top"),
-        F.max(F.col("_break").isNotNull()).alias("_was")).select(
-        "strategy", "code", "date", "buy_date", "sell_date", "sell_price",
-        F.when(F.col("_was"), "support_break").otherwise("end_of_data").alias("exit_reason"), "holding_days",
-        ((F.col("sell_price") - F.col("buy_price")) / F.col("buy_price")).alias("profit_rate"),
-        F.greatest((F.col("_top") - F.col("buy_price")) / F.col("buy_price"), F.lit(0.0)).alias("max_profit_rate"))
+    j = t.join(later, ["code", "buy_date"]).where(F.col("_end._n") > F.col("_n0")).join(highs, "code")
+    j = j.withColumn("_s", F.coalesce("_next", "_end"))
+    days, buy = F.col("_s._n") - F.col("_n0"), F.col("buy_price")
+    top = F.array_max(F.slice("_highs", F.col("_n0") + 1, days))
+    return j.select(
+        "strategy", "code", "date", "buy_date", F.col("_s._d").alias("sell_date"), F.col("_s.close").alias("sell_price"),
+        F.when(F.col("_next").isNotNull(), "support_break").otherwise("end_of_data").alias("exit_reason"), days.cast("long").alias("holding_days"),
+        ((F.col("_s.close") - buy) / buy).alias("profit_rate"), F.greatest((top - buy) / buy, F.lit(0.0)).alias("max_profit_rate"))
