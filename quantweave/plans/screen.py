@@ -56,7 +56,7 @@ def model_signals(factors: DataFrame, info: DataFrame, levels: DataFrame, model,
     from quantweave.plans.training import predict
     passed = funnel(info, criteria, cap_gate=False).where(F.col("reject_reason").isNull()).select("code", "date", "current_price", "pe_ratio", "market_cap")
     df = factors.select("code", "date", *features).join(passed, ["code", "date"])
-    df = predict(model, labels.cross_rank(df, features, plus_one=False, null_rank=0.5))
+    df = predict(model, labels.cross_rank(df, features, null_rank=0.5))
     df = confident(df, min_confidence, ranking=True)
     df = df.withColumn("score", F.col("prob") * 100 + labels.tie_breaker())
     top = top_per_date(df, "score", n).join(levels, ["code", "date"], "left")
