@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -25,10 +23,21 @@ def get_spark(app: str = "quantweave", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
-def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the shared folder the cluster names in
-    ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``. Where it is
+    unset, a local session uses its warehouse; on a cluster that is an error,
+    because executors don't share local folders."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="quantweave-")
-    return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
+    if root:
+        return root.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] == "local":
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/staged"
+    raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+
+
+def work_dir(spark: SparkSession, label: str) -> str:
+    """A fresh folder under the shared root, dropped when the session's JVM ends."""
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
