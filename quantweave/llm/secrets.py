@@ -152,15 +152,14 @@ def joined(spans) -> str:
 
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
+DIGESTS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-@F.pandas_udf(SPANS)
-def secret_spans(texts: pd.Series) -> pd.Series:
+def span_lists(texts: pd.Series) -> pd.Series:
     """Spans of a text column; null and empty texts have none."""
     return texts.map(lambda t: [{"kind": k, "start": a, "end": b} for k, a, b in find_spans(t)], na_action=None)
 
 
-@F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 def _digests(texts: pd.Series) -> pd.DataFrame:
     def one(text):
         spans = find_spans(text)
@@ -175,9 +174,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     Defined cases: null and empty texts have no spans; repeated rows are scanned
     alike; other columns pass through; an empty table stays empty.
     """
-    return docs.withColumn("secret_spans", secret_spans(F.col(text)))
+    return docs.withColumn("secret_spans", F.pandas_udf(span_lists, SPANS)(F.col(text)))
 
 
 @query("op10_secret_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", _digests("text").alias("x")).select("doc_id", "x.*")
+    return read(spark, sf_dir, "documents").select("doc_id", F.pandas_udf(_digests, DIGESTS)("text").alias("x")).select("doc_id", "x.*")

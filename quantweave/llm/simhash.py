@@ -161,17 +161,14 @@ def shingle_set(text: str | None) -> bytes:
     return np.unique(hashed(shingles(normal_words(text), SHINGLE), SEED)).astype("<u8").tobytes()
 
 
-@F.pandas_udf("array<long>")
 def _long_fingerprints(texts: pd.Series) -> pd.Series:
     return texts.map(long_fingerprint, na_action=None)
 
 
-@F.pandas_udf("binary")
 def _shingle_sets(texts: pd.Series) -> pd.Series:
     return texts.map(shingle_set, na_action=None)
 
 
-@F.pandas_udf("double")
 def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x, y):
         x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
@@ -234,15 +231,15 @@ def near_duplicates(docs: DataFrame, bits: int = INDEX_BITS, doc_id: str = "doc_
     beyond some ten million different texts.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), normal_hash(F.col(text)).alias("n"), F.col(text).alias("text")).withColumn("k", F.xxhash64("doc_id", "n"))
-    prints = staged(rows.select("doc_id", "k", "n", _long_fingerprints("text").alias("fp")), "prints")
+    prints = staged(rows.select("doc_id", "k", "n", F.pandas_udf(_long_fingerprints, "array<long>")("text").alias("fp")), "prints")
     distinct = prints.groupBy("n").agg(F.first("fp").alias("fp"), F.min("k").alias("k"))
     pairs = staged(candidate_pairs(distinct, bits), "pairs")
     involved = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()
     texts = rows.select("k", "text").join(distinct.join(involved, "n", "left_semi").select("k", "n"), "k")
-    sets = staged(texts.select("n", _shingle_sets("text").alias("s")).dropDuplicates(["n"]), "sets")
+    sets = staged(texts.select("n", F.pandas_udf(_shingle_sets, "binary")("text").alias("s")).dropDuplicates(["n"]), "sets")
     links = (pairs.join(sets.select(F.col("n").alias("a"), F.col("s").alias("sa")), "a")
              .join(sets.select(F.col("n").alias("b"), F.col("s").alias("sb")), "b")
-             .filter(_jaccard("sa", "sb") >= SIMILARITY).select("a", "b"))
+             .filter(F.pandas_udf(_jaccard, "double")("sa", "sb") >= SIMILARITY).select("a", "b"))
     labels = connected_components(links).select(F.col("node").alias("n"), "label")
     return prints.select("doc_id", "n").join(labels, "n", "left").select("doc_id", "n", F.coalesce("label", "n").alias("group_n"))
 

@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 from quantweave.llm.base import query, read, staged
 
 WINDOW, ANCHOR = 35, 20
-SKETCH_ROWS, SKETCH_BITS, BLOCK_BITS = 2, 27, 16
-BATCH_WINDOWS, BATCH_ANCHORS, FAN = 1_000_000, 2_000_000, 64
+SKETCH_ROWS, SKETCH_BITS, BLOCK_BITS = 2, 27, 21
+BATCH_WINDOWS, BATCH_ANCHORS, FAN = 1_000_000, 2_000_000, 8
 #: Fixed odd multipliers of the rolling hashes.
-ROLL = np.uint64(0x9E3779B97F4A7C15)
-ROLL2 = np.uint64(0xD6E8FEB86659FD93)
+ROLL = 0x9E3779B97F4A7C15
+ROLL2 = 0xD6E8FEB86659FD93
+SALT = 0xA0761D6478BD642F
+WRAP = (1 << 64) - 1
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -47,21 +49,20 @@ def word_hashes(words: list[bytes], seed: int) -> np.ndarray:
     return np.fromiter(map(functools.partial(xxhash.xxh64_intdigest, seed=seed), words), np.uint64, len(words))
 
 
-def rolling(h: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
-    """Hash of each run of ``size`` values: doubling, so about log2(size) passes."""
+def rolling(h: np.ndarray, size: int, base: int) -> np.ndarray:
+    """Hash of each run of ``size`` values modulo 2^64: doubling, so about log2(size) passes."""
     n = len(h) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out, done, power, run, span, factor = np.zeros(n, np.uint64), 0, np.uint64(1), h, 1, base
-    rest = size
+    out, done, power, run, span, factor, rest = np.zeros(n, np.uint64), 0, 1, h, 1, base, size
     while rest:
         if rest & 1:
-            out = out + run[done:done + n] * power
-            power, done = power * factor, done + span
+            out = out + run[done:done + n] * np.uint64(power)
+            power, done = power * factor & WRAP, done + span
         rest >>= 1
         if rest:
-            run = run[:-span] + run[span:] * factor
-            factor, span = factor * factor, span * 2
+            run = run[:-span] + run[span:] * np.uint64(factor)
+            factor, span = factor * factor & WRAP, span * 2
     return out
 
 
@@ -90,8 +91,8 @@ def window_anchors(h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray,
 
 
 def slots(anchors: np.ndarray, row: int, bits: int) -> np.ndarray:
-    salt = np.uint64(0xA0761D6478BD642F) * np.uint64(2 * row + 1)
-    return (mixed(anchors * (salt | np.uint64(1))) >> np.uint64(64 - bits)).astype(np.int64)
+    salt = np.uint64(SALT * (2 * row + 1) & WRAP | 1)
+    return (mixed(anchors * salt) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def sketch(rows: DataFrame, window: int, anchor: int, bits: int, depth: int) -> DataFrame:
@@ -106,7 +107,7 @@ def sketch(rows: DataFrame, window: int, anchor: int, bits: int, depth: int) ->
                 groups = np.split(slot, cut)
                 yield pa.RecordBatch.from_pydict({
                     "fan": pa.array([int(all_anchors[0] % np.uint64(FAN))] * len(groups), pa.int32()), "row": pa.array([row] * len(groups), pa.int32()), "block": pa.array([int(g[0] >> BLOCK_BITS) for g in groups], pa.int32()),
-                    "slots": pa.array([(g & ((1 << BLOCK_BITS) - 1)).astype("<u2").tobytes() for g in groups], pa.binary())})
+                    "slots": pa.array([(g & ((1 << BLOCK_BITS) - 1)).astype("<u4").tobytes() for g in groups], pa.binary())})
         parts, held = [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -121,19 +122,15 @@ def sketch(rows: DataFrame, window: int, anchor: int, bits: int, depth: int) ->
         if parts:
             yield from flush(parts)
 
-    def counted(pdf):
-        counts = np.zeros(1 << BLOCK_BITS, np.uint8)
-        for raw in pdf["slots"]:
-            slot, n = np.unique(np.frombuffer(raw, "<u2"), return_counts=True)
-            counts[slot] = np.minimum(counts[slot] + n, 2)
-        return counts
-
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = counted(pdf)
-        return pdf[["fan", "row", "block"]].head(1).assign(slots=np.repeat(np.arange(len(counts), dtype="<u2"), counts).tobytes())
+        slot, n = np.unique(np.frombuffer(b"".join(pdf["slots"]), "<u4"), return_counts=True)
+        return pdf[["fan", "row", "block"]].head(1).assign(slots=np.repeat(slot, np.minimum(n, 2)).tobytes())
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[["row", "block"]].head(1).assign(repeated=np.packbits(counted(pdf) > 1).tobytes())
+        slot, n = np.unique(np.frombuffer(b"".join(pdf["slots"]), "<u4"), return_counts=True)
+        repeated = np.zeros(1 << BLOCK_BITS, np.uint8)
+        repeated[slot[n > 1]] = 1
+        return pdf[["row", "block"]].head(1).assign(repeated=np.packbits(repeated).tobytes())
 
     kind = "fan int, row int, block int, slots binary"
     partials = rows.select("text").mapInArrow(partial, kind).groupBy("fan", "row", "block").applyInPandas(fold, kind)
