@@ -1,6 +1,6 @@
 """All queries of the subpackage."""
 
-from quantweave.llm import quality, secrets, simhash, substring  # noqa: F401
+from quantweave.llm import decontam, lm, mixing, pii, quality, secrets, simhash, substring, tokens  # noqa: F401
 from quantweave.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

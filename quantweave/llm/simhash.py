@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantweave.llm.base import packed, query, read, staged, word_array
+from quantweave.llm.base import packed, query, read, staged
 from quantweave.llm.graph import connected_components
 
 SEED = 42
@@ -216,21 +216,19 @@ def candidate_pairs(prints: DataFrame, bits: int = INDEX_BITS) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(apart <= FILTER_BITS).select("a", "b")
 
 
-def normal_hash(text: Column) -> Column:
-    """64-bit hash of the words with A-Z in lower case."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.xxhash64(F.array_join(word_array(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower())), " "))
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def near_duplicates(docs: DataFrame, bits: int = INDEX_BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, group_n): hash of the normalised text and of its group's first text.
+    """(doc_id, n, group_n): hash of the text and of the first text of its group.
 
     Equal texts share ``n`` and are folded first. Different texts link if at least
     0.8 of their five-word shingles agree, and ``group_n`` names the component.
     ``bits`` is the width of an index key: add one for each doubling of a corpus
     beyond some ten million different texts.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), normal_hash(F.col(text)).alias("n"), F.col(text).alias("text")).withColumn("k", F.xxhash64("doc_id", "n"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_hash(F.col(text)).alias("n"), F.col(text).alias("text")).withColumn("k", F.xxhash64("doc_id", "n"))
     prints = staged(rows.select("doc_id", "k", "n", F.pandas_udf(_long_fingerprints, "array<long>")("text").alias("fp")), "prints")
     distinct = prints.groupBy("n").agg(F.first("fp").alias("fp"), F.min("k").alias("k"))
     pairs = staged(candidate_pairs(distinct, bits), "pairs")
@@ -248,10 +246,10 @@ def keep_first(docs: DataFrame, bits: int = INDEX_BITS) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id.
 
     Defined cases: null and empty texts are equal texts; a null doc_id comes after
-    all others; of rows with the same id and words one stays; extra columns pass
+    all others; of rows with the same id and text one stays; extra columns pass
     through; an empty table stays empty.
     """
     members = staged(near_duplicates(docs, bits), "members")
     firsts = members.groupBy("group_n").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "n")).alias("x")).select(F.xxhash64("x.doc_id", "x.n").alias("k"))
-    rows = packed(docs, k=F.xxhash64("doc_id", normal_hash(F.col("text"))))
+    rows = packed(docs, k=F.xxhash64("doc_id", text_hash(F.col("text"))))
     return rows.join(firsts, "k", "left_semi").dropDuplicates(["k"]).select("_row.*")
