@@ -11,7 +11,7 @@ have a fixed size (``rows * 2**bits / 8`` bytes), which bounds what is broadcast
 Pass two looks every window's anchor up. Windows with a count of one in any
 sketch row cannot repeat and go no further. Windows found twice within one batch
 of documents are settled there and send one representative; all other
-windows estimated repeated are grouped exactly by 128-bit hashes of their words
+windows estimated repeated are grouped exactly by 96-bit hashes of their words
 over the whole corpus. A full sketch lets more windows through and loses none.
 
 Last, the words covered by repeated windows are removed from their documents.
@@ -25,13 +25,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantweave.llm.base import query, read, staged
+from quantweave.llm.base import query, read
 
-WINDOW, ANCHOR = 35, 20
+WINDOW, ANCHOR = 35, 24
 SKETCH_ROWS, SKETCH_BITS, BLOCK_BITS = 2, 27, 21
 BATCH_WINDOWS, BATCH_ANCHORS, FAN = 1_000_000, 2_000_000, 8
 #: Fixed odd multipliers of the rolling hashes.
@@ -137,23 +138,46 @@ def sketch(rows: DataFrame, window: int, anchor: int, bits: int, depth: int) ->
     return partials.groupBy("row", "block").applyInPandas(merge, "row int, block int, repeated binary")
 
 
+def to_runs(at: np.ndarray) -> bytes:
+    """Sorted positions as (first, last) pairs of consecutive ones."""
+    cut = np.flatnonzero(np.diff(at) > 1)
+    return np.stack([at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]]], 1).astype("<i4").tobytes()
+
+
+def from_runs(raw: bytes) -> np.ndarray:
+    pairs = np.frombuffer(raw, "<i4").reshape(-1, 2)
+    return np.concatenate([np.arange(a, b + 1) for a, b in pairs]) if len(pairs) else np.empty(0, np.int64)
+
+
+WINDOWS = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("rid", pa.int64()), ("at", pa.int32()), ("state", pa.int8()), ("runs", pa.binary())])
+WINDOW_KIND = "h1 long, h2 int, rid long, at int, state byte, runs binary"
+
+
 def window_rows(rows: DataFrame, bitmaps, window: int, anchor: int, bits: int, depth: int) -> DataFrame:
-    """(rid, h1, h2, at, state) of the windows estimated repeated. State 0: to be
-    settled; 1: settled as repeated within its batch; 2: settled and standing
-    for its equals in the exact grouping. A batch is a run of documents of one
-    task with about ``BATCH_WINDOWS`` such windows."""
+    """The windows estimated repeated. State 0: a window to be settled; 2: one of those settled
+    in its batch, which stands for its equals; 3: ``runs`` of positions of one document settled
+    in a batch. A batch is a run of documents of one task with about
+    ``BATCH_WINDOWS`` such windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = bitmaps.value
 
         def flush(out):
             rid, h1, h2, pos = (np.concatenate(x) for x in zip(*out, strict=True))
             order = np.lexsort((h2, h1))
-            rid, h1, h2, pos = rid[order], h1[order], h2[order], pos[order]
-            same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-            before, after = np.r_[False, same], np.r_[same, False]
-            state = np.where(before, 1, np.where(after, 2, 0)).astype(np.int8)
-            return pa.RecordBatch.from_pydict({"rid": pa.array(rid), "h1": pa.array(h1.view(np.int64)), "h2": pa.array(h2.view(np.int64)),
-                                               "at": pa.array(pos.astype(np.int32)), "state": pa.array(state)})
+            same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+            before, after = np.empty(len(order), bool), np.empty(len(order), bool)
+            before[order], after[order] = np.r_[False, same], np.r_[same, False]
+            send, settled = np.flatnonzero(~before), np.flatnonzero(before | after)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(h1[send].view(np.int64)), pa.array((h2[send] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(rid[send]),
+                pa.array(pos[send].astype(np.int32)), pa.array(np.where(after[send], 2, 0).astype(np.int8)), pa.nulls(len(send), pa.binary())], schema=WINDOWS)
+            if len(settled):
+                groups = np.split(settled, np.flatnonzero(np.diff(rid[settled]) != 0) + 1)  # documents are still in their order
+                ids = np.array([rid[g[0]] for g in groups])
+                none = np.zeros(len(groups))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(mixed(ids.view(np.uint64)).view(np.int64)), pa.array(none.astype(np.int32)), pa.array(ids), pa.array(none.astype(np.int32)),
+                    pa.array((none + 3).astype(np.int8)), pa.array([to_runs(np.unique(pos[g])) for g in groups], pa.binary())], schema=WINDOWS)
         out, held = [], 0
         for batch in batches:
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -172,19 +196,24 @@ def window_rows(rows: DataFrame, bitmaps, window: int, anchor: int, bits: int, d
                     out.append((np.full(len(pos), rid, np.int64), rolling(h, window, ROLL)[pos], rolling(mixed(h), window, ROLL2)[pos], pos))
                     held += len(pos)
                 if held > BATCH_WINDOWS:
-                    yield flush(out)
+                    yield from flush(out)
                     out, held = [], 0
         if out:
-            yield flush(out)
-    return rows.select("rid", "text").mapInArrow(run, "rid long, h1 long, h2 long, at int, state byte")
+            yield from flush(out)
+    return rows.select("rid", "text").mapInArrow(run, WINDOW_KIND)
 
 
 def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (h1, h2): positions of unsettled windows that have an equal. The
-    last key is carried from batch to batch, so no key is held whole."""
+    """Over rows sorted by (h1, h2): positions of unsettled windows that have an equal, and
+    settled runs as they are. The last key is carried from batch to batch, so
+    no key is held whole."""
     held = None  # (rid, at) of a last row that is alone so far
     last = None
     for batch in batches:
+        runs = batch.filter(pc.equal(batch.column(4), 3))
+        if runs.num_rows:
+            yield pa.RecordBatch.from_pydict({"rid": runs.column(2), "at": pa.nulls(runs.num_rows, pa.int32()), "runs": runs.column(5)})
+        batch = batch.filter(pc.less(batch.column(4), 3))
         if not batch.num_rows:
             continue
         h1, h2, rid, at, state = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
@@ -197,7 +226,7 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             r, a = np.r_[held[0], r], np.r_[held[1], a]
         held = (rid[-1], at[-1]) if state[-1] == 0 and not before[-1] else None
         last = (h1[-1], h2[-1])
-        yield pa.RecordBatch.from_pydict({"rid": pa.array(r.astype(np.int64)), "at": pa.array(a.astype(np.int32))})
+        yield pa.RecordBatch.from_pydict({"rid": pa.array(r.astype(np.int64)), "at": pa.array(a.astype(np.int32)), "runs": pa.nulls(len(r), pa.binary())})
 
 
 def covered_runs(at: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -207,28 +236,29 @@ def covered_runs(at: np.ndarray, window: int) -> list[tuple[int, int]]:
     return [(int(g[0]), int(g[-1]) + window) for g in np.split(at, cut)] if len(at) else []
 
 
-def strip_runs(text: str | None, at: np.ndarray | None, window: int) -> tuple[int, int, str]:
+def strip_runs(text: str | None, at: np.ndarray | None, runs: np.ndarray | None, window: int) -> tuple[int, int, str]:
     """(words, words removed, kept words joined by blanks)."""
     words = words_of(text)
+    starts = np.concatenate([np.asarray(at if at is not None else [], np.int64), *map(from_runs, runs if runs is not None else [])])
     kept, done, removed = [], 0, 0
-    for start, end in covered_runs(np.asarray(at if at is not None else [], np.int64), window):
+    for start, end in covered_runs(starts, window):
         kept += words[done:start]
-        removed, done = removed + end - max(start, done), end
+        removed, done = removed + end - start, end
     kept += words[done:]
     return len(words), removed, b" ".join(kept).decode("utf-8", "surrogatepass")
 
 
 def repeated_positions(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bits: int = SKETCH_BITS, depth: int = SKETCH_ROWS) -> DataFrame:
-    """(rid, at array): starts of the repeated windows of each row that has any; ``rows`` has ``rid`` and ``text``."""
+    """(rid, at, runs): starts of the repeated windows of each row that has any, single and in
+    runs; ``rows`` has ``rid`` and ``text``. One shuffle by window, one by row."""
     spark = rows.sparkSession
     tables = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(depth)]
     for x in sketch(rows, window, anchor, bits, depth).toLocalIterator():  # depth * 2**bits / 8 bytes in all
         start = x.block << (BLOCK_BITS - 3)
         tables[x.row][start:start + (1 << (BLOCK_BITS - 3))] = np.frombuffer(bytes(x.repeated), np.uint8)
-    found = staged(window_rows(rows, spark.sparkContext.broadcast(tables), window, anchor, bits, depth), "windows")
-    exact = (found.filter("state <> 1").select("h1", "h2", "rid", "at", "state").repartition("h1", "h2")
-             .sortWithinPartitions("h1", "h2").mapInArrow(settle, "rid long, at int"))
-    return exact.union(found.filter("state <> 0").select("rid", "at")).groupBy("rid").agg(F.collect_set("at").alias("at"))
+    found = window_rows(rows, spark.sparkContext.broadcast(tables), window, anchor, bits, depth)
+    exact = found.repartition("h1").sortWithinPartitions("h1", "h2").mapInArrow(settle, "rid long, at int, runs binary")
+    return exact.groupBy("rid").agg(F.collect_set("at").alias("at"), F.collect_set("runs").alias("runs"))
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -247,10 +277,10 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("rid", row_key(F.col("doc_id"), F.col("text")))
 
     @F.pandas_udf("n_words long, n_removed long, kept string")
-    def strip(texts: pd.Series, at: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([strip_runs(t, a, window) for t, a in zip(texts, at, strict=True)], columns=["n_words", "n_removed", "kept"])
+    def strip(texts: pd.Series, at: pd.Series, runs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([strip_runs(*x, window) for x in zip(texts, at, runs, strict=True)], columns=["n_words", "n_removed", "kept"])
     at = repeated_positions(rows, window, anchor, bits, depth)
-    return rows.join(at, "rid", "left").select("doc_id", strip("text", "at").alias("x")).select("doc_id", "x.*")
+    return rows.join(at, "rid", "left").select("doc_id", strip("text", "at", "runs").alias("x")).select("doc_id", "x.*")
 
 
 @query("op3_substring_dedup")
