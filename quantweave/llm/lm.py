@@ -36,9 +36,9 @@ from quantweave.llm.simhash import normal_words
 KNOWN, HEAD, CLASS_WORDS, TAILS = 200_000, 2048, 64, 32
 HIDDEN, EMBED = 16, 8
 ROUNDS, SHARE = 2, 0.25
-LANES, WINDOW, RATE = 64, 32, 0.01
+LANES, WINDOW, RATE = 128, 32, 0.01
 SCORE_LANES, SCORE_WINDOW = 256, 64
-BLOCK, FAN = 8192, 64
+BLOCK, FAN, LOG_STEPS = 8192, 64, 256
 END = b""
 PUNCTUATION = b".,;:!?"
 HEADS = HEAD // CLASS_WORDS
@@ -286,7 +286,8 @@ def score_docs(p: dict, vocab: Vocabulary, docs: list[np.ndarray], lanes: int =
 
 
 def build_vocabulary(counts: DataFrame) -> Vocabulary:
-    """From the count table: the ``KNOWN`` most frequent words reach the driver, all else as sums for each tail class."""
+    """From the count table: at most the ``KNOWN`` most frequent words reach the driver (whole
+    steps of a logarithmic count scale), all else as sums for each tail class."""
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, types = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
         for batch in batches:
@@ -295,8 +296,15 @@ def build_vocabulary(counts: DataFrame) -> Vocabulary:
             types += np.bincount(k, minlength=TAILS)
         yield pa.RecordBatch.from_pydict({"k": pa.array(np.arange(TAILS), pa.int32()), "total": pa.array(total), "types": pa.array(types)})
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(KNOWN).toPandas()
-    words, freq = [bytes(w) for w in top["word"]], [int(c) for c in top["c"]]
+    steps = F.floor(F.log(F.col("c")) * LOG_STEPS)
+    least, held = 0, 0
+    for step, m in sorted(counts.groupBy(steps.alias("step")).count().collect(), reverse=True):  # at most LOG_STEPS * ln(N) rows
+        if held + m > KNOWN:
+            least = step + 1
+            break
+        held += m
+    top = sorted(((-c, bytes(w)) for w, c in counts.filter(steps >= least).collect()))
+    words, freq = [w for _, w in top], [-c for c, _ in top]
     total, types = np.zeros(TAILS), np.zeros(TAILS)
     for k, t, m in counts.mapInArrow(tails, "k int, total long, types long").groupBy("k").agg(F.sum("total"), F.sum("types")).collect():
         total[k], types[k] = t, m

@@ -128,10 +128,16 @@ def with_calibration(stats: DataFrame, labels: DataFrame, **kw) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
     """The rows of ``docs`` that the base rule and the calibrated rules keep."""
-    stats = with_statistics(docs.select("doc_id", stratum(F.col("lang")).alias("stratum"), F.col("text").alias("_text"))).drop("_text")
-    cutoffs = staged(with_calibration(stats, labels, **kw), "cutoffs")
+    cutoffs = staged(with_calibration(statistics(docs), labels, **kw), "cutoffs")
     rows = with_statistics(packed(docs, stratum=stratum(F.col("lang")), _text=F.col("text"))).drop("_text")
-    return judged(rows, cutoffs).filter("kept").select("_row.*")
+    # The row number keeps the filter above the statistics: pushed below, it would compute each of them anew for every use.
+    rows = rows.withColumn("_number", F.monotonically_increasing_id())
+    return judged(rows, cutoffs).filter(F.col("kept") & (F.col("_number") >= 0)).select("_row.*")
+
+
+def statistics(docs: DataFrame) -> DataFrame:
+    """Ids, strata and statistics of all documents, written once."""
+    return staged(with_statistics(docs.select("doc_id", stratum(F.col("lang")).alias("stratum"), F.col("text").alias("_text"))).drop("_text"), "quality")
 
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -167,6 +173,5 @@ FROM s LEFT JOIN j USING (rid)"""
 
 @query("op1_quality_rules", ORACLE)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    stats = staged(with_statistics(docs.select("doc_id", stratum(F.col("lang")).alias("stratum"), F.col("text").alias("_text"))).drop("_text"), "quality")
+    stats = statistics(read(spark, sf_dir, "documents"))
     return judged(stats, with_calibration(stats, read(spark, sf_dir, "labels"))).select("doc_id", *STATS, "base_failed", "kept")

@@ -49,7 +49,7 @@ class Encoder:
     special token goes through ``encode`` whole, and so does any other kind of tokenizer.
     """
 
-    LIMIT = 400_000
+    LIMIT = 1_000_000
     _made: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str):
@@ -72,16 +72,29 @@ class Encoder:
     def _ids(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) >= self.LIMIT:
+                self.words.clear()
+            ids = self.words[word] = self._ids([t.id for t in self.model.tokenize(word)])
+        return ids
+
     def _new(self, piece: str) -> bytes:
-        out = []
-        for word, _ in self.splitter.pre_tokenize_str(piece):
-            ids = self.words.get(word)
-            if ids is None:
-                if len(self.words) >= self.LIMIT:
-                    self.words.clear()
-                ids = self.words[word] = self._ids([t.id for t in self.model.tokenize(word)])
-            out.append(ids)
-        return b"".join(out)
+        return b"".join([self._word(word) for word, _ in self.splitter.pre_tokenize_str(piece)])
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Ids of new pieces, split all at once: between pieces that neither begin nor end
+        with white space the splitter always cuts before the blank."""
+        plain = [p for p in pieces if p and p.strip() == p]
+        words, k, end = self.splitter.pre_tokenize_str(" " + " ".join(plain)) if plain else [], 0, 0
+        for p in plain:
+            end, first = end + 1 + len(p), k
+            while k < len(words) and words[k][1][0] < end:
+                k += 1
+            self.pieces[p] = b"".join([self._word(w) for w, _ in words[first:k]])
+        for p in pieces.difference(plain):
+            self.pieces[p] = self._new(" " + p)
 
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
@@ -89,12 +102,11 @@ class Encoder:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
         first, *rest = text.split(" ")
         known = self.pieces
-        missing = set(rest) - known.keys()
+        missing = {p for p in rest if p not in known}
         if len(known) + len(missing) > self.LIMIT:
             known.clear()
             missing = set(rest)
-        for p in missing:
-            known[p] = self._new(" " + p)
+        self._learn(missing)
         return np.frombuffer(self._new(first) + b"".join(map(known.__getitem__, rest)), self.dtype)
 
 
