@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quantweave.llm.base import packed, query, read, staged, word_array
 
 WEIGHTS, BUDGET, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
-BLOCK_DOCS, FAN = 20_000, 512
+BLOCK_DOCS, FAN = 2_000, 512
 TINY = 1e-9
 
 
