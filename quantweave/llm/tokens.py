@@ -117,7 +117,7 @@ def to_planes(ids: np.ndarray, layout: str, block: int = BLOCK_IDS) -> list[byte
     cells = padded.view(np.uint8).reshape(-1, block, 4).transpose(2, 0, 1)  # byte, block, id
     if layout == "bit":
         bits = np.unpackbits(np.ascontiguousarray(cells)[:, :, :, None], axis=3, bitorder="little")  # byte, block, id, bit
-        cells = np.packbits(bits.transpose(0, 3, 1, 2).reshape(32, -1, block), axis=2, bitorder="little")
+        cells = np.packbits(bits.transpose(0, 3, 1, 2).reshape(32, len(padded) // block, block), axis=2, bitorder="little")
     frame = zstandard.ZstdCompressor(level=3)
     return [frame.compress(np.ascontiguousarray(p).tobytes()) if p.any() else b"" for p in cells]
 
@@ -127,9 +127,9 @@ def from_planes(planes: list[bytes], n: int, layout: str, block: int) -> np.ndar
     size, frame = blocks * block // per, zstandard.ZstdDecompressor()
     cells = np.stack([np.frombuffer(frame.decompress(p, max_output_size=size), np.uint8) if p else np.zeros(size, np.uint8) for p in planes])
     if layout == "bit":
-        bits = np.unpackbits(cells.reshape(32, blocks, -1), axis=2, bitorder="little").reshape(4, 8, blocks, block)
+        bits = np.unpackbits(cells.reshape(32, blocks, block // 8), axis=2, bitorder="little").reshape(4, 8, blocks, block)
         cells = np.packbits(bits.transpose(0, 2, 3, 1), axis=3, bitorder="little").reshape(4, -1)
-    return np.ascontiguousarray(cells.reshape(4, -1).T).view("<u4").ravel()[:n]
+    return np.ascontiguousarray(cells.reshape(4, size * per).T).view("<u4").ravel()[:n]
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, layout: str = "byte", doc_id: str = "doc_id", text: str = "text") -> None:
