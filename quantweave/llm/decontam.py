@@ -45,6 +45,11 @@ def window_prints(hashes: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(2 * ones > size, axis=1, bitorder="little").view("<u8").ravel()
 
 
+def member(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted array ``known``."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 class ItemIndex:
     """Items of one block; a small, read-only object for the tasks."""
 
@@ -90,14 +95,14 @@ class ItemIndex:
             return []
         hashes = shingle_hashes(words)
         maybe = np.flatnonzero(self.filter[hashes >> np.uint64(64 - FILTER_BITS)])
-        maybe = maybe[np.isin(hashes[maybe], self.known)]
+        maybe = maybe[member(self.known, hashes[maybe])]
         if not len(maybe):
             return []
         best: dict[int, tuple[float, int]] = {}
         for n, (_, _, _, known) in self.sizes.items():
             if n > len(words):
                 continue
-            at, span = maybe[np.isin(hashes[maybe], known)], n - SHINGLE + 1
+            at, span = maybe[member(known, hashes[maybe])], n - SHINGLE + 1
             for group in np.split(at, np.flatnonzero(np.diff(at) > span) + 1) if len(at) else []:
                 low, high = max(0, group[0] - span + 1), min(len(hashes), group[-1] + span)
                 if high - low < span:
