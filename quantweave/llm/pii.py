@@ -30,11 +30,12 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 #: Whole digit runs, single blanks and hyphens inside, of 13 to 19 digits; all other runs fail their check anyway.
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: A whole word of six characters or more with an at sign or four digits.
+WORD = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D@]*+@|(?:[^\x20\x09-\x0D0-9]*+[0-9]){4})[^\x20\x09-\x0D]{6,}+"
 OCTETS = r"^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 EDGE = r"^[^A-Za-z0-9@+]+|[^A-Za-z0-9]+$"
 
-AROUND, MIN_DIGITS, MIN_CHARS = 60, 4, 6
+AROUND = 60
 TURNS, SUPPORT, PRIOR, CONFIDENCE = 3, 3.0, 1.0, 0.7
 
 
@@ -58,16 +59,27 @@ RULES = {
 }
 
 
-def located(matches: str, pieces: str, kind: str) -> Column:
-    """Spans of matches with the pieces of text between them, running offsets in code points."""
-    kinds = "array<struct<kind:string,start:int,end:int,value:string>>"
+def located(df: DataFrame, matches: str, pieces: str, kind: str) -> DataFrame:
+    """Adds column ``kind``: spans of the matches, running offsets in code points over the
+    pieces of text between them. Running sums are built in blocks of about the square root of the number of
+    matches, so a text with very many matches stays cheap."""
+    item = "struct<kind:string,start:int,end:int,value:string>"
 
     def step(a, x):
-        start = a["at"] + F.length(x["piece"])
+        start = a["at"] + x["gap"]
         end = start + F.length(x["match"])
         return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["match"].alias("value")))).alias("out"))
-    zipped = F.zip_with(matches, F.slice(pieces, F.lit(1), F.size(matches)), lambda m, p: F.struct(m.alias("match"), p.alias("piece")))
-    return F.when(F.size(matches) > 0, F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.array().cast(kinds).alias("out")), step, lambda a: a["out"])).otherwise(F.array().cast(kinds))
+
+    def spans(block, at):
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(f"array<{item}>").alias("out")), step, lambda a: a["out"])
+    size = F.ceil(F.sqrt(F.size(matches))).cast("int")
+    df = df.withColumn("_i", F.zip_with(matches, F.slice(pieces, F.lit(1), F.size(matches)), lambda m, p: F.struct(m.alias("match"), F.length(p).alias("gap"))))
+    df = df.withColumn("_b", F.when(F.size("_i") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("_i") - 1) / size).cast("int")), lambda b: F.slice("_i", b * size + 1, size)))
+                       .otherwise(F.array().cast("array<array<struct<match:string,gap:int>>>")))
+    totals = F.transform("_b", lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + x["gap"] + F.length(x["match"])))
+    df = df.withColumn("_o", F.aggregate(totals, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+                                         lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"]))
+    return df.withColumn(kind, F.flatten(F.zip_with("_b", "_o", spans))).drop("_i", "_b", "_o")
 
 
 def with_spans(df: DataFrame, kind: str, pattern: str, gate, check=None, text: str = "_text") -> DataFrame:
@@ -75,7 +87,7 @@ def with_spans(df: DataFrame, kind: str, pattern: str, gate, check=None, text: s
     t = F.col(text)
     df = df.withColumn("_m", F.when(gate(t), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
     df = df.withColumn("_p", F.when(F.size("_m") > 0, F.split(t, pattern, -1)).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn(kind, located("_m", "_p", kind)).drop("_m", "_p")
+    df = located(df, "_m", "_p", kind).drop("_m", "_p")
     return df.withColumn(kind, F.filter(kind, lambda s: check(s["value"]))) if check else df
 
 
@@ -86,7 +98,7 @@ def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     for kind, (pattern, gate, check) in RULES.items():
         df = with_spans(df, kind, pattern, gate, check)
     df = df.withColumn("base", F.concat(*KINDS)).drop(*KINDS)
-    df = with_spans(df, "context", WORD, lambda t: t.rlike("[0-9@]"), lambda m: (F.length(m) >= MIN_CHARS) & (m.contains("@") | (F.length(digits_of(m)) >= MIN_DIGITS)))
+    df = with_spans(df, "context", WORD, lambda t: t.rlike("[0-9@]"))
     free = F.filter("context", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
     around = F.transform(F.concat("base", free), lambda s: F.struct(
         s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.regexp_replace(s["value"], EDGE, "").alias("value"),
