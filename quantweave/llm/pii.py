@@ -63,19 +63,23 @@ def located(df: DataFrame, matches: str, pieces: str, kind: str) -> DataFrame:
     """Adds column ``kind``: spans of the matches, running offsets in code points over the
     pieces of text between them. Running sums are built in blocks of about the square root of the number of
     matches, so a text with very many matches stays cheap."""
-    item = "struct<kind:string,start:int,end:int,value:string>"
+    item = "struct<kind:string,start:int,end:int,value:string,left:string,right:string>"
 
     def step(a, x):
         start = a["at"] + x["gap"]
         end = start + F.length(x["match"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["match"].alias("value")))).alias("out"))
+        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["match"].alias("value"), x["left"].alias("left"), x["right"].alias("right")))).alias("out"))
 
     def spans(block, at):
         return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(f"array<{item}>").alias("out")), step, lambda a: a["out"])
     size = F.ceil(F.sqrt(F.size(matches))).cast("int")
-    df = df.withColumn("_i", F.zip_with(matches, F.slice(pieces, F.lit(1), F.size(matches)), lambda m, p: F.struct(m.alias("match"), F.length(p).alias("gap"))))
+    m, p = (lambda i: F.get(matches, i)), (lambda i: F.get(pieces, i))
+    df = df.withColumn("_i", F.transform(matches, lambda x, i: F.struct(  # contexts from the pieces next to the match, so no text is searched again
+        x.alias("match"), F.length(p(i)).alias("gap"),
+        F.right(F.concat_ws("", F.when(i > 1, m(i - 2)), F.when(i > 0, p(i - 1)), F.when(i > 0, m(i - 1)), p(i)), F.lit(AROUND)).alias("left"),
+        F.left(F.concat_ws("", p(i + 1), m(i + 1)), F.lit(AROUND)).alias("right"))))
     df = df.withColumn("_b", F.when(F.size("_i") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("_i") - 1) / size).cast("int")), lambda b: F.slice("_i", b * size + 1, size)))
-                       .otherwise(F.array().cast("array<array<struct<match:string,gap:int>>>")))
+                       .otherwise(F.array().cast("array<array<struct<match:string,gap:int,left:string,right:string>>>")))
     totals = F.transform("_b", lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + x["gap"] + F.length(x["match"])))
     df = df.withColumn("_o", F.aggregate(totals, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
                                          lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"]))
@@ -102,9 +106,8 @@ def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     free = F.filter("context", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
     around = F.transform(F.concat("base", free), lambda s: F.struct(
         s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.regexp_replace(s["value"], EDGE, "").alias("value"),
-        F.substring(F.col("_text"), F.greatest(F.lit(1), s["start"] + 1 - AROUND), F.least(F.lit(AROUND), s["start"])).alias("left"),
-        F.substring(F.col("_text"), s["end"] + 1, F.lit(AROUND)).alias("right")))
-    return df.withColumn("instances", around).select("doc_id", "row_key", F.transform("base", lambda s: s.dropFields("value")).alias("base"), "instances")
+        s["left"].alias("left"), s["right"].alias("right")))
+    return df.withColumn("instances", around).select("doc_id", "row_key", F.transform("base", lambda s: s.dropFields("value", "left", "right")).alias("base"), "instances")
 
 
 def context_patterns(left: Column, right: Column) -> Column:
