@@ -34,7 +34,7 @@ from quantweave.llm.base import query, read
 
 WINDOW, ANCHOR = 35, 24
 SKETCH_ROWS, SKETCH_BITS, BLOCK_BITS = 2, 27, 21
-BATCH_WINDOWS, BATCH_ANCHORS, FAN = 1_000_000, 2_000_000, 8
+BATCH_WINDOWS, BATCH_ANCHORS, FAN = 400_000, 800_000, 8
 #: Fixed odd multipliers of the rolling hashes.
 ROLL = 0x9E3779B97F4A7C15
 ROLL2 = 0xD6E8FEB86659FD93
