@@ -24,8 +24,8 @@ def rounded(m):
 
 RND = "(SELECT code, date, ROUND(COALESCE(roc, 0), 6) AS roc, ROUND(bias, 6) AS bias, ROUND(vol_ma, 6) AS vol_ma FROM feat) AS s"
 X15 = "SELECT code, date, " + ", ".join(f"{avg_rank(c, 'date')} / (COUNT(*) OVER (PARTITION BY date) + 1) AS {c}" for c in ("roc", "bias", "vol_ma")) + f" FROM {RND}"
-q("x15_cross_rank_training", CD + "roc:6 bias:6 vol_ma:6", X15, "feat")(lambda m: lb.cross_rank(rounded(m), ["roc", "bias", "vol_ma"], force_split=False))
-q("x15_cross_rank_split", CD + "roc:6 bias:6 vol_ma:6", X15, "feat")(lambda m: lb.cross_rank(rounded(m), ["roc", "bias", "vol_ma"], force_split=True))
+q("x15_cross_rank_training", CD + "roc:6 bias:6 vol_ma:6", X15, "feat")(lambda m: lb.cross_rank(rounded(m), ["roc", "bias", "vol_ma"], bounded=True))
+q("x15_cross_rank_split", CD + "roc:6 bias:6 vol_ma:6", X15, "feat")(lambda m: lb.cross_rank(rounded(m), ["roc", "bias", "vol_ma"]))
 q("x16_cross_rank_scoring", CD + "roc:6 bias:6", f"""SELECT code, date, CASE WHEN roc IS NULL THEN 0.5 ELSE
   (RANK() OVER (PARTITION BY date ORDER BY roc NULLS LAST) + (COUNT(*) OVER (PARTITION BY date, roc) - 1) / 2.0) / COUNT(roc) OVER (PARTITION BY date) END AS roc,
   {avg_rank('bias', 'date')} / COUNT(*) OVER (PARTITION BY date) AS bias FROM (SELECT code, date, ROUND(roc, 6) AS roc, ROUND(bias, 6) AS bias FROM feat) AS s""", "feat")(
@@ -47,8 +47,8 @@ def labelled(m):
     return lb.labelled(m.bars()).withColumn("label_raw", F.round("label_raw", 9))
 
 
-q("x20_board_rank", CD + "label:6", "SELECT * FROM ranked", "ranked")(lambda m: lb.board_rank(labelled(m), force_split=False))
-q("x20_board_rank_split", CD + "label:6", "SELECT * FROM ranked", "ranked")(lambda m: lb.board_rank(labelled(m), force_split=True))
+q("x20_board_rank", CD + "label:6", "SELECT * FROM ranked", "ranked")(lambda m: lb.board_rank(labelled(m), bounded=True))
+q("x20_board_rank_split", CD + "label:6", "SELECT * FROM ranked", "ranked")(lambda m: lb.board_rank(labelled(m)))
 q("x21_unbuyable_penalty", CD + "label:6 unbuyable", "SELECT code, date, CASE WHEN unbuyable = 1 THEN 0.05 ELSE label END AS label, unbuyable FROM ranked", "ranked")(
     lambda m: lb.penalise(lb.board_rank(labelled(m))))
 SPLIT = "(SELECT date FROM (SELECT date, ROW_NUMBER() OVER (ORDER BY date, code) - 1 AS i, COUNT(*) OVER () AS n FROM labr) AS o WHERE i = FLOOR(n * 0.7::DOUBLE))"

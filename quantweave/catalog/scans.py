@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quantweave.catalog.core import q
 from quantweave.catalog.sqlkit import NUM, W, cte, g, lagx
-from quantweave.operators import adjust, scans
+from quantweave.operators import adjust, filters, scans
 from quantweave.operators import technical as t
 from quantweave.sources import payload, upsert
 from quantweave.sources.market import code_number
@@ -37,7 +37,7 @@ CAL = "SELECT date, ROW_NUMBER() OVER (ORDER BY date) AS session, LEAD(date) OVE
 cte("cal", CAL, "bars")
 q("a05_calendar", "date session next_date", "SELECT * FROM cal", "cal")(lambda m: scans.calendar(m.bars()))
 q("a06_codes_by_market", "code", "SELECT DISTINCT code FROM bars WHERE code LIKE '68%' OR code LIKE '8%' OR code LIKE '4%' OR code LIKE '9%'")(
-    lambda m: __import__("quantweave.operators.filters", fromlist=["x"]).codes_by_market(m.bars(), ["star", "bj"]))
+    lambda m: filters.codes_by_market(m.bars(), ["star", "bj"]))
 
 
 def _new_bars(m):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantweave.catalog.core import q
@@ -130,7 +131,7 @@ q("d37_overfit_gap", "model train_auc:8 val_auc:8 gap:8 overfit", f"SELECT *, tr
 q("s29_model_comparison", "model rank_ic:6 place", f"""SELECT model, rank_ic, ROW_NUMBER() OVER (ORDER BY rank_ic DESC) AS place FROM (""" + " UNION ALL ".join(
     f"""SELECT '{p}' AS model, AVG(c) AS rank_ic FROM (SELECT date, CORR(a, z) AS c FROM (SELECT date, {avg_rank(p, 'date')} AS a, {avg_rank('label', 'date')} AS z FROM mf WHERE NOT is_train) AS x
   GROUP BY date HAVING COUNT(*) >= 10 AND STDDEV_POP(a) > 0 AND STDDEV_POP(z) > 0) AS y""" for p in THREE) + ") AS u", "mf")(
-    lambda m: (lambda s: s.withColumn("place", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(F.desc("rank_ic")))))(
+    lambda m: (lambda s: s.withColumn("place", F.row_number().over(Window.orderBy(F.desc("rank_ic")))))(
         sc.daily_rank_ic(split(m).where("NOT is_train").unpivot(["date", "label"], THREE, "model", "score"), "score", "label", ["model", "date"])
         .groupBy("model").agg(F.avg("rank_ic").alias("rank_ic"))))
 SWEEP = {"roc": [20, 40, 60], "bias": [24, 36, 48]}

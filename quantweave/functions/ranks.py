@@ -1,10 +1,10 @@
 """Average-tie ranks and exact order statistics inside a group.
 
-Two exact forms. ``window_rank`` sorts each group inside one task and suits
-groups of a checked size. ``split_positions`` first collapses equal values
-(map-side), cuts every group into value buckets at approximate quantiles and
-ranks inside the buckets, so that no task has to hold a whole group and a hot
-value is a single row. ``avg_rank`` picks the form from the largest group.
+``split_positions`` first collapses equal values (map-side), cuts every group
+into value buckets at approximate quantiles and ranks inside the buckets, so
+that no task has to hold a whole group and a hot value is a single row.
+``avg_rank`` uses it at every size and starts no job of its own. A caller who knows
+that a group is small (``bounded=True``) gets one window sort instead.
 """
 
 from __future__ import annotations
@@ -14,14 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WINDOW_LIMIT = 2_000_000
+#: Buckets a group: 64 where groups are dates, TABLE_BUCKETS where one may be the whole table; raise with the data.
 BUCKETS = 64
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest group (one number to the driver)."""
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("m")).first()
-    return int(row["m"] or 0)
+TABLE_BUCKETS = 512
 
 
 def tied_rank(keys: Sequence[str], value: str | Column) -> Column:
@@ -76,19 +71,26 @@ def split_positions(df: DataFrame, keys: Sequence[str], value: str, buckets: int
 
 
 def avg_rank(df: DataFrame, keys: Sequence[str], value: str, rank_col: str = "rank",
-             size_col: str | None = None, force_split: bool | None = None) -> DataFrame:
-    """Add the average-tie rank of ``value`` inside ``keys`` (null stays null)."""
+             size_col: str | None = None, bounded: bool = False, buckets: int = BUCKETS) -> DataFrame:
+    """Add the average-tie rank of ``value`` inside ``keys`` (null stays null).
+
+    Only non-null values meet the positions; rows with null keep out of that join.
+    """
     keys = list(keys)
-    split = force_split if force_split is not None else largest_group(df, keys) > WINDOW_LIMIT
-    if not split:
+    if bounded:
         cols = {rank_col: tied_rank(keys, value)}
         if size_col:
             cols[size_col] = group_size(keys, value)
         return df.withColumns(cols)
-    pos = split_positions(df, keys, value).select(
+    pos = split_positions(df, keys, value, buckets).select(
         *keys, value, (F.col("before") + (F.col("cnt") + 1) / F.lit(2.0)).alias(rank_col),
         *([F.col("n").alias(size_col)] if size_col else []))
-    return df.join(pos, [*keys, value], "left")
+    full = df.where(F.col(value).isNotNull()).join(pos, [*keys, value])
+    empty = df.where(F.col(value).isNull()).withColumn(rank_col, F.lit(None).cast("double"))
+    if size_col:
+        sizes = pos.groupBy(*keys).agg(F.max(size_col).alias(size_col))
+        empty = empty.join(sizes, keys, "left").withColumn(size_col, F.coalesce(size_col, F.lit(0)))
+    return full.select(*df.columns, rank_col, *([size_col] if size_col else [])).unionByName(empty)
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], buckets: int = BUCKETS,

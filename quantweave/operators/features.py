@@ -80,7 +80,7 @@ def quantile_bucket(df: DataFrame, cols: Sequence[str], window: int = 252, q: in
 
 
 def interactions(df: DataFrame, technical: Sequence[str], fundamental: Sequence[str]) -> DataFrame:
-    return df.withColumns({f"{a}_x_{b}": tidy(F.col(a) * F.col(b)) for a in technical[:10] for b in fundamental[:10]})
+    return df.withColumns({f"{a}_x_{b}": tidy(F.col(a) * F.col(b)) for a in technical for b in fundamental})
 
 
 def momentum(df: DataFrame, cols: Sequence[str], ks=(5, 10, 20)) -> DataFrame:
@@ -135,7 +135,7 @@ def fill(df: DataFrame, cols: Sequence[str], method: str) -> DataFrame:
 def medians(df: DataFrame, cols: Sequence[str], prefix: str) -> DataFrame:
     """One row with the exact median of each column; all columns go through one long-form pass."""
     long = df.select(*cols).unpivot([], list(cols), "_feature", "_value")
-    per = ranks.quantiles(long, ["_feature"], "_value", {"m": 0.5}, 512, few_groups=True)
+    per = ranks.quantiles(long, ["_feature"], "_value", {"m": 0.5}, ranks.TABLE_BUCKETS, few_groups=True)
     return per.agg(*[F.max(F.when(F.col("_feature") == c, F.col("m"))).alias(prefix + c) for c in cols])
 
 

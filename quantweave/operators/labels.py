@@ -39,9 +39,9 @@ def labelled(bars: DataFrame, n: int = HORIZON) -> DataFrame:
     return path_label(status_flags(bars), n).where(F.col("label_raw").isNotNull() & F.col("f_return").isNotNull())
 
 
-def board_rank(df: DataFrame, force_split: bool | None = None) -> DataFrame:
+def board_rank(df: DataFrame, bounded: bool = False) -> DataFrame:
     """Average rank / (n + 1) inside (date, limit threshold); 0.5 on single-row dates."""
-    df = ranks.avg_rank(df, ["date", "limit_threshold"], "label_raw", "_r", "_n", force_split)
+    df = ranks.avg_rank(df, ["date", "limit_threshold"], "label_raw", "_r", "_n", bounded)
     per_date = df.groupBy("date").agg(F.count(F.lit(1)).alias("_nd"))
     return df.join(per_date, "date").withColumn(
         "label", F.when(F.col("_nd") == 1, F.lit(0.5)).otherwise(F.col("_r") / (F.col("_n") + 1))).drop("_r", "_n", "_nd")
@@ -57,13 +57,15 @@ def split_date(df: DataFrame, share: float = 0.7) -> DataFrame:
     per = df.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
     run = F.sum("n").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
     per = per.withColumns({"_upto": run, "_all": F.sum("n").over(Window.partitionBy())})
-    cut = F.floor(F.col("_all") * F.lit(share))
+    cut = F.least(F.floor(F.col("_all") * F.lit(share)), F.col("_all") - 1)
     return per.where((F.col("_upto") > cut) & (F.col("_upto") - F.col("n") <= cut)).select(F.col("date").alias("split_date"))
 
 
 def time_split(df: DataFrame, share: float = 0.7) -> DataFrame:
+    """``is_train`` for rows before the split date; with a share of 1 every row trains."""
     one = split_date(df, share)
-    return df.join(F.broadcast(one)).withColumn("is_train", F.col("date") < F.col("split_date"))
+    before = F.lit(True) if share >= 1 else F.coalesce(F.col("date") < F.col("split_date"), F.lit(False))
+    return df.join(F.broadcast(one), how="left").withColumn("is_train", before)
 
 
 def sample_weight(df: DataFrame) -> DataFrame:
@@ -74,17 +76,16 @@ def sample_weight(df: DataFrame) -> DataFrame:
 
 
 def cross_rank(df: DataFrame, features: Sequence[str], plus_one: bool = True, null_rank: float | None = None,
-               keys: Sequence[str] = ("date",), force_split: bool | None = None) -> DataFrame:
+               keys: Sequence[str] = ("date",), bounded: bool = False) -> DataFrame:
     """Replace features by their average-tie percentile inside each date.
 
     ``plus_one`` divides by n + 1 (training), else by the number of non-null
-    values (scoring). Dates with one row stay as they are. Groups of a checked
-    size take one sort per feature inside a single exchange by date; larger
-    ones take the split form, feature by feature in long form.
+    values (scoring). Dates with one row stay as they are. The split form goes
+    feature by feature in long form; ``bounded`` says that a date is small enough
+    for one sort per feature inside a single exchange by date.
     """
     keys, features = list(keys), list(features)
-    split = force_split if force_split is not None else ranks.largest_group(df, keys) > ranks.WINDOW_LIMIT
-    if not split:
+    if bounded:
         whole = Window.partitionBy(*keys)
         rows = F.count(F.lit(1)).over(whole)
 
@@ -97,7 +98,7 @@ def cross_rank(df: DataFrame, features: Sequence[str], plus_one: bool = True, nu
         return df.select(*[c for c in df.columns if c not in features], *[expr(f).alias(f) for f in features])
     ids = [c for c in df.columns if c not in features]
     long = df.unpivot(ids, features, "_feature", "_value")
-    long = ranks.avg_rank(long, [*keys, "_feature"], "_value", "_r", "_n", force_split=True)
+    long = ranks.avg_rank(long, [*keys, "_feature"], "_value", "_r", "_n")
     rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     long = long.join(rows, keys)
     r = F.col("_r") / (F.col("_rows") + 1 if plus_one else F.col("_n"))

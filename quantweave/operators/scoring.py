@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +27,12 @@ def ensemble(cols: Sequence[str], weights: Sequence[float]) -> Column:
     return reduce(lambda a, b: a + b, [F.col(c) * (w / total) for c, w in zip(cols, weights)])
 
 
-def daily_rank_ic(df: DataFrame, pred: str, ref: str, keys: Sequence[str] = ("date",), min_rows: int = 10) -> DataFrame:
+def daily_rank_ic(df: DataFrame, pred: str, ref: str, keys: Sequence[str] = ("date",), min_rows: int = 10, bounded: bool = False) -> DataFrame:
     """Spearman correlation per group; groups that are too small or constant are left out."""
     keys = list(keys)
     df = df.where(F.col(pred).isNotNull() & F.col(ref).isNotNull()).select(*keys, pred, ref)
-    split = ranks.largest_group(df, keys) > ranks.WINDOW_LIMIT
-    df = ranks.avg_rank(df, keys, pred, "_rp", force_split=split)
-    df = ranks.avg_rank(df, keys, ref, "_rr", force_split=split)
+    df = ranks.avg_rank(df, keys, pred, "_rp", bounded=bounded)
+    df = ranks.avg_rank(df, keys, ref, "_rr", bounded=bounded)
     per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("_rp", "_rr").alias("_c"),
                                 F.stddev_pop("_rp").alias("_sp"), F.stddev_pop("_rr").alias("_sr"))
     return per.where((F.col("n") >= min_rows) & (F.col("_sp") > 0) & (F.col("_sr") > 0)).select(
@@ -69,15 +70,15 @@ def classification(df: DataFrame, prob: str, label: str, keys: Sequence[str] = (
                       F.coalesce(F.try_divide(2 * F.col("_tp"), 2 * F.col("_tp") + F.col("_fp") + F.col("_fn")), F.lit(0.0)).alias("f1"))
 
 
-def auc(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
+def auc(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), few_groups: bool = False, buckets: int = ranks.TABLE_BUCKETS) -> DataFrame:
     """Area under the ROC curve per group, 0.5 with a single class: each positive counts the
     negatives below it, ties by half. Works on the split positions, so a group may be the
     whole table."""
     keys = list(keys)
     group = keys or ["_all"]
     src = df if keys else df.withColumn("_all", F.lit(0))
-    pos = ranks.split_positions(src.select(*group, score, label), group, score, 512,
-                                {"hits": (F.col(label) >= 0.5).cast("long")}, few_groups=True)
+    pos = ranks.split_positions(src.select(*group, score, label), group, score, buckets,
+                                {"hits": (F.col(label) >= 0.5).cast("long")}, few_groups=few_groups or not keys)
     below = F.col("before") - F.col("before_hits") + (F.col("cnt") - F.col("hits")) / F.lit(2.0)
     agg = pos.groupBy(*group).agg(F.sum(F.col("hits") * below).alias("_u"), F.max("total_hits").alias("_p"), F.max("n").alias("_n"))
     value = F.try_divide(F.col("_u"), F.col("_p") * (F.col("_n") - F.col("_p")))
@@ -89,9 +90,8 @@ def dispersion(df: DataFrame, prob: str) -> DataFrame:
 
 
 def simplex(n_models: int, steps: int = 20) -> list[list[float]]:
-    """All weight vectors on the grid that sum to 1 (20 steps up to three models, 5 beyond)."""
-    k = steps if n_models <= 3 else 5
-
+    """All weight vectors on the grid of ``steps`` steps that sum to 1. Their number grows as
+    ``steps`` to the power of ``n_models - 1``: choose fewer steps for many models."""
     def rec(left, n):
         if n == 1:
             yield [left]
@@ -99,7 +99,7 @@ def simplex(n_models: int, steps: int = 20) -> list[list[float]]:
             for i in range(left + 1):
                 for rest in rec(left - i, n - 1):
                     yield [i, *rest]
-    return [[w / k for w in v] for v in rec(k, n_models)]
+    return [[w / steps for w in v] for v in rec(steps, n_models)]
 
 
 def weight_search(df: DataFrame, scores: Sequence[str], label: str, steps: int = 20) -> DataFrame:
@@ -110,7 +110,7 @@ def weight_search(df: DataFrame, scores: Sequence[str], label: str, steps: int =
     long = df.select(*scores, label, F.explode(grid).alias("g"))
     mix = reduce(lambda a, b: a + b, [F.col(s) * F.col("g.w")[i] for i, s in enumerate(scores)])
     long = long.select(F.col("g.id").alias("weight_id"), F.round(mix, 9).alias("_s"), label)
-    return auc(long, "_s", label, ["weight_id"])
+    return auc(long, "_s", label, ["weight_id"], few_groups=True)
 
 
 def best_weights(df: DataFrame, scores: Sequence[str], label: str, steps: int = 20) -> DataFrame:
@@ -126,20 +126,36 @@ def target_correlation(df: DataFrame, features: Sequence[str], target: str) -> D
 
 
 def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every feature pair. Up to 40 features in one aggregate; beyond
-    that through the ML correlation matrix (its size depends on the features, not the rows)."""
+    """Pearson correlation of every feature pair over the rows where both are present.
+
+    One pass at every size: each task folds its rows into six moment matrices
+    (features squared, whatever the rows), Spark adds them up, and a pair's value
+    depends on its two features alone. Values are centred by their column mean
+    first, so the sums of squares stay accurate.
+    """
     features = list(features)
-    if len(features) > 40:
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-        vec = VectorAssembler(inputCols=features, outputCol="v", handleInvalid="skip").transform(df).select("v")
-        mat = Correlation.corr(vec, "v").first()[0].toArray()
-        rows = [(a, b, float(mat[i, j])) for (i, a), (j, b) in combinations(enumerate(features), 2)]
-        return df.sparkSession.createDataFrame(rows, "f1 string, f2 string, corr double")
-    pairs = list(combinations(features, 2))
-    one = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    arr = F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
-    return one.select(F.inline(arr))
+    names = {i: f for i, f in enumerate(features)}
+
+    def fold(batches):
+        n = len(features)
+        total = np.zeros((6, n, n))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) if batch.num_rows else np.empty((0, n))
+            m = ~np.isnan(x)
+            x, y = np.where(m, x, 0.0), m.astype(float)
+            total += np.stack([y.T @ y, x.T @ y, y.T @ x, (x * x).T @ y, y.T @ (x * x), x.T @ x])
+        i, j = np.triu_indices(n, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *[pa.array(t[i, j]) for t in total]],
+                                         names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+    mean = df.agg(*[F.avg(f).alias(f) for f in features])  # one row: shifted values keep the sums of squares exact enough
+    shifted = df.select(*features).join(F.broadcast(mean.select(*[F.col(f).alias(f"_m_{f}") for f in features]))).select(
+        *[(F.col(f) - F.col(f"_m_{f}")).cast("double").alias(f) for f in features])
+    parts = shifted.mapInArrow(fold, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    s = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    var = [F.greatest(F.col(q) - F.col(u) * F.col(u) / F.col("n"), F.lit(0.0)) for u, q in (("sx", "sxx"), ("sy", "syy"))]
+    label = F.array(*[F.lit(names[i]) for i in range(len(features))])
+    return s.where("n > 0").select(F.get(label, "i").alias("f1"), F.get(label, "j").alias("f2"), F.try_divide(cov, F.sqrt(var[0] * var[1])).alias("corr"))
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins: int = 10) -> DataFrame:
@@ -148,7 +164,7 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins
     long = df.select(target, *features).unpivot([target], list(features), "feature", "value").where(F.col("value").isNotNull())
 
     def bucket(src, keys, col, out):
-        pos = ranks.split_positions(src, keys, col, 512, few_groups=True)
+        pos = ranks.split_positions(src, keys, col, ranks.TABLE_BUCKETS, few_groups=True)
         return pos.select(*keys, col, F.floor(F.col("before") * bins / F.col("n")).alias(out))
     long = long.join(bucket(long, ["feature"], "value", "bx"), ["feature", "value"])
     long = long.join(bucket(long, ["feature"], target, "by"), ["feature", target])

@@ -37,9 +37,9 @@ def code_number(code: str = "code") -> Column:
 
 _LOCK = threading.RLock()
 _TABLES: dict[tuple[str, str, str], str] = {}
-SESSIONS_PER_CODE = 400
+#: Rows of a bucket; tables of fewer rows have LEAST_BUCKETS.
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 50_000
+LEAST_BUCKETS = 8
 
 
 class Market:
@@ -65,8 +65,7 @@ class Market:
         key = (self.spark.sparkContext.applicationId, self.root, name)
         with _LOCK:
             if key not in _TABLES:
-                codes = self.table("supplier").count()
-                n = min(max(8, -(-codes * SESSIONS_PER_CODE // ROWS_PER_BUCKET)), MAX_BUCKETS)
+                n = max(LEAST_BUCKETS, -(-self.table("lineitem").count() // ROWS_PER_BUCKET))  # no derived table has more rows
                 table = f"quantweave_{name}_{uuid.uuid4().hex[:12]}"
                 (build().repartition(n, "code").write.bucketBy(n, "code")
                  .option("path", work_dir(self.spark, name)).saveAsTable(table))

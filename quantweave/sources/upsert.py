@@ -25,7 +25,8 @@ def merge_latest(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str
 
 
 def merge_columns(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Update only the columns the new side carries; untouched columns survive."""
+    """Update only the columns the new side carries; untouched columns survive. A new null
+    means "not known" and keeps the old value."""
     n = new.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in new.columns if c != key])
     cols = [F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in new.columns else F.col(c)
             for c in old.columns if c != key]
@@ -44,7 +45,12 @@ def evolve(old: DataFrame, new: DataFrame, renamed: dict[str, str]) -> DataFrame
 
 def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], partition: str,
                  order: str | None = None) -> None:
-    """Merge into a parquet table partitioned by ``partition``, rewriting only the touched partitions."""
+    """Merge into a parquet table partitioned by ``partition``, rewriting only the touched partitions.
+
+    The write is rebalanced on the partition column: adaptive execution splits a
+    partition by its size (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), so a full
+    year is written by many tasks, and packs small ones.
+    """
     try:
         old = spark.read.parquet(path)
     except Exception as e:  # noqa: BLE001
@@ -56,5 +62,5 @@ def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[
     else:
         touched = new.select(partition).distinct()
         merged = merge_latest(old.join(touched, partition, "left_semi"), new, keys, order)
-    (merged.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (merged.hint("rebalance", F.col(partition)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition).parquet(path))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantweave.functions.windows import div
@@ -46,6 +46,11 @@ def with_year(df: DataFrame) -> DataFrame:
     return df.withColumn("year", F.year("date"))
 
 
+def version(source: DataFrame) -> str | None:
+    """Bars with a load number are merged by it, whatever their order of arrival."""
+    return "load" if "load" in source.columns else None
+
+
 def bar_upsert(spark: SparkSession, source: DataFrame) -> DataFrame:
     """Streaming bar upsert; the row with the highest load number wins."""
     table = work_dir(spark, "bars-table")
@@ -59,9 +64,8 @@ def factor_append(spark: SparkSession, source: DataFrame, compute: Callable[[Dat
     bars_table, store = work_dir(spark, "bars-table"), work_dir(spark, "factor-store")
 
     def each(batch: DataFrame, _: int) -> None:
-        upsert_table(spark, bars_table, batch, ["code", "date"], "year")
+        upsert_table(spark, bars_table, batch, ["code", "date"], "year", version(source))
         first = batch.groupBy("code").agg(F.min("date").alias("_first"))
-        from pyspark.sql import Window
         w = Window.partitionBy("code").orderBy("date")
         df = spark.read.parquet(bars_table).join(first, "code").withColumn("_rn", F.row_number().over(w))
         start = F.min(F.when(F.col("date") >= F.col("_first"), F.col("_rn"))).over(Window.partitionBy("code"))
@@ -72,29 +76,40 @@ def factor_append(spark: SparkSession, source: DataFrame, compute: Callable[[Dat
     return spark.read.parquet(store)
 
 
-def breadth_by_date(spark: SparkSession, source: DataFrame, sessions: int = 60) -> DataFrame:
-    """Per batch: breadth of the changed dates from a look-back of sessions; rows replaced by date."""
+def breadth_by_date(spark: SparkSession, source: DataFrame, reach: int = 20) -> DataFrame:
+    """Per batch: breadth of every date that a changed bar reaches; rows replaced by date.
+
+    A bar takes part in the averages of its instrument's next ``reach - 1`` bars and is
+    the previous close of the next one. So dates are refreshed from the lowest changed one to
+    the last one reached, and every instrument brings its own ``reach`` earlier bars.
+    """
     bars_table, out = work_dir(spark, "bars-table"), work_dir(spark, "breadth-table")
 
     def each(batch: DataFrame, _: int) -> None:
-        upsert_table(spark, bars_table, batch, ["code", "date"], "year")
-        changed = batch.select("date").distinct()
+        if batch.isEmpty():
+            return
+        upsert_table(spark, bars_table, batch, ["code", "date"], "year", version(source))
         bars = spark.read.parquet(bars_table)
-        low = changed.agg(F.min("date")).first()[0]
-        start = (bars.where(F.col("date") < F.lit(low)).select("date").distinct().orderBy(F.desc("date")).limit(sessions)
-                 .agg(F.min("date")).first()[0]) or low
-        fresh = br.breadth(bars.where(F.col("date") >= F.lit(start))).join(changed, "date", "left_semi")
+        touched = batch.groupBy("code").agg(F.min("date").alias("_low"), F.max("date").alias("_high"))
+        low, high = touched.agg(F.min("_low"), F.max("_high")).first()
+        nearest = Window.partitionBy("code").orderBy("date")
+        later = bars.select("code", "date").join(touched, "code").where(F.col("date") > F.col("_high")).withColumn("_n", F.row_number().over(nearest))
+        last = later.where(F.col("_n") < reach).agg(F.max("date")).first()[0]
+        high = max(high, last) if last else high
+        latest = Window.partitionBy("code").orderBy(F.desc("date"))
+        before = bars.where(F.col("date") < F.lit(low)).withColumn("_n", F.row_number().over(latest)).where(F.col("_n") <= reach).drop("_n")
+        fresh = br.breadth(before.unionByName(bars.where(F.col("date").between(F.lit(low), F.lit(high))))).where(F.col("date") >= F.lit(low))
         upsert_table(spark, out, with_year(fresh), ["date"], "year")
     run(with_year(source), spark, "breadth", each)
     return spark.read.parquet(out)
 
 
-def ticks_to_bars(spark: SparkSession, ticks: DataFrame) -> DataFrame:
+def ticks_to_bars(spark: SparkSession, ticks: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Daily bars from ticks under a watermark; open windows are merged too, so the table is
-    complete at any time. A tick later than the watermark is dropped."""
+    complete at any time. A tick later than ``lateness`` is dropped."""
     table = work_dir(spark, "tick-bars")
     seq = F.struct("ts", "event_id")
-    agg = (ticks.withWatermark("ts", "1 day").groupBy("code", F.window("ts", "1 day"))
+    agg = (ticks.withWatermark("ts", lateness).groupBy("code", F.window("ts", "1 day"))
            .agg(F.min_by("price", seq).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
                 F.max_by("price", seq).alias("close"), F.count(F.lit(1)).alias("ticks")))
     flat = agg.select("code", F.to_date("window.start").alias("date"), "open", "high", "low", "close", "ticks")
@@ -135,16 +150,26 @@ def stochastic(spark: SparkSession, bars: DataFrame, n: int) -> DataFrame:
 
 
 def breadth_alert(spark: SparkSession, bars: DataFrame, previous: DataFrame) -> DataFrame:
-    """Running breadth counts per date as bars arrive; previous closes come from a static table."""
-    table = work_dir(spark, "alert-table")
-    df = bars.join(previous, ["code", "date"], "left")
+    """Running breadth counts per date as bars arrive; previous closes come from a static table.
+    Bars are kept by key, and a batch recounts the dates it touches, so a bar that
+    is sent again or corrected counts once and no state grows with the stream."""
+    bars_table, table = work_dir(spark, "bars-table"), work_dir(spark, "alert-table")
+
+    def each(batch: DataFrame, _: int) -> None:
+        upsert_table(spark, bars_table, batch, ["code", "date"], "year", version(bars))
+        dates = batch.select("date").distinct()
+        stored = spark.read.parquet(bars_table).join(dates, "date", "left_semi")
+        upsert_table(spark, table, with_year(alert_counts(stored.join(previous, ["code", "date"], "left"))), ["date"], "year")
+    run(with_year(bars), spark, "alert", each)
+    return spark.read.parquet(table)
+
+
+def alert_counts(df: DataFrame) -> DataFrame:
     cl, op = F.col("close"), F.col("open")
     change = div(cl, "prev_close") - 1
-    agg = df.groupBy("date").agg(
+    return df.groupBy("date").agg(
         F.count(F.lit(1)).alias("n"), br.count_if(cl > op * (1 + br.TOLERANCE)).alias("up_count"),
         br.count_if(cl < op * (1 - br.TOLERANCE)).alias("down_count"),
         br.count_if((cl >= F.col("high") * (1 - br.TOLERANCE)) & (change > br.LIMIT)).alias("limit_up_count"),
         br.count_if((cl <= F.col("low") * (1 + br.TOLERANCE)) & (change < -br.LIMIT)).alias("limit_down_count"),
         F.avg(div(cl, op) - 1).alias("mean_return"))
-    run(with_year(agg), spark, "alert", lambda b, _: upsert_table(spark, table, b, ["date"], "year", "n"), "update")
-    return spark.read.parquet(table)

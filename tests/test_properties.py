@@ -79,7 +79,7 @@ def skewed(spark):
 @pytest.mark.parametrize("split", [True, False])
 def test_average_ranks_equal_pandas(skewed, split):
     pdf, df = skewed
-    got = ranks.avg_rank(df, ["g"], "v", "r", "n", force_split=split).toPandas().sort_values("id")
+    got = ranks.avg_rank(df, ["g"], "v", "r", "n", bounded=not split).toPandas().sort_values("id")
     want = pdf.groupby("g")["v"].rank(method="average")
     assert np.allclose(got["r"].astype(float), want, equal_nan=True)
 
@@ -105,8 +105,8 @@ def test_auc_equals_pair_counting(spark):
 
 def test_cross_rank_forms_agree(market):
     df = t.bias(t.mtm(market.bars())).select("code", "date", F.round("bias", 6).alias("bias"), "mtm")
-    a = labels.cross_rank(df, ["bias", "mtm"], force_split=False)
-    b = labels.cross_rank(df, ["bias", "mtm"], force_split=True)
+    a = labels.cross_rank(df, ["bias", "mtm"], bounded=True)
+    b = labels.cross_rank(df, ["bias", "mtm"], bounded=False)
     j = a.join(b.select("code", "date", F.col("bias").alias("b2"), F.col("mtm").alias("m2")), ["code", "date"])
     assert j.where((F.abs(F.col("bias") - F.col("b2")) > 1e-12) | (F.abs(F.col("mtm") - F.col("m2")) > 1e-12)).count() == 0
     assert j.count() == df.count()
@@ -274,3 +274,84 @@ def test_window_work_needs_no_shuffle_on_the_bucketed_bars(market):
 def test_scan_reads_only_the_needed_columns(market):
     plan = t.roc(market.bars().select("code", "date", "close")).select("code", "date", "roc")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<code:string,date:date,close:double>" in plan
+
+
+# --- one plan at every size, streams with corrections ------------------------
+
+def test_pair_correlation_does_not_depend_on_other_features(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(900, 45)) + rng.normal(size=(900, 1)) + 1000
+    x[rng.random(x.shape) < 0.2] = np.nan
+    names = [f"f{i}" for i in range(45)]
+    pdf = pd.DataFrame(x, columns=names)
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), ", ".join(f"{n} double" for n in names))
+    want = pdf.corr()
+    for part in (names[:5], names[:41], names):
+        got = scoring.correlation_pairs(df, part).collect()
+        assert len(got) == len(part) * (len(part) - 1) // 2
+        assert max(abs(r["corr"] - want.loc[r["f1"], r["f2"]]) for r in got) < 1e-9
+
+
+def test_time_split_keeps_all_rows(market):
+    df = labels.labelled(market.bars())
+    for share in (0.3, 1.0):
+        out = labels.time_split(df, share)
+        assert out.count() == df.count()
+    assert out.where(~F.col("is_train")).count() == 0
+
+
+def test_weight_grid_obeys_steps():
+    assert len(scoring.simplex(4, 20)) == 1771 and len(scoring.simplex(2, 7)) == 8
+
+
+def test_a_year_is_written_by_several_tasks(spark):
+    import glob
+
+    from quantweave.session import work_dir
+    from quantweave.sources.upsert import upsert_table
+    path, before = work_dir(spark, "one-year"), spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    rows = spark.range(0, 60_000, 1, 8).select(F.col("id").alias("code"), F.rand(1).alias("close"), F.lit(2001).alias("year"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        upsert_table(spark, path, rows, ["code"], "year")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len(glob.glob(f"{path.removeprefix('file:')}/year=2001/*.parquet")) > 1 and spark.read.parquet(path).count() == 60_000
+
+
+def corrected_feed(spark, market, label):
+    """All bars in two loads, then late corrections of some old ones, then one load sent again."""
+    from quantweave.streaming import jobs
+    bars = market.bars().select("code", "date", "open", "high", "low", "close", "volume", "amount", "is_st")
+    first, second = bars.where("date < DATE '1996-01-01'"), bars.where("date >= DATE '1996-01-01'")
+    late = bars.where("date BETWEEN DATE '1994-06-01' AND DATE '1994-06-20'").withColumn("close", F.col("close") * 1.04)
+    loads = [df.withColumn("load", F.lit(n)) for n, df in ((1, first), (1, second), (2, late), (1, first))]
+    path, schema = jobs.inbox(spark, [df.coalesce(1) for df in loads], label)
+    final = bars.join(late.select("code", "date", F.col("close").alias("_c")), ["code", "date"], "left").withColumn("close", F.coalesce("_c", "close")).drop("_c")
+    return jobs.files(spark, path, schema, 1), final
+
+
+def same_rows(a, b, keys):
+    a, b = (x.toPandas().sort_values(keys).reset_index(drop=True) for x in (a, b.select(*a.columns)))
+    assert len(a) == len(b)
+    for c in a.columns:
+        if c in keys:
+            assert (a[c] == b[c]).all()
+        else:
+            assert np.allclose(a[c].astype(float), b[c].astype(float), rtol=1e-9, equal_nan=True), c
+
+
+def test_streamed_breadth_follows_corrections(spark, market):
+    from quantweave.operators import breadth
+    from quantweave.streaming import jobs
+    feed, final = corrected_feed(spark, market, "corrected-breadth")
+    same_rows(jobs.breadth_by_date(spark, feed).select("date", *breadth.BREADTH), breadth.breadth(final), ["date"])
+
+
+def test_streamed_alert_counts_each_bar_once(spark, market):
+    from quantweave.functions.windows import lag
+    from quantweave.streaming import jobs
+    feed, final = corrected_feed(spark, market, "repeated-alert")
+    previous = market.bars().select("code", "date", lag("close").alias("prev_close"))
+    want = jobs.alert_counts(final.join(previous, ["code", "date"], "left"))
+    same_rows(jobs.breadth_alert(spark, feed, previous).drop("year"), want, ["date"])
