@@ -6,7 +6,7 @@ import importlib
 
 MODULES = ["flagship", "technical", "recursive", "rolling", "candles", "scans", "filters", "joins",
            "aggregates", "structure", "fundamentals", "features", "labels", "limits", "signals",
-           "scoring", "models", "streams"]
+           "scoring", "models", "streams", "blocks"]
 
 
 def load() -> None:

@@ -18,7 +18,8 @@ SAMPLE = ["flagship_screen", "a02_scan_with_factor", "a07_bar_upsert", "a13_bar_
           "g10_market_structure", "h22_pattern_history", "h24_candle_block", "i09_feature_sets", "l01_stream_upsert", "l05_stream_exit_monitor",
           "l06_stream_kdj", "p01_adjust_to_base", "p02_adjust_as_of", "r04_skew_kurt", "r13_drawdown", "s08_trade_outcome_time_stop",
           "s12_exit_monitor", "s19_weight_search", "u02_pit_series", "u07_sue", "x07_rolling_rank", "x15_cross_rank_split", "x20_board_rank_split",
-          "x24_relevance", "x25_tie_breaker", "x26_base_factors"]
+          "x24_relevance", "x25_tie_breaker", "x26_base_factors", "a21_refresh_block", "r15_whole_block", "x14_fill_infinite",
+          "i09_feature_sets_all", "d25_feature_correlation"]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("FULL") else SAMPLE
 
 
