@@ -46,6 +46,7 @@ PATTERNS = [
     ("harami", 15, "reversal", 60),
 ]
 
+# Signals with and without a direction.
 DIRECTIONAL = ["hammer", "inverted_hammer", "bullish_engulfing", "piercing_line", "morning_star", "three_white_soldiers",
                "shooting_star", "hanging_man", "bearish_engulfing", "dark_cloud_cover", "evening_star",
                "three_black_crows"]

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from itertools import combinations_with_replacement
 from math import prod
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,7 +67,7 @@ def rolling_rank(df: DataFrame, cols: Sequence[str], window: int = 252, min_peri
         pdf = pdf.sort_values("date")
         for c in names:
             r = pd.to_numeric(pdf[c]).rolling(window, min_periods=need).rank(pct=True)
-            pdf[prefix + c] = r.where(pd.notna(pdf[c])).replace({np.nan: None})
+            pdf[prefix + c] = r.where(pd.notna(pdf[c]))
         return pdf
     return df.groupBy("code").applyInPandas(kernel, schema)
 
@@ -152,7 +151,8 @@ FUNDAMENTAL_KEYWORDS = ["pe", "pb", "roe", "roa", "margin", "growth", "yield", "
 LOG_KEYWORDS = ["market_cap", "revenue", "equity", "asset", "profit", "cash"]
 
 
-def matching(cols: Sequence[str], keywords: Sequence[str], limit: int) -> list[str]:
+def matching(cols: Sequence[str], keywords: Sequence[str], limit: int | None = None) -> list[str]:
+    """Columns with a keyword in their name, at most ``limit`` of them (None: all)."""
     keys = [k.lower().replace("_", "") for k in keywords]
     return [c for c in cols if any(k in c.lower().replace("_", "") for k in keys)][:limit]
 
@@ -163,10 +163,14 @@ def pick(cols: Sequence[str], n: int) -> list[str]:
     return random.Random(42).sample(ordered, min(n, len(ordered)))
 
 
-def transform_all(df: DataFrame, factor_cols: Sequence[str]) -> DataFrame:
-    """The whole feature pipeline; column choice happens on names only."""
-    tech = matching(factor_cols, TECHNICAL_KEYWORDS, 100)
-    fund = [c for c in matching(factor_cols, FUNDAMENTAL_KEYWORDS, 10_000) if "slope" not in c and "sharpe" not in c][:60]
+def transform_all(df: DataFrame, factor_cols: Sequence[str], technical_limit: int | None = 100, fundamental_limit: int | None = 60) -> DataFrame:
+    """The whole feature pipeline; column choice happens on names only.
+
+    The draws are the feature: a few columns of each family are combined. The two
+    limits bound the families they draw from (None: no bound).
+    """
+    tech = matching(factor_cols, TECHNICAL_KEYWORDS, technical_limit)
+    fund = [c for c in matching(factor_cols, FUNDAMENTAL_KEYWORDS) if "slope" not in c and "sharpe" not in c][:fundamental_limit]
     chosen = pick(fund, 10)
     df = ratios(df, chosen[:5], chosen[5:10])
     four, six = pick(tech, 4), pick(tech, 6)

@@ -21,11 +21,9 @@ def smooth(x: np.ndarray, n: int, alpha: float) -> np.ndarray:
     if len(present) < n:
         return out
     first = present[0] + n - 1
-    v = float(np.mean(x[present[0]:first + 1]))
-    out[first] = v
-    for i in range(first + 1, len(x)):
-        v += alpha * (x[i] - v)
-        out[i] = v
+    tail = np.array(x[first:], dtype=float)
+    tail[0] = np.mean(x[present[0]:first + 1])
+    out[first:] = ewm(tail, alpha)
     return out
 
 
@@ -89,10 +87,9 @@ def directional(h, lo, c, n):
     def decayed(x):
         out = np.full(len(x), np.nan)
         if len(x) > n:
-            v = float(np.sum(x[1:n]))
-            for i in range(n, len(x)):
-                v = v - v / n + x[i]
-                out[i] = v
+            # the decayed sum is n times an exponential average that starts from the sum of the first values
+            start = float(np.sum(x[1:n]))
+            out[n:] = n * ewm(np.r_[start / n, x[n:]], 1 / n)[1:]
         return out
     base = decayed(tr)
     return 100 * ratio(decayed(plus), base, 0.0), 100 * ratio(decayed(minus), base, 0.0)
@@ -115,11 +112,9 @@ def stoch_rsi(c, n, fast_k=5, fast_d=3):
 
 
 def ewm(x, alpha):
-    out = np.empty(len(x))
-    v = x[0]
-    for i, xi in enumerate(x):
-        v = v + alpha * (xi - v) if i else xi
-        out[i] = v
+    """Exponential average from the first value on; nothing is known after a missing value."""
+    out = pd.Series(x).ewm(alpha=alpha, adjust=False).mean().to_numpy(copy=True)
+    out[np.logical_or.accumulate(np.isnan(x))] = np.nan
     return out
 
 

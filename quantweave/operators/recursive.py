@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -44,5 +43,5 @@ def recursive(df: DataFrame, which: Sequence[str] = ALL, params: dict | None = N
         for w in which:
             names, f = table[w]
             out.update(zip(names, f(g)))
-        return pd.DataFrame(out).replace({np.nan: None})
+        return pd.DataFrame(out)  # NaN becomes null on the way to Arrow
     return source.groupBy("code").applyInPandas(kernel, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -90,16 +90,11 @@ def dispersion(df: DataFrame, prob: str) -> DataFrame:
 
 
 def simplex(n_models: int, steps: int = 20) -> list[list[float]]:
-    """All weight vectors on the grid of ``steps`` steps that sum to 1. Their number grows as
-    ``steps`` to the power of ``n_models - 1``: choose fewer steps for many models."""
-    def rec(left, n):
-        if n == 1:
-            yield [left]
-        else:
-            for i in range(left + 1):
-                for rest in rec(left - i, n - 1):
-                    yield [i, *rest]
-    return [[w / steps for w in v] for v in rec(steps, n_models)]
+    """All weight vectors on the grid of ``steps`` steps that sum to 1: every way to set
+    ``n_models - 1`` bars among ``steps`` stars. Their number grows as ``steps`` to the power of
+    ``n_models - 1``, so choose fewer steps for many models."""
+    places = steps + n_models - 1
+    return [[(right - left - 1) / steps for left, right in pairwise((-1, *bars, places))] for bars in combinations(range(places), n_models - 1)]
 
 
 def weight_search(df: DataFrame, scores: Sequence[str], label: str, steps: int = 20) -> DataFrame:
@@ -191,15 +186,21 @@ def borda(score_tables: dict[str, DataFrame], n: int) -> DataFrame:
 
 
 def drop_redundant(pairs: DataFrame, scores: DataFrame, features: Sequence[str], threshold: float = 0.95) -> list[str]:
-    """Greedy removal over strongly correlated pairs. Only pairs above the threshold reach the
-    driver: at most (features)^2 / 2 numbers, independent of the rows."""
-    hot = {(r["f1"], r["f2"]) for r in pairs.where(F.abs("corr") > threshold).select("f1", "f2").collect()}
-    rank = {r["feature"]: r["score"] for r in scores.collect()}
-    gone: set[str] = set()
-    for a, b in combinations(features, 2):
-        if (a, b) in hot and a not in gone and b not in gone:
-            gone.add(a if rank.get(a, float("-inf")) < rank.get(b, float("-inf")) else b)
-    return [f for f in features if f not in gone]
+    """Sweep from the best score down: a feature stays unless it correlates above the
+    threshold with one that stays. Equal scores go in the order of ``features``; a feature
+    without a score comes last. Only the strong pairs reach the driver, at most
+    features squared, independent of the rows."""
+    place = {f: i for i, f in enumerate(features)}
+    strong: dict[str, set[str]] = {f: set() for f in features}
+    for f1, f2 in pairs.where(F.abs("corr") > threshold).select("f1", "f2").collect():
+        strong[f1].add(f2)
+        strong[f2].add(f1)
+    score = {r["feature"]: r["score"] for r in scores.collect() if r["score"] is not None}
+    kept: set[str] = set()
+    for f in sorted(features, key=lambda f: (f not in score, -score.get(f, 0.0), place[f])):
+        if not strong[f] & kept:
+            kept.add(f)
+    return [f for f in features if f in kept]
 
 
 def contributions(row: DataFrame, features: Sequence[str], importance: DataFrame, n: int = 20) -> DataFrame:
