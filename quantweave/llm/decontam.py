@@ -160,6 +160,19 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **kw)
     return docs
 
 
-@query("op9_benchmark_decontamination")
+ORACLE = rf"""
+WITH low AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+items AS (SELECT row_number() OVER () AS iid, item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+i5 AS (SELECT iid, item_id, len(w) AS n, g, count(*) AS c FROM (SELECT iid, item_id, w, array_to_string(w[j:j+4], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 3)) AS j FROM items WHERE len(w) >= {SHINGLE})) GROUP BY ALL),
+d5 AS (SELECT rid, doc_id, len(w) AS size, j - 1 AS j, array_to_string(w[j:j+4], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 3)) AS j FROM low WHERE len(w) >= {SHINGLE})),
+h AS (SELECT rid, doc_id, size, iid, item_id, n, j, g, c FROM d5 JOIN i5 USING (g)),
+s AS (SELECT DISTINCT rid, iid, j - o AS s FROM (SELECT rid, iid, size, n, j, unnest(range(0, n - {SHINGLE - 1})) AS o FROM h) WHERE j - o BETWEEN 0 AND size - n),
+m AS (SELECT rid, doc_id, iid, item_id, n, s, g, least(count(*), any_value(c)) AS b FROM s JOIN h USING (rid, iid) WHERE j BETWEEN s AND s + n - {SHINGLE} GROUP BY ALL),
+v AS (SELECT rid, doc_id, iid, item_id, n, s, (sum(b) / (2 * (n - {SHINGLE - 1}) - sum(b)))::DOUBLE AS sim FROM m GROUP BY rid, doc_id, iid, item_id, n, s)
+SELECT doc_id, item_id, max(sim) AS similarity, arg_min(s, [-sim, s])::BIGINT AS first_word, any_value(n)::BIGINT AS n_words
+FROM v WHERE sim >= {SIMILARITY} GROUP BY rid, doc_id, iid, item_id"""
+
+
+@query("op9_benchmark_decontamination", ORACLE)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

@@ -283,7 +283,18 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(at, "rid", "left").select("doc_id", strip("text", "at", "runs").alias("x")).select("doc_id", "x.*")
 
 
-@query("op3_substring_dedup")
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+x AS (SELECT rid, i, array_to_string(w[i:i+{WINDOW - 1}], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW})),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY g) AS c FROM x) WHERE c > 1),
+c AS (SELECT DISTINCT rid, i + o AS j FROM r, (SELECT unnest(range(0, {WINDOW})) AS o)),
+t AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+k AS (SELECT rid, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n FROM t ANTI JOIN c USING (rid, j) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)"""
+
+
+@query("op3_substring_dedup", ORACLE)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeats(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
