@@ -314,7 +314,7 @@ def build_vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(words, freq, int(n), int(v), total, types)
 
 
-def averaged(parts: DataFrame, length: int) -> np.ndarray | None:
+def averaged(parts: DataFrame) -> np.ndarray | None:
     """Weighted mean of parameter blocks ``(fan, block, weight, v)``, in two levels."""
     kind = "fan int, block int, weight double, v binary"
 
@@ -326,10 +326,11 @@ def averaged(parts: DataFrame, length: int) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(bytes(r.v), "<f8") for r in rows]) if rows else None
 
 
-def trained(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> dict:
-    """Parameters after ``rounds`` rounds over ``texts(text, round)``; a round trains on its own documents."""
+def trained(texts: DataFrame, shared, rounds: int = ROUNDS) -> dict:
+    """Parameters after ``rounds`` rounds over ``texts(text, round)``; a round trains on its own
+    documents. ``shared`` is the broadcast vocabulary."""
     context = texts.sparkSession.sparkContext
-    p, shared = new_parameters(vocab), context.broadcast(vocab)
+    p = new_parameters(shared.value)
     for r in range(rounds):
         current = context.broadcast(p)
 
@@ -352,7 +353,8 @@ def trained(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> dict:
                     "fan": pa.array([seen % FAN] * len(cuts), pa.int32()), "block": pa.array([c // BLOCK for c in cuts], pa.int32()),
                     "weight": pa.array([float(seen)] * len(cuts)), "v": pa.array([v[c:c + BLOCK].tobytes() for c in cuts], pa.binary())})
         parts = texts.filter(F.col("round") == r).select("text").mapInArrow(run, "fan int, block int, weight double, v binary")
-        mean = averaged(parts, len(flat(p)))
+        mean = averaged(parts)
+        current.unpersist()
         if mean is not None:
             p = unflat(mean, p)
     return p
@@ -373,9 +375,9 @@ def log_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", roun
     train = rows.filter(~F.col("held_out"))
     counts = staged(token_counts(train), "token-counts")
     vocab = build_vocabulary(counts)
-    p = trained(train, vocab, rounds)
     context = docs.sparkSession.sparkContext
-    shared, weights = context.broadcast(vocab), context.broadcast(p)
+    shared = context.broadcast(vocab)
+    weights = context.broadcast(trained(train, shared, rounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
