@@ -6,9 +6,10 @@ joined segments: the table holds each fingerprint under its own keys, a probe
 asks for every value in the small Hamming ball around its own keys, and the
 complete distance of each match is then verified.
 
-Two forms share this: :func:`linked_components` links 64-bit fingerprints at a
-small radius without losing a link, and :func:`near_duplicates` groups documents
-by the similarity of their shingles with longer fingerprints as the filter.
+:func:`linked_components` links 64-bit fingerprints at a small radius without
+losing a link. :func:`near_duplicates` groups documents by the exact similarity of
+their shingles: two sets of similarity 0.8 share one of their rarest shingles, so
+texts meet under those (a prefix join) and no fingerprint decides.
 
 Only one of two fingerprints needs to probe for a bit in which they differ, so
 balls hold only flips from 0 to 1. Equal fingerprints are folded map-side
@@ -18,10 +19,12 @@ before anything is joined, so copies cost nothing.
 from __future__ import annotations
 
 import functools
-import itertools
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,29 +148,21 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- groups by shingle similarity -------------------------------------------------------------
 
-#: At similarity 0.8 the complete distance is about 25 of 256 bits with a deviation of 4.7; the filter keeps 99.5 % of such pairs, more of closer ones.
-FAMILIES, INDEX_BITS, FILTER_BITS = 4, 24, 37
-SHINGLE, SIMILARITY = 5, 0.8
+SHINGLE = 5
+#: Least similarity as a fraction, so that prefixes and bounds are whole numbers.
+PART, WHOLE = 4, 5
+SIMILARITY = PART / WHOLE
+#: Counters of the order of the shingles, and how many of them travel in one row.
+ORDER_BITS, ORDER_BLOCK = 24, 16
 
 
-def long_fingerprint(text: str | None) -> list[int]:
-    """256 bits: four 64-bit fingerprints over the distinct pairs of neighbouring words."""
-    parts = list(dict.fromkeys(shingles(normal_words(text), 2)))
-    first = hashed(parts, SEED)
-    return [signed(majority(first if not f else hashed(parts, SEED + f))) for f in range(FAMILIES)]
-
-
-def shingle_set(text: str | None) -> bytes:
+def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the five-word shingles."""
-    return np.unique(hashed(shingles(normal_words(text), SHINGLE), SEED)).astype("<u8").tobytes()
-
-
-def _long_fingerprints(texts: pd.Series) -> pd.Series:
-    return texts.map(long_fingerprint, na_action=None)
+    return np.unique(hashed(shingles(normal_words(text), SHINGLE), SEED))
 
 
 def _shingle_sets(texts: pd.Series) -> pd.Series:
-    return texts.map(shingle_set, na_action=None)
+    return texts.map(lambda t: shingle_set(t).astype("<u8").tobytes(), na_action=None)
 
 
 def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -178,66 +173,116 @@ def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def index_segments(bits: int) -> list[list[tuple[int, int]]]:
-    """Segments of ``bits`` bits as (word, bit) lists, over all families."""
-    flat = [(f, b) for f, b in itertools.product(range(FAMILIES), range(64))]
-    return [flat[i:i + bits] for i in range(0, len(flat) - bits + 1, bits)]
+def order_slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
 
 
-def _segment_value(at: list[tuple[int, int]]) -> Column:
-    """The segment as a number: at most two words take part."""
-    out, shift = F.lit(0).cast("long"), 0
-    for word, group in itertools.groupby(at, key=lambda x: x[0]):
-        group = [b for _, b in group]
-        part = F.shiftrightunsigned(F.get("fp", F.lit(word)), group[0]).bitwiseAND(F.lit((1 << len(group)) - 1).cast("long"))
-        out, shift = out.bitwiseOR(F.shiftleft(part, shift)), shift + len(group)
-    return out
-
+def shingle_levels(rows: DataFrame) -> np.ndarray:
+    """How often the shingles of each counter occur in ``rows(n, text)``, on a logarithmic scale.
 
-def candidate_pairs(prints: DataFrame, bits: int = INDEX_BITS) -> DataFrame:
-    """(a, b, d): every fingerprint with the representatives of the index entries that
-    its segment balls reach, complete distances verified.
+    It only sets the order in which prefixes are filled, so shingles that share a
+    counter cost work and lose nothing. Level 0: at most one text of one task.
+    """
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << ORDER_BITS, np.uint32)
+        for batch in batches:
+            texts = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for text in texts.values():
+                np.add.at(counts, order_slots(shingle_set(text)), 1)
+        for block, part in enumerate(np.minimum(counts, 65535).astype("<u2").reshape(-1, 1 << ORDER_BLOCK)):
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(1 << ORDER_BLOCK)
+        for raw in pdf["counts"]:
+            total += np.frombuffer(zlib.decompress(raw), "<u2")
+        return pdf[["block"]].head(1).assign(levels=np.ceil(8 * np.log2(np.maximum(total, 1))).clip(0, 255).astype(np.uint8).tobytes())
+    out = np.zeros((1 << ORDER_BITS - ORDER_BLOCK, 1 << ORDER_BLOCK), np.uint8)
+    for r in rows.select("n", "text").mapInArrow(partial, "block int, counts binary").groupBy("block").applyInPandas(merge, "block int, levels binary").collect():
+        out[r.block] = np.frombuffer(bytes(r.levels), np.uint8)
+    return out.ravel()
+
+
+def prefix(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set: two sets of similarity 0.8 or more share one of them.
+
+    Of ``x`` shingles at least 4/5 lie in the other set, so all but the last 4/5 less
+    one, in an order that is the same for all texts, cannot miss every shared one.
+    """
+    keep = len(hashes) + (-PART * len(hashes)) // WHOLE + 1
+    return hashes[np.lexsort((hashes, levels[order_slots(hashes)]))[:keep]] if len(hashes) else hashes
+
+
+def prefix_entries(rows: DataFrame, levels) -> DataFrame:
+    """(key, n, size, pos): the prefix of each text of ``rows(n, text)``, with the place of the
+    shingle and the number of shingles. ``levels`` is a broadcast. Shingles of one text alone are left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            keys, at, size = [], [], []
+            for text in texts.values():
+                hashes = shingle_set(text)
+                first = prefix(hashes, levels.value)
+                pos = np.flatnonzero(levels.value[order_slots(first)])
+                keys.append(first[pos])
+                at.append(pos)
+                size.append(len(hashes))
+            counts = [len(x) for x in keys]
+            if sum(counts):
+                yield pa.RecordBatch.from_pydict({
+                    "key": pa.array(np.concatenate(keys).view(np.int64)), "n": pa.array(np.repeat(np.array(list(texts), np.int64), counts)),
+                    "size": pa.array(np.repeat(size, counts).astype(np.int32)), "pos": pa.array(np.concatenate(at).astype(np.int32))})
+    return rows.select("n", "text").mapInArrow(run, "key long, n long, size int, pos int").distinct()
+
+
+def possible(size: Column, pos: Column, other_size: Column, other_pos: Column) -> Column:
+    """Whether two texts can be similar whose first common shingle is at these places."""
+    return (PART + WHOLE) * F.least(size - pos, other_size - other_pos) >= PART * (size + other_size)
+
+
+def shared_entries(rows: DataFrame, levels) -> DataFrame:
+    """The entries of keys that several texts hold."""
+    entries = staged(prefix_entries(rows, levels), "entries")
+    several = entries.groupBy("key").agg(F.min("n").alias("x"), F.max("n").alias("y")).filter("x < y").select("key")
+    return staged(entries.join(several, "key", "left_semi"), "shared")
+
+
+def candidate_pairs(entries: DataFrame) -> DataFrame:
+    """(a, b, d): every text with the representatives of its prefix entries; ``d`` is smaller the more entries meet.
 
     An entry's representatives are its smallest and largest row number and the
     smallest by hash, so an entry of any size gives its members at most three
     pairs each. Members of a group meet in many entries and through each other.
     """
-    segments = index_segments(bits)
-    values = prints.select("n", "fp", F.array(*[_segment_value(s).bitwiseOR(F.lit(i << 32).cast("long")) for i, s in enumerate(segments)]).alias("own"))
-    single = F.array(*[F.lit(1 << b).cast("long") for b in range(bits)])
-    around = F.flatten(F.transform("own", lambda v: F.transform(F.filter(single, lambda x: v.bitwiseAND(x) == 0), lambda x: v.bitwiseOR(x))))
-    heads = (values.select("n", F.explode("own").alias("key")).groupBy("key")
-             .agg(F.min("n").alias("x"), F.max("n").alias("y"), F.min_by("n", F.xxhash64("n")).alias("z"))
+    one = F.struct("n", "size", "pos")
+    heads = (entries.groupBy("key").agg(F.min_by(one, "n").alias("x"), F.max_by(one, "n").alias("y"), F.min_by(one, F.xxhash64("n")).alias("z"))
              .select("key", F.array_distinct(F.array("x", "y", "z")).alias("heads")))
-    probes = values.select(F.col("n").alias("p"), F.explode(F.concat("own", around)).alias("key"))
-    pairs = (probes.join(heads, "key").select("p", F.explode("heads").alias("h")).filter("p <> h")
-             .select(F.least("p", "h").alias("a"), F.greatest("p", "h").alias("b")).distinct())
-    a, b = prints.select(F.col("n").alias("a"), F.col("fp").alias("fa")), prints.select(F.col("n").alias("b"), F.col("fp").alias("fb"))
-    apart = functools.reduce(lambda x, y: x + y, [F.bit_count(F.get("fa", F.lit(i)).bitwiseXOR(F.get("fb", F.lit(i)))) for i in range(FAMILIES)])
-    return pairs.join(a, "a").join(b, "b").withColumn("d", apart).filter(F.col("d") <= FILTER_BITS).select("a", "b", "d")
+    pairs = (entries.join(heads, "key").select("n", "size", "pos", F.explode("heads").alias("h"))
+             .filter((F.col("n") != F.col("h.n")) & possible(F.col("size"), F.col("pos"), F.col("h.size"), F.col("h.pos"))))
+    return pairs.groupBy(F.least("n", "h.n").alias("a"), F.greatest("n", "h.n").alias("b")).agg((-F.count(F.lit(1))).alias("d"))
 
 
 def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def near_duplicates(docs: DataFrame, bits: int = INDEX_BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n, group_n): hash of the text and of the first text of its group.
 
     Equal texts share ``n`` and are folded first. Different texts link if at least
     0.8 of their five-word shingles agree, and ``group_n`` names the component.
-    ``bits`` is the width of an index key: add one for each doubling of a corpus
-    beyond some ten million different texts.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_hash(F.col(text)).alias("n"), F.col(text).alias("text")).withColumn("k", F.xxhash64("doc_id", "n"))
-    prints = staged(rows.select("doc_id", "k", "n", F.pandas_udf(_long_fingerprints, "array<long>")("text").alias("fp")), "prints")
-    distinct = prints.groupBy("n").agg(F.first("fp").alias("fp"), F.min("k").alias("k"))
-    pairs = staged(candidate_pairs(distinct, bits), "pairs")
+    levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(rows))
+    entries = shared_entries(rows, levels)
+    pairs = staged(candidate_pairs(entries), "pairs")
+    members = staged(rows.select("doc_id", "k", "n"), "texts")
     involved = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()
-    texts = rows.select("k", "text").join(distinct.join(involved, "n", "left_semi").select("k", "n"), "k")
-    sets = staged(texts.select("n", F.pandas_udf(_shingle_sets, "binary")("text").alias("s")).dropDuplicates(["n"]), "sets")
+    firsts = members.groupBy("n").agg(F.min("k").alias("k")).join(involved, "n", "left_semi")
+    sets = staged(rows.select("k", "text").join(firsts, "k").select("n", F.pandas_udf(_shingle_sets, "binary")("text").alias("s")).dropDuplicates(["n"]), "sets")
     labels = linked_groups(pairs, sets)
-    return prints.select("doc_id", "n").join(labels, "n", "left").select("doc_id", "n", F.coalesce("label", "n").alias("group_n"))
+    return members.select("doc_id", "n").join(labels, "n", "left").select("doc_id", "n", F.coalesce("label", "n").alias("group_n"))
 
 
 def linked_groups(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -263,14 +308,14 @@ def linked_groups(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return connected_components(first.unionByName(verified(rest))).select(F.col("node").alias("n"), "label")
 
 
-def keep_first(docs: DataFrame, bits: int = INDEX_BITS) -> DataFrame:
+def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id.
 
     Defined cases: null and empty texts are equal texts; a null doc_id comes after
     all others; of rows with the same id and text one stays; extra columns pass
     through; an empty table stays empty.
     """
-    members = staged(near_duplicates(docs, bits), "members")
+    members = staged(near_duplicates(docs), "members")
     firsts = members.groupBy("group_n").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "n")).alias("x")).select(F.xxhash64("x.doc_id", "x.n").alias("k"))
     rows = packed(docs, k=F.xxhash64("doc_id", text_hash(F.col("text"))))
     return rows.join(firsts, "k", "left_semi").dropDuplicates(["k"]).select("_row.*")

@@ -81,3 +81,24 @@ def test_keep_first(spark):
     assert [d for d, t in got if t == body] == [1] and 9 not in {d for d, _ in got}  # 9 is body and one word
     assert sorted(d for d, t in got if not t) == [2] and 4 in {d for d, _ in got}
     assert S.keep_first(docs.limit(0)).count() == 0
+
+
+def same_groups(docs, got):
+    want, have = similar_groups(docs), [got[d] for d, _ in docs]
+    return len(set(zip(want, have, strict=True))) == len(set(want)) == len(set(have))
+
+
+def test_block_edits_near_the_threshold(spark):
+    rng, docs = np.random.default_rng(5), []
+    for i in range(160):  # pairs with one block replaced, text appended or cut off, similarity from 0.79 up
+        ws = [f"w{x}" for x in rng.integers(0, 1 << 40, rng.integers(80, 400))]
+        m = len(ws) - 4
+        own = [f"o{x}" for x in rng.integers(0, 1 << 40, m)]
+        many = int(m * rng.uniform(0.18, 0.255))
+        swap = max(1, int(m * rng.uniform(0.08, 0.115)) - 4)
+        at = int(rng.integers(4, len(ws) - swap - 4))
+        other = [ws + own[:many], ws[:len(ws) - int(m * rng.uniform(0.15, 0.205))], ws[:at] + own[:swap] + ws[at + swap:]][i % 3]
+        docs += [(2 * i, " ".join(ws)), (2 * i + 1, " ".join(other))]
+    linked = len(docs) - len(set(similar_groups(docs)))
+    assert 100 < linked < 160
+    assert same_groups(docs, {r.doc_id: r.group_n for r in S.near_duplicates(frame(spark, docs)).collect()})
