@@ -253,7 +253,8 @@ def candidate_pairs(entries: DataFrame) -> DataFrame:
 
     An entry's representatives are its smallest and largest row number and the
     smallest by hash, so an entry of any size gives its members at most three
-    pairs each. Members of a group meet in many entries and through each other.
+    pairs each. These connect most groups at little cost; :func:`pairs_between`
+    then takes all that lie in two components.
     """
     one = F.struct("n", "size", "pos")
     heads = (entries.groupBy("key").agg(F.min_by(one, "n").alias("x"), F.max_by(one, "n").alias("y"), F.min_by(one, F.xxhash64("n")).alias("z"))
@@ -278,19 +279,35 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     entries = shared_entries(rows, levels)
     pairs = staged(candidate_pairs(entries), "pairs")
     members = staged(rows.select("doc_id", "k", "n"), "texts")
-    involved = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()
-    firsts = members.groupBy("n").agg(F.min("k").alias("k")).join(involved, "n", "left_semi")
+    firsts = members.groupBy("n").agg(F.min("k").alias("k")).join(entries.select("n").distinct(), "n", "left_semi")
     sets = staged(rows.select("k", "text").join(firsts, "k").select("n", F.pandas_udf(_shingle_sets, "binary")("text").alias("s")).dropDuplicates(["n"]), "sets")
-    labels = linked_groups(pairs, sets)
+    labels = linked_groups(pairs, sets, entries)
     return members.select("doc_id", "n").join(labels, "n", "left").select("doc_id", "n", F.coalesce("label", "n").alias("group_n"))
 
 
-def linked_groups(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(n, label) of the texts that verified pairs connect.
+def pairs_between(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): all pairs of different components that meet in an entry and can be similar.
 
-    The closest pair of every text is verified first. Of the other pairs only those that
-    still lie in two components can change anything, so a group of many copies costs
-    about one comparison for each member, and no connection is lost.
+    Entries inside one component go first; of the others each pair of components
+    is one row until its members are paired.
+    """
+    tagged = staged(entries.join(labels.select(F.col("node").alias("n"), "label"), "n", "left").withColumn("label", F.coalesce("label", "n")), "tagged")
+    mixed = tagged.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
+    sides = staged(tagged.join(mixed, "key", "left_semi").groupBy("key", "label").agg(F.collect_list(F.struct("n", "size", "pos")).alias("m")), "sides")
+    left, right = sides.select("key", F.col("label").alias("la"), F.col("m").alias("ma")), sides.select("key", F.col("label").alias("lb"), F.col("m").alias("mb"))
+    met = left.join(right, "key").filter("la < lb").select(F.explode("ma").alias("x"), "mb")
+    near = F.filter("mb", lambda y: possible(F.col("x.size"), F.col("x.pos"), y["size"], y["pos"]))
+    return met.select("x", F.explode(near).alias("y")).select(F.least("x.n", "y.n").alias("a"), F.greatest("x.n", "y.n").alias("b")).distinct()
+
+
+def linked_groups(pairs: DataFrame, sets: DataFrame, entries: DataFrame) -> DataFrame:
+    """(n, label) of the texts that similar pairs connect.
+
+    Of the pairs with representatives the closest of every text is verified first, then
+    those that still lie in two components, then every other pair of an entry that does.
+    A pair inside one component can change nothing, so a group of many copies costs
+    about one comparison for each member, and every pair of similar texts is either
+    verified or inside one component.
     """
     def verified(some: DataFrame) -> DataFrame:
         return (some.join(sets.select(F.col("n").alias("a"), F.col("s").alias("sa")), "a")
@@ -305,7 +322,10 @@ def linked_groups(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
             .join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
             .filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"))
-    return connected_components(first.unionByName(verified(rest))).select(F.col("node").alias("n"), "label")
+    links = staged(first.unionByName(verified(rest)), "links")
+    labels = staged(connected_components(links), "labels")
+    others = pairs_between(entries, labels).join(pairs, ["a", "b"], "left_anti")
+    return connected_components(links.unionByName(verified(others))).select(F.col("node").alias("n"), "label")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

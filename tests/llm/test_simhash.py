@@ -102,3 +102,27 @@ def test_block_edits_near_the_threshold(spark):
     linked = len(docs) - len(set(similar_groups(docs)))
     assert 100 < linked < 160
     assert same_groups(docs, {r.doc_id: r.group_n for r in S.near_duplicates(frame(spark, docs)).collect()})
+
+
+def test_pairs_that_meet_only_in_hot_entries(spark):
+    rng = np.random.default_rng(8)
+    base, docs = [f"t{i}" for i in range(300)], []
+    for i in range(40):  # one template, own endings: under 0.8 between texts, and over 0.8 inside a pair
+        own = [f"p{i}x{j}" for j in range(44)]
+        for side in range(2):
+            tail = [f"s{i}x{side}x{j}" for j in range(26)]
+            docs.append((2 * i + side, " ".join(base + own + tail)))
+    rng.shuffle(docs)
+    docs = [(int(d), str(t)) for d, t in docs]
+    assert 1 < len(set(similar_groups(docs))) < len(docs)
+    assert same_groups(docs, {r.doc_id: r.group_n for r in S.near_duplicates(frame(spark, docs)).collect()})
+
+
+def test_every_pair_of_an_entry_is_taken(spark):
+    sets = {i: np.arange(100 * (i // 2), 100 * (i // 2) + 20, dtype="<u8") for i in range(20)}  # equal sets 2k, 2k + 1
+    for i in range(20):
+        sets[i] = np.sort(np.append(sets[i], np.uint64(10_000 + i)))
+    entries = spark.createDataFrame([(7, i, 21, 0) for i in sets], "key long, n long, size int, pos int")  # all meet in one entry alone
+    table = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "n long, s binary")
+    got = {r.n: r.label for r in S.linked_groups(S.candidate_pairs(entries), table, entries).collect()}
+    assert got == {i: i // 2 * 2 for i in range(20)}
