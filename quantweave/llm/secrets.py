@@ -39,7 +39,9 @@ ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_.-])ey[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*){2,4}")
-ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*={0,2}")
+#: Lines of a wrapped body, of which the last may be short, and lines that only follow it; :func:`encoded_spans` finds where a body starts and ends.
+ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?:\r?\n(?!-----)[A-Za-z0-9+/_-]{16,})*(?:\r?\n(?!-----)[A-Za-z0-9+/_-]{1,15})?={0,2}")
+ENCODED_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 HEX_BYTES = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){24,}(?![0-9A-Za-z])")
 KEY_NAMES = (b"ssh-", b"ecdsa-", b"sk-")
 OPENSSH = b"openssh-key-v1\x00"
@@ -124,6 +126,55 @@ def is_jwt(text: str) -> bool:
     return isinstance(header, dict) and isinstance(body, dict) and isinstance(header.get("alg"), str) and (len(parts) == 3 or isinstance(header.get("enc"), str))
 
 
+def fields_end(data: bytes, at: int, count: int) -> int | None:
+    """Where ``count`` length-prefixed fields end; None if the data end before."""
+    for _ in range(count):
+        at += 4 + int.from_bytes(data[at:at + 4], "big")
+        if at > len(data):
+            return None
+    return at
+
+
+def possible_ends(data: bytes) -> list[int]:
+    """Numbers of bytes after which a structure that starts ``data`` may end."""
+    if data[:1] == b"\x30" and len(data) > 6:
+        n = data[1] & 0x7F if data[1] & 0x80 else 0
+        return [2 + n + (int.from_bytes(data[2:2 + n], "big") if n else data[1])] if n <= 4 else []
+    if data.startswith(OPENSSH):  # cipher, derivation and its options, number of keys, public keys, private part
+        at = fields_end(data, len(OPENSSH), 3)
+        end = at and fields_end(data, at + 4, min(int.from_bytes(data[at:at + 4], "big"), len(data)) + 1)
+        return [end] if end else [len(data)]
+    if not data[4:].startswith(KEY_NAMES):
+        return []
+    ends, at = [], 0
+    while at + 4 <= len(data) and (at := fields_end(data, at, 1)):
+        ends.append(at)
+    return ends[1:]
+
+
+def encoded_spans(m: re.Match) -> list[tuple[str, int, int]]:
+    """The confirmed keys of a run of base64 lines: each from the start of a line to the end of the same or a later one."""
+    lines = [(m.start() + x.start(), x[0]) for x in ENCODED_LINE.finditer(m[0])]
+    out, i = [], 0
+    while i < len(lines):
+        start, first = lines[i]
+        after, i = i + 1, i + 1
+        if len(first) < 32 or not (head := decoded(first[:32])) or not (head[0] == 0x30 or head.startswith(OPENSSH) or head[4:].startswith(KEY_NAMES)):
+            continue
+        body = "".join(x for _, x in lines[after - 1:])
+        data = decoded(body[:-1] if len(body) % 4 == 1 else body)
+        ends, chars = set(possible_ends(data)), 0
+        found = None
+        for j, (at, line) in enumerate(lines[after - 1:], after - 1):
+            chars += len(line)
+            size = chars * 6 // 8
+            if chars % 4 != 1 and size in ends and (kind := "der" if is_key(data[:size]) else "ssh" if is_ssh(data[:size]) else None):
+                found, i = (kind, start, m.end() if j == len(lines) - 1 else at + len(line)), j + 1
+        if found:
+            out.append(found)
+    return out
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     """All spans, by start, then kind in the order of ``KINDS``."""
     text = text or ""
@@ -134,15 +185,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     if "ey" in text:
         out += [("jwt", *m.span()) for m in JWT.finditer(text) if is_jwt(m[0])]
     for m in ENCODED.finditer(text):
-        data = decoded(m[0])
-        if data is None and "\n" in m[0]:  # following lines that are no part of it
-            data = decoded(m[0].split("\n")[0])
-            end = m.start() + len(m[0].split("\n")[0].rstrip("\r"))
-        else:
-            end = m.end()
-        kind = "der" if is_key(data) else "ssh" if is_ssh(data) else None
-        if kind:
-            out.append((kind, m.start(), end))
+        out += encoded_spans(m)
     out += [("der", *m.span()) for m in HEX_BYTES.finditer(text) if m[0][:2] == "30" and is_key(bytes.fromhex(m[0]))]
     return sorted(set(out), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

@@ -110,6 +110,23 @@ def test_confirmed_structures():
     assert not kinds("A" * 200) and not kinds("deadbeef" * 20) and not kinds(base64.b64encode(bytes(range(256))).decode())
 
 
+def test_wrapped_bodies_of_every_length():
+    for width in (64, 76):
+        for n in range(40, 40 + 3 * width // 4 * 4):
+            key = der(0x30, number(0), der(0x30, OID, der(5)), der(4, b"k" * n))
+            for body in (base64.b64encode(key).decode(), base64.urlsafe_b64encode(key).decode().rstrip("=")):
+                wrapped = "\n".join(re.findall(f".{{1,{width}}}", body))
+                for after in ("\n-----END X-----", "\nsome words", "\nAnticonstitutionnellement so", "\n" + "abcdefgh" * 8 + "\nxy"):
+                    assert kinds(f"-----BEGIN X-----\n{wrapped}{after}") == [("der", wrapped)], (width, n, after)
+
+
+def test_neighbouring_bodies():
+    one, two = base64.b64encode(PRIVATE).decode().rstrip("="), base64.b64encode(RSA).decode()
+    wide = "\n".join(re.findall(".{1,64}", two))
+    assert kinds(f"{one}\n{wide}") == [("der", one), ("der", wide)]
+    assert kinds("abcdefgh" * 5 + f"\n{one}\nend") == [("der", one)]
+
+
 def plain_secrets(text):
     text, out = text or "", []
     rules = [("assign", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[1]) >= 6),
