@@ -1,12 +1,10 @@
-"""Benchmark decontamination by SimHash windows (operator 9).
+"""Benchmark decontamination by windows of the size of an item (operator 9).
 
-Every benchmark item of ``n`` words has a 64-bit fingerprint over its five-word
-shingles, and so has every window of ``n`` words of a document that shares at
-least one shingle with an item of that size; other windows have similarity 0.
-Item fingerprints are indexed by eight blocks of eight bits, each under the nine
-values of its Hamming ball of radius one: of 15 differing bits some block holds at most one, so the index finds
-every item within 15 bits. Those are verified by the exact weighted similarity of
-the shingles (sum of the smaller over sum of the larger counts), 0.8 or more.
+The similarity of an item and a window is the exact weighted one of their five-word
+shingles (sum of the smaller over sum of the larger counts), 0.8 or more. A similar
+window holds one of the rarest fifth of the item's shingles, so an index of those
+finds the items of a document; windows that hold enough shingles of such an item
+are then compared, all of them.
 
 The index of a block of items is broadcast; its size is bounded by
 ``BLOCK_WORDS`` words, and a larger benchmark is searched block after block.
@@ -27,8 +25,11 @@ from quantweave.llm.base import query, read, word_array
 from quantweave.llm.simhash import normal_words, shingles
 from quantweave.llm.substring import ROLL, mixed, rolling, word_hashes
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 15
-BLOCKS, BLOCK_BITS, FILTER_BITS = 8, 8, 24
+SHINGLE = 5
+#: Least similarity as a fraction, so that prefixes and bounds are whole numbers.
+PART, WHOLE = 4, 5
+SIMILARITY = PART / WHOLE
+FILTER_BITS = 24
 BLOCK_WORDS = 2_000_000
 
 
@@ -36,15 +37,6 @@ def shingle_hashes(words: list[bytes]) -> np.ndarray:
     return mixed(rolling(word_hashes(words, 2), SHINGLE, ROLL))
 
 
-def window_prints(hashes: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of every run of ``size`` shingle hashes."""
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    total = np.zeros((len(hashes) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, out=total[1:])
-    ones = total[size:] - total[:-size]
-    return np.packbits(2 * ones > size, axis=1, bitorder="little").view("<u8").ravel()
-
-
 def member(known: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Which of ``x`` are in the sorted array ``known``."""
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
@@ -56,65 +48,59 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, w) for i, w in ((i, normal_words(t)) for i, t in items) if len(w) >= SHINGLE]
         self.counts = [Counter(shingles(w, SHINGLE)) for _, w in self.items]
-        self.sizes = {}
-        for n in sorted({len(w) for _, w in self.items}):
-            of_size = np.array([k for k, (_, w) in enumerate(self.items) if len(w) == n])
-            hashes = [shingle_hashes(self.items[k][1]) for k in of_size]
-            prints = np.concatenate([window_prints(h, n - SHINGLE + 1) for h in hashes])
-            tables = []
-            for b in range(BLOCKS):
-                own = (prints >> np.uint64(b * BLOCK_BITS)).astype(np.int64) & (1 << BLOCK_BITS) - 1
-                reach = np.concatenate([own, *(own ^ (1 << k) for k in range(BLOCK_BITS))])
-                order = np.argsort(reach, kind="stable")
-                starts = np.searchsorted(reach[order], np.arange((1 << BLOCK_BITS) + 1))
-                tables.append((starts, np.tile(np.arange(len(of_size)), BLOCK_BITS + 1)[order]))
-            known = np.unique(np.concatenate(hashes))
-            self.sizes[n] = (of_size, prints, tables, known)
-        self.known = np.unique(np.concatenate([k for _, _, _, k in self.sizes.values()])) if self.sizes else np.empty(0, np.uint64)
+        self.hashes = [shingle_hashes(w) for _, w in self.items]
+        own = [np.unique(h) for h in self.hashes]
+        values, of = (np.concatenate(x) for x in zip(*[(h, np.full(len(h), k)) for k, h in enumerate(own)], strict=True)) if own else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        self.known, items = np.unique(values, return_counts=True)
+        keys, members = [], []
+        for k, h in enumerate(self.hashes):  # rarest first: an item that is similar to a window shares one of these with it
+            order = np.lexsort((h, items[np.searchsorted(self.known, h)]))
+            first = np.unique(h[order[:len(h) + (-PART * len(h)) // WHOLE + 1]])
+            keys.append(first)
+            members.append(np.full(len(first), k))
+        keys, members = (np.concatenate(keys), np.concatenate(members)) if keys else (values, of)
+        order = np.argsort(keys, kind="stable")
+        self.members = members[order]
+        self.starts = np.searchsorted(keys[order], self.known)
+        self.ends = np.searchsorted(keys[order], self.known, side="right")
+        self.own = own
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self.known >> np.uint64(64 - FILTER_BITS)] = True
 
-    def near(self, n: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs within the radius."""
-        of_size, own, tables, _ = self.sizes[n]
-        found = []
-        for b, (starts, members) in enumerate(tables):
-            value = (prints >> np.uint64(b * BLOCK_BITS)).astype(np.int64) & (1 << BLOCK_BITS) - 1
-            lo, count = starts[value], starts[value + 1] - starts[value]
-            window = np.repeat(np.arange(len(prints)), count)
-            item = members[np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(len(window))]
-            close = np.bitwise_count(prints[window] ^ own[item]) <= RADIUS
-            found.append(window[close] * len(own) + item[close])
-        pairs = np.unique(np.concatenate(found))
-        return pairs // len(own), of_size[pairs % len(own)]
-
     def hits(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(item_id, similarity, first word, words) of the most similar window of each item found."""
         words = normal_words(text)
-        if len(words) < SHINGLE or not self.sizes:
+        if len(words) < SHINGLE or not self.items:
             return []
         hashes = shingle_hashes(words)
         maybe = np.flatnonzero(self.filter[hashes >> np.uint64(64 - FILTER_BITS)])
         maybe = maybe[member(self.known, hashes[maybe])]
         if not len(maybe):
             return []
-        best: dict[int, tuple[float, int]] = {}
-        for n, (_, _, _, known) in self.sizes.items():
-            if n > len(words):
+        at = np.unique(np.searchsorted(self.known, hashes[maybe]))
+        found = [self.members[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True) if a < b]
+        out = []
+        for k in np.unique(np.concatenate(found)).tolist() if found else []:
+            whole = len(self.hashes[k])
+            if whole > len(hashes):
+                continue
+            span = whole
+            need = -(-PART * (whole + span) // (PART + WHOLE))
+            places = maybe[member(self.own[k], hashes[maybe])]
+            if need > span or len(places) < need:
                 continue
-            at, span = maybe[member(known, hashes[maybe])], n - SHINGLE + 1
-            for group in np.split(at, np.flatnonzero(np.diff(at) > span) + 1) if len(at) else []:
-                low, high = max(0, group[0] - span + 1), min(len(hashes), group[-1] + span)
-                if high - low < span:
-                    continue
-                window, item = self.near(n, window_prints(hashes[low:high], span))
-                for w, k in zip(window.tolist(), item.tolist(), strict=True):
-                    here = Counter(shingles(words[low + w:low + w + n], SHINGLE))
-                    both = sum((here & self.counts[k]).values())
-                    score = both / (2 * span - both)
-                    if score >= SIMILARITY and (k not in best or score > best[k][0]):
-                        best[k] = (score, low + w)
-        return [(self.items[k][0], score, at, len(self.items[k][1])) for k, (score, at) in sorted(best.items())]
+            first = np.unique(np.concatenate([np.arange(max(0, a), min(b, len(hashes) - span) + 1)  # windows that hold ``need`` of the places
+                                              for a, b in zip((places[need - 1:] - span + 1).tolist(), places[:len(places) - need + 1].tolist(), strict=True)]))
+            best = None
+            for w in first.tolist():
+                here = Counter(shingles(words[w:w + span + SHINGLE - 1], SHINGLE))
+                both = sum((here & self.counts[k]).values())
+                score = both / (whole + span - both)
+                if score >= SIMILARITY and (best is None or score > best[0]):
+                    best = (score, w)
+            if best:
+                out.append((self.items[k][0], *best, span + SHINGLE - 1))
+        return out
 
 
 def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS):

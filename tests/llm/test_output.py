@@ -197,6 +197,17 @@ def test_items_with_edits(spark):
     assert decontam.contaminated(df.limit(0), bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_every_window_over_the_threshold():
+    rng = np.random.default_rng(21)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 1 << 30, 50))) for i in range(300)]
+    index = decontam.ItemIndex(items)
+    for i, text in items:  # one word in the middle changed: 41 of 51 shingles
+        ws = text.split()
+        ws[int(rng.integers(10, 40))] = "other"
+        lead, tail = ([f"l{x}" for x in rng.integers(0, 1 << 30, n)] for n in (30, 20))
+        assert index.hits(" ".join(lead + ws + tail)) == [(i, 41 / 51, 30, 50)]
+
+
 def test_decontamination_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
