@@ -4,7 +4,8 @@ The similarity of an item and a window is the exact weighted one of their five-w
 shingles (sum of the smaller over sum of the larger counts), 0.8 or more. A similar
 window holds one of the rarest fifth of the item's shingles, so an index of those
 finds the items of a document; windows that hold enough shingles of such an item
-are then compared, all of them.
+are then compared, all of them. A document that is shorter than the item is
+one window.
 
 The index of a block of items is broadcast; its size is bounded by
 ``BLOCK_WORDS`` words, and a larger benchmark is searched block after block.
@@ -82,9 +83,7 @@ class ItemIndex:
         out = []
         for k in np.unique(np.concatenate(found)).tolist() if found else []:
             whole = len(self.hashes[k])
-            if whole > len(hashes):
-                continue
-            span = whole
+            span = min(whole, len(hashes))
             need = -(-PART * (whole + span) // (PART + WHOLE))
             places = maybe[member(self.own[k], hashes[maybe])]
             if need > span or len(places) < need:

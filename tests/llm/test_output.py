@@ -208,6 +208,15 @@ def test_every_window_over_the_threshold():
         assert index.hits(" ".join(lead + ws + tail)) == [(i, 41 / 51, 30, 50)]
 
 
+def test_documents_shorter_than_the_item():
+    words = [f"w{i}" for i in range(59)]
+    index = decontam.ItemIndex([(1, " ".join(words)), (2, " ".join(words[:5]))])
+    whole = [(2, 1.0, 0, 5)]
+    assert index.hits(" ".join(words[:57])) == [(1, 53 / 55, 0, 57), *whole]
+    assert index.hits(" ".join(words[2:])) == [(1, 53 / 55, 0, 57)]
+    assert index.hits(" ".join(words[:48])) == [(1, 44 / 55, 0, 48), *whole] and index.hits(" ".join(words[:47])) == whole
+
+
 def test_decontamination_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
