@@ -10,8 +10,8 @@ The network (numpy, in the tasks) is one gated recurrent layer. Training is
 data-parallel: in each round every task starts from the same parameters, trains
 on its documents by truncated backpropagation with the state carried from window
 to window, and the parameters are averaged, weighted by tokens, in two levels.
-Every training document adds to the counts; a document trains the network in the
-round that its hash names, and ``SHARE`` of them do, a fixed share at every size.
+Every training document adds to the counts and trains the network once, in the
+round that its hash names.
 
 Scoring carries the state through each whole document. Words beyond the ``KNOWN``
 most frequent ones are not broadcast: a document's rare words are joined with their
@@ -35,7 +35,7 @@ from quantweave.llm.simhash import normal_words
 
 KNOWN, HEAD, CLASS_WORDS, TAILS = 200_000, 2048, 64, 32
 HIDDEN, EMBED = 16, 8
-ROUNDS, SHARE = 2, 0.25
+ROUNDS, SHARE = 2, 1.0
 LANES, WINDOW, RATE = 128, 32, 0.01
 SCORE_LANES, SCORE_WINDOW = 256, 64
 BLOCK, FAN, LOG_STEPS = 8192, 64, 256

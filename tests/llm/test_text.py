@@ -257,3 +257,15 @@ def test_pipeline_stages(spark):
             assert set(got) <= {d for d, _ in rows} and max(got.values()) == 1
     last = cp.STAGES[-1][1](spark, kept, DATA).collect()
     assert Counter(r.doc_id for r in last) == got and cp.run(spark, DATA).count() == sum(got.values())
+
+
+def test_every_training_document_has_a_round(spark, monkeypatch):
+    seen, train = [], lm.trained
+
+    def spy(texts, shared, rounds=lm.ROUNDS):
+        seen.append([r["round"] for r in texts.select("round").collect()])
+        return train(texts, shared, rounds)
+    monkeypatch.setattr(lm, "trained", spy)
+    rows = [(i, f"some words of text {i}") for i in range(300)]
+    out = lm.log_scores(frame(spark, rows)).collect()
+    assert len(seen[0]) == sum(not r.held_out for r in out) and set(seen[0]) == set(range(lm.ROUNDS))
