@@ -1,22 +1,22 @@
 """Average-tie ranks and exact order statistics inside a group.
 
-``split_positions`` first collapses equal values (map-side), cuts every group
-into value buckets at approximate quantiles and ranks inside the buckets, so
-that no task has to hold a whole group and a hot value is a single row.
-``avg_rank`` uses it at every size and starts no job of its own. A caller who knows
-that a group is small (``bounded=True``) gets one window sort instead.
+``split_positions`` collapses equal values (map-side), sorts the distinct values of all
+groups in one range-partitioned pass and adds the counts of earlier partitions, so no task
+has to hold a whole group, a hot value is a single row, and the result does not depend
+on where the partitions are cut. The sorted table is written once, so all readers see
+the same cuts. A caller who knows that a group is small (``bounded=True``) gets one window sort instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets a group: 64 where groups are dates, TABLE_BUCKETS where one may be the whole table; raise with the data.
-BUCKETS = 64
-TABLE_BUCKETS = 512
+from quantweave.session import staged
 
 
 def tied_rank(keys: Sequence[str], value: str | Column) -> Column:
@@ -31,47 +31,63 @@ def group_size(keys: Sequence[str], value: str) -> Column:
     return F.count(value).over(Window.partitionBy(*keys))
 
 
-def split_positions(df: DataFrame, keys: Sequence[str], value: str, buckets: int = BUCKETS,
-                    sums: dict[str, Column] | None = None, few_groups: bool = False) -> DataFrame:
+def _running(names: list[str]):
+    """Running sums of the columns ``names`` within runs of equal ``_g``, ``_h``, over a sorted partition."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carry = None, [0] * len(names)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g, h = (batch.column(c).to_numpy() for c in ("_g", "_h"))
+            new = np.r_[last != (g[0], h[0]), (g[1:] != g[:-1]) | (h[1:] != h[:-1])]
+            starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+            out = []
+            for i, c in enumerate(names):
+                x = batch.column(c).to_numpy()
+                total = np.cumsum(x)
+                before = np.r_[total[starts] - x[starts], -carry[i]]  # group -1 goes on from the batch before
+                out.append(total - before[group])
+                carry[i] = out[-1][-1]
+            last = (g[-1], h[-1])
+            kept = [k for k in batch.schema.names if k not in ("_g", "_h")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], *map(pa.array, out)], names=[*kept, *[f"_run_{c}" for c in names]])
+    return run
+
+
+def split_positions(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column] | None = None, few_groups: bool = False,
+                    weight: Column | None = None) -> DataFrame:
     """One row per distinct value: ``cnt`` equal rows, ``before`` smaller rows, ``n`` rows in
-    the group, plus the ``sums`` over the equal rows and their totals ``before_<sum>`` over
-    the smaller rows and ``total_<sum>`` over the group.
+    the group, plus the ``sums`` (whole numbers) over the equal rows and their totals ``before_<sum>`` over
+    the smaller rows and ``total_<sum>`` over the group. A row counts ``weight`` times.
 
-    ``few_groups`` says that the keys are feature, model or grid ids, so that the cut and
-    offset tables (a few kilobytes per group, whatever the row count) can be broadcast and
-    the rows of a group, possibly the whole table, never shuffle by the group key alone.
+    ``few_groups`` says that the keys are feature, model or grid ids, so that the offsets (one row
+    for each group and partition) can be broadcast and the rows of a group, possibly the whole
+    table, never shuffle by the group key alone.
     """
-    small = F.broadcast if few_groups else (lambda d: d)
     keys, sums = list(keys), sums or {}
-    vals = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("cnt"), *[F.sum(c).alias(k) for k, c in sums.items()])
-    cuts = [i / buckets for i in range(1, buckets)]
-    splits = vals.groupBy(*keys).agg(
-        F.array_sort(F.percentile_approx(value, cuts, max(2000, 4 * buckets))).alias("_cuts"), F.sum("cnt").alias("n"), *[F.sum(k).alias(f"total_{k}") for k in sums])
-    # Binary search of the bucket, one code-generated step per halving.
-    placed = vals.join(small(splits), keys).withColumn("_b", F.lit(0))
-    step = 1 << (buckets - 1).bit_length() - 1
-    while step:
-        hit = F.get("_cuts", F.col("_b") + (step - 1)) < F.col(value)
-        placed = placed.withColumn("_b", F.col("_b") + F.when(hit, step).otherwise(0))
-        step //= 2
-    placed = placed.drop("_cuts")
     added = ["cnt", *sums]
-    totals = placed.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in added])
-    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_off_{c}") for c in added])
-    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    vals = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        F.sum(F.lit(1) if weight is None else weight).cast("long").alias("cnt"), *[F.sum(c).cast("long").alias(k) for k, c in sums.items()])
+    vals = staged(vals, "values")  # the range cuts look at it before it is dealt
+    dealt = vals.repartitionByRange(*keys, value).sortWithinPartitions(*keys, value)
+    marked = dealt.select(F.xxhash64(*keys, F.lit(0)).alias("_g"), F.xxhash64(*keys, F.lit(1)).alias("_h"), F.spark_partition_id().alias("_p"), *vals.columns)
+    kind = ", ".join([f"_p int, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in vals.schema)}", *[f"`_run_{c}` long" for c in added]])
+    table = staged(marked.mapInArrow(_running(added), kind), "positions")
+    totals = table.groupBy(*keys, "_p").agg(*[F.sum(c).alias(f"_t_{c}") for c in added])
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_p", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_off_{c}") for c in added],
+                            *[F.sum(f"_t_{c}").over(group).alias(f"total_{c}") for c in added])
 
     def before(c):
         return F.col(f"_off_{c}") + F.col(f"_run_{c}") - F.col(c)
-    return (placed.withColumns({f"_run_{c}": F.sum(c).over(inside) for c in added})
-            .join(small(offsets), [*keys, "_b"])
-            .select(*keys, value, "cnt", before("cnt").alias("before"), "n", *sums,
+    return (table.join(F.broadcast(offsets) if few_groups else offsets, [*keys, "_p"])
+            .select(*keys, value, "cnt", before("cnt").alias("before"), F.col("total_cnt").alias("n"), *sums,
                     *[before(c).alias(f"before_{c}") for c in sums], *[f"total_{c}" for c in sums]))
 
 
 def avg_rank(df: DataFrame, keys: Sequence[str], value: str, rank_col: str = "rank",
-             size_col: str | None = None, bounded: bool = False, buckets: int = BUCKETS) -> DataFrame:
+             size_col: str | None = None, bounded: bool = False) -> DataFrame:
     """Add the average-tie rank of ``value`` inside ``keys`` (null stays null).
 
     Only non-null values meet the positions; rows with null keep out of that join.
@@ -82,7 +98,7 @@ def avg_rank(df: DataFrame, keys: Sequence[str], value: str, rank_col: str = "ra
         if size_col:
             cols[size_col] = group_size(keys, value)
         return df.withColumns(cols)
-    pos = split_positions(df, keys, value, buckets).select(
+    pos = split_positions(df, keys, value).select(
         *keys, value, (F.col("before") + (F.col("cnt") + 1) / F.lit(2.0)).alias(rank_col),
         *([F.col("n").alias(size_col)] if size_col else []))
     full = df.where(F.col(value).isNotNull()).join(pos, [*keys, value])
@@ -93,14 +109,13 @@ def avg_rank(df: DataFrame, keys: Sequence[str], value: str, rank_col: str = "ra
     return full.select(*df.columns, rank_col, *([size_col] if size_col else [])).unionByName(empty)
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], buckets: int = BUCKETS,
-              few_groups: bool = False) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], few_groups: bool = False) -> DataFrame:
     """Exact linear-interpolation quantiles per group, read off the split positions
     (two values per group and quantile); ``keys`` may be empty for the whole table."""
     keys = list(keys)
     src = df if keys else df.withColumn("_all", F.lit(0))
     group = keys or ["_all"]
-    pos = split_positions(src, group, value, buckets, few_groups=few_groups or not keys)
+    pos = split_positions(src, group, value, few_groups=few_groups or not keys)
 
     def pick(k):
         return F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("cnt")), F.col(value)))

@@ -134,7 +134,7 @@ def fill(df: DataFrame, cols: Sequence[str], method: str) -> DataFrame:
 def medians(df: DataFrame, cols: Sequence[str], prefix: str) -> DataFrame:
     """One row with the exact median of each column; all columns go through one long-form pass."""
     long = df.select(*cols).unpivot([], list(cols), "_feature", "_value")
-    per = ranks.quantiles(long, ["_feature"], "_value", {"m": 0.5}, ranks.TABLE_BUCKETS, few_groups=True)
+    per = ranks.quantiles(long, ["_feature"], "_value", {"m": 0.5}, few_groups=True)
     return per.agg(*[F.max(F.when(F.col("_feature") == c, F.col("m"))).alias(prefix + c) for c in cols])
 
 

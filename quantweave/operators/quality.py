@@ -102,7 +102,7 @@ def family_audit(df: DataFrame, families: dict[str, Sequence[str]]) -> DataFrame
 def column_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     long = df.select(*cols).unpivot([], list(cols), "feature", "value")
     mean = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    return mean.join(ranks.quantiles(long, ["feature"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ranks.TABLE_BUCKETS, few_groups=True), "feature")
+    return mean.join(ranks.quantiles(long, ["feature"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, few_groups=True), "feature")
 
 
 def replace_outliers(df: DataFrame, cols: Sequence[str], method: str, k: float = 3.0) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantweave.functions import ranks
+from quantweave.session import staged
 
 
 def sigmoid(x: Column) -> Column:
@@ -27,16 +28,38 @@ def ensemble(cols: Sequence[str], weights: Sequence[float]) -> Column:
     return reduce(lambda a, b: a + b, [F.col(c) * (w / total) for c, w in zip(cols, weights)])
 
 
+#: Exact sums of products of whole numbers: high and low parts are added up apart.
+LOW_BITS = 24
+
+
 def daily_rank_ic(df: DataFrame, pred: str, ref: str, keys: Sequence[str] = ("date",), min_rows: int = 10, bounded: bool = False) -> DataFrame:
-    """Spearman correlation per group; groups that are too small or constant are left out."""
+    """Spearman correlation per group; groups that are too small or constant are left out.
+
+    Twice a tied rank is a whole number, and so is its distance from the mean of the group. The moments are
+    sums of products of these, exact at up to 2^28 rows a group (more is an error, never a wrong value):
+    a constant group has variance zero, and the result is the same however the rows are dealt.
+    Equal (pred, ref) pairs fold first. ``bounded`` says that a group is small enough for one sort.
+    """
     keys = list(keys)
-    df = df.where(F.col(pred).isNotNull() & F.col(ref).isNotNull()).select(*keys, pred, ref)
-    df = ranks.avg_rank(df, keys, pred, "_rp", bounded=bounded)
-    df = ranks.avg_rank(df, keys, ref, "_rr", bounded=bounded)
-    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("_rp", "_rr").alias("_c"),
-                                F.stddev_pop("_rp").alias("_sp"), F.stddev_pop("_rr").alias("_sr"))
-    return per.where((F.col("n") >= min_rows) & (F.col("_sp") > 0) & (F.col("_sr") > 0)).select(
-        *keys, "n", (F.col("_c") / (F.col("_sp") * F.col("_sr"))).alias("rank_ic"))
+    rows = df.where(F.col(pred).isNotNull() & F.col(ref).isNotNull()).select(*keys, pred, ref)
+    if bounded:
+        n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        both = rows.withColumns({"_w": F.lit(1), "_n": n, "_x": (2 * ranks.tied_rank(keys, pred) - 1 - n).cast("long"), "_y": (2 * ranks.tied_rank(keys, ref) - 1 - n).cast("long")})
+    else:
+        both = staged(rows.groupBy(*keys, pred, ref).agg(F.count(F.lit(1)).alias("_w")), "pairs")
+        for c, out in ((pred, "_x"), (ref, "_y")):
+            pos = ranks.split_positions(both, keys, c, weight=F.col("_w"))
+            both = both.join(pos.select(*keys, c, (2 * F.col("before") + F.col("cnt") - F.col("n")).alias(out), *([F.col("n").alias("_n")] if out == "_x" else [])), [*keys, c])
+
+    def total(a, b):
+        return [F.sum(F.col("_w") * F.shiftright(F.col(a) * F.col(b), LOW_BITS)).alias(f"{a}{b}_high"),
+                F.sum(F.col("_w") * (F.col(a) * F.col(b)).bitwiseAND(F.lit((1 << LOW_BITS) - 1))).alias(f"{a}{b}_low")]
+
+    def moment(a, b):
+        return F.col(f"{a}{b}_high").cast("double") * float(1 << LOW_BITS) + F.col(f"{a}{b}_low")
+    per = both.groupBy(*keys).agg(F.max("_n").alias("n"), *total("_x", "_y"), *total("_x", "_x"), *total("_y", "_y"))
+    return per.where((F.col("n") >= min_rows) & (moment("_x", "_x") > 0) & (moment("_y", "_y") > 0)).select(
+        *keys, "n", (moment("_x", "_y") / (F.sqrt(moment("_x", "_x")) * F.sqrt(moment("_y", "_y")))).alias("rank_ic"))
 
 
 def rank_ic_summary(df: DataFrame, pred: str, ref: str) -> DataFrame:
@@ -70,15 +93,14 @@ def classification(df: DataFrame, prob: str, label: str, keys: Sequence[str] = (
                       F.coalesce(F.try_divide(2 * F.col("_tp"), 2 * F.col("_tp") + F.col("_fp") + F.col("_fn")), F.lit(0.0)).alias("f1"))
 
 
-def auc(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), few_groups: bool = False, buckets: int = ranks.TABLE_BUCKETS) -> DataFrame:
+def auc(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), few_groups: bool = False) -> DataFrame:
     """Area under the ROC curve per group, 0.5 with a single class: each positive counts the
     negatives below it, ties by half. Works on the split positions, so a group may be the
     whole table."""
     keys = list(keys)
     group = keys or ["_all"]
     src = df if keys else df.withColumn("_all", F.lit(0))
-    pos = ranks.split_positions(src.select(*group, score, label), group, score, buckets,
-                                {"hits": (F.col(label) >= 0.5).cast("long")}, few_groups=few_groups or not keys)
+    pos = ranks.split_positions(src.select(*group, score, label), group, score, {"hits": (F.col(label) >= 0.5).cast("long")}, few_groups=few_groups or not keys)
     below = F.col("before") - F.col("before_hits") + (F.col("cnt") - F.col("hits")) / F.lit(2.0)
     agg = pos.groupBy(*group).agg(F.sum(F.col("hits") * below).alias("_u"), F.max("total_hits").alias("_p"), F.max("n").alias("_n"))
     value = F.try_divide(F.col("_u"), F.col("_p") * (F.col("_n") - F.col("_p")))
@@ -97,19 +119,60 @@ def simplex(n_models: int, steps: int = 20) -> list[list[float]]:
     return [[(right - left - 1) / steps for left, right in pairwise((-1, *bars, places))] for bars in combinations(range(places), n_models - 1)]
 
 
-def weight_search(df: DataFrame, scores: Sequence[str], label: str, steps: int = 20) -> DataFrame:
-    """AUC of every weight vector. Each row expands into the fixed grid and folds by
+def mixed_score(scores: Sequence[str], weights: Column) -> Column:
+    return F.round(reduce(lambda a, b: a + b, [F.col(s) * weights[i] for i, s in enumerate(scores)]), 9)
+
+
+def weight_search(df: DataFrame, scores: Sequence[str], label: str, steps: int = 20, only: Sequence[int] | None = None) -> DataFrame:
+    """Exact AUC of every weight vector, or of those numbered in ``only``. Each row expands into the fixed grid and folds by
     (vector, score) before the shuffle."""
     grid = F.array(*[F.struct(F.lit(i).alias("id"), F.array(*[F.lit(w) for w in v]).alias("w"))
-                     for i, v in enumerate(simplex(len(scores), steps))])
+                     for i, v in enumerate(simplex(len(scores), steps)) if only is None or i in only])
     long = df.select(*scores, label, F.explode(grid).alias("g"))
-    mix = reduce(lambda a, b: a + b, [F.col(s) * F.col("g.w")[i] for i, s in enumerate(scores)])
-    long = long.select(F.col("g.id").alias("weight_id"), F.round(mix, 9).alias("_s"), label)
+    long = long.select(F.col("g.id").alias("weight_id"), mixed_score(scores, F.col("g.w")).alias("_s"), label)
     return auc(long, "_s", label, ["weight_id"], few_groups=True)
 
 
+def weight_bounds(df: DataFrame, scores: Sequence[str], label: str, steps: int = 20, bins: int = 4096) -> DataFrame:
+    """(weight_id, low, high): bounds of the AUC of every weight vector from score histograms.
+
+    A task folds its rows into one histogram of the positives and one of all rows for each vector, between the least and the
+    largest score; only these are shuffled. Rows of different bins are ordered for certain; those of one bin count for
+    ``high`` only. Rows without a score or label count in neither."""
+    grid = np.array(simplex(len(scores), steps))
+    least, most = df.agg(F.min(F.least(*scores) if len(scores) > 1 else F.col(scores[0])), F.max(F.greatest(*scores) if len(scores) > 1 else F.col(scores[0]))).first()
+    least, width = least or 0.0, max((most or 0.0) - (least or 0.0), 1e-9) / bins
+
+    def fold(batches):
+        rows, hits = np.zeros((len(grid), bins), np.int64), np.zeros((len(grid), bins), np.int64)
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            x = x[~np.isnan(x).any(1)]
+            # rounded as the exact search does, so that equal scores share a bin
+            place = np.clip(np.floor((np.round(x[:, :-1] @ grid.T, 9) - least) / width), 0, bins - 1).astype(np.int64)
+            for i in range(len(grid)):
+                rows[i] += np.bincount(place[:, i], minlength=bins)
+                hits[i] += np.bincount(place[x[:, -1] >= 0.5, i], minlength=bins)
+        i, b = np.nonzero(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(rows[i, b]), pa.array(hits[i, b])], names=["weight_id", "b", "n", "hits"])
+    bars = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate([*scores, label])]).mapInArrow(fold, "weight_id int, b int, n long, hits long")
+    bars = bars.groupBy("weight_id", "b").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    per = Window.partitionBy("weight_id")
+    below = F.coalesce(F.sum(F.col("n") - F.col("hits")).over(per.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bars = bars.withColumns({"below": below, "one": (F.col("n") - F.col("hits")) * F.col("hits")})
+    agg = bars.groupBy("weight_id").agg(F.sum(F.col("hits") * F.col("below")).alias("sure"), F.sum("one").alias("open"), F.sum("hits").alias("p"), F.sum(F.col("n") - F.col("hits")).alias("q"))
+    pairs = F.col("p") * F.col("q")
+    # The bin of a score that lies on an edge may be off by one rounding, so the bounds give a little.
+    return agg.select("weight_id", F.coalesce(F.try_divide(F.col("sure"), pairs) - 1e-6, F.lit(0.5)).alias("low"),
+                      F.coalesce(F.try_divide(F.col("sure") + F.col("open"), pairs) + 1e-6, F.lit(0.5)).alias("high"))
+
+
 def best_weights(df: DataFrame, scores: Sequence[str], label: str, steps: int = 20) -> DataFrame:
-    return weight_search(df, scores, label, steps).orderBy(F.desc(F.round("auc", 12)), "weight_id").limit(1)
+    """The vector of the largest AUC, the first one if several tie. Histogram bounds rule out most vectors;
+    the exact search runs for those that can still win (at most one number for each vector reaches the driver)."""
+    bounds = weight_bounds(df, scores, label, steps).collect()
+    only = [r["weight_id"] for r in bounds if r["high"] >= max(x["low"] for x in bounds)]
+    return weight_search(df, scores, label, steps, only or None).orderBy(F.desc(F.round("auc", 12)), "weight_id").limit(1)
 
 
 # --- features ---------------------------------------------------------------
@@ -153,22 +216,50 @@ def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return s.where("n > 0").select(F.get(label, "i").alias("f1"), F.get(label, "j").alias("f2"), F.try_divide(cov, F.sqrt(var[0] * var[1])).alias("corr"))
 
 
+def bin_edges(df: DataFrame, cols: Sequence[str], bins: int) -> dict[str, tuple[list[float], list[int]]]:
+    """First value of each quantile bin, and the bin's number, of every column; a value's bin is the number of smaller
+    rows times ``bins`` over all rows. Equal values share a bin, so numbers may be left out. At most ``bins`` rows a column reach the driver."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "feature", "value").where(~F.isnan("value"))
+    pos = ranks.split_positions(long, ["feature"], "value", few_groups=True)
+    edges = pos.groupBy("feature", F.floor(F.col("before") * bins / F.col("n")).cast("int").alias("b")).agg(F.min("value").alias("value"))
+    out: dict[str, tuple[list[float], list[int]]] = {c: ([], []) for c in cols}
+    for r in sorted(edges.collect(), key=lambda r: r["b"]):
+        out[r["feature"]][0].append(r["value"])
+        out[r["feature"]][1].append(r["b"])
+    return out
+
+
 def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins: int = 10) -> DataFrame:
-    """Quantile-binned mutual information with the target. Bins come from exact positions; joint
-    counts fold map-side to bins x bins per feature."""
-    long = df.select(target, *features).unpivot([target], list(features), "feature", "value").where(F.col("value").isNotNull())
-
-    def bucket(src, keys, col, out):
-        pos = ranks.split_positions(src, keys, col, ranks.TABLE_BUCKETS, few_groups=True)
-        return pos.select(*keys, col, F.floor(F.col("before") * bins / F.col("n")).alias(out))
-    long = long.join(bucket(long, ["feature"], "value", "bx"), ["feature", "value"])
-    long = long.join(bucket(long, ["feature"], target, "by"), ["feature", target])
-    joint = long.groupBy("feature", "bx", "by").agg(F.count(F.lit(1)).alias("n"))
-    per = Window.partitionBy("feature")
-    joint = joint.withColumns({"_n": F.sum("n").over(per), "_x": F.sum("n").over(Window.partitionBy("feature", "bx")),
-                               "_y": F.sum("n").over(Window.partitionBy("feature", "by"))})
+    """Quantile-binned mutual information of every feature with the target, over the rows where both are present.
+
+    The bin edges are exact and small; then one pass folds a contingency table of bins x bins for each
+    feature in every task, and only these tables are shuffled. A feature without values has no row."""
+    features = list(features)
+    edges = bin_edges(df, list(dict.fromkeys([*features, target])), bins)
+
+    def fold(batches):
+        total = np.zeros((len(features), bins, bins), np.int64)
+
+        def binned(column, name):
+            x = column.to_numpy(zero_copy_only=False).astype(float)
+            starts, numbers = edges[name]
+            place = np.searchsorted(starts, np.where(np.isnan(x), -np.inf, x), "right") - 1
+            return np.where(np.isnan(x) | (place < 0), -1, np.array([*numbers, -1])[place])
+        for batch in batches:
+            y = binned(batch.column(len(features)), target)
+            for i, f in enumerate(features):
+                x = binned(batch.column(i), f)
+                both = (x >= 0) & (y >= 0)
+                total[i] += np.bincount(x[both] * bins + y[both], minlength=bins * bins).reshape(bins, bins)
+        i, x, y = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([features[k] for k in i], pa.string()), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(total[i, x, y])],
+                                         names=["feature", "bx", "by", "n"])
+    tables = df.select(*[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)], F.col(target).cast("double").alias("y")).mapInArrow(
+        fold, "feature string, bx int, by int, n long").groupBy("feature", "bx", "by").agg(F.sum("n").alias("n"))
+    tables = tables.withColumns({"_n": F.sum("n").over(Window.partitionBy("feature")), "_x": F.sum("n").over(Window.partitionBy("feature", "bx")),
+                                 "_y": F.sum("n").over(Window.partitionBy("feature", "by"))})
     p = F.col("n") / F.col("_n")
-    return joint.groupBy("feature").agg(F.sum(p * F.log(F.col("n") * F.col("_n") / (F.col("_x") * F.col("_y")))).alias("score"))
+    return tables.groupBy("feature").agg(F.sum(p * F.log(F.col("n") * F.col("_n") / (F.col("_x") * F.col("_y")))).alias("score"))
 
 
 def select_by_threshold(scores: DataFrame, threshold: float) -> DataFrame:

@@ -86,43 +86,65 @@ def entries(signals: DataFrame, bars: DataFrame) -> DataFrame:
     return df.withColumns({"stop_loss": F.col("stop_loss") + shift, "take_profit": F.col("take_profit") + shift})
 
 
+def exit_index(path: DataFrame) -> list[DataFrame]:
+    """Block extremes of ``path(code, _n, _d, low, high, close)`` in levels: a row of level 0 holds the bars of ``BLOCK`` sessions, a row
+    of a higher level the extremes of ``BLOCK`` rows of the level below. The last level has one row for each instrument."""
+    last = path.agg(F.max("_n")).first()[0] or 0
+    kid = F.struct(F.col("_n").cast("long").alias("i"), F.col("low").alias("lo"), F.col("high").alias("hi"), F.col("close").alias("cl"), F.col("_d").alias("d"))
+    levels, above = [path.groupBy("code", F.floor(F.col("_n") / BLOCK).alias("row")).agg(F.sort_array(F.collect_list(kid)).alias("kids"))], last // BLOCK
+    while above:
+        kid = F.struct(F.col("row").alias("i"), F.array_min(F.transform("kids", lambda k: k["lo"])).alias("lo"), F.array_max(F.transform("kids", lambda k: k["hi"])).alias("hi"),
+                       F.array_min(F.transform("kids", lambda k: k["cl"])).alias("cl"))
+        below = levels[-1].select("code", "row", kid.alias("kid"))
+        levels.append(below.groupBy("code", F.floor(F.col("row") / BLOCK).alias("row")).agg(F.sort_array(F.collect_list("kid")).alias("kids")))
+        above //= BLOCK
+    return levels
+
+
 def outcomes(signals: DataFrame, bars: DataFrame, time_stop: bool = False, ids: Sequence[str] = ("strategy", "code", "date")) -> DataFrame:
     """First exit after the entry session: stop, then target, then time stop; fills at the close.
 
-    A signal does not meet all later bars of its instrument. Bars are summarised in
-    blocks of ``BLOCK`` sessions; the block of the entry and the one after it are
-    searched bar by bar, and beyond them only the first block whose extremes reach
-    an exit level, which then holds the exit.
+    The exit is looked up in the levels of :func:`exit_index`: the rest of the entry's block and the block
+    after it bar by bar, then upwards, each level from where the one below ended, until some block reaches an exit
+    level, and downwards into that block. A step joins every signal with one row of at most ``BLOCK`` entries, so the
+    work is linear in the signals and logarithmic in the length of the history.
     """
     ids = list(ids)
     e = entries(signals, bars)
     path = bars.select("code", F.col("date").alias("_d"), "high", "low", "close", F.row_number().over(by_code()).alias("_n"))
-    path = path.withColumn("_blk", F.floor(F.col("_n") / BLOCK).cast("int"))
-    at = path.select("code", F.col("_d").alias("entry_date"), F.col("_n").alias("_n0"), F.col("_blk").alias("_b0"))
-    e = e.join(at, ["code", "entry_date"])
-    blocks = path.groupBy("code", "_blk").agg(F.min("low").alias("lo"), F.max("high").alias("hi"), F.min("close").alias("cl"))
-    blocks = blocks.groupBy("code").agg(F.collect_list(F.struct("_blk", "lo", "hi", "cl")).alias("_blocks"))
-
-    def reaches(x):
-        hit = (x["lo"] <= F.col("stop_loss")) | (x["hi"] >= F.col("take_profit"))
+    found = e.join(path.select("code", F.col("_d").alias("entry_date"), F.col("_n").alias("_n0")), ["code", "entry_date"])
+    levels = exit_index(path)
+
+    def why(k, bar):
+        reason = F.when(k["lo"] <= F.col("stop_loss"), "stop_loss").when(k["hi"] >= F.col("take_profit"), "take_profit")
         if time_stop:
-            hit = hit | ((x["cl"] - F.col("entry_price")) / F.abs("entry_price") <= TIME_STOP_PNL)
-        return (x["_blk"] > F.col("_b0") + 1) & hit
-    own = e.columns
-    near = e.join(blocks, "code").withColumn("_far", F.array_min(F.transform(F.filter("_blocks", reaches), lambda x: x["_blk"])))
-    near = near.select(*own, F.explode(F.array_compact(F.array(F.col("_b0"), F.col("_b0") + 1, F.col("_far")))).alias("_blk"))
-    p = path.withColumnsRenamed({"code": "_code", "_blk": "_pblk"})
-    j = near.join(p, (F.col("code") == F.col("_code")) & (F.col("_blk") == F.col("_pblk")) & (F.col("_n") > F.col("_n0")), "left")
-    pnl = (F.col("close") - F.col("entry_price")) / F.abs("entry_price")
-    reason = F.when(F.col("low") <= F.col("stop_loss"), "stop_loss").when(F.col("high") >= F.col("take_profit"), "take_profit")
-    if time_stop:
-        reason = reason.when((F.col("_n") - F.col("_n0") >= TIME_STOP_DAYS) & (pnl <= TIME_STOP_PNL), "time_stop")
-    hit = F.struct(F.col("_d").alias("exit_date"), F.col("close").alias("exit_price"), F.col("_r").alias("exit_reason"),
-                   (F.col("_n") - F.col("_n0")).alias("holding_days"))
-    rest = [c for c in own if c not in ids]
-    return (j.withColumn("_r", reason).groupBy(*ids)
-            .agg(F.first(F.struct(*rest)).alias("_e"), F.min_by(hit, F.when(F.col("_r").isNotNull(), F.col("_d"))).alias("_x"))
-            .select(*ids, "_e.*", "_x.*").drop("_n0", "_b0"))
+            late = (k["i"] - F.col("_n0") >= TIME_STOP_DAYS) if bar else F.lit(True)
+            reason = reason.when(late & ((k["cl"] - F.col("entry_price")) / F.abs("entry_price") <= TIME_STOP_PNL), "time_stop")
+        return reason
+
+    def look(df, level, row, start, out):
+        """Adds ``out``: the first child of ``row`` of ``level``, from ``start`` on, that reaches an exit level."""
+        table = levels[level].select(F.col("code").alias("_c"), F.col("row").alias("_row"), "kids")
+        hit = F.filter("kids", lambda k: (k["i"] >= start) & why(k, level == 0).isNotNull())
+        df = df.withColumn("_at", row).join(table, (F.col("code") == F.col("_c")) & (F.col("_at") == F.col("_row")), "left")
+        return df.withColumn(out, F.get(hit, F.lit(0))).drop("_at", "_c", "_row", "kids")
+    block = F.floor((F.col("_n0") + 1) / BLOCK)
+    found = look(found, 0, block, F.col("_n0") + 1, "_x")
+    # Blocks after the next one lie beyond the time stop, so their extremes alone decide.
+    next_block = F.when(F.col("_x").isNull(), block + 1)
+    found = look(found, 0, next_block, F.col("_n0") + 1, "_y").withColumn("_x", F.coalesce("_x", "_y")).drop("_y")
+    found = found.withColumns({"_start": F.when(F.col("_x").isNull(), block + 2), "_level": F.lit(None).cast("int"), "_child": F.lit(None).cast("long")})
+    for level in range(1, len(levels)):
+        found = look(found, level, F.floor(F.col("_start") / BLOCK), F.col("_start"), "_y")
+        found = found.withColumns({"_level": F.when(F.col("_y").isNotNull(), level).otherwise(F.col("_level")), "_child": F.coalesce("_y.i", "_child"),
+                                   "_start": F.when(F.col("_y").isNull(), F.floor(F.col("_start") / BLOCK) + 1)}).drop("_y")
+    for level in range(len(levels) - 2, 0, -1):
+        found = look(found, level, F.when(F.col("_level") > level, F.col("_child")), F.lit(0), "_y").withColumn("_child", F.coalesce("_y.i", "_child")).drop("_y")
+    found = look(found, 0, F.col("_child"), F.lit(0), "_y").withColumn("_x", F.coalesce("_x", "_y")).drop("_y")
+    x = F.col("_x")
+    rest = [c for c in e.columns if c not in ids]
+    return found.select(*ids, *rest, x["d"].alias("exit_date"), x["cl"].alias("exit_price"), F.when(x.isNotNull(), why(x, True)).alias("exit_reason"),
+                        (x["i"] - F.col("_n0")).cast("int").alias("holding_days"))
 
 
 def profit(trades: DataFrame, shares: float = 100.0, fee: float = FEE) -> DataFrame:
@@ -223,10 +245,23 @@ def agreement(picks: DataFrame) -> DataFrame:
     return picks.withColumn("n_models", n).where(F.col("n_models") > 1)
 
 
+def max_spans(path: DataFrame) -> DataFrame:
+    """(code, _n, _spans): entry k is the largest high of the 2^k bars from ``_n`` on, or of those that are left.
+    The entries double, one ``lead`` each, so a row holds the logarithm of the history; any range is covered by two of them."""
+    last = path.agg(F.max("_n")).first()[0] or 1
+    order, df = Window.partitionBy("code").orderBy("_n"), path.select("code", "_n", F.col("high").alias("_m0"))
+    names = ["_m0"]
+    while 1 << len(names) <= last:
+        k = len(names)
+        df = df.withColumn(f"_m{k}", F.greatest(f"_m{k - 1}", F.lead(f"_m{k - 1}", 1 << (k - 1)).over(order)))
+        names.append(f"_m{k}")
+    return df.select("code", "_n", F.array(*names).alias("_spans"))
+
+
 def support_replay(trades: DataFrame, bars: DataFrame, threshold: float = 0.05) -> DataFrame:
     """Hold from the buy date until the first broken support (re-analysed on every bar with at
     least 30 rows of history), else to the end of data. The next break after each bar is one
-    window over the instrument, so a trade meets two bars instead of its whole holding time."""
+    window over the instrument, and its highest price two rows of :func:`max_spans`, so a trade never meets its whole holding time."""
     from quantweave.operators.structure import broken_support, moving_tails
     flags = broken_support(moving_tails(bars), threshold).select(
         "code", F.col("as_of").alias("_d"), (F.col("broken_support") & (F.col("n_rows") >= 30)).alias("_b"))
@@ -236,12 +271,14 @@ def support_replay(trades: DataFrame, bars: DataFrame, threshold: float = 0.05)
     later = path.select("code", F.col("_d").alias("buy_date"), F.col("_n").alias("_n0"), F.first(F.when(F.col("_b"), spot), ignorenulls=True).over(
         w.rowsBetween(1, Window.unboundedFollowing)).alias("_next"), F.last(spot).over(
         w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_end"))
-    highs = path.groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "high"))), lambda x: x["high"]).alias("_highs"))
     t = trades.select("strategy", "code", "date", F.col("entry_date").alias("buy_date"), F.col("entry_price").alias("buy_price"))
-    j = t.join(later, ["code", "buy_date"]).where(F.col("_end._n") > F.col("_n0")).join(highs, "code")
-    j = j.withColumn("_s", F.coalesce("_next", "_end"))
+    j = t.join(later, ["code", "buy_date"]).where(F.col("_end._n") > F.col("_n0")).withColumn("_s", F.coalesce("_next", "_end"))
     days, buy = F.col("_s._n") - F.col("_n0"), F.col("buy_price")
-    top = F.array_max(F.slice("_highs", F.col("_n0") + 1, days))
+    spans, k = max_spans(path), F.length(F.bin(days)) - 1
+    j = j.withColumns({"_k": k, "_left": F.col("_n0") + 1, "_right": F.col("_s._n") - F.call_function("shiftleft", F.lit(1), k) + 1})
+    for side in ("_left", "_right"):
+        j = j.join(spans.select("code", F.col("_n").alias(side), F.col("_spans").alias(f"_of{side}")), ["code", side])
+    top = F.greatest(F.get("_of_left", F.col("_k")), F.get("_of_right", F.col("_k")))
     return j.select(
         "strategy", "code", "date", "buy_date", F.col("_s._d").alias("sell_date"), F.col("_s.close").alias("sell_price"),
         F.when(F.col("_next").isNotNull(), "support_break").otherwise("end_of_data").alias("exit_reason"), days.cast("long").alias("holding_days"),

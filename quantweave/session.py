@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "quantweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,3 +41,10 @@ def work_dir(spark: SparkSession, label: str) -> str:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return path
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Writes ``df`` once to the shared folder and reads it back: readers agree on its rows, and a lost executor costs no upstream work."""
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -94,6 +94,61 @@ def test_quantiles_equal_numpy(skewed, keys):
         assert np.allclose([row["a"], row["m"], row["z"]], s.dropna().quantile([0.05, 0.5, 0.93]))
 
 
+@pytest.mark.parametrize("parts", [1, 7, 64])
+def test_rank_correlation_is_exact_for_any_partitioning(spark, parts):
+    """Constant groups are left out, and every bit of the result is the same however the rows are dealt."""
+    from quantweave.operators import scoring as sc
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"date": rng.choice(["hot", "hot", "hot", "a", "b", "flat", "flat2"], 9000), "p": rng.normal(size=9000).round(1), "r": rng.normal(size=9000).round(2)})
+    pdf.loc[pdf.date == "flat", "p"] = 0.1 + 0.2
+    pdf.loc[pdf.date == "flat2", "r"] = 1e-9
+    pdf.loc[rng.random(9000) < 0.4, "p"] = 0.0
+    pdf.loc[pdf.date == "flat", "p"] = 0.1 + 0.2
+    df = spark.createDataFrame(pdf).union(spark.createDataFrame([("a", None, 1.0), ("tiny", 1.0, 2.0)], "date string, p double, r double")).repartition(parts)
+    got = {r["date"]: r for r in sc.daily_rank_ic(df, "p", "r").collect()}
+    small = {r["date"]: r for r in sc.daily_rank_ic(df, "p", "r", bounded=True).collect()}
+    assert got == small and set(got) == {"hot", "a", "b"}
+    for date, r in got.items():
+        group = pdf[pdf.date == date]
+        assert r["n"] == len(group)
+        assert abs(r["rank_ic"] - np.corrcoef(group.p.rank(), group.r.rank())[0, 1]) < 1e-12
+    first = getattr(test_rank_correlation_is_exact_for_any_partitioning, "seen", got)
+    test_rank_correlation_is_exact_for_any_partitioning.seen = first
+    assert got == first
+
+
+def test_mutual_information_against_plain_counts(spark):
+    from quantweave.operators import scoring as sc
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=3000).round(2)
+    pdf = pd.DataFrame({"x": x, "z": np.where(rng.random(3000) < .5, 0.0, x), "y": (x + rng.normal(size=3000)).round(2)})
+    pdf.loc[rng.random(3000) < .1, "x"] = np.nan
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "x double, z double, y double").withColumn("none", F.lit(None).cast("double"))
+    got = {r["feature"]: r["score"] for r in sc.mutual_information(df, ["x", "z", "none"], "y").collect()}
+    bins = {c: np.floor((pdf[c].rank(method="min") - 1) * 10 / pdf[c].notna().sum()) for c in pdf}
+    assert set(got) == {"x", "z"}
+    for c in got:
+        table = pd.crosstab(bins[c], bins["y"]).to_numpy()
+        p = table / table.sum()
+        want = np.nansum(p * np.log(np.where(p > 0, p, 1) / (p.sum(1, keepdims=True) * p.sum(0, keepdims=True))))
+        assert abs(got[c] - want) < 1e-9
+
+
+def test_best_weights_equal_the_exact_search(spark):
+    from quantweave.operators import scoring as sc
+    rng = np.random.default_rng(6)
+    y = (rng.random(2000) < .4).astype(float)
+    pdf = pd.DataFrame({"a": (y + rng.normal(size=2000)).round(1), "b": (y + 2 * rng.normal(size=2000)).round(2), "c": rng.normal(size=2000), "y": y})
+    df = spark.createDataFrame(pdf)
+    exact = {r["weight_id"]: r["auc"] for r in sc.weight_search(df, ["a", "b", "c"], "y", 8).collect()}
+    for r in sc.weight_bounds(df, ["a", "b", "c"], "y", 8).collect():
+        assert r["low"] <= exact[r["weight_id"]] <= r["high"]
+    best = sc.best_weights(df, ["a", "b", "c"], "y", 8).first()
+    assert best["weight_id"] == min(exact, key=lambda i: (-round(exact[i], 12), i)) and best["auc"] == exact[best["weight_id"]]
+    plan = sc.weight_bounds(df, ["a", "b", "c"], "y", 8)._jdf.queryExecution().toString()
+    assert "Generate" not in plan
+
+
 def test_auc_equals_pair_counting(spark):
     rng = np.random.default_rng(3)
     s, y = rng.random(400).round(2), (rng.random(400) > 0.6).astype(float)
