@@ -23,6 +23,8 @@ from tokenizers import Tokenizer
 from quantweave.llm.base import query, read
 
 LIMIT = 512
+#: A piece of printable ASCII without an apostrophe is cut where letters, digits and other signs meet.
+PRINTED, RUNS = re.compile(r"[!-&(-~]+"), re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+")
 OUTPUT = "doc_id long, n_bytes long, n_tokens long"
 
 
@@ -129,18 +131,25 @@ class TokenCounter:
         return len(spans) - 1 + sum([self._span(s) for s in spans if s])
 
     def _learn(self, pieces: set[str]) -> None:
-        """Counts of new pieces, each after a blank; pieces without white space at
-        their ends are cut together, and the words dealt back by their places."""
-        plain = [p for p in pieces if p and p.strip() == p]
+        """Counts of new pieces, each after a blank. Printed ASCII is cut here; other pieces without white space at
+        their ends are cut together by the splitter, and the words dealt back by their places."""
+        plain, known, word, others = [], self.pieces, self._word, []
+        for p in pieces:
+            if PRINTED.fullmatch(p):
+                first, *rest = RUNS.findall(p)
+                known[p] = word("\u0120" + first) + sum(map(word, rest)) if rest else word("\u0120" + first)
+            elif p and p.strip() == p:
+                plain.append(p)
+            else:
+                others.append(p)
         words, k, end = self.splitter.pre_tokenize_str(" " + " ".join(plain)) if plain else [], 0, 0
-        known, word = self.pieces, self._word
         for p in plain:
             end, n = end + 1 + len(p), 0
             while k < len(words) and words[k][1][0] < end:
                 n += word(words[k][0])
                 k += 1
             known[p] = n
-        for p in pieces.difference(plain):
+        for p in others:
             known[p] = self._span(" " + p)
 
     def count(self, text: str) -> int:
@@ -148,7 +157,7 @@ class TokenCounter:
             return self._whole(text)
         first, *rest = text.split(" ")
         known = self.pieces
-        missing = {p for p in rest if p not in known}
+        missing = set(rest).difference(known)
         if missing:
             if len(known) + len(missing) > self.KEPT:
                 known.clear()
