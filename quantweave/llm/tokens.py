@@ -36,6 +36,8 @@ from quantweave.session import work_dir
 
 END_ID = 0
 CHUNK_IDS, BLOCK_IDS = 1 << 18, 1 << 12
+#: A piece of printable ASCII without an apostrophe is cut where letters, digits and other signs meet.
+PRINTED, RUNS = re.compile(r"[!-&(-~]+"), re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+")
 LAYOUT = ("shard int, chunk int, start long, n_ids long, doc_ids array<long>, doc_ends array<long>, block_ids int, layout string, "
           "planes array<binary>")
 
@@ -84,17 +86,25 @@ class Encoder:
         return b"".join([self._word(word) for word, _ in self.splitter.pre_tokenize_str(piece)])
 
     def _learn(self, pieces: set[str]) -> None:
-        """Ids of new pieces, split all at once: between pieces that neither begin nor end
-        with white space the splitter always cuts before the blank."""
-        plain = [p for p in pieces if p and p.strip() == p]
+        """Ids of new pieces. Printed ASCII is cut here; the others all at once by the splitter: between
+        pieces that neither begin nor end with white space it always cuts before the blank."""
+        plain, known, word, others = [], self.pieces, self._word, []
+        for p in pieces:
+            if PRINTED.fullmatch(p):
+                first, *rest = RUNS.findall(p)
+                known[p] = word("\u0120" + first) + b"".join(map(word, rest)) if rest else word("\u0120" + first)
+            elif p and p.strip() == p:
+                plain.append(p)
+            else:
+                others.append(p)
         words, k, end = self.splitter.pre_tokenize_str(" " + " ".join(plain)) if plain else [], 0, 0
         for p in plain:
             end, first = end + 1 + len(p), k
             while k < len(words) and words[k][1][0] < end:
                 k += 1
-            self.pieces[p] = b"".join([self._word(w) for w, _ in words[first:k]])
-        for p in pieces.difference(plain):
-            self.pieces[p] = self._new(" " + p)
+            known[p] = b"".join([word(w) for w, _ in words[first:k]])
+        for p in others:
+            known[p] = self._new(" " + p)
 
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
@@ -102,11 +112,12 @@ class Encoder:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
         first, *rest = text.split(" ")
         known = self.pieces
-        missing = {p for p in rest if p not in known}
-        if len(known) + len(missing) > self.LIMIT:
-            known.clear()
-            missing = set(rest)
-        self._learn(missing)
+        missing = set(rest).difference(known)
+        if missing:
+            if len(known) + len(missing) > self.LIMIT:
+                known.clear()
+                missing = set(rest)
+            self._learn(missing)
         return np.frombuffer(self._new(first) + b"".join(map(known.__getitem__, rest)), self.dtype)
 
 
