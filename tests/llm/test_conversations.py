@@ -63,11 +63,11 @@ def odd_turns():
     return rows
 
 
-@pytest.mark.parametrize("rebuild", [False, True])
-def test_trie_against_plain_python(spark, rebuild):
+@pytest.mark.parametrize(("rebuild", "subtree"), [(False, 4096), (True, 4096), (True, 20), (False, 1)])
+def test_trie_against_plain_python(spark, rebuild, subtree):
     rows = odd_turns()
     chains = turn_chains(frame(spark, rows, clash=True))
-    nodes = prefix_trie(rebuilt(chains) if rebuild else chains)
+    nodes = prefix_trie(rebuilt(chains) if rebuild else chains, subtree)
     got = [tuple(r) for r in nodes.select(*TRIE).collect()]
     assert len(got) == len(set(got))
     assert set(got) == plain_trie(rows, rebuild)
@@ -81,6 +81,12 @@ def test_trie_ends_of_many_blocks(spark):
     assert top["ends_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_trie_of_one_very_long_conversation(spark):
+    rows = [(1, t, "user", f"line {t}") for t in range(3000)] + [(c, 0, "user", "line 0") for c in range(2, 50)]
+    nodes = prefix_trie(turn_chains(frame(spark, rows))).collect()
+    assert len(nodes) == 3001 and {r["depth"]: r["n_convs"] for r in nodes} == {0: 49, 1: 49, **dict.fromkeys(range(2, 3001), 1)}
+
+
 def test_trie_empty_and_texts(spark):
     assert prefix_trie(turn_chains(frame(spark, []))).collect() == []
     turns = frame(spark, [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b")])
