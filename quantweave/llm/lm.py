@@ -20,6 +20,7 @@ counts by Spark, and their part of the score is added.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,8 +37,8 @@ from quantweave.llm.simhash import normal_words
 KNOWN, HEAD, CLASS_WORDS, TAILS = 200_000, 2048, 64, 32
 HIDDEN, EMBED = 16, 8
 ROUNDS, SHARE = 2, 1.0
-LANES, WINDOW, RATE = 128, 32, 0.01
-SCORE_LANES, SCORE_WINDOW = 256, 64
+LANES, WINDOW, RATE = 256, 32, 0.02
+SCORE_LANES, SCORE_WINDOW = 512, 32
 BLOCK, FAN, LOG_STEPS = 8192, 64, 256
 END = b""
 PUNCTUATION = b".,;:!?"
@@ -91,9 +92,10 @@ class Vocabulary:
         self.end = self.ids.get(END, n)
 
     def encode(self, words: list[bytes]) -> np.ndarray:
-        get, rare = self.ids.get, self.rare
-        ids = [get(w, -1) for w in words]
-        return np.array([i if i >= 0 else rare + tail_class(w) for i, w in zip(ids, words, strict=True)] if -1 in ids else ids, np.int32)
+        ids = np.fromiter(map(self.ids.get, words, itertools.repeat(-1)), np.int32, len(words))
+        rare = np.flatnonzero(ids < 0)
+        ids[rare] = [self.rare + tail_class(words[i]) for i in rare.tolist()]
+        return ids
 
 
 def new_parameters(vocab: Vocabulary) -> dict[str, np.ndarray]:
@@ -117,90 +119,125 @@ def unflat(v: np.ndarray, like: dict) -> dict:
     return out
 
 
-def lanes_of(docs: list[np.ndarray], end: int, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Packs whole documents one after another into lanes of about equal length, longest
-    first. Returns (time, lane) arrays: input id, target id, document (-1: none), start flag."""
-    order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-    total = sum(len(d) + 1 for d in docs)
-    lanes = max(1, min(lanes, len(docs), -(-total // (len(docs[order[0]]) + 1))))
-    held, fill = [[] for _ in range(lanes)], np.zeros(lanes, np.int64)
-    for i in order:
-        k = int(fill.argmin())
-        held[k].append(i)
-        fill[k] += len(docs[i]) + 1
-    steps = int(fill.max())
-    x, y = np.full((steps, lanes), end, np.int32), np.full((steps, lanes), end, np.int32)
-    doc, start = np.full((steps, lanes), -1, np.int32), np.zeros((steps, lanes), bool)
-    for k, members in enumerate(held):
-        at = 0
-        for i in members:
-            n = len(docs[i])
-            x[at + 1:at + n + 1, k], y[at:at + n, k] = docs[i], docs[i]
-            doc[at:at + n + 1, k], start[at, k] = i, True
-            at += n + 1
-    return x, y, doc, start
+class Lanes:
+    """Whole documents one after another in lanes of about equal length, longest first. A window reads
+    only the lanes that still have tokens, so a very long document does not narrow the others."""
+
+    def __init__(self, docs: list[np.ndarray], end: int, lanes: int, window: int):
+        order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
+        lanes = max(1, min(lanes, len(docs)))
+        held, fill = [[] for _ in range(lanes)], np.zeros(lanes, np.int64)
+        for i in order:
+            k = int(fill.argmin())
+            held[k].append(i)
+            fill[k] += len(docs[i]) + 1
+        by_size = np.argsort(-fill, kind="stable")
+        self.size, self.window = fill[by_size], window
+        self.first = np.r_[0, np.cumsum(self.size + window)[:-1]]  # each lane ends with a window of padding
+        n = int((self.size + window).sum())
+        self.x, self.y, self.doc = np.full(n, end, np.int32), np.full(n, end, np.int32), np.full(n, -1, np.int32)
+        self.start = np.zeros(n, bool)
+        for lane, at in zip(by_size.tolist(), self.first.tolist(), strict=True):
+            for i in held[lane]:
+                m = len(docs[i])
+                self.x[at + 1:at + m + 1], self.y[at:at + m] = docs[i], docs[i]
+                self.doc[at:at + m + 1], self.start[at] = i, True
+                at += m + 1
+
+    def __iter__(self):
+        """(input ids, target ids, documents (-1: none), start flags) of each window, arrays of (time, lane)."""
+        steps = np.arange(self.window)[:, None]
+        for at in range(0, int(self.size[0]), self.window):
+            live = int(np.searchsorted(-self.size, -at, "left"))  # sizes fall
+            places = self.first[:live] + at + steps
+            yield self.x[places], self.y[places], self.doc[places], self.start[places]
 
 
 def sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, x)
+    np.exp(x, x)
+    x += 1
+    return np.reciprocal(x, x)
 
 
 def states(p: dict, x: np.ndarray, start: np.ndarray, h: np.ndarray, keep: bool = False):
     """States after each step of a window; with ``keep`` also what backpropagation needs."""
     H, (T, B) = HIDDEN, x.shape
-    gx = (p["E"][x.ravel()] @ p["Wx"] + p["b"]).reshape(T, B, 3 * H)
+    gx = (p["E"] @ p["Wx"] + p["b"])[x]  # one row for each input word
     W, U = np.ascontiguousarray(p["Wh"][:, :2 * H]), np.ascontiguousarray(p["Wh"][:, 2 * H:])
-    out, trace = np.empty((T, B, H), np.float32), []
+    out, trace, begins = np.empty((T, B, H), np.float32), [], start.any(1)
     for t in range(T):
-        prev = np.where(start[t][:, None], np.float32(0), h) if start[t].any() else h
-        rz = sigmoid(gx[t, :, :2 * H] + prev @ W)
+        prev = np.where(start[t][:, None], np.float32(0), h) if begins[t] else h
+        rz = prev @ W
+        rz += gx[t, :, :2 * H]
+        rz = sigmoid(rz)
         r, z = rz[:, :H], rz[:, H:]
-        c = np.tanh(gx[t, :, 2 * H:] + (r * prev) @ U)
-        h = prev + z * (c - prev)
+        c = (r * prev) @ U
+        c += gx[t, :, 2 * H:]
+        np.tanh(c, c)
+        h = c - prev
+        h *= z
+        h += prev
         out[t] = h
         if keep:
             trace.append((prev, r, z, c))
     return out, h, trace
 
 
-def class_log_probability(p: dict, h: np.ndarray, cls: np.ndarray, grad: bool = False):
-    """ln P(class) of each row, and the gradient of its sum by the logits if asked for."""
-    logits = h @ p["Wc"] + p["bc"]
-    logits -= logits.max(1, keepdims=True)
-    e = np.exp(logits)
-    s = e.sum(1)
-    rows = np.arange(len(cls))
-    out = logits[rows, cls] - np.log(s)
-    if not grad:
+def softmax_at(logits: np.ndarray, column: np.ndarray, grad: bool):
+    """ln of the softmax at ``column`` of each row, and the sum of exponentials. With ``grad``, ``logits`` becomes
+    the gradient times minus that sum: the caller scales the narrow side. Clipped only where an exponential could overflow."""
+    if logits.size and logits.max() > 80:
+        np.minimum(logits, np.float32(80), logits)
+    rows = np.arange(len(column))
+    at = logits[rows, column]
+    np.exp(logits, logits)
+    s = np.einsum("ij->i", logits)
+    if grad:
+        logits[rows, column] -= s
+    return at - np.log(s), s
+
+
+def class_log_probability(p: dict, h: np.ndarray, cls: np.ndarray, grads: dict | None = None):
+    """ln P(class) of each row, and the gradient of its sum by the state if ``grads`` are asked for (None else)."""
+    logits = h @ p["Wc"]
+    logits += p["bc"]
+    out, s = softmax_at(logits, cls, grads is not None)
+    if grads is None:
         return out, None
-    d = -e / s[:, None]
-    d[rows, cls] += 1
-    return out, d
+    scale = -1 / s
+    grads["Wc"], grads["bc"] = (h * scale[:, None]).T @ logits, scale @ logits
+    dh = logits @ p["Wc"].T
+    dh *= scale[:, None]
+    return out, dh
 
 
 def word_log_probability(p: dict, h: np.ndarray, ids: np.ndarray, cls: np.ndarray, grads: dict | None = None, dh: np.ndarray | None = None):
     """ln P(word | class) of head words, class by class; adds gradients if asked for."""
-    out = np.zeros(len(ids), np.float32)
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(HEADS + 1))
+    order = np.argsort(cls.astype(np.uint16), kind="stable")
+    hs, inside, out = h[order], ids[order] % CLASS_WORDS, np.empty(len(ids), np.float32)
+    cuts = np.r_[0, np.cumsum(np.bincount(cls, minlength=HEADS))].tolist()
+    back = np.empty_like(hs) if grads is not None else None
     for k in range(HEADS):
-        rows = order[cuts[k]:cuts[k + 1]]
-        if not len(rows):
+        a, b = cuts[k], cuts[k + 1]
+        if a == b:
             continue
         span = slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
-        hk, inside = h[rows], ids[rows] - k * CLASS_WORDS
-        logits = hk @ p["Wo"][span].T + p["bo"][span]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        s, n = e.sum(1), np.arange(len(rows))
-        out[rows] = logits[n, inside] - np.log(s)
+        W = p["Wo"][span]
+        logits = hs[a:b] @ W.T
+        logits += p["bo"][span]
+        out[a:b], s = softmax_at(logits, inside[a:b], grads is not None)
         if grads is not None:
-            d = -e / s[:, None]
-            d[n, inside] += 1
-            grads["Wo"][span] += d.T @ hk
-            grads["bo"][span] += d.sum(0)
-            dh[rows] += d @ p["Wo"][span]
-    return out
+            scale = -1 / s
+            grads["Wo"][span] = logits.T @ (hs[a:b] * scale[:, None])
+            grads["bo"][span] = scale @ logits
+            np.multiply(logits @ W, scale[:, None], back[a:b])
+    if grads is not None:
+        dh[order] = back
+    gain = np.empty_like(out)
+    gain[order] = out
+    return gain
 
 
 def gradients(p: dict, vocab: Vocabulary, x, y, live, start, h):
@@ -211,9 +248,7 @@ def gradients(p: dict, vocab: Vocabulary, x, y, live, start, h):
     rows = np.flatnonzero(live.ravel())
     hr, ids = hs.reshape(-1, H)[rows], y.ravel()[rows]
     cls = vocab.cls[ids]
-    gain, d = class_log_probability(p, hr, cls, grad=True)
-    g["Wc"], g["bc"] = hr.T @ d, d.sum(0)
-    dr = d @ p["Wc"].T
+    gain, dr = class_log_probability(p, hr, cls, g)
     head = np.flatnonzero(ids < min(HEAD, vocab.rare))
     dh = np.zeros((len(head), H), np.float32)
     gain = gain.sum() + word_log_probability(p, hr[head], ids[head], cls[head], g, dh).sum()
@@ -221,67 +256,81 @@ def gradients(p: dict, vocab: Vocabulary, x, y, live, start, h):
     dout = np.zeros((T * B, H), np.float32)
     dout[rows] = dr
     dout = dout.reshape(T, B, H)
-    W, U, carry, dgx = p["Wh"][:, :2 * H], p["Wh"][:, 2 * H:], np.zeros((B, H), np.float32), np.empty((T, B, 3 * H), np.float32)
+    W, U = np.ascontiguousarray(p["Wh"][:, :2 * H].T), np.ascontiguousarray(p["Wh"][:, 2 * H:].T)
+    carry, dgx, begins = np.zeros((B, H), np.float32), np.empty((T, B, 3 * H), np.float32), start.any(1)
+    before, reset = np.empty((T, B, H), np.float32), np.empty((T, B, H), np.float32)
     for t in range(T - 1, -1, -1):
         prev, r, z, c = trace[t]
-        dt = dout[t] + carry
-        dc = dt * z * (1 - c * c)
-        dz = dt * (c - prev) * z * (1 - z)
-        drp = dc @ U.T
-        dr_ = drp * prev * r * (1 - r)
-        dgx[t] = np.concatenate([dr_, dz, dc], 1)
-        g["Wh"][:, :2 * H] += prev.T @ dgx[t, :, :2 * H]
-        g["Wh"][:, 2 * H:] += (r * prev).T @ dc
-        carry = dt * (1 - z) + drp * r + dgx[t, :, :2 * H] @ W.T
-        if start[t].any():
-            carry = np.where(start[t][:, None], np.float32(0), carry)
-    dgx = dgx.reshape(-1, 3 * H)
+        dt = dout[t]
+        dt += carry
+        dz = dt * z
+        dc = dz * (1 - c * c)
+        drp = dc @ U
+        d = dgx[t]
+        d[:, 2 * H:] = dc
+        d[:, :H] = drp * prev * (r - r * r)
+        d[:, H:2 * H] = dz * (c - prev) * (1 - z)
+        before[t], reset[t] = prev, r * prev
+        carry = dt - dz
+        drp *= r
+        carry += drp
+        carry += d[:, :2 * H] @ W
+        if begins[t]:
+            carry[start[t]] = 0
+    dgx, before, reset = dgx.reshape(-1, 3 * H), before.reshape(-1, H), reset.reshape(-1, H)
+    g["Wh"][:, :2 * H], g["Wh"][:, 2 * H:] = before.T @ dgx[:, :2 * H], reset.T @ dgx[:, 2 * H:]
     inputs = x.ravel()
     g["b"], g["Wx"] = dgx.sum(0), p["E"][inputs].T @ dgx
-    de = dgx @ p["Wx"].T
+    de = np.ascontiguousarray((dgx @ p["Wx"].T).T)
     for j in range(EMBED):
-        g["E"][:, j] = np.bincount(inputs, weights=de[:, j], minlength=len(p["E"]))
+        g["E"][:, j] = np.bincount(inputs, weights=de[j], minlength=len(p["E"]))
     n = max(1, len(rows))
     return {k: v / n for k, v in g.items()}, float(gain), last
 
 
 def train_on(p: dict, vocab: Vocabulary, docs: list[np.ndarray], moments: dict, lanes: int = LANES, window: int = WINDOW, rate: float = RATE) -> int:
-    """Truncated backpropagation over whole documents, Adam steps in place; tokens seen."""
-    x, y, doc, start = lanes_of(docs, vocab.end, lanes)
-    x, h, seen = vocab.input[x], np.zeros((x.shape[1], HIDDEN), np.float32), 0
-    for at in range(0, len(x), window):
-        s = slice(at, at + window)
-        live = doc[s] >= 0
-        g, _, h = gradients(p, vocab, x[s], y[s], live, start[s], h)
-        seen += int(live.sum())
+    """Truncated backpropagation over whole documents, Adam steps in place; tokens seen. The step of a window
+    with few lanes left is shorter by their share, so that a long document counts by its tokens."""
+    h_lanes = max(1, min(lanes, len(docs)))
+    h, seen = np.zeros((h_lanes, HIDDEN), np.float32), 0
+    for x, y, doc, start in Lanes(docs, vocab.end, lanes, window):
+        live = doc >= 0
+        g, _, h = gradients(p, vocab, vocab.input[x], y, live, start, h[:x.shape[1]])
+        tokens = int(live.sum())
+        seen += tokens
         moments["n"] += 1
         size = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
         scale, n = min(1.0, 1.0 / max(size, 1e-12)), moments["n"]
-        step = rate * np.sqrt(1 - 0.999 ** n) / (1 - 0.9 ** n)
+        step = rate * np.sqrt(1 - 0.999 ** n) / (1 - 0.9 ** n) * tokens / (h_lanes * window)
         for k, v in g.items():
             m, q = moments["m"][k], moments["q"][k]
+            v *= scale
             m *= 0.9
-            m += 0.1 * scale * v
+            m += 0.1 * v
             q *= 0.999
-            q += 0.001 * (scale * v) ** 2
-            p[k] += (step * m / (np.sqrt(q) + 1e-8)).astype(np.float32)
+            v *= v
+            v *= 0.001
+            q += v
+            np.sqrt(q, v)
+            v += 1e-8
+            np.divide(m, v, v)
+            v *= step
+            p[k] += v
     return seen
 
 
 def score_docs(p: dict, vocab: Vocabulary, docs: list[np.ndarray], lanes: int = SCORE_LANES, window: int = SCORE_WINDOW) -> np.ndarray:
     """Natural log probability of every document under the network and the static classes, state carried through."""
-    x, y, doc, start = lanes_of(docs, vocab.end, lanes)
-    x, h, out = vocab.input[x], np.zeros((x.shape[1], HIDDEN), np.float32), np.zeros(len(docs))
-    for at in range(0, len(x), window):
-        s = slice(at, at + window)
-        hs, h, _ = states(p, x[s], start[s], h)
-        rows = np.flatnonzero(doc[s].ravel() >= 0)
-        hr, ids = hs.reshape(-1, HIDDEN)[rows], y[s].ravel()[rows]
+    h, out = np.zeros((lanes, HIDDEN), np.float32), np.zeros(len(docs))
+    for x, y, doc, start in Lanes(docs, vocab.end, lanes, window) if docs else ():
+        hs, h, _ = states(p, vocab.input[x], start, h[:x.shape[1]])
+        rows = np.flatnonzero(doc.ravel() >= 0)
+        hr, ids = hs.reshape(-1, HIDDEN)[rows], y.ravel()[rows]
         cls = vocab.cls[ids]
         gain = class_log_probability(p, hr, cls)[0] + vocab.static[ids]
         head = np.flatnonzero(ids < min(HEAD, vocab.rare))
         gain[head] += word_log_probability(p, hr[head], ids[head], cls[head])
-        out += np.bincount(doc[s].ravel()[rows], weights=gain, minlength=len(docs))
+        out += np.bincount(doc.ravel()[rows], weights=gain, minlength=len(docs))
     return out
 
 
@@ -326,10 +375,39 @@ def averaged(parts: DataFrame) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(bytes(r.v), "<f8") for r in rows]) if rows else None
 
 
-def trained(texts: DataFrame, shared, rounds: int = ROUNDS) -> dict:
-    """Parameters after ``rounds`` rounds over ``texts(text, round)``; a round trains on its own
+#: Tokens that a task holds while it trains.
+BUFFER = 4_000_000
+
+
+def id_arrays(column: pa.ListArray) -> list[np.ndarray]:
+    return [x.values.to_numpy() for x in column]
+
+
+def encoded(rows: DataFrame, shared, id_kind: str) -> DataFrame:
+    """Every row of ``rows(doc_id, held_out, round, text)`` with its word ids, its count of known tokens, the base score of those, and its rare words.
+    The texts are cut and looked up once; training and scoring read the ids."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        for batch in batches:
+            ids, rare = [], []
+            for t in batch.column(3).to_pylist():
+                words = normal_words(t)
+                ids.append(v.encode(words))
+                rare.append([words[i] for i in np.flatnonzero(ids[-1] >= v.rare).tolist()])
+            base = np.array([v.base[i].sum() + v.base[v.end] for i in ids])
+            known = np.array([v.known[i].sum() + v.known[v.end] for i in ids]).astype(np.int64)
+            sizes = np.cumsum([0, *map(len, ids)])
+            flat_ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], flat_ids, pa.array(known), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.binary()))],
+                                             names=["doc_id", "held_out", "round", "ids", "n_known", "base", "rare"])
+    kind = f"doc_id {id_kind}, held_out boolean, round int, ids array<int>, n_known long, base double, rare array<binary>"
+    return staged(rows.select("doc_id", "held_out", "round", "text").mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id()), "encoded")
+
+
+def trained(ids: DataFrame, shared, rounds: int = ROUNDS) -> dict:
+    """Parameters after ``rounds`` rounds over ``ids(ids, round)``; a round trains on its own
     documents. ``shared`` is the broadcast vocabulary."""
-    context = texts.sparkSession.sparkContext
+    context = ids.sparkSession.sparkContext
     p = new_parameters(shared.value)
     for r in range(rounds):
         current = context.broadcast(p)
@@ -339,10 +417,10 @@ def trained(texts: DataFrame, shared, rounds: int = ROUNDS) -> dict:
             moments = {"n": 0, "m": {k: np.zeros_like(v) for k, v in own.items()}, "q": {k: np.zeros_like(v) for k, v in own.items()}}
             seen, docs, held = 0, [], 0
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    docs.append(shared.value.encode(normal_words(text)))
-                    held += len(docs[-1])
-                    if held > 500_000:
+                for doc in id_arrays(batch.column(0)):
+                    docs.append(doc)
+                    held += len(doc) + 1
+                    if held > BUFFER:
                         seen, docs, held = seen + train_on(own, shared.value, docs, moments), [], 0
             if docs:
                 seen += train_on(own, shared.value, docs, moments)
@@ -352,7 +430,7 @@ def trained(texts: DataFrame, shared, rounds: int = ROUNDS) -> dict:
                 yield pa.RecordBatch.from_pydict({
                     "fan": pa.array([seen % FAN] * len(cuts), pa.int32()), "block": pa.array([c // BLOCK for c in cuts], pa.int32()),
                     "weight": pa.array([float(seen)] * len(cuts)), "v": pa.array([v[c:c + BLOCK].tobytes() for c in cuts], pa.binary())})
-        parts = texts.filter(F.col("round") == r).select("text").mapInArrow(run, "fan int, block int, weight double, v binary")
+        parts = ids.filter(F.col("round") == r).select("ids").mapInArrow(run, "fan int, block int, weight double, v binary")
         mean = averaged(parts)
         current.unpersist()
         if mean is not None:
@@ -371,38 +449,27 @@ def log_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", roun
     rest = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 7
     pick = F.pmod(F.xxhash64(doc_id, F.lit("round")), F.lit(1_000_000)) / 1_000_000
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (rest == 2).alias("held_out"),
-                       F.when(pick < share, F.floor(pick / share * rounds)).cast("int").alias("round"))
-    train = rows.filter(~F.col("held_out"))
-    counts = staged(token_counts(train), "token-counts")
+                       F.when((rest != 2) & (pick < share), F.floor(pick / share * rounds)).cast("int").alias("round"))
+    counts = staged(token_counts(rows.filter(~F.col("held_out"))), "token-counts")
     vocab = build_vocabulary(counts)
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(vocab)
-    weights = context.broadcast(trained(train, shared, rounds))
+    id_kind = dict(rows.dtypes)["doc_id"]
+    coded = encoded(rows, shared, id_kind)
+    weights = context.broadcast(trained(coded, shared, rounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
         for batch in batches:
-            texts, ids, rare = batch.column(2).to_pylist(), [], []
-            for t in texts:
-                words = normal_words(t)
-                ids.append(v.encode(words))
-                rare.append([words[i] for i in np.flatnonzero(ids[-1] >= v.rare)])
-            if not ids:
-                continue
-            base = np.array([v.base[i].sum() + v.base[v.end] for i in ids])
-            known = np.array([v.known[i].sum() + v.known[v.end] for i in ids]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(i) + 1 for i in ids], pa.int64()), pa.array(known), pa.array(base),
-                 pa.array(score_docs(weights.value, v, ids)), pa.array(rare, pa.list_(pa.binary()))],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare"])
-    id_kind = dict(rows.dtypes)["doc_id"]
-    scored = staged(rows.select("doc_id", "held_out", "text").mapInArrow(
-        run, f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<binary>")
-        .withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("rare").alias("word")).join(counts, "word").groupBy("row").agg(
+            ids = id_arrays(batch.column(0))
+            kept = [batch.column(i) for i in range(1, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([len(i) + 1 for i in ids], pa.int64()), pa.array(score_docs(weights.value, shared.value, ids), pa.float64())],
+                                             names=["row", "doc_id", "held_out", "n_known", "base", "n_tokens", "model"])
+    scored = coded.select("ids", "row", "doc_id", "held_out", "n_known", "base").mapInArrow(
+        run, f"row long, doc_id {id_kind}, held_out boolean, n_known long, base double, n_tokens long, model double")
+    rare = coded.select("row", F.explode("rare").alias("word")).join(counts, "word").groupBy("row").agg(
         F.count(F.lit(1)).alias("more"), F.sum(F.log(F.col("c") + 1)).alias("gain"))
     gain = F.coalesce("gain", F.lit(0.0))
-    return scored.drop("rare").join(rare, "row", "left").select(
+    return scored.join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(vocab.total).cast("long").alias("train_tokens"),
         ((F.col("base") + gain) / F.log(F.lit(10.0))).alias("base_score"), ((F.col("model") + gain) / F.log(F.lit(10.0))).alias("score"))
 

@@ -199,7 +199,7 @@ def test_gradients_by_differences():
     vocab, rng = small_vocabulary(), np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in lm.new_parameters(vocab).items()}
     docs = [rng.integers(1, 300, n).astype(np.int32) for n in (5, 3, 4)]
-    x, y, doc, start = lm.lanes_of(docs, vocab.end, 2)
+    x, y, doc, start = next(iter(lm.Lanes(docs, vocab.end, 2, 10)))
     x = vocab.input[x]
     h = np.zeros((x.shape[1], lm.HIDDEN))
     args = (vocab, x, y, doc >= 0, start, h)
@@ -232,6 +232,38 @@ def test_probabilities_sum_to_one_and_state_is_carried():
     assert abs(both[1] - one) < 1e-2
 
 
+def plain_log_probability(p, vocab, doc):
+    """One token after the other, as the formulas say."""
+    H, h, total, last = lm.HIDDEN, np.zeros(lm.HIDDEN), 0.0, vocab.end
+    one = lambda a: 1 / (1 + np.exp(-a))
+    for word in [*doc.tolist(), vocab.end]:
+        e = p["E"][vocab.input[last]].astype(float)
+        a, b = e @ p["Wx"] + p["b"], h @ p["Wh"][:, :2 * H]
+        r, z = one(a[:H] + b[:H]), one(a[H:2 * H] + b[H:])
+        h = (1 - z) * h + z * np.tanh(a[2 * H:] + (r * h) @ p["Wh"][:, 2 * H:])
+        k = vocab.cls[word]
+        logits = h @ p["Wc"] + p["bc"]
+        total += logits[k] - np.log(np.exp(logits).sum())
+        if k < lm.HEADS:
+            span = slice(k * lm.CLASS_WORDS, (k + 1) * lm.CLASS_WORDS)
+            logits = p["Wo"][span] @ h + p["bo"][span]
+            total += logits[word % lm.CLASS_WORDS] - np.log(np.exp(logits).sum())
+        else:
+            total += vocab.static[word]
+        last = word
+    return total
+
+
+def test_scores_against_a_plain_loop_after_training():
+    vocab, rng = small_vocabulary(), np.random.default_rng(3)
+    p = lm.new_parameters(vocab)
+    docs = [rng.integers(1, 300, n).astype(np.int32) for n in (0, 1, 40, 200, 65, 33)]
+    moments = {"n": 0, "m": {k: np.zeros_like(v) for k, v in p.items()}, "q": {k: np.zeros_like(v) for k, v in p.items()}}
+    assert lm.train_on(p, vocab, docs * 5, moments, lanes=4, window=8) == 5 * sum(len(d) + 1 for d in docs)
+    got = lm.score_docs(p, vocab, docs, lanes=3, window=16)
+    assert np.allclose(got, [plain_log_probability(p, vocab, d) for d in docs], rtol=1e-4, atol=1e-2)
+
+
 # --- pipeline -------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark):
