@@ -43,6 +43,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`staged` that no later plan reads, so they don't take disk until the session ends."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def packed(docs: DataFrame, **cols: Column) -> DataFrame:
     """The columns asked for, and the input row whole as struct ``_row``, so
     that no column of the input can clash with a working column."""

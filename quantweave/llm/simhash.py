@@ -19,6 +19,7 @@ before anything is joined, so copies cost nothing.
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantweave.llm.base import packed, query, read, staged
+from quantweave.llm.base import discard, packed, query, read, staged
 from quantweave.llm.graph import connected_components
 
 SEED = 42
@@ -154,6 +155,8 @@ PART, WHOLE = 4, 5
 SIMILARITY = PART / WHOLE
 #: Counters of the order of the shingles, and how many of them travel in one row.
 ORDER_BITS, ORDER_BLOCK = 24, 16
+#: Bits of a parity print, and members of a key that are compared in one group.
+PRINT_BITS, BLOCK = 1024, 2048
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -161,8 +164,9 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(hashed(shingles(normal_words(text), SHINGLE), SEED))
 
 
-def _shingle_sets(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: shingle_set(t).astype("<u8").tobytes(), na_action=None)
+def _shingle_sets(texts: pd.Series) -> pd.DataFrame:
+    sets = [shingle_set(t) for t in texts]
+    return pd.DataFrame({"s": [x.astype("<u8").tobytes() for x in sets], "print": [parity_print(x) for x in sets], "size": np.array([len(x) for x in sets], np.int32)})
 
 
 def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -216,7 +220,8 @@ def prefix(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 def prefix_entries(rows: DataFrame, levels) -> DataFrame:
     """(key, n, size, pos): the prefix of each text of ``rows(n, text)``, with the place of the
-    shingle and the number of shingles. ``levels`` is a broadcast. Shingles of one text alone are left out."""
+    shingle and the number of shingles. ``levels`` is a broadcast. Shingles of one text alone
+    are left out; a text that several tasks hold has equal entries from each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
@@ -233,7 +238,7 @@ def prefix_entries(rows: DataFrame, levels) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "key": pa.array(np.concatenate(keys).view(np.int64)), "n": pa.array(np.repeat(np.array(list(texts), np.int64), counts)),
                     "size": pa.array(np.repeat(size, counts).astype(np.int32)), "pos": pa.array(np.concatenate(at).astype(np.int32))})
-    return rows.select("n", "text").mapInArrow(run, "key long, n long, size int, pos int").distinct()
+    return rows.select("n", "text").mapInArrow(run, "key long, n long, size int, pos int")
 
 
 def possible(size: Column, pos: Column, other_size: Column, other_pos: Column) -> Column:
@@ -241,27 +246,77 @@ def possible(size: Column, pos: Column, other_size: Column, other_pos: Column) -
     return (PART + WHOLE) * F.least(size - pos, other_size - other_pos) >= PART * (size + other_size)
 
 
-def shared_entries(rows: DataFrame, levels) -> DataFrame:
-    """The entries of keys that several texts hold."""
-    entries = staged(prefix_entries(rows, levels), "entries")
-    several = entries.groupBy("key").agg(F.min("n").alias("x"), F.max("n").alias("y")).filter("x < y").select("key")
-    return staged(entries.join(several, "key", "left_semi"), "shared")
+def shared_entries(entries: DataFrame) -> DataFrame:
+    """(key, n, size, pos, head): the entries of keys that several texts hold, each with the key's head,
+    the entry after which most shingles are left. The entries are dealt by key once, for the heads and for the join."""
+    dealt = entries.repartition("key")
+    one = F.struct("n", "size", "pos")
+    heads = dealt.groupBy("key").agg(F.min("n").alias("x"), F.max("n").alias("y"), F.min_by(one, F.struct(F.col("pos") - F.col("size"), F.col("n"))).alias("head"))
+    return staged(dealt.join(heads.filter("x < y").select("key", "head"), "key").distinct(), "shared")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of similarity 0.8 or more. Prints rule out most others exactly before whole sets are compared."""
+    def side(c, *cols):
+        return sets.select(F.col("n").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in cols])
+    near = pairs.join(side("a", "print", "size"), "a").join(side("b", "print", "size"), "b").filter(
+        F.pandas_udf(_may_agree, "boolean")("print_a", "print_b", "size_a", "size_b")).select("a", "b")
+    near = staged(near, "near")
+    return (near.join(side("a", "s"), "a").join(side("b", "s"), "b")
+            .filter(F.pandas_udf(_jaccard, "double")("s_a", "s_b") >= SIMILARITY).select("a", "b"))
+
+
+def parity_print(hashes: np.ndarray) -> bytes:
+    """``PRINT_BITS`` bits; every shingle of the set flips one. Shingles that two sets share flip the same bits, so the
+    sets differ in at least as many shingles as their prints in bits."""
+    flips = np.bincount((hashes % np.uint64(PRINT_BITS)).astype(np.int64), minlength=PRINT_BITS) & 1
+    return np.packbits(flips.astype(bool)).tobytes()
+
+
+def _may_agree(a: pd.Series, b: pd.Series, size_a: pd.Series, size_b: pd.Series) -> pd.Series:
+    x, y = (np.frombuffer(b"".join(c), "<u8").reshape(len(c), -1) for c in (a, b))
+    return pd.Series(agreeable(np.bitwise_count(x ^ y).sum(1, dtype=np.int64), size_a.to_numpy(), size_b.to_numpy()))
+
 
+def agreeable(distance, size_a, size_b):
+    """Similarity 0.8 leaves at most a ninth of both sizes to differences."""
+    return (WHOLE + PART) * distance <= (WHOLE - PART) * (size_a + size_b)
 
-def candidate_pairs(entries: DataFrame) -> DataFrame:
-    """(a, b, d): every text with the representatives of its prefix entries; ``d`` is smaller the more entries meet.
 
-    An entry's representatives are its smallest and largest row number and the
-    smallest by hash, so an entry of any size gives its members at most three
-    pairs each. These connect most groups at little cost; :func:`pairs_between`
-    then takes all that lie in two components.
+def cross_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): all pairs of different labels that meet in a key and whose places and prints allow 0.8.
+
+    A key's members meet in blocks of ``block``, each pair of blocks in a group of its own, so a group is bounded
+    and a key of any size is dealt over many tasks. Pairs are tested inside the task; only those that pass become rows.
     """
-    one = F.struct("n", "size", "pos")
-    heads = (entries.groupBy("key").agg(F.min_by(one, "n").alias("x"), F.max_by(one, "n").alias("y"), F.min_by(one, F.xxhash64("n")).alias("z"))
-             .select("key", F.array_distinct(F.array("x", "y", "z")).alias("heads")))
-    pairs = (entries.join(heads, "key").select("n", "size", "pos", F.explode("heads").alias("h"))
-             .filter((F.col("n") != F.col("h.n")) & possible(F.col("size"), F.col("pos"), F.col("h.size"), F.col("h.pos"))))
-    return pairs.groupBy(F.least("n", "h.n").alias("a"), F.greatest("n", "h.n").alias("b")).agg((-F.count(F.lit(1))).alias("d"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = (r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        for (_, low, high), group in itertools.groupby(cells, key=lambda r: r[:3]):
+            _, _, _, own, n, size, pos, label, prints = zip(*group, strict=True)
+            own, n, size, left, label = np.array(own), np.array(n), np.array(size), np.array(size) - np.array(pos), np.array(label)
+            bits = np.frombuffer(b"".join(prints), "<u8").reshape(len(n), -1)
+            found = []
+            for i in range(len(n)):
+                if low == high:
+                    others = np.arange(i + 1, len(n))
+                elif own[i] == low:
+                    others = np.flatnonzero(own == high)
+                else:
+                    continue
+                others = others[(label[others] != label[i]) & ((PART + WHOLE) * np.minimum(left[others], left[i]) >= PART * (size[others] + size[i]))]
+                others = others[agreeable(np.bitwise_count(bits[others] ^ bits[i]).sum(1, dtype=np.int64), size[others], size[i])]
+                found.append(np.column_stack([np.minimum(n[others], n[i]), np.maximum(n[others], n[i])]))
+            pairs = np.concatenate([*found, np.empty((0, 2), np.int64)])
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    tagged = staged(shared.select("key", "n", "size", "pos").join(labels.select(F.col("node").alias("n"), "label"), "n", "left")
+                    .withColumn("label", F.coalesce("label", "n")), "tagged")
+    mixed = (tagged.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+             .filter("x < y").select("key", "blocks"))
+    met = tagged.join(mixed, "key").join(sets.select("n", "print"), "n").withColumn("own", F.pmod(F.xxhash64("n"), "blocks").cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "n", "size", "pos", "label", "print")
+    return met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, "a long, b long").distinct()
 
 
 def text_hash(text: Column) -> Column:
@@ -273,59 +328,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Equal texts share ``n`` and are folded first. Different texts link if at least
     0.8 of their five-word shingles agree, and ``group_n`` names the component.
+    Defined cases: null and empty texts are equal; texts of fewer than five words have one shingle, texts without words none, and
+    these link to equal texts only; a null doc_id keeps its row; an empty table gives an empty result.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_hash(F.col(text)).alias("n"), F.col(text).alias("text")).withColumn("k", F.xxhash64("doc_id", "n"))
     levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(rows))
-    entries = shared_entries(rows, levels)
-    pairs = staged(candidate_pairs(entries), "pairs")
+    entries = staged(prefix_entries(rows, levels), "entries")
+    shared = shared_entries(entries)
+    discard(entries)
     members = staged(rows.select("doc_id", "k", "n"), "texts")
-    firsts = members.groupBy("n").agg(F.min("k").alias("k")).join(entries.select("n").distinct(), "n", "left_semi")
-    sets = staged(rows.select("k", "text").join(firsts, "k").select("n", F.pandas_udf(_shingle_sets, "binary")("text").alias("s")).dropDuplicates(["n"]), "sets")
-    labels = linked_groups(pairs, sets, entries)
+    firsts = members.groupBy("n").agg(F.min("k").alias("k")).join(shared.select("n").distinct(), "n", "left_semi")
+    kind = "struct<s:binary,print:binary,size:int>"
+    sets = staged(rows.select("k", "text").join(firsts, "k").select("n", F.pandas_udf(_shingle_sets, kind)("text").alias("x")).select("n", "x.*").dropDuplicates(["n"]), "sets")
+    labels = staged(linked_groups(shared, sets), "labels")
+    discard(shared, sets)
+    levels.unpersist()
     return members.select("doc_id", "n").join(labels, "n", "left").select("doc_id", "n", F.coalesce("label", "n").alias("group_n"))
 
 
-def pairs_between(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): all pairs of different components that meet in an entry and can be similar.
-
-    Entries inside one component go first; of the others each pair of components
-    is one row until its members are paired.
-    """
-    tagged = staged(entries.join(labels.select(F.col("node").alias("n"), "label"), "n", "left").withColumn("label", F.coalesce("label", "n")), "tagged")
-    mixed = tagged.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
-    sides = staged(tagged.join(mixed, "key", "left_semi").groupBy("key", "label").agg(F.collect_list(F.struct("n", "size", "pos")).alias("m")), "sides")
-    left, right = sides.select("key", F.col("label").alias("la"), F.col("m").alias("ma")), sides.select("key", F.col("label").alias("lb"), F.col("m").alias("mb"))
-    met = left.join(right, "key").filter("la < lb").select(F.explode("ma").alias("x"), "mb")
-    near = F.filter("mb", lambda y: possible(F.col("x.size"), F.col("x.pos"), y["size"], y["pos"]))
-    return met.select("x", F.explode(near).alias("y")).select(F.least("x.n", "y.n").alias("a"), F.greatest("x.n", "y.n").alias("b")).distinct()
-
-
-def linked_groups(pairs: DataFrame, sets: DataFrame, entries: DataFrame) -> DataFrame:
+def linked_groups(shared: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
     """(n, label) of the texts that similar pairs connect.
 
-    Of the pairs with representatives the closest of every text is verified first, then
-    those that still lie in two components, then every other pair of an entry that does.
-    A pair inside one component can change nothing, so a group of many copies costs
-    about one comparison for each member, and every pair of similar texts is either
-    verified or inside one component.
+    Every text is compared with the heads of its keys first, which connects most groups at little cost. Then all
+    pairs that meet in a key and still lie in two components are tested; a pair inside one component can change nothing, so
+    every pair of similar texts is either verified or inside one component.
     """
-    def verified(some: DataFrame) -> DataFrame:
-        return (some.join(sets.select(F.col("n").alias("a"), F.col("s").alias("sa")), "a")
-                .join(sets.select(F.col("n").alias("b"), F.col("s").alias("sb")), "b")
-                .filter(F.pandas_udf(_jaccard, "double")("sa", "sb") >= SIMILARITY).select("a", "b"))
-    sides = pairs.select("a", F.struct("d", "b").alias("x")).union(pairs.select("b", F.struct("d", "a")))
-    closest = sides.groupBy("a").agg(F.min("x").alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
-    closest = staged(closest, "closest")
-    first = staged(verified(closest), "links")
+    h = F.col("head")
+    heads = (shared.filter((F.col("n") != h.n) & possible(F.col("size"), F.col("pos"), h.size, h.pos))
+             .select(F.least("n", h.n).alias("a"), F.greatest("n", h.n).alias("b")).distinct())
+    first = staged(verified(heads, sets), "links")
     labels = staged(connected_components(first), "labels")
-    rest = (pairs.join(closest, ["a", "b"], "left_anti")
-            .join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
-            .join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-            .filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"))
-    links = staged(first.unionByName(verified(rest)), "links")
-    labels = staged(connected_components(links), "labels")
-    others = pairs_between(entries, labels).join(pairs, ["a", "b"], "left_anti")
-    return connected_components(links.unionByName(verified(others))).select(F.col("node").alias("n"), "label")
+    more = staged(verified(cross_pairs(shared, labels, sets, block), sets), "links")
+    return connected_components(first.unionByName(more)).select(F.col("node").alias("n"), "label")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -118,11 +118,22 @@ def test_pairs_that_meet_only_in_hot_entries(spark):
     assert same_groups(docs, {r.doc_id: r.group_n for r in S.near_duplicates(frame(spark, docs)).collect()})
 
 
-def test_every_pair_of_an_entry_is_taken(spark):
+@pytest.mark.parametrize("block", [3, 2048])
+def test_every_pair_of_an_entry_is_taken(spark, block):
     sets = {i: np.arange(100 * (i // 2), 100 * (i // 2) + 20, dtype="<u8") for i in range(20)}  # equal sets 2k, 2k + 1
     for i in range(20):
         sets[i] = np.sort(np.append(sets[i], np.uint64(10_000 + i)))
     entries = spark.createDataFrame([(7, i, 21, 0) for i in sets], "key long, n long, size int, pos int")  # all meet in one entry alone
-    table = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "n long, s binary")
-    got = {r.n: r.label for r in S.linked_groups(S.candidate_pairs(entries), table, entries).collect()}
+    table = spark.createDataFrame([(i, bytearray(s.tobytes()), bytearray(S.parity_print(s)), 21) for i, s in sets.items()], "n long, s binary, print binary, size int")
+    shared = S.shared_entries(entries.union(entries))  # a text that two tasks hold
+    assert shared.count() == 20
+    got = {r.n: r.label for r in S.linked_groups(shared, table, block).collect()}
     assert got == {i: i // 2 * 2 for i in range(20)}
+
+
+def test_prints_never_exceed_the_difference_of_the_sets():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 3000, rng.integers(0, 900)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
+        x, y = (np.frombuffer(S.parity_print(s), "<u8") for s in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
