@@ -101,7 +101,7 @@ class TokenCounter:
         self.normalizer, self.splitter = tokenizer.normalizer, tokenizer.pre_tokenizer
         self.added = re.compile("|".join(map(re.escape, sorted((t.content for t in added), key=len, reverse=True))) or r"(?!)")
         self.pieced = self.normalizer is None and type(self.splitter).__name__ == "ByteLevel" and not self.splitter.add_prefix_space
-        self.whole = re.compile(r"  |\s\Z|" + self.added.pattern)
+        self.strings = [t.content for t in added]
         self.words: dict[str, int] = {}
         self.pieces: dict[str, int] = {}
 
@@ -153,7 +153,7 @@ class TokenCounter:
             known[p] = self._span(" " + p)
 
     def count(self, text: str) -> int:
-        if not self.pieced or self.whole.search(text):
+        if not self.pieced or "  " in text or text[-1:].isspace() or any(x in text for x in self.strings):
             return self._whole(text)
         first, *rest = text.split(" ")
         known = self.pieces

@@ -37,7 +37,7 @@ from quantweave.session import work_dir
 END_ID = 0
 CHUNK_IDS, BLOCK_IDS = 1 << 18, 1 << 12
 #: A piece of printable ASCII without an apostrophe is cut where letters, digits and other signs meet.
-PRINTED, RUNS = re.compile(r"[!-&(-~]+"), re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+")
+PRINTED, RUNS, WORD = re.compile(r"[!-&(-~]+"), re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+"), re.compile(r"[A-Za-z]+")
 LAYOUT = ("shard int, chunk int, start long, n_ids long, doc_ids array<long>, doc_ends array<long>, block_ids int, layout string, "
           "planes array<binary>")
 
@@ -58,9 +58,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.splitter = self.tokenizer.model, self.tokenizer.pre_tokenizer
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        special = "|".join(map(re.escape, added))
-        self.whole = re.compile(r"  |\s\Z" + ("|" + special if special else ""))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieced = self.tokenizer.normalizer is None and type(self.splitter).__name__ == "ByteLevel" and type(self.model).__name__ == "BPE" and not self.splitter.add_prefix_space
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -108,7 +106,7 @@ class Encoder:
 
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
-        if not self.pieced or self.whole.search(text):
+        if not self.pieced or "  " in text or text[-1:].isspace() or any(x in text for x in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
         first, *rest = text.split(" ")
         known = self.pieces
@@ -118,7 +116,8 @@ class Encoder:
                 known.clear()
                 missing = set(rest)
             self._learn(missing)
-        return np.frombuffer(self._new(first) + b"".join(map(known.__getitem__, rest)), self.dtype)
+        start = self._word(first) if WORD.fullmatch(first) else self._new(first)
+        return np.frombuffer(start + b"".join(map(known.__getitem__, rest)), self.dtype)
 
 
 def to_planes(ids: np.ndarray, layout: str, block: int = BLOCK_IDS) -> list[bytes]:
