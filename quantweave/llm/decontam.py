@@ -1,11 +1,10 @@
 """Benchmark decontamination by windows of the size of an item (operator 9).
 
-The similarity of an item and a window is the exact weighted one of their five-word
-shingles (sum of the smaller over sum of the larger counts), 0.8 or more. A similar
-window holds one of the rarest fifth of the item's shingles, so an index of those
-finds the items of a document; windows that hold enough shingles of such an item
-are then compared, all of them. A document that is shorter than the item is
-one window.
+Every window that holds enough shingles of the benchmark is fingerprinted (SimHash, 64 bits, running bit sums). The
+fingerprints of the items of its size stand in eight tables of one byte each, under all values within two bits, so every item
+within 23 bits is found (multi-index hashing), and the complete distance and then the exact weighted similarity of
+the five-word shingles decide (sum of the smaller over sum of the larger counts, 0.8 or more). At 0.8 fingerprints
+differ in 10 bits with a deviation of 3. A document that is shorter than the item is one window.
 
 The index of a block of items is broadcast; its size is bounded by
 ``BLOCK_WORDS`` words, and a larger benchmark is searched block after block.
@@ -14,6 +13,7 @@ Documents never move: the search is one narrow pass for each block.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,6 +31,11 @@ SHINGLE = 5
 PART, WHOLE = 4, 5
 SIMILARITY = PART / WHOLE
 FILTER_BITS = 24
+#: Blocks of a fingerprint, and the bits in which a block may differ: BLOCKS * (BALL + 1) - 1 bits in all are guaranteed.
+BLOCKS, BLOCK_BITS, BALL = 8, 8, 2
+RADIUS = BLOCKS * (BALL + 1) - 1
+#: Windows fingerprinted at once.
+STRETCH = 1 << 14
 BLOCK_WORDS = 2_000_000
 
 
@@ -43,63 +48,119 @@ def member(known: np.ndarray, x: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
+def prints_of(hashes: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
+    """64-bit fingerprints of the windows of ``span`` shingles at ``starts``: a bit is set if it is in more than half of
+    their hashes. Running sums of the bits serve all windows; a stretch of them is held at a time."""
+    out = np.empty(len(starts), np.uint64)
+    for low in range(0, len(starts), STRETCH):
+        some = starts[low:low + STRETCH]
+        cuts = np.flatnonzero(np.diff(some) > span) + 1  # far windows share no sums
+        for part, at in zip(np.split(some, cuts), np.r_[0, cuts], strict=True):
+            first = int(part[0])
+            bits = np.unpackbits(hashes[first:int(part[-1]) + span].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            sums = np.zeros((len(bits) + 1, 64), np.int32)
+            np.cumsum(bits, axis=0, out=sums[1:], dtype=np.int32)
+            ones = sums[part - first + span] - sums[part - first]
+            out[low + at:low + at + len(part)] = np.packbits(2 * ones > span, axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
+def ball(value: int, radius: int, bits: int) -> list[int]:
+    """All values of ``bits`` bits within ``radius`` of ``value``."""
+    return [value ^ sum(1 << b for b in flips) for r in range(radius + 1) for flips in itertools.combinations(range(bits), r)]
+
+
+class SizeClass:
+    """The items of one number of words. Each item stands in every block table under the values of a small Hamming ball around its
+    own block: within ``RADIUS`` bits, some block differs by at most ``BALL`` of them, so one lookup for each block misses none."""
+
+    def __init__(self, items: list[int], prints: np.ndarray):
+        self.items, self.prints = np.array(items), prints
+        tables: list[dict[int, list[int]]] = [{} for _ in range(BLOCKS)]
+        for k, p in enumerate(prints.tolist()):
+            for j, table in enumerate(tables):
+                for v in ball(p >> j * BLOCK_BITS & (1 << BLOCK_BITS) - 1, BALL, BLOCK_BITS):
+                    table.setdefault(v, []).append(k)
+        self.tables = [{v: np.array(ks) for v, ks in t.items()} for t in tables]
+
+    def near(self, window: int) -> np.ndarray:
+        """Places of the items within ``RADIUS`` bits of a fingerprint."""
+        found = [t[v] for j, t in enumerate(self.tables) if (v := window >> j * BLOCK_BITS & (1 << BLOCK_BITS) - 1) in t]
+        if not found:
+            return np.empty(0, np.int64)
+        ks = np.unique(np.concatenate(found))
+        return ks[np.bitwise_count(self.prints[ks] ^ np.uint64(window)) <= RADIUS]
+
+
 class ItemIndex:
     """Items of one block; a small, read-only object for the tasks."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, w) for i, w in ((i, normal_words(t)) for i, t in items) if len(w) >= SHINGLE]
         self.counts = [Counter(shingles(w, SHINGLE)) for _, w in self.items]
-        self.hashes = [shingle_hashes(w) for _, w in self.items]
-        own = [np.unique(h) for h in self.hashes]
-        values, of = (np.concatenate(x) for x in zip(*[(h, np.full(len(h), k)) for k, h in enumerate(own)], strict=True)) if own else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        self.known, items = np.unique(values, return_counts=True)
-        keys, members = [], []
-        for k, h in enumerate(self.hashes):  # rarest first: an item that is similar to a window shares one of these with it
-            order = np.lexsort((h, items[np.searchsorted(self.known, h)]))
-            first = np.unique(h[order[:len(h) + (-PART * len(h)) // WHOLE + 1]])
-            keys.append(first)
-            members.append(np.full(len(first), k))
-        keys, members = (np.concatenate(keys), np.concatenate(members)) if keys else (values, of)
-        order = np.argsort(keys, kind="stable")
-        self.members = members[order]
-        self.starts = np.searchsorted(keys[order], self.known)
-        self.ends = np.searchsorted(keys[order], self.known, side="right")
-        self.own = own
+        hashes = [shingle_hashes(w) for _, w in self.items]
+        self.known = np.unique(np.concatenate([*hashes, np.empty(0, np.uint64)]))
+        by_size: dict[int, list[int]] = {}
+        for k, h in enumerate(hashes):
+            by_size.setdefault(len(h), []).append(k)
+        self.sizes = {whole: SizeClass(ks, np.concatenate([prints_of(hashes[k], np.zeros(1, np.int64), whole) for k in ks])) for whole, ks in sorted(by_size.items())}
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self.known >> np.uint64(64 - FILTER_BITS)] = True
 
+    def candidates(self, hashes: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
+        """(item, span, windows): windows whose fingerprint lies within ``RADIUS`` of the item's. Only windows that hold enough shingles of the
+        benchmark to reach the similarity with any item are fingerprinted."""
+        known = self.filter[hashes >> np.uint64(64 - FILTER_BITS)]
+        known[known] = member(self.known, hashes[known])
+        sums = np.concatenate([[0], np.cumsum(known)])
+        if not sums[-1]:
+            return
+        for whole, size in self.sizes.items():
+            span = min(whole, len(hashes))
+            need = -(-PART * (whole + span) // (PART + WHOLE))
+            if need > span or need > sums[-1]:
+                continue
+            starts = np.flatnonzero(sums[span:] - sums[:len(sums) - span] >= need)
+            windows: dict[int, list[int]] = {}
+            for w, p in zip(starts.tolist(), prints_of(hashes, starts, span).tolist(), strict=True):
+                for k in size.near(p).tolist():
+                    windows.setdefault(int(size.items[k]), []).append(w)
+            for k, ws in windows.items():
+                yield k, span, ws
+
     def hits(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(item_id, similarity, first word, words) of the most similar window of each item found."""
         words = normal_words(text)
         if len(words) < SHINGLE or not self.items:
             return []
-        hashes = shingle_hashes(words)
-        maybe = np.flatnonzero(self.filter[hashes >> np.uint64(64 - FILTER_BITS)])
-        maybe = maybe[member(self.known, hashes[maybe])]
-        if not len(maybe):
-            return []
-        at = np.unique(np.searchsorted(self.known, hashes[maybe]))
-        found = [self.members[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True) if a < b]
-        out = []
-        for k in np.unique(np.concatenate(found)).tolist() if found else []:
-            whole = len(self.hashes[k])
-            span = min(whole, len(hashes))
-            need = -(-PART * (whole + span) // (PART + WHOLE))
-            places = maybe[member(self.own[k], hashes[maybe])]
-            if need > span or len(places) < need:
-                continue
-            first = np.unique(np.concatenate([np.arange(max(0, a), min(b, len(hashes) - span) + 1)  # windows that hold ``need`` of the places
-                                              for a, b in zip((places[need - 1:] - span + 1).tolist(), places[:len(places) - need + 1].tolist(), strict=True)]))
-            best = None
-            for w in first.tolist():
-                here = Counter(shingles(words[w:w + span + SHINGLE - 1], SHINGLE))
-                both = sum((here & self.counts[k]).values())
-                score = both / (whole + span - both)
-                if score >= SIMILARITY and (best is None or score > best[0]):
-                    best = (score, w)
+        out, parts = [], None
+        for k, span, windows in self.candidates(shingle_hashes(words)):
+            parts = parts or shingles(words, SHINGLE)
+            best = best_window(parts, self.counts[k], span, windows)
             if best:
-                out.append((self.items[k][0], *best, span + SHINGLE - 1))
-        return out
+                out.append((k, (self.items[k][0], *best, span + SHINGLE - 1)))
+        return [hit for _, hit in sorted(out, key=lambda x: x[0])]
+
+
+def best_window(parts: list[bytes], item: Counter, span: int, windows: list[int]) -> tuple[float, int] | None:
+    """(similarity, window) of the most similar of the sorted ``windows`` at 0.8 or more, the first if several tie: the sum of the smaller over the sum
+    of the larger counts. Counts slide from window to window."""
+    whole, best, held, both, at = item.total(), None, Counter(), 0, None
+    for w in windows:
+        if at is None or w - at >= span:
+            held, at = Counter(parts[w:w + span]), w
+            both = sum(min(n, item[g]) for g, n in held.items())
+        while at < w:
+            gone, new = parts[at], parts[at + span]
+            both -= held[gone] <= item[gone]
+            held[gone] -= 1
+            both += held[new] < item[new]
+            held[new] += 1
+            at += 1
+        score = both / (whole + span - both)
+        if score >= SIMILARITY and (best is None or score > best[0]):
+            best = (score, w)
+    return best
 
 
 def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS):

@@ -234,3 +234,39 @@ def test_chat_query_against_sql(spark):
     want = con.execute(f"SELECT {', '.join(names)} FROM ({chat.ORACLE}) AS x").fetchall()
     assert sorted(tuple(r[c] for c in names) for r in chat.op6(spark, DATA).collect()) == sorted(want)
     assert hashlib.sha256((chat.PROBE).encode()).hexdigest() in {w[4] for w in want}
+
+
+def test_near_finds_every_print_within_the_radius():
+    rng = np.random.default_rng(4)
+    prints = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    size = decontam.SizeClass(list(range(60)), prints)
+    for p in prints.tolist():
+        for flips in (0, 1, 8, 16, 20, 23, 24, 30):
+            x = p
+            for b in rng.choice(64, flips, replace=False):
+                x ^= 1 << int(b)
+            want = [k for k, q in enumerate(prints.tolist()) if (q ^ x).bit_count() <= decontam.RADIUS]
+            assert size.near(x).tolist() == want
+
+
+def test_recall_of_edited_items_against_the_exact_similarity():
+    rng = np.random.default_rng(9)
+    items = [(i, " ".join(f"q{i}x{x}" for x in rng.integers(0, 10_000, rng.integers(30, 120)))) for i in range(120)]
+    index, found, all_, least = decontam.ItemIndex(items), 0, 0, 1.0
+    for i, text in items:
+        for kind in range(6):
+            ws = text.split()
+            if kind < 3:  # single words
+                for at in rng.integers(0, len(ws), kind + 1):
+                    ws[at] = f"new{at}"
+            else:  # a block near the threshold
+                m = max(1, int(len(ws) * rng.uniform(0.05, 0.12)) - 2)
+                at = int(rng.integers(0, len(ws) - m))
+                ws[at:at + m] = [f"new{x}" for x in range(m)]
+            doc = " ".join([*(f"a{x}" for x in range(40)), *ws, *(f"z{x}" for x in range(40))])
+            want = plain_hits([(0, doc)], [(i, text)])
+            if want:
+                least = min(least, want[0][2])
+                all_ += 1
+                found += [h[0] for h in index.hits(doc)] == [i]
+    assert all_ > 250 and least < 0.82 and found >= 0.99 * all_
