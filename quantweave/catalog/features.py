@@ -97,12 +97,34 @@ def generated_columns():
     out |= {f"{a}_mul_{b}": f"COALESCE({a} * {b}, 0)" for i, a in enumerate(four) for b in four[i + 1:]}
     out |= {f"{a}_sub_{b}": f"COALESCE({a} - {b}, 0)" for i, a in enumerate(six) for b in six[i + 1:]}
     out |= {f"{a}_x_{b}": f"COALESCE({a} * {b}, 0)" for a in six for b in five}
+    volume = [c for c in tech if "vol" in c.lower() or "amount" in c.lower()]
+    logs = x.pick([c for c in fund if any(k in c.lower() for k in x.LOG_KEYWORDS)] + volume, 8)
+    out |= {f"log_{c}": f"CASE WHEN {c} IS NULL THEN 0 ELSE LN(GREATEST({c}, 1e-10)) END" for c in logs}
+    out |= {f"sqrt_{c}": f"CASE WHEN {c} IS NULL THEN 0 ELSE SQRT(GREATEST({c}, 0)) END" for c in x.pick(volume, 5)}
     return out
 
 
+def trailing_rank(col, n=252, need=126):
+    return f"""SELECT a.code, a.date, CASE WHEN a.{col} IS NOT NULL AND COUNT(z.{col}) >= {need} THEN (COUNT(CASE WHEN z.{col} < a.{col} THEN 1 END)
+    + (COUNT(CASE WHEN z.{col} = a.{col} THEN 1 END) + 1) / 2.0) / COUNT(z.{col}) END AS pr
+  FROM featf a JOIN featf z ON z.code = a.code AND z.rn BETWEEN a.rn - {n - 1} AND a.rn GROUP BY a.code, a.date, a.{col}"""
+
+
 GEN = generated_columns()
-q("x13_transform_pipeline", CD + " ".join(f"{c}:3" for c in GEN), "SELECT code, date, " + ", ".join(f"{e} AS {c}" for c, e in GEN.items()) + " FROM featf", "featf")(
-    lambda m: x.transform_all(featf(m), FEATURES13))
+RANKED = x.pick(x.matching(FEATURES13, x.FUNDAMENTAL_KEYWORDS, 60), 15)
+X13 = (f"SELECT f.code, f.date, {', '.join(f'{e} AS {c}' for c, e in GEN.items())}, {', '.join(f'r_{c}.pr AS rank_{c}' for c in RANKED)}, "
+       f"""COALESCE(d.idx, 0) AS industry_encoded, CASE WHEN d.place <= 10 THEN d.place ELSE 0 END AS industry_top
+  FROM featf f LEFT JOIN ({IND}) AS i ON i.code = f.code AND i.date = f.date
+  LEFT JOIN (SELECT industry, ROW_NUMBER() OVER (ORDER BY industry) AS idx, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, industry) AS place FROM ({IND}) AS j WHERE industry IS NOT NULL GROUP BY industry) AS d
+    ON d.industry = i.industry """ + " ".join(f"LEFT JOIN ({trailing_rank(c)}) AS r_{c} ON r_{c}.code = f.code AND r_{c}.date = f.date" for c in RANKED))
+
+
+def every_step(m):
+    dim = m.stock_basic().where(F.substring("code", 4, 20).cast("long") % 6 != 1)
+    return x.transform_all(joins.lookup(featf(m), dim, "industry"), FEATURES13, categories=["industry"])
+
+
+q("x13_transform_pipeline", CD + " ".join(f"{c}:3" for c in GEN) + " " + " ".join(f"rank_{c}:8" for c in RANKED) + " industry_encoded industry_top", X13, "featf bars stock_basic")(every_step)
 for method, sql in [("zero", "COALESCE(roc, 0)"), ("mean", "COALESCE(roc, AVG(roc) OVER ())"), ("median", "COALESCE(roc, MEDIAN(roc) OVER ())"),
                     ("forward", f"COALESCE(LAST_VALUE(roc IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING), 0)"),
                     ("backward", f"COALESCE(FIRST_VALUE(roc IGNORE NULLS) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0)")]:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
-from pyspark.ml import PipelineModel
+from pyspark.ml.regression import GBTRegressionModel
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantweave.catalog.core import q
-from quantweave.catalog.scoring import FEATS, frame
-from quantweave.operators import filters, scoring as sc
+from quantweave.catalog.joins import reports
+from quantweave.catalog.scoring import FEATS, PAIRS, TC, frame
+from quantweave.operators import filters, labels as lb, scoring as sc
 from quantweave.operators import technical as t
 from quantweave.operators.recursive import recursive
 from quantweave.plans import screen, training as tr
@@ -27,10 +27,10 @@ def simple_levels(bars):
 
 
 def signals(m, since=None, levels=wilder_levels, **kw):
-    model, _ = tr.archive(m)
+    model = tr.archive(m, reports(m))[0]["regression"]
     bars = m.bars()
     info = screen.pit_info(bars, m.profit_ability(), m.balance_ability())
-    factors = tr.factor_frame(bars, m.adjust_factor())
+    factors = tr.block_of(m, reports(m))
     if since == "last":
         last = bars.agg(F.max("date").alias("date"))
         factors, info = factors.join(F.broadcast(last), "date", "left_semi"), info.join(F.broadcast(last), "date", "left_semi")
@@ -43,11 +43,35 @@ q("s05_screening_run", COLS + " code_name pe_ratio:8 market_cap:8")(
     lambda m: signals(m, "last", n=20).join(m.stock_basic().select("code", "code_name"), "code", "left"))
 q("s06_batch_screen", COLS)(lambda m: signals(m, "last", simple_levels, n=50, stop_mult=1.5, target_mult=3.0))
 q("s31_order_signals", COLS)(lambda m: signals(m, "last", n=10).where("signal = 'buy' OR place <= 3"))
-q("s21_train_model", "split rank_ic:4 rank_ic_std:4 n_dates auc:4 top5_precision:4")(
-    lambda m: (lambda model, data: tr.quality(tr.predict(model, data.where("is_train"))).withColumn("split", F.lit("train")).unionByName(
-        tr.quality(tr.predict(model, data.where("NOT is_train"))).withColumn("split", F.lit("validation"))))(*tr.archive(m)))
-q("s22_feature_importance", "feature score:6")(lambda m: tr.importance(tr.archive(m)[0], tr.FEATURES, m.spark))
-q("s20_stacking", "code date stacked:5")(lambda m: tr.stack(tr.stored(frame(m).select("code", "date", "p1", "p2", "p3", "label"), "scores"), ["p1", "p2", "p3"])[1])
+
+
+def both(m, of=None):
+    """Models of both kinds, and the training or the later rows."""
+    models, data = tr.archive(m, reports(m))
+    return models, data if of is None else data.where("is_train" if of == "train" else "NOT is_train")
+
+
+Q = " rank_ic:4 rank_ic_std:4 n_dates auc:4 top1_precision:4 top5_precision:4"
+
+
+def train_quality(m):
+    parts = [tr.compare(*both(m, of)).withColumn("split", F.lit(of)) for of in ("train", "validation")]
+    return parts[0].unionByName(parts[1])
+
+
+q("s21_train_model", "split model" + Q)(train_quality)
+q("s29_trained_comparison", "model place" + Q)(
+    lambda m: tr.compare(*both(m, "validation")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("rank_ic"), "model"))))
+q("s22_feature_importance", "model feature score:6")(lambda m: (lambda models: tr.importance(models["regression"], tr.FEATURES, m.spark).withColumn("model", F.lit("regression")).unionByName(
+    tr.importance(models["ranking"], tr.FEATURES, m.spark).withColumn("model", F.lit("ranking"))))(both(m)[0]))
+
+
+def stacked(m):
+    scores = tr.staged(lb.time_split(frame(m)).select("code", "date", "p1", "p2", "p3", "label", "is_train"), "scores")
+    return tr.stack(scores.where("is_train"), scores.where("NOT is_train"), ["p1", "p2", "p3"])
+
+
+q("s20_stacking", "code date stacked:5")(stacked)
 
 
 def kept(m):
@@ -56,19 +80,25 @@ def kept(m):
     return sc.target_correlation(f, FEATS, "f_return").where(F.col("feature").isin(names))
 
 
-q("s25_redundancy_removal", "feature score:6")(kept)
+# The greedy pass in score order: a feature stays unless it correlates with one that stays.
+SWEEP = f"""/*rec*/ ranked_f AS (SELECT feature, score, ROW_NUMBER() OVER (ORDER BY score DESC) AS place FROM ({TC}) AS t WHERE score IS NOT NULL),
+strong AS (SELECT f1 AS a, f2 AS z FROM ({PAIRS}) AS p WHERE ABS(corr) > 0.95 UNION ALL SELECT f2, f1 FROM ({PAIRS}) AS p WHERE ABS(corr) > 0.95),
+foes AS (SELECT r.place, r.feature, COALESCE(LIST(s.z) FILTER (s.z IS NOT NULL), []) AS foes FROM ranked_f r LEFT JOIN strong s ON s.a = r.feature GROUP BY ALL),
+sweep_f AS (SELECT 0::BIGINT AS place, []::VARCHAR[] AS kept UNION ALL SELECT f.place, CASE WHEN list_has_any(s.kept, f.foes) THEN s.kept ELSE list_append(s.kept, f.feature) END
+  FROM sweep_f s JOIN foes f ON f.place = s.place + 1)"""
+q("s25_redundancy_removal", "feature score:6", "SELECT feature, score FROM ranked_f WHERE list_contains((SELECT kept FROM sweep_f ORDER BY place DESC LIMIT 1), feature)", "mf", SWEEP)(kept)
 q("s26_recursive_elimination", "feature score:6")(
-    lambda m: (lambda data: sc.target_correlation(data, tr.eliminate(data, tr.FEATURES, 4), "label"))(tr.archive(m)[1]))
-q("s30_optimisation", "stage auc:4 n_features")(lambda m: (lambda model, data: tr.optimise(data, tr.FEATURES, model))(*tr.archive(m)))
+    lambda m: (lambda data: (lambda names: sc.target_correlation(tr.ranked_columns(data, names), names, "label"))(tr.eliminate(data, tr.FEATURES, 8)))(both(m)[1]))
+q("s30_optimisation", "stage auc:4 n_features")(lambda m: (lambda models, data: tr.optimise(data, tr.FEATURES, models["regression"]))(*both(m)))
 
 
 def reload(m):
-    model, data = tr.archive(m)
+    models, data = both(m)
     path = work_dir(m.spark, "model-copy")
-    model.write().overwrite().save(path)
-    again = PipelineModel.load(path)
-    both = tr.predict(again, tr.predict(model, data, "a"), "b")
-    return both.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("a") - F.col("b"))).alias("max_diff"))
+    models["regression"].write().overwrite().save(path)
+    again = GBTRegressionModel.load(path)
+    pair = tr.predict(again, tr.predict(models["regression"], data, "a"), "b")
+    return pair.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("a") - F.col("b"))).alias("max_diff"))
 
 
 # The reloaded model must give the same prediction on every labelled row.

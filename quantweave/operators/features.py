@@ -58,18 +58,21 @@ def rolling_rank(df: DataFrame, cols: Sequence[str], window: int = 252, min_peri
                  prefix: str = "rank_") -> DataFrame:
     """Average-tie percentile of the current value in its trailing window. One grouped map
     per instrument (at most one row per session): an order-statistics window costs
-    log(window) per row, a frame aggregate would copy the whole window per row."""
+    log(window) per row, a frame aggregate would copy the whole window per row. Only code, date and
+    the ranked columns go through Python; the ranks are joined back by (code, date), which is a key of ``df``."""
     need = min_periods or window // 2
     names = list(cols)
-    schema = T.StructType([*df.schema.fields, *[T.StructField(prefix + c, T.DoubleType()) for c in names]])
+    kind = T.StructType([df.schema["code"], df.schema["date"], *[T.StructField(prefix + c, T.DoubleType()) for c in names]])
 
     def kernel(pdf):
         pdf = pdf.sort_values("date")
+        out = pdf[["code", "date"]].copy()
         for c in names:
-            r = pd.to_numeric(pdf[c]).rolling(window, min_periods=need).rank(pct=True)
-            pdf[prefix + c] = r.where(pd.notna(pdf[c]))
-        return pdf
-    return df.groupBy("code").applyInPandas(kernel, schema)
+            x = pd.to_numeric(pdf[c])
+            out[prefix + c] = x.rolling(window, min_periods=need).rank(pct=True).where(x.notna())
+        return out
+    narrow = df.select("code", "date", *names).groupBy("code").applyInPandas(kernel, kind)
+    return df.join(narrow, ["code", "date"], "left")
 
 
 def quantile_bucket(df: DataFrame, cols: Sequence[str], window: int = 252, q: int = 5) -> DataFrame:
@@ -163,12 +166,15 @@ def pick(cols: Sequence[str], n: int) -> list[str]:
     return random.Random(42).sample(ordered, min(n, len(ordered)))
 
 
-def transform_all(df: DataFrame, factor_cols: Sequence[str], technical_limit: int | None = 100, fundamental_limit: int | None = 60) -> DataFrame:
+def transform_all(df: DataFrame, factor_cols: Sequence[str], technical_limit: int | None = 100, fundamental_limit: int | None = 60,
+                  categories: Sequence[str] = ()) -> DataFrame:
     """The whole feature pipeline; column choice happens on names only.
 
     The draws are the feature: a few columns of each family are combined. The two
-    limits bound the families they draw from (None: no bound).
+    limits bound the families they draw from (None: no bound). ``categories`` are encoded by name and by frequency.
     """
+    for c in categories:
+        df = encode(df, c)
     tech = matching(factor_cols, TECHNICAL_KEYWORDS, technical_limit)
     fund = [c for c in matching(factor_cols, FUNDAMENTAL_KEYWORDS) if "slope" not in c and "sharpe" not in c][:fundamental_limit]
     chosen = pick(fund, 10)

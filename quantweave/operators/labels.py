@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantweave.functions import ranks
+from quantweave.functions.blockrank import block_ranks
 from quantweave.functions.windows import by_code, div, lead
 from quantweave.operators.filters import status_flags
 
@@ -80,8 +81,8 @@ def cross_rank(df: DataFrame, features: Sequence[str], plus_one: bool = True, nu
     """Replace features by their average-tie percentile inside each date.
 
     ``plus_one`` divides by n + 1 (training), else by the number of non-null
-    values (scoring). Dates with one row stay as they are. The split form goes
-    feature by feature in long form; ``bounded`` says that a date is small enough
+    values (scoring). Dates with one row stay as they are. The split form keeps
+    rows wide (:func:`block_ranks`); ``bounded`` says that a date is small enough
     for one sort per feature inside a single exchange by date.
     """
     keys, features = list(keys), list(features)
@@ -96,18 +97,14 @@ def cross_rank(df: DataFrame, features: Sequence[str], plus_one: bool = True, nu
                 r = F.coalesce(r, F.lit(null_rank))
             return F.when(rows > 1, r).otherwise(F.col(f)) if plus_one else r
         return df.select(*[c for c in df.columns if c not in features], *[expr(f).alias(f) for f in features])
-    ids = [c for c in df.columns if c not in features]
-    long = df.unpivot(ids, features, "_feature", "_value")
-    long = ranks.avg_rank(long, [*keys, "_feature"], "_value", "_r", "_n")
-    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    long = long.join(rows, keys)
-    r = F.col("_r") / (F.col("_rows") + 1 if plus_one else F.col("_n"))
-    if null_rank is not None:
-        r = F.coalesce(r, F.lit(null_rank))
-    if plus_one:
-        r = F.when(F.col("_rows") > 1, r).otherwise(F.col("_value"))
-    return (long.withColumn("_x", r).groupBy(*ids)
-            .agg(*[F.max(F.when(F.col("_feature") == f, F.col("_x"))).alias(f) for f in features]))
+    ranked = block_ranks(df, keys, features)
+
+    def expr(f):
+        r = F.col(f"_rank_{f}") / (F.col("_rows") + 1 if plus_one else F.col(f"_rank_{f}_n"))
+        if null_rank is not None:
+            r = F.coalesce(r, F.lit(null_rank))
+        return F.when(F.col("_rows") > 1, r).otherwise(F.col(f)) if plus_one else r
+    return ranked.select(*[c for c in df.columns if c not in features], *[expr(f).alias(f) for f in features])
 
 
 def relevance(df: DataFrame, score: str, bins: int = 150, keys: Sequence[str] = ("date",)) -> DataFrame:

@@ -205,7 +205,8 @@ def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
         i, j = np.triu_indices(n, 1)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *[pa.array(t[i, j]) for t in total]],
                                          names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
-    mean = df.agg(*[F.avg(f).alias(f) for f in features])  # one row: shifted values keep the sums of squares exact enough
+    # One row: shifted values keep the sums of squares exact enough, and a constant column becomes zero exactly.
+    mean = df.agg(*[F.when(F.min(f) == F.max(f), F.min(f)).otherwise(F.avg(f)).alias(f) for f in features])
     shifted = df.select(*features).join(F.broadcast(mean.select(*[F.col(f).alias(f"_m_{f}") for f in features]))).select(
         *[(F.col(f) - F.col(f"_m_{f}")).cast("double").alias(f) for f in features])
     parts = shifted.mapInArrow(fold, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")

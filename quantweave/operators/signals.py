@@ -178,7 +178,7 @@ def trade_metrics(trades: DataFrame, keys: Sequence[str] = ("strategy",), capita
 
 def sharpe(trades: DataFrame, keys: Sequence[str] = ("strategy",)) -> DataFrame:
     sd = F.stddev_samp("pnl_pct")
-    return trades.groupBy(*keys).agg(F.when(sd.isNull() | (sd == 0), F.lit(0.0)).otherwise(F.avg("pnl_pct") / sd * 252 ** 0.5).alias("sharpe_ratio"))
+    return trades.groupBy(*keys).agg(F.when(sd.isNull() | (F.min("pnl_pct") == F.max("pnl_pct")), F.lit(0.0)).otherwise(F.avg("pnl_pct") / sd * 252 ** 0.5).alias("sharpe_ratio"))
 
 
 def exit_reasons(trades: DataFrame, keys: Sequence[str] = ("strategy",)) -> DataFrame:
@@ -233,10 +233,11 @@ def confidence_sweep(trades: DataFrame, levels: Sequence[float] = (50, 60, 70, 8
 
 
 def confidence_fit(trades: DataFrame, keys: Sequence[str] = ("strategy",)) -> DataFrame:
-    vx = F.var_pop("confidence")
+    # Constant columns are told by their extremes; a variance from several tasks may be a little above zero.
+    vx, vy = (F.min(c) < F.max(c) for c in ("confidence", "pnl_pct"))
     return trades.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.when(vx > 0, F.covar_pop("confidence", "pnl_pct") / (F.stddev_pop("confidence") * F.stddev_pop("pnl_pct"))).alias("correlation"),
-        F.when(vx > 0, F.regr_slope("pnl_pct", "confidence")).alias("slope"), F.when(vx > 0, F.regr_intercept("pnl_pct", "confidence")).alias("intercept"))
+        F.count(F.lit(1)).alias("n"), F.when(vx & vy, F.covar_pop("confidence", "pnl_pct") / (F.stddev_pop("confidence") * F.stddev_pop("pnl_pct"))).alias("correlation"),
+        F.when(vx, F.regr_slope("pnl_pct", "confidence")).alias("slope"), F.when(vx, F.regr_intercept("pnl_pct", "confidence")).alias("intercept"))
 
 
 def agreement(picks: DataFrame) -> DataFrame:

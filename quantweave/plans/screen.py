@@ -53,14 +53,15 @@ def model_signals(factors: DataFrame, info: DataFrame, levels: DataFrame, model,
     ``levels`` carries ``atr`` per (code, date). All dates run in one plan.
     """
     from quantweave.operators.filters import confident, funnel
-    from quantweave.plans.training import predict
-    passed = funnel(info, criteria, cap_gate=False).where(F.col("reject_reason").isNull()).select("code", "date", "current_price", "pe_ratio", "market_cap")
+    from quantweave.plans.training import coded, predict
+    passed = funnel(info, criteria, cap_gate=False).where(F.col("reject_reason").isNull()).select(
+        "code", "date", "current_price", F.col("pe_ratio").alias("_pe"), F.col("market_cap").alias("_cap"))
     df = factors.select("code", "date", *features).join(passed, ["code", "date"])
-    df = predict(model, labels.cross_rank(df, features, null_rank=0.5))
+    df = predict(model, coded(labels.cross_rank(df, features, null_rank=0.5, plus_one=False), features), chosen=features, features=features)
     df = confident(df, min_confidence, ranking=True)
     df = df.withColumn("score", F.col("prob") * 100 + labels.tie_breaker())
     top = top_per_date(df, "score", n).join(levels, ["code", "date"], "left")
     atr = F.when(F.col("atr") > 0, F.col("atr"))
-    return top.select("date", "code", "place", (F.col("prob") * 100).alias("confidence"), "current_price", "pe_ratio", "market_cap",
+    return top.select("date", "code", "place", (F.col("prob") * 100).alias("confidence"), "current_price", F.col("_pe").alias("pe_ratio"), F.col("_cap").alias("market_cap"),
                       F.when(F.col("prob") > 0.5, "buy").otherwise("hold").alias("signal"),
                       (F.col("current_price") - stop_mult * atr).alias("stop_loss"), (F.col("current_price") + target_mult * atr).alias("take_profit"))

@@ -1,137 +1,208 @@
-"""Training set, boosted-tree score model, stacking and the optimisation pipeline on Spark ML."""
+"""Training set, boosted-tree score models, stacking and the optimisation pipeline on Spark ML.
+
+All factors of the assembled block are ranked per date and coded once as bins of one byte (``BINS`` equal
+steps of the rank, which are the exact quantiles of a date). The coded table is written once; every fit, whatever
+its features, rounds or rows, reads the bytes it needs from there. Boosting ends early: at most ``MAX_ROUNDS``
+rounds, fewer when the error on the later rows no longer falls by ``TOLERANCE``.
+"""
 
 from __future__ import annotations
 
 import threading
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantweave.operators import adjust, filters, labels, rolling, scoring
-from quantweave.operators import technical as t
-from quantweave.session import work_dir
+from quantweave.operators import labels, scoring
+from quantweave.plans.factor_block import base_factors, families
+from quantweave.session import staged, work_dir
+
+FEATURES = [c for family in families().values() for c in family]
+BINS = 32
+#: Bounds of a fit: rounds, and the least relative gain that goes on. Fits of elimination and folds are smaller.
+MAX_ROUNDS, TOLERANCE, SMALL_ROUNDS = 24, 0.002, 8
+#: What a model learns: the soft label, or the graded relevance of a date's rows (0..1).
+KINDS = ("regression", "ranking")
+FOLDS = 3
+GRADES = 150
+
 
-# A compact default; any subset of the factor registry can be passed instead.
-FEATURES = ["roc", "bias", "ma_ratio", "willr", "psy", "vr", "vol_ma", "vol_std", "price_volatility_20", "low_position",
-            "return_5d", "return_20d"]
+def factor_frame(bars: DataFrame, factors: DataFrame, reports: DataFrame) -> DataFrame:
+    """The assembled factor block; what is missing counts as zero."""
+    return base_factors(bars, factors, reports).withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in FEATURES})
 
 
-def factor_frame(bars: DataFrame, factors: DataFrame) -> DataFrame:
-    """Adjusted bars with the compact factor set and market status."""
-    df = t.base(filters.status_flags(adjust.to_sample_end(t.warm(bars), factors)))
-    df = t.vr(t.psy(t.willr(t.ma_ratio(t.bias(t.roc(df))))))
-    df = t.std_ratio(t.ma_pair(df, "volume", 5, "vol_ma"), "volume", 10, "vol_std")
-    df = rolling.returns_k(rolling.range_position(rolling.volatility(df)), (5, 20))
-    return df.withColumns({f: F.coalesce(F.col(f), F.lit(0.0)) for f in FEATURES})
+def coded(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """Replaces ranked ``features`` by ``bins``, one byte each in their order."""
+    cells = [F.least(F.floor(F.col(f) * BINS), F.lit(BINS - 1)).cast("tinyint") for f in features]
+    return df.select(*[c for c in df.columns if c not in features], F.array(*cells).alias("bins"))
 
 
-def training_set(bars: DataFrame, factors: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
-    """Ranked features, board-neutral label, weight and time split; one row per (code, date)."""
-    df = labels.path_label(factor_frame(bars, factors))
+def training_set(block: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """Bins of the ranked features, board-neutral label, its grade, weight and time split; one row per (code, date)."""
+    df = labels.path_label(block)
     df = df.where(F.col("label_raw").isNotNull() & F.col("f_return").isNotNull()).select(
-        "code", "date", "f_return", "label_raw", "limit_threshold", "unbuyable", *features)
-    df = labels.penalise(labels.board_rank(df))
-    df = labels.cross_rank(df, features)
+        "code", "date", "f_return", "label_raw", "limit_threshold", F.col("unbuyable").alias("_blocked"), *features)
+    df = coded(labels.cross_rank(df, features, null_rank=0.5), features).withColumnRenamed("_blocked", "unbuyable")
+    df = labels.relevance(labels.penalise(labels.board_rank(df)), "label", GRADES)
+    df = df.withColumn("grade", F.col("relevance") / float(GRADES - 1))
     return labels.sample_weight(labels.time_split(df))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back: iterative fits start from files, not from the long plan."""
-    path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def vector(features: Sequence[str], chosen: Sequence[str]) -> Column:
+    """The bins of the ``chosen`` ones of ``features`` as a vector."""
+    place = {f: i for i, f in enumerate(features)}
+    cells = F.transform(F.array(*[F.lit(place[f]) for f in chosen]), lambda i: F.get("bins", i).cast("double"))
+    return array_to_vector(cells)
 
 
-def fit_trees(train: DataFrame, features: Sequence[str] = FEATURES, rounds: int = 8, depth: int = 4, seed: int = 42) -> PipelineModel:
-    """Boosted regression trees on the soft label; rows outside the training window drive early stopping."""
-    data = train.withColumn("is_val", ~F.col("is_train"))
-    gbt = GBTRegressor(featuresCol="features", labelCol="label", weightCol="weight", validationIndicatorCol="is_val", maxIter=rounds,
-                       maxDepth=depth, stepSize=0.1, seed=seed, maxBins=32, subsamplingRate=1.0)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), gbt]).fit(data)
+def fit_trees(train: DataFrame, chosen: Sequence[str] = FEATURES, features: Sequence[str] = FEATURES, kind: str = "regression", rounds: int = MAX_ROUNDS,
+              depth: int = 4, seed: int = 42) -> GBTRegressionModel:
+    """Boosted regression trees on the label or the grade; rows outside the training window drive early stopping."""
+    data = train.select(vector(features, chosen).alias("features"), F.col("label" if kind == "regression" else "grade").alias("target"), "weight", (~F.col("is_train")).alias("is_val"))
+    gbt = GBTRegressor(featuresCol="features", labelCol="target", weightCol="weight", validationIndicatorCol="is_val", validationTol=TOLERANCE, maxIter=rounds,
+                       maxDepth=depth, stepSize=0.2, seed=seed, maxBins=BINS, subsamplingRate=1.0, maxMemoryInMB=512)
+    return gbt.fit(data)
 
 
-def predict(model: PipelineModel, df: DataFrame, out: str = "prob") -> DataFrame:
-    scored = model.transform(df)
+def predict(model: GBTRegressionModel, df: DataFrame, out: str = "prob", chosen: Sequence[str] = FEATURES, features: Sequence[str] = FEATURES) -> DataFrame:
+    scored = model.transform(df.withColumn("features", vector(features, chosen)))
     return scored.withColumn(out, scoring.clip01(F.col("prediction"))).drop("prediction", "features")
 
 
-def importance(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:
-    values = model.stages[-1].featureImportances.toArray()
-    return spark.createDataFrame([(f, float(v)) for f, v in zip(features, values)], "feature string, score double")
+def importance(model: GBTRegressionModel, features: Sequence[str], spark) -> DataFrame:
+    values = model.featureImportances.toArray()
+    return spark.createDataFrame([(f, float(v)) for f, v in zip(features, values, strict=True)], "feature string, score double")
 
 
 _LOCK = threading.Lock()
-_ARCHIVE: dict[tuple[str, str], tuple[str, str]] = {}
+_ARCHIVE: dict[tuple[str, str], tuple[str, dict[str, str]]] = {}
 
 
-def archive(m) -> tuple[PipelineModel, DataFrame]:
-    """Model archive and stored training set of one input folder, fitted once per session."""
+def archive(m, reports: DataFrame) -> tuple[dict[str, GBTRegressionModel], DataFrame]:
+    """Models of both kinds and the stored training set of one input folder, fitted once per session."""
     key = (m.spark.sparkContext.applicationId, m.root)
     with _LOCK:
         if key not in _ARCHIVE:
-            data, model = work_dir(m.spark, "training-set"), work_dir(m.spark, "model")
-            training_set(m.bars(), m.adjust_factor()).write.parquet(data)
-            fit_trees(m.spark.read.parquet(data)).write().save(model)
-            _ARCHIVE[key] = (data, model)
-    data, model = _ARCHIVE[key]
-    return PipelineModel.load(model), m.spark.read.parquet(data)
+            data = work_dir(m.spark, "training-set")
+            training_set(block_of(m, reports)).write.parquet(data)
+            paths = {}
+            for kind in KINDS:
+                paths[kind] = work_dir(m.spark, f"model-{kind}")
+                fit_trees(m.spark.read.parquet(data), kind=kind).write().save(paths[kind])
+            _ARCHIVE[key] = (data, paths)
+    data, paths = _ARCHIVE[key]
+    return {kind: GBTRegressionModel.load(path) for kind, path in paths.items()}, m.spark.read.parquet(data)
+
+
+def block_of(m, reports: DataFrame) -> DataFrame:
+    return m.bucketed("factor_frame", lambda: factor_frame(m.bars(), m.adjust_factor(), reports))
 
 
 def quality(df: DataFrame, prob: str = "prob", label: str = "label") -> DataFrame:
-    """Rank IC, AUC and top-5 precision of one scored frame, one row."""
+    """Rank IC, AUC and top-1 and top-5 precision of one scored frame, one row."""
     ic = scoring.rank_ic_summary(df, prob, label)
     a = scoring.auc(df, prob, label)
-    top = scoring.top_precision(df, prob, label, 5, 0.8).agg(F.avg("precision").alias("top5_precision"))
-    return ic.join(a).join(top)  # one row each
+    one = scoring.top_precision(df, prob, label, 1, 0.95).agg(F.avg("precision").alias("top1_precision"))
+    five = scoring.top_precision(df, prob, label, 5, 0.8).agg(F.avg("precision").alias("top5_precision"))
+    return ic.join(a).join(one).join(five)  # one row each
 
 
-def stack(scored: DataFrame, scores: Sequence[str], label: str = "label") -> tuple[PipelineModel, DataFrame]:
-    """Logistic regression on model scores with the binarised label."""
-    data = scored.withColumn("_y", (F.col(label) >= 0.5).cast("double"))
-    model = Pipeline(stages=[VectorAssembler(inputCols=list(scores), outputCol="_v"),
-                             LogisticRegression(featuresCol="_v", labelCol="_y", maxIter=30, probabilityCol="_pv", rawPredictionCol="_rv", predictionCol="_pl")]).fit(data)
-    from pyspark.ml.functions import vector_to_array
-    out = model.transform(data).withColumn("stacked", vector_to_array("_pv")[1]).drop("_v", "_pv", "_rv", "_pl", "_y")
-    return model, out
+def compare(models: dict[str, GBTRegressionModel], df: DataFrame) -> DataFrame:
+    """Quality of every kind on the same rows, the best rank IC first."""
+    rows = [quality(staged(predict(model, df).select("code", "date", "label", "prob"), "scores")).withColumn("model", F.lit(kind)) for kind, model in models.items()]
+    return reduce(DataFrame.unionByName, rows).orderBy(F.desc("rank_ic"))
 
 
-def eliminate(train: DataFrame, features: Sequence[str], keep: int, step: int = 5) -> list[str]:
-    """Recursive elimination: drop the ``step`` weakest features per round until ``keep`` remain."""
-    left = list(features)
+def fit_stack(scored: DataFrame, scores: Sequence[str], label: str = "label") -> PipelineModel:
+    """Logistic regression of the binarised label on model scores."""
+    data = scored.withColumn("_y", (F.col(label) >= 0.5).cast("double"))
+    return Pipeline(stages=[VectorAssembler(inputCols=list(scores), outputCol="_v"),
+                            LogisticRegression(featuresCol="_v", labelCol="_y", maxIter=100, tol=1e-9, probabilityCol="_pv", rawPredictionCol="_rv", predictionCol="_pl")]).fit(data)
+
+
+def stack(train: DataFrame, later: DataFrame, scores: Sequence[str], label: str = "label") -> DataFrame:
+    """``later`` with the column ``stacked``, from a stack fitted on ``train`` alone."""
+    return fit_stack(train, scores, label).transform(later).withColumn("stacked", vector_to_array("_pv")[1]).drop("_v", "_pv", "_rv", "_pl")
+
+
+def folds(train: DataFrame, n: int = FOLDS, purge: int = labels.HORIZON) -> DataFrame:
+    """(date, fold, apart): the dates in ``n`` runs of about equal length. ``apart`` lists the folds whose models may learn
+    from the date: every other fold, unless the date lies within ``purge`` sessions of it, as its label would
+    reach into that fold. The table is as long as the calendar."""
+    from pyspark.sql import Window
+    days = train.select("date").distinct()
+    order = Window.orderBy("date")
+    days = days.withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy())})
+
+    def first(k):
+        return F.floor(F.lit(k) * F.col("_n") / n)
+    fold = reduce(lambda a, k: F.when(F.col("_i") >= first(k), k).otherwise(a), range(1, n), F.lit(0))
+    far = [F.when((F.col("_i") < first(k) - purge) | (F.col("_i") >= first(k + 1) + purge), F.lit(k)) for k in range(n)]
+    return days.select("date", fold.cast("int").alias("fold"), F.array_compact(F.array(*far)).alias("apart"))
+
+
+def out_of_fold(train: DataFrame, chosen: dict[str, Sequence[str]], features: Sequence[str] = FEATURES, n: int = FOLDS, rounds: int = SMALL_ROUNDS) -> DataFrame:
+    """Every training row with one score for each name of ``chosen`` (name: its features), from models that saw
+    neither its fold nor the sessions next to it."""
+    dealt = staged(train.join(F.broadcast(folds(train, n)), "date"), "folds")
+    parts = []
+    for k in range(n):
+        rows = dealt.where(F.array_contains("apart", k)).withColumn("is_train", F.pmod(F.xxhash64("date"), F.lit(5)) != 0)  # a fifth of the dates stops the fit
+        part = dealt.where(F.col("fold") == k)
+        for name, own in chosen.items():
+            part = predict(fit_trees(rows, own, features, rounds=rounds, depth=3), part, name, own, features)
+        parts.append(staged(part.select("code", "date", "label", *chosen), "fold-scores"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def eliminate(train: DataFrame, chosen: Sequence[str], keep: int, share: float = 0.5, features: Sequence[str] = FEATURES) -> list[str]:
+    """Recursive elimination: the weakest ``share`` of the features goes after each small fit, until ``keep`` remain.
+    All fits read the same bins."""
+    left = list(chosen)
     while len(left) > keep:
-        values = fit_trees(train, left, rounds=3, depth=3).stages[-1].featureImportances.toArray()
-        order = sorted(range(len(left)), key=lambda i: (values[i], left[i]))
-        gone = set(order[:min(step, len(left) - keep)])
-        left = [f for i, f in enumerate(left) if i not in gone]
+        values = fit_trees(train, left, features, rounds=SMALL_ROUNDS, depth=3).featureImportances.toArray()
+        order = sorted(range(len(left)), key=lambda i: (-values[i], left[i]))
+        stay = set(order[:max(keep, len(left) - max(1, int(len(left) * share)))])
+        left = [f for i, f in enumerate(left) if i in stay]
     return left
 
 
-def optimise(train: DataFrame, features: Sequence[str], model: PipelineModel, n_features: int = 8) -> DataFrame:
-    """Hybrid selection -> redundancy removal -> refit -> weight search -> stacking; one row per stage metric."""
+def ranked_columns(data: DataFrame, chosen: Sequence[str], features: Sequence[str] = FEATURES) -> DataFrame:
+    """Bins of the chosen features as columns."""
+    place = {f: i for i, f in enumerate(features)}
+    return data.select("code", "date", "label", "is_train", *[F.get("bins", F.lit(place[f])).cast("double").alias(f) for f in chosen])
+
+
+def optimise(train: DataFrame, chosen: Sequence[str], model: GBTRegressionModel, n_features: int = 24, features: Sequence[str] = FEATURES) -> DataFrame:
+    """Hybrid selection -> redundancy removal -> refit -> weight search -> stacking; one row per stage metric, all
+    judged on the dates after the training window. Weights and stack are fitted on out-of-fold scores of the training dates."""
     spark = train.sparkSession
-    head = train.where("is_train")
-    corr = scoring.target_correlation(head, features, "label")
-    picked = [r["feature"] for r in scoring.borda({"importance": importance(model, features, spark), "correlation": corr,
-                                                   "information": scoring.mutual_information(head, features, "label")}, n_features).collect()]
+    head = staged(ranked_columns(train, chosen, features).where("is_train"), "columns")
+    corr = scoring.target_correlation(head, chosen, "label")
+    picked = [r["feature"] for r in scoring.borda({"importance": importance(model, chosen, spark), "correlation": corr,
+                                                   "information": scoring.mutual_information(head, chosen, "label")}, n_features).collect()]
     kept = scoring.drop_redundant(scoring.correlation_pairs(head, picked), corr, picked)
-    small = fit_trees(train, kept, rounds=5, depth=3)
-    val = predict(small, predict(model, train.where("NOT is_train"), "p_full"), "p_small")
-    val = stored(val.select("code", "date", "label", "p_full", "p_small"), "validation-scores")
-    best = scoring.best_weights(val, ["p_full", "p_small"], "label").select(F.lit("weights").alias("stage"), F.col("auc"))
-    _, stacked = stack(val, ["p_full", "p_small"])
-    rows = [scoring.auc(val, "p_full", "label").select(F.lit("full").alias("stage"), "auc"),
-            scoring.auc(val, "p_small", "label").select(F.lit("selected").alias("stage"), "auc"), best,
-            scoring.auc(stacked, "stacked", "label").select(F.lit("stacked").alias("stage"), "auc")]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.withColumn("n_features", F.when(F.col("stage") == "full", len(list(features))).otherwise(len(kept)))
+    small = fit_trees(train, kept, features, rounds=SMALL_ROUNDS, depth=3)
+    val = predict(small, predict(model, train.where("NOT is_train"), "p_full", chosen, features), "p_small", kept, features)
+    val = staged(val.select("code", "date", "label", "p_full", "p_small"), "validation-scores")
+    past = staged(out_of_fold(train.where("is_train"), {"p_full": chosen, "p_small": kept}, features), "past-scores")
+    names = ["p_full", "p_small"]
+    grid = scoring.simplex(len(names))
+    weights = grid[scoring.best_weights(past, names, "label").first()["weight_id"]]
+    mixed = val.withColumn("p_mixed", scoring.ensemble(names, weights))
+    stacked = staged(stack(past, mixed, names), "stacked")
+    rows = [scoring.auc(stacked, column, "label").select(F.lit(stage).alias("stage"), "auc")
+            for stage, column in (("full", "p_full"), ("selected", "p_small"), ("weights", "p_mixed"), ("stacked", "stacked"))]
+    return reduce(DataFrame.unionByName, rows).withColumn("n_features", F.when(F.col("stage") == "full", len(list(chosen))).otherwise(len(kept)))
 
 
 def rmse(df: DataFrame) -> float:
