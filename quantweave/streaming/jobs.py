@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from quantweave.streaming import processors
 
 cloudpickle.register_pickle_by_value(processors)
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -104,49 +106,83 @@ def breadth_by_date(spark: SparkSession, source: DataFrame, reach: int = 20) ->
     return spark.read.parquet(out)
 
 
-def ticks_to_bars(spark: SparkSession, ticks: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Daily bars from ticks under a watermark; open windows are merged too, so the table is
-    complete at any time. A tick later than ``lateness`` is dropped."""
-    table = work_dir(spark, "tick-bars")
+def tick_bars(spark: SparkSession, ticks: DataFrame, lateness: str = "1 day") -> tuple[DataFrame, DataFrame]:
+    """(bars, late): daily bars from ticks, and the ticks that came more than ``lateness`` after the newest one before their batch.
+
+    A batch folds its ticks to one partial bar for each (code, date) and stores it under the batch number, so a batch that is
+    run again replaces its own partials. First, last, extremes and counts of partials merge, so a tick of any age changes its bar; late ones
+    are kept apart as well, with their batch. No state grows with the open days.
+    """
+    parts, late = work_dir(spark, "tick-partials"), work_dir(spark, "late-ticks")
     seq = F.struct("ts", "event_id")
-    agg = (ticks.withWatermark("ts", lateness).groupBy("code", F.window("ts", "1 day"))
-           .agg(F.min_by("price", seq).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-                F.max_by("price", seq).alias("close"), F.count(F.lit(1)).alias("ticks")))
-    flat = agg.select("code", F.to_date("window.start").alias("date"), "open", "high", "low", "close", "ticks")
-    run(flat.withColumn("month", F.date_format("date", "yyyy-MM")), spark, "tick-bars",
-        lambda b, _: upsert_table(spark, table, b, ["code", "date"], "month", "ticks"), "update")
-    return spark.read.parquet(table)
 
+    def each(batch: DataFrame, i: int) -> None:
+        try:
+            newest = spark.read.parquet(parts).where(F.col("batch") < i).agg(F.unix_micros(F.max("last_at.ts"))).first()[0]
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            newest = None
+        fresh = batch.groupBy("code", F.to_date("ts").alias("date")).agg(
+            F.min(seq).alias("first_at"), F.max(seq).alias("last_at"), F.min_by("price", seq).alias("open"), F.max("price").alias("high"),
+            F.min("price").alias("low"), F.max_by("price", seq).alias("close"), F.count(F.lit(1)).alias("ticks"))
+        fresh = fresh.select("*", F.lit(i).cast("long").alias("batch"), F.date_format("date", "yyyy-MM").alias("month"))
+        upsert_table(spark, parts, fresh, ["code", "date", "batch"], "month")
+        limit = F.timestamp_micros(F.lit(newest).cast("long")) - F.expr(f"INTERVAL {lateness}")
+        batch.where(F.col("ts") < limit).write.mode("overwrite").parquet(f"{late}/batch={i}")
+    run(ticks, spark, "tick-bars", each)
+    bars = spark.read.parquet(parts).groupBy("code", "date").agg(
+        F.min_by("open", "first_at").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "last_at").alias("close"), F.sum("ticks").alias("ticks"))
+    return bars, spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in ticks.schema)}, batch long").parquet(late)
+
+
+def ticks_to_bars(spark: SparkSession, ticks: DataFrame, lateness: str = "1 day") -> DataFrame:
+    return tick_bars(spark, ticks, lateness)[0]
+
+
+#: Bars may arrive this much out of order; later ones are not seen by the stateful jobs.
+LATENESS = "30 days"
+#: The key and the date of the row that closes a feed: it moves the watermark past all bars and is never released itself.
+CLOSING, CLOSING_DATE = "", "2261-01-01"
+
+
+def closing_row(bars: DataFrame) -> DataFrame:
+    """One row with the columns of ``bars`` that ends a feed."""
+    cells = [F.lit(CLOSING) if f.name == "code" else F.lit(CLOSING_DATE).cast("date") if f.name == "date" else F.lit(None) for f in bars.schema]
+    return bars.sparkSession.range(1, numPartitions=1).select(*[c.cast(f.dataType).alias(f.name) for c, f in zip(cells, bars.schema, strict=True)])
 
-def stateful(spark: SparkSession, df: DataFrame, keys: list[str], processor, schema: str, label: str) -> DataFrame:
-    """Run a processor to the end of the input and return its output table."""
+
+def stateful(spark: SparkSession, bars: DataFrame, processor, schema: str, label: str, start: DataFrame | None = None, lateness: str = LATENESS) -> DataFrame:
+    """Runs a processor over the bars, keyed by instrument, in event time to the end of the input and returns its output table."""
     table = work_dir(spark, f"{label}-table")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    try:
-        out = df.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="None")
-        (out.writeStream.outputMode("append").format("parquet").option("path", table)
-         .option("checkpointLocation", work_dir(spark, f"{label}-checkpoint")).trigger(availableNow=True).start().awaitTermination())
-    finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    if spark.conf.get(PROVIDER, None) != ROCKSDB:
+        spark.conf.set(PROVIDER, ROCKSDB)  # keyed state of this kind needs it; it stays set, so queries side by side agree
+    rows = bars.select("code", F.col("date").cast("timestamp").alias("ts"), F.unix_date("date").cast("long").alias("day"), "high", "low", "close")
+    out = rows.withWatermark("ts", lateness).groupBy("code").transformWithStateInPandas(
+        processor, outputStructType=schema, outputMode="Append", timeMode="EventTime", initialState=None if start is None else start.groupBy("code"))
+    (out.writeStream.outputMode("append").format("parquet").option("path", table)
+     .option("checkpointLocation", work_dir(spark, f"{label}-checkpoint")).trigger(availableNow=True).start().awaitTermination())
     return spark.read.schema(schema).parquet(table)
 
 
-def exit_monitor(spark: SparkSession, bars: DataFrame, entries: DataFrame) -> DataFrame:
-    """Bars stream against the static open positions; state per position."""
-    pos = entries.select("strategy", "code", F.col("date").alias("signal_date"), "entry_date", "entry_price", "stop_loss", "take_profit")
-    rows = bars.select("code", "date", "high", "low", "close").join(pos, "code").where(F.col("date") > F.col("entry_date"))
-    return stateful(spark, rows, ["strategy", "code", "signal_date"],
-                    processors.ExitMonitor(signals.TIME_STOP_DAYS, signals.TIME_STOP_PNL),
-                    "strategy string, code string, signal_date date, exit_date date, exit_price double, exit_reason string, holding_days int", "exits")
+def dated(df: DataFrame, **names: str) -> DataFrame:
+    """Day numbers as dates under their names."""
+    return df.select(*[F.date_from_unix_date(F.col(c).cast("int")).alias(names[c]) if c in names else F.col(c) for c in df.columns])
+
+
+def exit_monitor(spark: SparkSession, bars: DataFrame, entries: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Bars stream against the open positions, which are the starting state of their instrument."""
+    def day(c):
+        return F.unix_date(c).cast("long")
+    start = entries.select("code", "strategy", day("date").alias("signal_day"), day("entry_date").alias("entry_day"), F.col("entry_price").alias("price"),
+                           F.col("stop_loss").alias("stop"), F.col("take_profit").alias("target"))
+    out = stateful(spark, bars, processors.ExitMonitor(signals.TIME_STOP_DAYS, signals.TIME_STOP_PNL),
+                   "strategy string, code string, signal_day long, exit_day long, exit_price double, exit_reason string, holding_days int", "exits", start, lateness)
+    return dated(out, signal_day="signal_date", exit_day="exit_date")
 
 
-def stochastic(spark: SparkSession, bars: DataFrame, n: int) -> DataFrame:
-    return stateful(spark, bars.select("code", "date", "high", "low", "close"), ["code"], processors.Stochastic(n),
-                    "code string, date date, kdj_k double, kdj_d double, kdj_j double", "kdj")
+def stochastic(spark: SparkSession, bars: DataFrame, n: int, lateness: str = LATENESS) -> DataFrame:
+    return dated(stateful(spark, bars, processors.Stochastic(n), "code string, day long, kdj_k double, kdj_d double, kdj_j double", "kdj", lateness=lateness), day="date")
 
 
 def breadth_alert(spark: SparkSession, bars: DataFrame, previous: DataFrame) -> DataFrame:

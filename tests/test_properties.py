@@ -407,3 +407,33 @@ def test_streamed_alert_counts_each_bar_once(spark, market):
     previous = market.bars().select("code", "date", lag("close").alias("prev_close"))
     want = jobs.alert_counts(final.join(previous, ["code", "date"], "left"))
     same_rows(jobs.breadth_alert(spark, feed, previous).drop("year"), want, ["date"])
+
+
+def test_late_ticks_change_their_bar_and_are_reported(spark):
+    from quantweave.streaming import jobs
+    t0 = dt.datetime(2024, 1, 1, 9)
+
+    def tick(code, days, event, price, hours=0):
+        return code, t0 + dt.timedelta(days=days, hours=hours), event, float(price)
+    loads = [[tick("a", 0, 1, 10), tick("a", 0, 2, 12, 1), tick("b", 0, 3, 5)], [tick("a", 5, 4, 20), tick("a", 4, 5, 19, 20)],
+             [tick("a", 0, 6, 99, -1), tick("a", 5, 7, 21, 1), tick("b", 1, 8, 6)]]
+    kind = "code string, ts timestamp, event_id long, price double"
+    frames = [spark.createDataFrame(x, kind).coalesce(1) for x in loads]
+    path, schema = jobs.inbox(spark, frames, "ticks")
+    bars, late = jobs.tick_bars(spark, jobs.files(spark, path, schema, 1))
+    got = {(r["code"], str(r["date"])): (r["open"], r["high"], r["low"], r["close"], r["ticks"]) for r in bars.collect()}
+    assert got == {("a", "2024-01-01"): (99, 99, 10, 12, 3), ("b", "2024-01-01"): (5, 5, 5, 5, 1), ("b", "2024-01-02"): (6, 6, 6, 6, 1),
+                   ("a", "2024-01-06"): (19, 21, 19, 21, 3)}
+    assert sorted(r["event_id"] for r in late.collect()) == [6, 8] and {r["batch"] for r in late.collect()} == {2}
+
+
+def test_stateful_streams_take_shuffled_and_repeated_bars(spark, market):
+    from quantweave.streaming import jobs
+    bars = market.bars().select("code", "date", "high", "low", "close").where("date < DATE '1997-01-01'")
+    week = F.floor(F.datediff("date", F.lit(D(1995, 1, 1))) / 100)
+    loads = [bars.where(week == i).unionByName(bars.where((week == i - 1) & (F.pmod(F.datediff("date", F.lit(D(1995, 1, 1))), F.lit(100)) >= 79))) for i in range(8)]  # the last weeks come again
+    path, schema = jobs.inbox(spark, [*[x.coalesce(1) for x in loads], jobs.closing_row(bars)], "again")
+    got = jobs.stochastic(spark, jobs.files(spark, path, schema, 1), 28).select("code", "date", F.round("kdj_k", 8).alias("k"), F.round("kdj_d", 8).alias("d"))
+    path, schema = jobs.inbox(spark, [bars.coalesce(1), jobs.closing_row(bars)], "once")
+    want = jobs.stochastic(spark, jobs.files(spark, path, schema, 1), 28).select("code", "date", F.round("kdj_k", 8).alias("k"), F.round("kdj_d", 8).alias("d"))
+    assert got.count() == bars.count() and got.exceptAll(want).count() == 0
