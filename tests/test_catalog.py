@@ -19,7 +19,8 @@ SAMPLE = ["flagship_screen", "a02_scan_with_factor", "a07_bar_upsert", "a13_bar_
           "l06_stream_kdj", "p01_adjust_to_base", "p02_adjust_as_of", "r04_skew_kurt", "r13_drawdown", "s08_trade_outcome_time_stop",
           "s12_exit_monitor", "s19_weight_search", "u02_pit_series", "u07_sue", "x07_rolling_rank", "x15_cross_rank_split", "x20_board_rank_split",
           "x24_relevance", "x25_tie_breaker", "x26_base_factors", "a21_refresh_block", "r15_whole_block", "x14_fill_infinite",
-          "i09_feature_sets_all", "d25_feature_correlation"]
+          "i09_feature_sets_all", "d25_feature_correlation", "d09_daily_rank_ic", "s27_parameter_sweep", "s28_period_optimisation", "s29_model_comparison",
+          "s15_support_replay", "s19_best_weights", "x13_transform_pipeline", "x16_cross_rank_scoring", "s25_redundancy_removal", "l04_tick_bars"]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("FULL") else SAMPLE
 
 
