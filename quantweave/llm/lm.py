@@ -166,7 +166,8 @@ def states(p: dict, x: np.ndarray, start: np.ndarray, h: np.ndarray, keep: bool
     H, (T, B) = HIDDEN, x.shape
     gx = (p["E"] @ p["Wx"] + p["b"])[x]  # one row for each input word
     W, U = np.ascontiguousarray(p["Wh"][:, :2 * H]), np.ascontiguousarray(p["Wh"][:, 2 * H:])
-    out, trace, begins = np.empty((T, B, H), np.float32), [], start.any(1)
+    out, begins = np.empty((T, B, H), np.float32), start.any(1)
+    trace = np.empty((4, T, B, H), h.dtype) if keep else None  # state before, reset, update, candidate
     for t in range(T):
         prev = np.where(start[t][:, None], np.float32(0), h) if begins[t] else h
         rz = prev @ W
@@ -181,7 +182,7 @@ def states(p: dict, x: np.ndarray, start: np.ndarray, h: np.ndarray, keep: bool
         h += prev
         out[t] = h
         if keep:
-            trace.append((prev, r, z, c))
+            trace[0, t], trace[1, t], trace[2, t], trace[3, t] = prev, r, z, c
     return out, h, trace
 
 
@@ -257,28 +258,28 @@ def gradients(p: dict, vocab: Vocabulary, x, y, live, start, h):
     dout[rows] = dr
     dout = dout.reshape(T, B, H)
     W, U = np.ascontiguousarray(p["Wh"][:, :2 * H].T), np.ascontiguousarray(p["Wh"][:, 2 * H:].T)
-    carry, dgx, begins = np.zeros((B, H), np.float32), np.empty((T, B, 3 * H), np.float32), start.any(1)
-    before, reset = np.empty((T, B, H), np.float32), np.empty((T, B, H), np.float32)
+    P, R, Z, C = trace
+    # What does not depend on the steps to come is computed for the whole window at once.
+    to_c, to_z, to_r, stays = Z * (1 - C * C), (C - P) * (Z - Z * Z), P * (R - R * R), 1 - Z
+    carry, begins = np.zeros((B, H), np.float32), start.any(1)
+    dc, drz = np.empty((T, B, H), np.float32), np.empty((T, B, 2 * H), np.float32)
     for t in range(T - 1, -1, -1):
-        prev, r, z, c = trace[t]
         dt = dout[t]
         dt += carry
-        dz = dt * z
-        dc = dz * (1 - c * c)
-        drp = dc @ U
-        d = dgx[t]
-        d[:, 2 * H:] = dc
-        d[:, :H] = drp * prev * (r - r * r)
-        d[:, H:2 * H] = dz * (c - prev) * (1 - z)
-        before[t], reset[t] = prev, r * prev
-        carry = dt - dz
-        drp *= r
+        np.multiply(dt, to_c[t], dc[t])
+        drp = dc[t] @ U
+        np.multiply(drp, to_r[t], drz[t, :, :H])
+        np.multiply(dt, to_z[t], drz[t, :, H:])
+        carry = drz[t] @ W
+        dt *= stays[t]
+        carry += dt
+        drp *= R[t]
         carry += drp
-        carry += d[:, :2 * H] @ W
         if begins[t]:
             carry[start[t]] = 0
-    dgx, before, reset = dgx.reshape(-1, 3 * H), before.reshape(-1, H), reset.reshape(-1, H)
-    g["Wh"][:, :2 * H], g["Wh"][:, 2 * H:] = before.T @ dgx[:, :2 * H], reset.T @ dgx[:, 2 * H:]
+    dc, drz = dc.reshape(-1, H), drz.reshape(-1, 2 * H)
+    g["Wh"][:, :2 * H], g["Wh"][:, 2 * H:] = P.reshape(-1, H).T @ drz, (R * P).reshape(-1, H).T @ dc
+    dgx = np.concatenate([drz, dc], 1)
     inputs = x.ravel()
     g["b"], g["Wx"] = dgx.sum(0), p["E"][inputs].T @ dgx
     de = np.ascontiguousarray((dgx @ p["Wx"].T).T)
