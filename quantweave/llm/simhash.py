@@ -188,12 +188,13 @@ def shingle_levels(rows: DataFrame) -> np.ndarray:
     counter cost work and lose nothing. Level 0: at most one text of one task.
     """
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << ORDER_BITS, np.uint32)
+        counts = np.zeros(1 << ORDER_BITS, np.uint16)
         for batch in batches:
             texts = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             for text in texts.values():
-                np.add.at(counts, order_slots(shingle_set(text)), 1)
-        for block, part in enumerate(np.minimum(counts, 65535).astype("<u2").reshape(-1, 1 << ORDER_BLOCK)):
+                slots = order_slots(shingle_set(text))
+                counts[slots[counts[slots] < 65535]] += 1  # two shingles of one text in one slot count once
+        for block, part in enumerate(counts.astype("<u2", copy=False).reshape(-1, 1 << ORDER_BLOCK)):
             if part.any():
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
 
@@ -333,9 +334,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_hash(F.col(text)).alias("n"), F.col(text).alias("text")).withColumn("k", F.xxhash64("doc_id", "n"))
     levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(rows))
-    entries = staged(prefix_entries(rows, levels), "entries")
-    shared = shared_entries(entries)
-    discard(entries)
+    shared = shared_entries(prefix_entries(rows, levels))
     members = staged(rows.select("doc_id", "k", "n"), "texts")
     firsts = members.groupBy("n").agg(F.min("k").alias("k")).join(shared.select("n").distinct(), "n", "left_semi")
     kind = "struct<s:binary,print:binary,size:int>"
