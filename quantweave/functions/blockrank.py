@@ -40,7 +40,8 @@ def _summary(columns: Sequence[str]):
             for k, cell in zip(out, (i, _packed(v, "<f8"), _packed(c, "<i8"), v[every // 2::every].tolist()), strict=True):
                 out[k].append(cell)
         n = len(columns)
-        return pa.table({"_g": pa.array([key[0].as_py()] * n, pa.int64()), "_b": pa.array([key[1].as_py()] * n, pa.int32()), "f": pa.array(out["f"], pa.int32()),
+        return pa.table({"_g": pa.array([key[0].as_py()] * n, pa.int64()), "_b": pa.array([key[1].as_py()] * n, pa.int32()),
+                         "m": pa.array([key[2].as_py()] * n, pa.int64()), "f": pa.array(out["f"], pa.int32()),
                          "v": pa.array(out["v"], pa.binary()), "c": pa.array(out["c"], pa.binary()), "sample": pa.array(out["sample"], pa.list_(pa.float64()))})
     return run
 
@@ -60,6 +61,20 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PIECE = {"_g": pa.int64(), "_b": pa.int32(), "f": pa.int32(), "k": pa.int32(), "v": pa.binary(), "c": pa.binary()}
 
 
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What :func:`_merge` gives for groups of one block, whose arrays meet no others."""
+    for batch in batches:
+        counts = [np.frombuffer(c, "<i8") for c in batch.column("c").to_pylist()]
+        n = batch.num_rows
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("_g"), batch.column("_b"), batch.column("f"), pa.array(np.zeros(n, np.int32)), batch.column("v"),
+             pa.array([_packed(np.cumsum(c) - c, "<i8") for c in counts], pa.binary()), batch.column("c"), pa.array([int(c.sum()) for c in counts], pa.int64())], names=MERGED_NAMES)
+
+
+MERGED = "_g long, _b int, f int, k int, v binary, before binary, equal binary, size long"
+MERGED_NAMES = [c.split()[0] for c in MERGED.split(", ")]
+
+
 def _merge(key, table):
     """Of one range: how many values of the range are smaller than, and equal to, each value of every block."""
     blocks = table.column("_b").to_pylist()
@@ -105,15 +120,18 @@ def block_ranks(df: DataFrame, keys: Sequence[str], columns: Sequence[str], bloc
     rows = staged(df.withColumns({"_g": group, "_id": F.monotonically_increasing_id()}), "rows")
     sizes = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_rows"))
     # The written number deals the rows of a group, copies too; any split gives the same ranks.
-    rows = rows.join(sizes, "_g").withColumn("_b", F.pmod(F.xxhash64("_id"), F.ceil(F.col("_rows") / block_rows)).cast("int")).drop("_id")
-    wide = rows.select("_g", "_b", *[F.col(c).cast("double").alias(c) for c in columns])
-    summary = staged(wide.groupBy("_g", "_b").applyInArrow(_summary(columns), "_g long, _b int, f int, v binary, c binary, sample array<double>"), "summary")
+    rows = rows.join(sizes, "_g").withColumn("_m", F.ceil(F.col("_rows") / block_rows)).withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_m")).cast("int")).drop("_id")
+    wide = rows.select("_g", "_b", "_m", *[F.col(c).cast("double").alias(c) for c in columns])
+    rows = rows.drop("_m")
+    summary = staged(wide.groupBy("_g", "_b", "_m").applyInArrow(_summary(columns), "_g long, _b int, m long, f int, v binary, c binary, sample array<double>"), "summary")
+    split = summary.filter("m > 1")
     # Equally spaced samples of all blocks, one fewer cuts than blocks.
-    sample = summary.groupBy("_g", "f").agg(F.count(F.lit(1)).alias("m"), F.array_sort(F.flatten(F.collect_list("sample"))).alias("all")).filter("m > 1")
-    cuts = sample.select("_g", "f", F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("m") - 1), lambda i: F.get("all", F.floor(i * F.size("all") / F.col("m")).cast("int")))).alias("cuts"))
+    sample = split.groupBy("_g", "f").agg(F.max("m").alias("m"), F.array_sort(F.flatten(F.collect_list("sample"))).alias("all"))
+    cuts = sample.select("_g", "f", F.array_distinct(F.transform(F.sequence(F.lit(1).cast("long"), F.col("m") - 1), lambda i: F.get("all", F.floor(i * F.size("all") / F.col("m")).cast("int")))).alias("cuts"))
     cuts = cuts.withColumn("cuts", F.filter("cuts", lambda c: c.isNotNull()))
-    pieces = summary.select("_g", "_b", "f", "v", "c").join(cuts, ["_g", "f"], "left").mapInArrow(_pieces, "_g long, _b int, f int, k int, v binary, c binary")
-    merged = staged(pieces.groupBy("_g", "f", "k").applyInArrow(_merge, "_g long, _b int, f int, k int, v binary, before binary, equal binary, size long"), "merged")
+    pieces = split.select("_g", "_b", "f", "v", "c").join(cuts, ["_g", "f"]).mapInArrow(_pieces, "_g long, _b int, f int, k int, v binary, c binary")
+    merged = staged(summary.filter("m = 1").select("_g", "_b", "f", "v", "c").mapInArrow(_alone, MERGED).unionByName(
+        pieces.groupBy("_g", "f", "k").applyInArrow(_merge, MERGED)), "merged")
     ranges = merged.groupBy("_g", "f", "k").agg(F.first("size").alias("size"))
     column = Window.partitionBy("_g", "f")
     ranges = ranges.select("_g", "f", "k", F.coalesce(F.sum("size").over(column.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"),
