@@ -51,10 +51,11 @@ def training_set(block: DataFrame, features: Sequence[str] = FEATURES) -> DataFr
     df = labels.path_label(block)
     df = df.where(F.col("label_raw").isNotNull() & F.col("f_return").isNotNull()).select(
         "code", "date", "f_return", "label_raw", "limit_threshold", F.col("unbuyable").alias("_blocked"), *features)
-    df = coded(labels.cross_rank(df, features, null_rank=0.5), features).withColumnRenamed("_blocked", "unbuyable")
-    df = labels.relevance(labels.penalise(labels.board_rank(df)), "label", GRADES)
-    df = df.withColumn("grade", F.col("relevance") / float(GRADES - 1))
-    return labels.sample_weight(labels.time_split(df))
+    wide = staged(coded(labels.cross_rank(df, features, null_rank=0.5), features).withColumnRenamed("_blocked", "unbuyable"), "coded")
+    # Labels, split and weight look at their rows several times: they work on the few columns they need.
+    df = staged(labels.relevance(labels.penalise(labels.board_rank(wide.drop("bins"))), "label", GRADES), "labels")
+    df = labels.sample_weight(labels.time_split(df.withColumn("grade", F.col("relevance") / float(GRADES - 1))))
+    return df.join(wide.select("code", "date", "bins"), ["code", "date"])
 
 
 def vector(features: Sequence[str], chosen: Sequence[str]) -> Column:
