@@ -457,7 +457,7 @@ def log_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", roun
     shared = context.broadcast(vocab)
     id_kind = dict(rows.dtypes)["doc_id"]
     coded = encoded(rows, shared, id_kind)
-    weights = context.broadcast(trained(coded, shared, rounds))
+    weights = context.broadcast(trained(coded.filter(~F.col("held_out")), shared, rounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
