@@ -7,9 +7,12 @@ asks for every value in the small Hamming ball around its own keys, and the
 complete distance of each match is then verified.
 
 :func:`linked_components` links 64-bit fingerprints at a small radius without
-losing a link. :func:`near_duplicates` groups documents by the exact similarity of
-their shingles: two sets of similarity 0.8 share one of their rarest shingles, so
-texts meet under those (a prefix join) and no fingerprint decides.
+losing a link. :func:`close_documents`, the pipeline's step, links them at a wider
+radius: with more segments than differing bits some of them agree whole, so keys
+are all choices of three segments and need no balls. :func:`near_duplicates` groups
+documents by the exact similarity of their shingles instead: two sets of similarity 0.8
+share one of their rarest shingles, so texts meet under those (a prefix join) and no
+fingerprint decides.
 
 Only one of two fingerprints needs to probe for a bit in which they differ, so
 balls hold only flips from 0 to 1. Equal fingerprints are folded map-side
@@ -147,6 +150,127 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# --- groups by fingerprints at a wider radius ---------------------------------------------------
+
+#: Differing bits at which documents are near copies, and whole segments that make one key.
+CLOSE, WHOLE_SEGMENTS = 6, 3
+#: Fingerprints of one key that are compared in one group.
+BUCKET = 4096
+
+
+def segment_keys(radius: int, whole: int = WHOLE_SEGMENTS) -> list[tuple[int, int]]:
+    """(mask, tag) of each key: all choices of ``whole`` of ``radius + whole`` segments. Differing bits
+    lie in at most ``radius`` segments, so two fingerprints within the radius agree on one key. The key's number
+    fills bits outside the mask."""
+    cuts = np.linspace(0, 64, radius + whole + 1).astype(int)
+    segments = [range(a, b) for a, b in itertools.pairwise(cuts.tolist())]
+    out = []
+    for tag, chosen in enumerate(itertools.combinations(range(len(segments)), whole)):
+        free = [b for i, s in enumerate(segments) if i not in chosen for b in s]
+        out.append((_signed_mask([b for i in chosen for b in segments[i]]), _signed_mask([b for j, b in enumerate(free) if tag >> j & 1])))
+    return out
+
+
+def bucket_parts(bucket: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
+    """For each row the first row that links within ``radius`` bits connect it to inside its bucket; rows of a bucket lie together."""
+    part, at, step = np.arange(len(fps)), np.arange(len(fps)), 0
+    while True:
+        step += 1
+        at = at[:np.searchsorted(at, len(fps) - step)]
+        at = at[bucket[at] == bucket[at + step]]
+        if not len(at):
+            return part
+        near = at[part[at] != part[at + step]]
+        near = near[np.bitwise_count(fps[near] ^ fps[near + step]) <= radius]
+        while len(near):
+            x, y = part[near], part[near + step]
+            root = np.arange(len(fps))
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root != root[root]).any():
+                root = root[root]
+            part = root[part]
+            near = near[part[near] != part[near + step]]
+
+
+def close_links(fps: DataFrame, radius: int = CLOSE, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): links that connect the distinct values of ``fp`` as all pairs within ``radius`` bits do.
+
+    The values of a key meet in one task, which gives a row for each value that is not the first of its
+    part, so rows never outnumber keys whatever the size of a group. A key of more than ``bucket`` values is
+    handed on in blocks, and each pair of its blocks is a group of its own.
+    """
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """(key, fp, whether the last key may go on) with rows of keys that are still open carried over."""
+        keys, values = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            keys, values = np.append(keys, batch.column(0).to_numpy()), np.append(values, batch.column(1).to_numpy())
+            end = np.searchsorted(keys, keys[-1]) if len(keys) else 0
+            if len(keys) - end > bucket:  # an open key that is too large already goes out by whole blocks
+                end += (len(keys) - end) // bucket * bucket
+                yield keys[:end], values[:end], True
+            elif end:
+                yield keys[:end], values[:end], False
+            keys, values = keys[end:], values[end:]
+        if len(keys):
+            yield keys, values, False
+
+    def found(key: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        part = bucket_parts(key, values.view(np.uint64), radius)
+        more = np.flatnonzero(part != np.arange(len(part)))
+        return pa.RecordBatch.from_pydict({"a": pa.array(values[part[more]]), "b": pa.array(values[more]),
+                                           "key": pa.nulls(len(more), pa.int64()), "block": pa.nulls(len(more), pa.int32())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, seen = None, 0  # the key that is handed on, and its rows so far
+        for key, values, goes_on in groups(batches):
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            sizes = np.diff(np.append(first, len(key)))
+            large = sizes > bucket
+            large[-1] |= goes_on
+            large[0] |= hot is not None and key[0] == hot
+            for i in np.flatnonzero(large).tolist():
+                rows = slice(first[i], first[i] + sizes[i])
+                hot, seen = (key[first[i]], seen) if hot is not None and key[first[i]] == hot else (key[first[i]], 0)
+                block = (seen + np.arange(sizes[i])) // bucket
+                seen += sizes[i]
+                yield pa.RecordBatch.from_pydict({"a": pa.array(values[rows]), "b": pa.nulls(sizes[i], pa.int64()),
+                                                  "key": pa.array(key[rows]), "block": pa.array(block.astype(np.int32))})
+            small = np.repeat(~large, sizes)
+            if small.any():
+                yield found(key[small], values[small])
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        for _, group in itertools.groupby(rows, key=lambda r: r[:3]):
+            values = np.array([r[3] for r in group], np.int64)
+            yield found(np.zeros(len(values), np.int64), values).select(["a", "b"])
+    fp = F.col("fp")
+    own = F.array(*[fp.bitwiseAND(F.lit(m).cast("long")).bitwiseOR(F.lit(t).cast("long")) for m, t in segment_keys(radius)])
+    dealt = fps.select(F.explode(own).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
+    met = staged(dealt.mapInArrow(run, "a long, b long, key long, block int"), "met")
+    hot = met.filter("key IS NOT NULL")
+    pairs = hot.join(hot.groupBy("key").agg(F.max("block").alias("top")), "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("top"))))
+    pairs = pairs.filter("block <> other OR top = 0").select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "a")
+    pairs = pairs.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "a").mapInArrow(cross, "a long, b long")
+    return met.filter("key IS NULL").select("a", "b").unionByName(pairs)
+
+
+def close_documents(docs: DataFrame, radius: int = CLOSE, k: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n, fp, group_fp): hash of the text, its fingerprint and the smallest one of its group.
+
+    Different texts link if their fingerprints differ in at most ``radius`` bits; no such link is lost.
+    Defined cases: texts without words have no fingerprint and are equal to the same text only, null and empty
+    being the same; a text of fewer than ``k`` words has one shingle; a null doc_id keeps its row; repeated rows each
+    get one; an empty table gives an empty result.
+    """
+    t = F.col(text)
+    prints = staged(docs.select(F.col(doc_id).alias("doc_id"), text_hash(t).alias("n"),
+                                F.when(F.regexp_like(t, F.lit(r"[^\x20\x09-\x0D]")), fingerprint_column(t, k)).alias("fp")), "prints")
+    values = staged(prints.select("fp").filter("fp IS NOT NULL").distinct(), "values")
+    labels = connected_components(close_links(values, radius)).select(F.col("node").alias("fp"), "label")
+    return prints.join(labels, "fp", "left").select("doc_id", "n", "fp", F.coalesce("label", "fp").alias("group_fp"))
+
+
 # --- groups by shingle similarity -------------------------------------------------------------
 
 SHINGLE = 5
@@ -361,14 +485,14 @@ def linked_groups(shared: DataFrame, sets: DataFrame, block: int = BLOCK) -> Dat
     return connected_components(first.unionByName(more)).select(F.col("node").alias("n"), "label")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, radius: int = CLOSE) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id.
 
-    Defined cases: null and empty texts are equal texts; a null doc_id comes after
+    Groups are those of :func:`close_documents`. Defined cases: null and empty texts are equal texts; a null doc_id comes after
     all others; of rows with the same id and text one stays; extra columns pass
     through; an empty table stays empty.
     """
-    members = staged(near_duplicates(docs), "members")
-    firsts = members.groupBy("group_n").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "n")).alias("x")).select(F.xxhash64("x.doc_id", "x.n").alias("k"))
+    members = close_documents(docs, radius).withColumn("blank_n", F.when(F.isnull("fp"), F.col("n")))
+    firsts = members.groupBy("group_fp", "blank_n").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "n")).alias("x")).select(F.xxhash64("x.doc_id", "x.n").alias("k"))
     rows = packed(docs, k=F.xxhash64("doc_id", text_hash(F.col("text"))))
-    return rows.join(firsts, "k", "left_semi").dropDuplicates(["k"]).select("_row.*")
+    return rows.join(staged(firsts, "firsts"), "k", "left_semi").dropDuplicates(["k"]).select("_row.*")
