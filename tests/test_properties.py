@@ -437,3 +437,41 @@ def test_stateful_streams_take_shuffled_and_repeated_bars(spark, market):
     path, schema = jobs.inbox(spark, [bars.coalesce(1), jobs.closing_row(bars)], "once")
     want = jobs.stochastic(spark, jobs.files(spark, path, schema, 1), 28).select("code", "date", F.round("kdj_k", 8).alias("k"), F.round("kdj_d", 8).alias("d"))
     assert got.count() == bars.count() and got.exceptAll(want).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 7, 10_000])
+def test_runs_of_a_sorted_partition_in_any_batches(size):
+    """Counts inside a task do not depend on where the Arrow batches end, for hot values and groups too."""
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g": rng.integers(0, 4, 900), "v": np.where(rng.random(900) < 0.5, 3, rng.integers(0, 40, 900))}).sort_values(["g", "v"], ignore_index=True)
+    batch = pa.RecordBatch.from_pandas(pdf.assign(_g1=pdf.g, _g2=pdf.g, _v1=100 * pdf.g + pdf.v, _v2=pdf.v)[["_g1", "_g2", "_v1", "_v2", "g", "v"]], preserve_index=False)
+    got = pa.Table.from_batches(ranks._in_runs()(batch.slice(i, size) for i in range(0, 900, size))).to_pandas()
+    assert (got.v == pdf.v).all() and (got._cnt == pdf.groupby(["g", "v"])["v"].transform("size")).all()
+    assert (got._before == pdf.groupby("g")["v"].rank(method="min").astype(int) - 1).all()
+    runs = 100 * got.g + got.v
+    assert (got._edge == runs.isin([runs.iloc[0], runs.iloc[-1]])).all()
+
+
+def test_ranks_deal_rows_once(spark, skewed, monkeypatch):
+    """Rows are written, dealt and written again, whatever is ranked: no join brings ranks back to their rows, and
+    a value that many tasks share is ranked as one."""
+    from quantweave.operators import scoring as sc
+    pdf, df = skewed
+    written, real = [], ranks.staged
+    monkeypatch.setattr(ranks, "staged", lambda d, label: written.append(label) or real(d, label))
+    monkeypatch.setattr(sc, "staged", ranks.staged)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = ranks.avg_rank(df, ["g"], "v", "r", "n", few_groups=True)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = out.toPandas().sort_values("id")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert written == ["rows", "dealt"] and "SortMergeJoin" not in plan
+    assert np.allclose(got["r"].astype(float), pdf.groupby("g")["v"].rank(method="average"), equal_nan=True)
+    assert (got["n"].to_numpy() == pdf.groupby("g")["v"].transform("count").to_numpy()).all()
+    written.clear()
+    pairs = df.select("g", F.col("v").alias("p"), (-F.col("v")).alias("r"))
+    assert all(abs(r["rank_ic"] + 1) < 1e-12 for r in sc.daily_rank_ic(pairs, "p", "r", ["g"]).collect())
+    assert written == ["pairs", "dealt", "dealt"]
