@@ -475,3 +475,12 @@ def test_ranks_deal_rows_once(spark, skewed, monkeypatch):
     pairs = df.select("g", F.col("v").alias("p"), (-F.col("v")).alias("r"))
     assert all(abs(r["rank_ic"] + 1) < 1e-12 for r in sc.daily_rank_ic(pairs, "p", "r", ["g"]).collect())
     assert written == ["pairs", "dealt", "dealt"]
+
+
+def test_model_frame_and_candidates_read_the_bars_once(market):
+    """Scores, labels and candidates come from one pass over the bars, with no join of bars to bars."""
+    from quantweave.catalog import scoring as sq
+    plan = sq.candidates(market)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+    frame = sq.build_frame(market)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in frame
