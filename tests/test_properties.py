@@ -484,3 +484,34 @@ def test_model_frame_and_candidates_read_the_bars_once(market):
     assert plan.count("FileScan") == 1 and "Join" not in plan
     frame = sq.build_frame(market)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in frame
+
+
+def test_exit_monitor_starts_from_positions_of_bucketed_tables(spark):
+    """Buckets and shuffle partitions differ in number and nothing is broadcast, as in a stream on a cluster."""
+    from quantweave.streaming import jobs
+    rng, path = np.random.default_rng(5), work_dir(spark, "monitor-bars")
+    rows = []
+    for k in range(6):
+        close = 20 + np.cumsum(rng.integers(-40, 44, 90)) / 128
+        for i, c in enumerate(close.tolist()):
+            rows.append((f"60000{k}", dt.date(2020, 1, 6) + dt.timedelta(days=7 * i), c, c + 0.25, c - 0.25, c, float(rng.integers(1, 9)), 100.0 * c, 0))
+    df = spark.createDataFrame(rows, "code string, date date, open double, high double, low double, close double, volume double, amount double, is_st int")
+    df.write.bucketBy(8, "code").option("path", path).saveAsTable("monitor_bars")
+    bars = spark.table("monitor_bars")
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "3"}
+    before = {c: spark.conf.get(c) for c in changed}
+    try:
+        for c, v in changed.items():
+            spark.conf.set(c, v)
+        narrow = bars.select("code", "date", "high", "low", "close")
+        loads = [narrow.where("date < DATE '2020-10-01'"), narrow.where("date >= DATE '2020-10-01'")]
+        folder, schema = jobs.inbox(spark, [*[x.coalesce(1) for x in loads], jobs.closing_row(narrow)], "monitor")
+        got = jobs.exit_monitor(spark, jobs.files(spark, folder, schema, 1), signals.entries(signals.all_signals(bars), bars))
+        want = signals.outcomes(signals.all_signals(bars), bars, time_stop=True).where("exit_date IS NOT NULL").withColumnRenamed("date", "signal_date")
+        cols = ["strategy", "code", "signal_date", "exit_date", "exit_price", "exit_reason", "holding_days"]
+        got, want = (sorted(tuple(r) for r in x.select(*cols).collect()) for x in (got, want))
+        assert got == want and len(got) > 5
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+        spark.sql("DROP TABLE monitor_bars")
