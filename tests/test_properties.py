@@ -515,3 +515,29 @@ def test_exit_monitor_starts_from_positions_of_bucketed_tables(spark):
         for c, v in before.items():
             spark.conf.set(c, v)
         spark.sql("DROP TABLE monitor_bars")
+
+
+def test_streamed_bars_are_rewritten_once_for_each_doubling(spark, monkeypatch):
+    """Sixteen batches of new keys and of keys sent before; the highest load wins, of equal loads the last batch."""
+    from quantweave.streaming import jobs
+    frames, want = [], {}
+    for i in range(16):
+        load = 1 if i % 5 else 3
+        rows = [(f"c{i}", dt.date(2000, 1, 3), float(i), load), (f"c{i // 2}", dt.date(2001, 1, 1), float(100 + i), load), ("hot", dt.date(2000, 1, 3), float(i), load)]
+        for code, date, close, load in rows:
+            if load >= want.get((code, date), (0, 0.0))[0]:
+                want[code, date] = (load, close)
+        frames.append(spark.createDataFrame(rows, "code string, date date, close double, load int").coalesce(1))
+    merges, merge = [], jobs.upsert_table
+    monkeypatch.setattr(jobs, "upsert_table", lambda *a: (merges.append(1), merge(*a)))
+    path, schema = jobs.inbox(spark, frames, "doubling")
+    # files of a folder come in the order of their times, which may be equal, so every load has a file time of its own
+    import glob
+    import os
+    for f in glob.glob(f"{path.removeprefix('file:')}/*.parquet"):
+        first = spark.read.parquet(f).where("code <> 'hot' AND date = DATE '2000-01-03'").first()["close"]
+        os.utime(f, (1e9 + 10 * first, 1e9 + 10 * first))
+    got = jobs.bar_upsert(spark, jobs.files(spark, path, schema, 1))
+    assert got.columns == ["code", "date", "close", "load", "year"]
+    assert {(r["code"], r["date"]): (r["load"], r["close"]) for r in got.collect()} == want
+    assert len(merges) <= 6
