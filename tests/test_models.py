@@ -77,3 +77,36 @@ def test_no_row_is_scored_by_a_model_that_saw_it(planted):
     later = tr.stack(past, past.where("date > '2020-06-01'"), ["a", "b"])
     assert scoring.auc(later, "stacked", "label").first()["auc"] > 0.9
     assert later.where(F.col("stacked").isNull()).count() == 0
+
+
+def test_quality_of_many_frames_takes_the_passes_of_one(spark, monkeypatch):
+    from quantweave.functions import ranks
+    rng, rows = np.random.default_rng(8), []
+    for model in ("a", "b"):
+        for part in ("x", "y"):
+            for day in range(6):
+                for i in range(4 if (part, day) == ("y", 5) else 20):
+                    rows.append((model, part, f"c{i}", dt.date(2020, 1, 6 + day), float(rng.random().round(1)) if rng.random() > .05 else None, float(rng.random().round(2))))
+    df = tr.staged(spark.createDataFrame(rows, "model string, part string, code string, date date, prob double, label double"), "many")
+    written, write = [], tr.staged
+
+    def count(d, label):
+        written.append(label)
+        return write(d, label)
+    for module in (tr, ranks, scoring):
+        monkeypatch.setattr(module, "staged", count)
+    cols = ["rank_ic", "rank_ic_std", "n_dates", "auc", "top1_precision", "top5_precision"]
+    got = {(r["model"], r["part"]): [r[c] for c in cols] for r in tr.quality(df, keys=["model", "part"]).collect()}
+    many = len(written)
+    assert len(got) == 4
+    for (model, part), values in got.items():
+        del written[:]
+        one = tr.quality(df.where((F.col("model") == model) & (F.col("part") == part))).first()
+        assert len(written) == many
+        assert np.allclose(values, [one[c] for c in cols], rtol=1e-12)
+
+
+def test_all_features_in_order_make_the_same_vector(planted):
+    one, other = (planted.select(v.alias("v")) for v in (tr.vector(NAMES, NAMES), tr.vector([*NAMES, "more"], NAMES)))
+    assert [r["v"] for r in one.collect()] == [r["v"] for r in other.collect()]
+    assert "transform" not in one._jdf.queryExecution().toString()
