@@ -86,7 +86,7 @@ def test_quality_of_many_frames_takes_the_passes_of_one(spark, monkeypatch):
         for part in ("x", "y"):
             for day in range(6):
                 for i in range(4 if (part, day) == ("y", 5) else 20):
-                    rows.append((model, part, f"c{i}", dt.date(2020, 1, 6 + day), float(rng.random().round(1)) if rng.random() > .05 else None, float(rng.random().round(2))))
+                    rows.append((model, part, f"c{i}", dt.date(2020, 1, 6 + day), round(rng.random(), 1) if rng.random() > .05 else None, round(rng.random(), 2)))
     df = tr.staged(spark.createDataFrame(rows, "model string, part string, code string, date date, prob double, label double"), "many")
     written, write = [], tr.staged
 
