@@ -3,11 +3,12 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from quantweave.functions.trailing import one_pass
+from quantweave.functions.trailing import numbered, one_pass
 from quantweave.functions.windows import lag, rmax, rmin, rstd, rstd_pop, rsum, rvar, sma
-from quantweave.operators import rolling, technical as t
+from quantweave.operators import features, rolling, technical as t
 
 
 def bars(spark):
@@ -66,3 +67,54 @@ def test_blocks_have_no_sliding_frames(spark):
     for block in (t.window_block, rolling.rolling_block):
         for line in block(df)._jdf.queryExecution().optimizedPlan().toString().split("RowFrame, ")[1:]:
             assert line.startswith(("unboundedpreceding", "-1, -1"))
+
+
+@pytest.fixture
+def small_batches(spark):
+    """Batches of 16 rows, so that instruments go on in the next one."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_pass_over_cut_instruments(spark, small_batches):
+    df = t.base(bars(spark)).withColumn("_ret", F.col("close") / 20 - 1)
+
+    def columns():
+        return {"a": sma("close", 20), "b": rstd("close", 60), "c": lag("close", 33), "d": rsum("_ret", 10) - lag(rsum("_ret", 20), 10), "e": sma("volume", 120)}
+    with one_pass() as p:
+        asked = columns()
+    two = df.withColumns({"_s10": rsum("_ret", 10), "_s20": rsum("_ret", 20)}).withColumns(
+        {"a": sma("close", 20), "b": rstd("close", 60), "c": lag("close", 33), "d": F.col("_s10") - lag("_s20", 10), "e": sma("volume", 120)})
+    same(p.on(df, asked).select("code", "date", *asked), two.select("code", "date", *asked))
+
+
+def test_fill_and_ranks_over_cut_instruments(spark, small_batches):
+    df = bars(spark).withColumn("x", F.when(F.dayofyear("date") % 5 == 0, F.col("close")))
+    same(t.fill_block(numbered(df), ["x", "volume"]).select("code", "date", "x", "volume"), t.fill_block(df, ["x", "volume"]).select("code", "date", "x", "volume"))
+    got = features.rolling_rank(df, ["close", "x"], 50, 25).select("code", "date", "rank_close", "rank_x")
+    pdf, want = df.toPandas().sort_values("date"), {}
+    for _, g in pdf.groupby(pdf["code"].fillna("-")):
+        for name in ("close", "x"):
+            for r, v in zip(g.itertuples(), g[name].rolling(50, min_periods=25).rank(pct=True).where(g[name].notna()), strict=True):
+                want.setdefault((r.code, r.date), []).append(None if v != v else v)
+    rows = {(r[0], r[1]): [r[2], r[3]] for r in got.collect()}
+    assert rows.keys() == want.keys() and len(rows) == 377
+    assert all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-12) for k in rows for x, y in zip(rows[k], want[k], strict=True))
+
+
+def test_pass_tells_moved_rows(spark):
+    df = numbered(bars(spark)).repartition(3, "date")
+    with pytest.raises(Exception, match="not in one piece"):
+        t.fill_block(df, ["close"]).agg(F.sum("close")).collect()
+
+
+@pytest.mark.parametrize("name", ["x26_base_block", "x27_engineered_block", "x27_full_pipeline"])
+def test_wide_rows_are_not_moved(spark, name):
+    """From the first pass on no row is shuffled, and the block is worked out once."""
+    import __spark_entry__ as entry
+    df = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    passes = [i for i, line in enumerate(plan) if "ArrowEvalPython" in line]
+    assert len(passes) == (3 if name == "x27_engineered_block" else 2)  # the pipeline aligned to few columns leaves the ranks out
+    assert not [line for line in plan[:passes[-1]] if "Exchange" in line or "Join" in line]
