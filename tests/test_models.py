@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quantweave.functions.blockrank import block_ranks
+from quantweave.functions.blockrank import block_ranks, block_shares
 from quantweave.operators import labels, scoring
 from quantweave.plans import training as tr
 
@@ -110,3 +110,54 @@ def test_all_features_in_order_make_the_same_vector(planted):
     one, other = (planted.select(v.alias("v")) for v in (tr.vector(NAMES, NAMES), tr.vector([*NAMES, "more"], NAMES)))
     assert [r["v"] for r in one.collect()] == [r["v"] for r in other.collect()]
     assert "transform" not in one._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("limit", [100, 10_000])
+def test_block_shares_of_cut_groups(spark, limit):
+    """Groups above and below the limit, a hot value, nulls, NaN, a lone row, and a group without values, in many partitions and blocks."""
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"id": range(1500), "g": rng.choice(["hot", "hot", "hot", "a", "b"], 1500), "x": np.where(rng.random(1500) < .6, 3.0, rng.normal(size=1500)), "y": rng.normal(size=1500)})
+    pdf.loc[rng.random(1500) < .1, "x"] = np.nan
+    pdf.loc[pdf.g == "b", "y"] = np.nan
+    rows = [tuple(r) for r in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False)]
+    df = spark.createDataFrame([*rows, (1500, None, None, 5.0), (1501, "a", float("nan"), None)], "id long, g string, x double, y double").repartition(5)
+    both = pd.concat([pdf, pd.DataFrame({"id": [1501], "g": ["a"], "x": [np.nan], "y": [np.nan]})])
+    for plus_one in (True, False):
+        got = block_shares(df, ["g"], ["x", "y"], plus_one, 0.5, 70, limit).toPandas().set_index("id").sort_index()
+        assert list(got.columns) == ["g", "x", "y"] and len(got) == 1502
+        one = got.loc[1500]
+        assert (one["y"] == (5.0 if plus_one else 1.0)) and (np.isnan(one["x"]) if plus_one else one["x"] == 0.5)
+        for c in "xy":
+            over = both.groupby("g")["id"].transform("count") + 1 if plus_one else both.groupby("g")[c].transform("count")
+            want = (both.groupby("g")[c].rank() / over).fillna(0.5).to_numpy()
+            assert np.allclose(got.drop(1500)[c], want), (c, plus_one)
+    ranks = block_ranks(df, ["g"], ["x"], 70, limit).toPandas().set_index("id").sort_index().drop(1500)
+    assert np.allclose(ranks["_rank_x"], both.groupby("g")["x"].rank(), equal_nan=True) and (ranks["_rows"].to_numpy() == both.groupby("g")["id"].transform("count").to_numpy()).all()
+
+
+def test_block_shares_move_values_once(spark):
+    """Nothing is joined, and the values pass through one exchange, their ranks through another."""
+    df = spark.range(100).select((F.col("id") % 3).alias("g"), F.rand(1).alias("x"), F.rand(2).alias("y"))
+    plan = labels.cross_rank(df, ["x", "y"], keys=["g"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
+def test_frames_of_models_equal_the_block(spark, market):
+    """The labelled and the wanted frame hold the rows and values of the stored block that they replace; only narrow rows are moved."""
+    from quantweave.catalog.joins import reports
+    from quantweave.plans import factor_block as fb
+    bars, factors, rep = market.bars(), market.adjust_factor(), reports(market)
+    block = tr.staged(tr.known(fb.base_factors(bars, factors, rep)), "block")
+    want = labels.path_label(block)
+    got = tr.labelled_frame(bars, factors, rep)
+    assert set(got.columns) == set(want.columns)
+    a, b = (x.select(*sorted(want.columns)).toPandas().sort_values(["code", "date"]).reset_index(drop=True) for x in (got, want))
+    pd.testing.assert_frame_equal(a, b)
+    wanted = bars.where(F.dayofmonth("date") < 4)
+    got = tr.factor_frame(bars, factors, rep, wanted).toPandas()
+    want = block.join(wanted.select("code", "date"), ["code", "date"]).select(*got.columns).toPandas()
+    a, b = (x.sort_values(["code", "date"]).reset_index(drop=True) for x in (got, want))
+    pd.testing.assert_frame_equal(a, b)
+    plan = tr.labelled_frame(bars, factors, rep)._jdf.queryExecution().executedPlan().toString().split("\n")
+    last = max(i for i, line in enumerate(plan) if "ArrowEvalPython" in line)
+    assert not [line for line in plan[:last] if "Exchange" in line or "Join" in line]
