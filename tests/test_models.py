@@ -161,3 +161,43 @@ def test_frames_of_models_equal_the_block(spark, market):
     plan = tr.labelled_frame(bars, factors, rep)._jdf.queryExecution().executedPlan().toString().split("\n")
     last = max(i for i, line in enumerate(plan) if "ArrowEvalPython" in line)
     assert not [line for line in plan[:last] if "Exchange" in line or "Join" in line]
+
+
+def test_target_correlation_equals_numpy(spark):
+    """Nulls, a constant, a column without values, NaN, large means, more partitions than rows of some; many features make no aggregates of their own."""
+    rng = np.random.default_rng(11)
+    n = 400
+    x = {"plain": rng.normal(size=n), "far": 1e6 + rng.normal(size=n), "flat": np.full(n, 0.1), "holes": np.where(rng.random(n) < .5, np.nan, rng.normal(size=n)), "none": np.full(n, np.nan)}
+    y = np.where(rng.random(n) < .1, np.nan, x["plain"] + 0.5 * np.nan_to_num(x["far"] - 1e6) + rng.normal(size=n))
+    pdf = pd.DataFrame({**x, "y": y}).astype(object)
+    rows = [tuple(r) for r in pdf.where(pdf.notna(), None).itertuples(index=False)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in pdf)).repartition(50).withColumn("odd", F.when(F.rand(1) < 0.1, float("nan")).otherwise(F.col("plain")))
+    got = {r["feature"]: r["score"] for r in scoring.target_correlation(df, [*x, "odd"], "y").collect()}
+    both = {c: ~np.isnan(v) & ~np.isnan(y) for c, v in x.items()}
+    for c in ("plain", "far", "holes"):
+        assert abs(got[c] - abs(np.corrcoef(x[c][both[c]], y[both[c]])[0, 1])) < 1e-9, c
+    assert got["flat"] == got["none"] == 0.0 and np.isnan(got["odd"]) and len(got) == 6
+    wide = spark.range(50).select(*[F.rand(i).alias(f"c{i}") for i in range(129)], F.rand(200).alias("y"))
+    plan = scoring.target_correlation(wide, wide.columns[:-1], "y")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("covar") + plan.count("stddev") + plan.count("partial_min") < 10
+
+
+def test_fits_of_a_fold_run_side_by_side(planted, monkeypatch):
+    import threading
+    import time
+    lock, now, most = threading.Lock(), [0], [0]
+    fit = tr.fit_trees
+
+    def watched(*args, **kw):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.5)
+        try:
+            return fit(*args, **kw)
+        finally:
+            with lock:
+                now[0] -= 1
+    monkeypatch.setattr(tr, "fit_trees", watched)
+    scores = tr.out_of_fold(planted, {"all": NAMES, "few": NAMES[2:4]}, NAMES, rounds=2)
+    assert most[0] == 2 and scores.count() == planted.count()
