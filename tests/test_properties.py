@@ -541,3 +541,48 @@ def test_streamed_bars_are_rewritten_once_for_each_doubling(spark, monkeypatch):
     assert got.columns == ["code", "date", "close", "load", "year"]
     assert {(r["code"], r["date"]): (r["load"], r["close"]) for r in got.collect()} == want
     assert len(merges) <= 6
+
+
+class Kept:
+    """A value state that counts its calls."""
+
+    def __init__(self, calls):
+        self.calls, self.value = calls, None
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+
+def test_stream_state_is_one_value(monkeypatch):
+    """The calls to the state of an instrument do not grow with its bars or positions."""
+    from types import SimpleNamespace
+
+    from quantweave.streaming import processors
+    calls, timers = [], []
+    handle = SimpleNamespace(getValueState=lambda *a: Kept(calls), registerTimer=timers.append)
+    p = processors.ExitMonitor(5, 0.01)
+    p.init(handle)
+    start = pd.DataFrame([("s", i, 100 + i, 20.0, 19.0, 20.0 + i) for i in range(40)], columns=["strategy", "signal_day", "entry_day", "price", "stop", "target"])
+    p.handleInitialState(("x",), start.iloc[:30], None)
+    p.handleInitialState(("x",), start.iloc[30:], None)
+    assert len(calls) == 4 and len(p.positions()) == 40
+    calls.clear()
+    bars = pd.DataFrame([(d, 20.5, 19.5, 20.0) for d in (150, 100, 120, 100)], columns=["day", "high", "low", "close"])
+    list(p.handleInputRows(("x",), iter([bars.iloc[:2], bars.iloc[2:]]), None))
+    list(p.handleInputRows(("x",), iter([pd.DataFrame([(120, 21.5, 19.5, 20.7)], columns=list(bars))]), None))
+    assert calls == ["get", "update"] * 2 and timers == [100 * processors.DAY, 120 * processors.DAY]
+    calls.clear()
+    out = pd.concat(p.handleExpiredTimer(("x",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 120 * processors.DAY), None))
+    assert len(calls) == 4 and timers[-1] == 150 * processors.DAY
+    # the bar of day 120 that came last reaches the targets up to 21.5 of what was entered before it
+    assert out[["signal_day", "exit_day", "exit_price", "exit_reason", "holding_days"]].values.tolist() == [[0, 120, 20.7, "take_profit", 1], [1, 120, 20.7, "take_profit", 1]]
+    assert len(p.positions()) == 38 and {r[6] for r in p.positions()} == {0, 1}
