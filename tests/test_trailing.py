@@ -92,14 +92,16 @@ def test_pass_over_cut_instruments(spark, small_batches):
 def test_fill_and_ranks_over_cut_instruments(spark, small_batches):
     df = bars(spark).withColumn("x", F.when(F.dayofyear("date") % 5 == 0, F.col("close")))
     same(t.fill_block(numbered(df), ["x", "volume"]).select("code", "date", "x", "volume"), t.fill_block(df, ["x", "volume"]).select("code", "date", "x", "volume"))
-    got = features.rolling_rank(df, ["close", "x"], 50, 25).select("code", "date", "rank_close", "rank_x")
-    pdf, want = df.toPandas().sort_values("date"), {}
-    for _, g in pdf.groupby(pdf["code"].fillna("-")):
+    dateless = df.limit(1).withColumns({"code": F.lit("600001"), "date": F.lit(None).cast("date"), "close": F.lit(1.0), "x": F.lit(1.0)})
+    got = features.rolling_rank(df.unionByName(dateless), ["close", "x"], 50, 25).select("code", "date", "rank_close", "rank_x")
+    pdf, want = df.toPandas().sort_values("date"), {("600001", None): [None, None]}
+    want |= {(None, d): [None, None] for d in pdf["date"][pdf["code"].isna()]}  # neither code nor date may be absent
+    for _, g in pdf[pdf["code"].notna()].groupby("code"):
         for name in ("close", "x"):
             for r, v in zip(g.itertuples(), g[name].rolling(50, min_periods=25).rank(pct=True).where(g[name].notna()), strict=True):
                 want.setdefault((r.code, r.date), []).append(None if v != v else v)
     rows = {(r[0], r[1]): [r[2], r[3]] for r in got.collect()}
-    assert rows.keys() == want.keys() and len(rows) == 377
+    assert rows.keys() == want.keys() and len(rows) == 378
     assert all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-12) for k in rows for x, y in zip(rows[k], want[k], strict=True))
 
 
